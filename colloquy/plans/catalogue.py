@@ -1,0 +1,9 @@
+"""Every query of the engine by name, and its SQL where SQL can express it."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
