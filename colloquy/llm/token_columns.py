@@ -21,7 +21,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Most words whose ids a process remembers, and most characters in one call of the encoder.
 MAX_WORDS = 600_000
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+_HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
 
 
@@ -30,7 +31,7 @@ class WordEncoder:
 
     A byte-level splitter never lets a token cross from a non-space into the space that follows, so a text falls apart at
     every single space between words, and each word with its space is encoded once and remembered. New words are encoded
-    many at a time, one after the other in one string; the byte lengths of its tokens tell the words apart. Texts where a
+    many at a time, one after the other in one string, where the byte lengths of the tokens tell them apart. Texts where a
     space follows white space are encoded whole.
     """
 
@@ -46,25 +47,48 @@ class WordEncoder:
         for token, k in self.tokenizer.get_vocab().items():
             self.width[k] = added.get(k, len(token))
         self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
+        self.tails: dict[str, bytes] = {}
+        from tokenizers import pre_tokenizers
+
+        self.letters = Tokenizer.from_file(path)
+        by_space = pre_tokenizers.Split(" ", "merged_with_next")
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([by_space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Words are letters with or without a tail that starts with a mark, where a token always ends; a tail is learned
+        once for all words. Letters are one token of the splitter, so `self.letters` need not look for others in them."""
+        words, tails, tailed, others = self.words, self.tails, [], []
+        alphabetic = []
+        for word in new:
+            if word.isalpha():
+                alphabetic.append(word)
+            elif (found := _HEAD_AND_TAIL(word)) and found[1].isalpha():
+                tailed.append((word, found[1], found[2]))
+            else:
+                others.append(word)
+        alphabetic += {head for _, head, _ in tailed}.difference(words, alphabetic)
+        groups = [alphabetic[k : k + 128] for k in range(0, len(alphabetic), 128)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups], self.letters)):
             ends, made = np.cumsum([1 + len(w.encode()) for w in group]), np.cumsum(self.width[ids])
             at = np.searchsorted(made, ends, side="left") + 1
             if made[-1] != ends[-1] or not np.array_equal(made[at - 1], ends):
-                self.words.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
-            else:
-                data, at = ids.tobytes(), (at * 4).tolist()
-                self.words.update(zip(group, (data[a:b] for a, b in zip([0, *at], at))))
+                words.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
+                continue
+            data, at = ids.tobytes(), (at * 4).tolist()
+            words.update(zip(group, [data[a:b] for a, b in zip([0, *at], at)]))
+        unknown = list({tail for _, _, tail in tailed}.difference(tails))
+        tails.update(zip(unknown, (x.tobytes() for x in self._ids(unknown))))
+        words.update([(word, words[head] + tails[tail]) for word, head, tail in tailed])
+        words.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.words) > MAX_WORDS:
             self.words.clear()
+            self.tails.clear()
         words = self.words
         whole = [k for k, text in enumerate(texts) if _SPACE_AFTER_SPACE(text) or text[:1] == " "]
         split = [text.split(" ") for text in texts]
