@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, piece_codec, quality, token_columns, toxicity
+from . import language_id, media, minhash, mixing, piece_codec, quality, token_columns, toxicity
 from .common import id_crc, labelled_sample, table
 
 
@@ -41,6 +41,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -108,6 +113,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language": op2_language,
+        "op3_minhash": op3_minhash,
         "op5_pieces": op5_pieces,
         "op6_media": op6_media,
         "op7_token_columns": op7_token_columns,
