@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, minhash, mixing, piece_codec, quality, token_columns, toxicity
+from . import language_id, media, minhash, mixing, piece_codec, quality, sentence_spans, token_columns, toxicity
 from .common import id_crc, labelled_sample, table
 
 
@@ -71,6 +71,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "repeats")
@@ -118,6 +122,7 @@ def queries() -> dict:
         "op6_media": op6_media,
         "op7_token_columns": op7_token_columns,
         "op8_quality": op8_quality,
+        "op9_sentence_spans": op9_sentence_spans,
         "op10_mixing": op10_mixing,
     }
 
