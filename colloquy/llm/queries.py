@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, minhash, mixing, piece_codec, quality, sentence_spans, token_columns, toxicity
+from . import hnsw, language_id, media, minhash, mixing, piece_codec, quality, sentence_spans, token_columns, toxicity
 from .common import id_crc, labelled_sample, table
 
 
@@ -46,6 +46,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -118,6 +122,7 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity,
         "op2_language": op2_language,
         "op3_minhash": op3_minhash,
+        "op4_hnsw": op4_hnsw,
         "op5_pieces": op5_pieces,
         "op6_media": op6_media,
         "op7_token_columns": op7_token_columns,
