@@ -6,9 +6,8 @@ from 1 (in every document) to 1 + IDF_RANGE (rarer than that), a mild slope, bec
 of a large group of near copies below the threshold: what they share is frequent, where they differ is rare.
 
 Samples of consistent weighted sampling agree with the probability of the weighted Jaccard similarity. Bands of samples
-deal documents to buckets; members of a bucket are compared with its leaders, those that fail with each other's leaders
-in further rounds, until each has been verified or stands alone. Links are verified by exact weighted Jaccard similarity
-and joined to components. Exact copies (equal shingles and counts) are one document until the end.
+deal documents to buckets; members of a bucket are compared with its hub, and what that leaves apart in a bucket is
+compared in blocks. Links are verified by exact weighted Jaccard similarity and joined to components. Exact copies (equal shingles and counts) are one document until the end.
 """
 
 import hashlib
@@ -33,6 +32,8 @@ RAREST = 1 / 1024
 IDF_RANGE = 0.25
 #: Members that one task compares with a leader before the leader is copied to another task.
 MEMBERS_A_TASK = 256
+#: Members of a bucket that one task compares with each other, or with another such block.
+BLOCK_DOCUMENTS = 512
 CHUNK_CHARS = 2_000_000
 STEP = 256
 
@@ -262,27 +263,96 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
     return cut(found.groupBy("member", "leader").agg(F.max("linked").alias("linked")), "verified")
 
 
+def _compare_buckets(rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """rows: part, band, apart, block, doc, component, bands, text; a part is one block of a bucket, or two (apart), whose
+    members are then compared with those of the other block only.
+    Links (a, b) between documents of different components, each pair in the first band that both share."""
+    rows = rows.repartition("part").sortWithinPartitions("part", "doc")
+
+    def compare(batches):
+        tables, state = idf.value, {"part": None, "docs": []}
+
+        def links():
+            docs, root, out = state["docs"], {}, []
+            state["docs"] = []
+
+            def find(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            if len(docs) > 1 and len({d[2] for d in docs}) > 1:
+                bands = np.stack([d[3] for d in docs])
+                blocks = np.array([d[1] for d in docs])
+                totals = np.array([d[4][1].sum(dtype="f8") for d in docs])
+                band, apart = docs[0][5], docs[0][6]
+                for k in range(1, len(docs)):
+                    first = (bands[:k] == bands[k]).argmax(1) == band
+                    fair = np.minimum(totals[:k], totals[k]) >= threshold * np.maximum(totals[:k], totals[k])
+                    if apart:
+                        fair &= blocks[:k] != blocks[k]
+                    for j in np.flatnonzero(first & fair):
+                        x, y = find(docs[j][2]), find(docs[k][2])
+                        if x != y and similarity(docs[j][4], docs[k][4]) >= threshold:
+                            root[x] = y
+                            out.append((docs[j][0], docs[k][0]))
+            return out
+
+        for batch in batches:
+            parts, band, apart, block, ids, components, bands, texts = (batch.column(k).to_pylist() for k in range(8))
+            out = []
+            for piece in _in_chunks([t or "" for t in texts]):
+                for n, (found, times) in zip(range(piece.start, piece.stop), shingles([t or "" for t in texts[piece]])):
+                    if parts[n] != state["part"]:
+                        out += links()
+                        state["part"] = parts[n]
+                    state["docs"].append((ids[n], block[n], components[n], np.array(bands[n], "i8"), (found, weights(tables, found, times)), band[n], apart[n]))
+            yield _pairs(out)
+        yield _pairs(links())
+
+    def _pairs(out):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return rows.select("part", "band", "apart", "block", "doc", "component", "bands", "text").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: verified links and links of exact copies to the first of them; enough to join all classes."""
+    """a, b: verified links and links of exact copies to the first of them; enough to join all classes.
+
+    First each member of a bucket is compared with the bucket's hub: the member that meets most others in all its buckets,
+    as the original of a group of edited copies does. What this joins is one component; buckets that still hold several
+    are compared in blocks of BLOCK_DOCUMENTS, one component's members with another's, inside tasks.
+    """
     idf = docs.sparkSession.sparkContext.broadcast(count_shingles(docs))
     signed = cut(_signatures(docs, idf), "signatures")
     firsts = cut(signed.groupBy("print").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "firsts")
     copies = signed.select("doc_id", "print").join(firsts.select(F.col("print").alias("p"), "first"), F.col("print") == F.col("p"))
-    links = [copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))]
-    buckets = cut(firsts.select("first", F.posexplode("bands").alias("band", "hash")).select("band", "hash", F.col("first").alias("doc")), "buckets")
-    while True:
-        # Even bands are led by their least member, odd ones by their greatest: two hubs for each group.
-        ends = buckets.groupBy("band", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-        ends = cut(ends.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), F.when(F.col("band") % 2 == 0, F.col("least")).otherwise(F.col("most")).alias("leader")), "leaders")
-        met = cut(buckets.join(ends, (F.col("band") == F.col("in_band")) & (F.col("hash") == F.col("in_hash"))).where("doc <> leader").select("band", "hash", "doc", "leader"), "met")
-        pairs = cut(met.select(F.col("doc").alias("member"), "leader").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        verified = _verify(pairs, docs, idf, threshold)
-        links.append(verified.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
-        failed = verified.where("not linked").select(F.col("member").alias("m"), F.col("leader").alias("l"))
-        buckets = cut(met.join(failed, (F.col("doc") == F.col("m")) & (F.col("leader") == F.col("l"))).select("band", "hash", "doc"), "left")
-    return reduce(DataFrame.unionByName, links)
+    copies = copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+
+    dealt = firsts.select(F.col("first").alias("doc"), F.posexplode("bands").alias("band", "hash"))
+    sizes = cut(dealt.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), "size"), "sizes")
+    same_bucket = (F.col("band") == F.col("in_band")) & (F.col("hash") == F.col("in_hash"))
+    members = cut(dealt.join(sizes, same_bucket).select("band", "hash", "doc", "size"), "members")
+    meets = cut(members.groupBy(F.col("doc").alias("d")).agg(F.sum(F.col("size") - 1).alias("meets")), "meets")
+    texts = cut(docs.select("doc_id", "text").join(meets.select("d"), F.col("doc_id") == F.col("d")).select("doc_id", "text"), "texts")
+
+    hubs = members.join(meets, F.col("doc") == F.col("d")).groupBy("band", "hash").agg(F.max(F.struct("meets", (-F.col("doc")).alias("minus"))).alias("hub"))
+    hubs = cut(hubs.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), (-F.col("hub.minus")).alias("leader")), "hubs")
+    pairs = cut(members.join(hubs, same_bucket).where("doc <> leader").select(F.col("doc").alias("member"), "leader").distinct(), "pairs")
+    linked = cut(_verify(pairs, texts, idf, threshold).where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")), "linked")
+
+    found = cut(connected_components(linked), "joined")
+    known = members.join(found, F.col("doc") == F.col("node"), "left").select("band", "hash", "doc", "size", F.coalesce("component", "doc").alias("component"))
+    known = cut(known, "known")
+    mixed = known.groupBy("band", "hash").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    mixed = cut(mixed.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash")), "mixed")
+    blocks = F.ceil(F.col("size") / BLOCK_DOCUMENTS).cast("int")
+    rest = known.join(mixed, same_bucket).select("band", "hash", "doc", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
+    rest = rest.withColumn("pair", F.explode(other)).withColumn("part", F.xxhash64("band", "hash", "pair.x", "pair.y")).withColumn("apart", F.col("pair.x") != F.col("pair.y"))
+    rest = rest.join(firsts.select(F.col("first").alias("f"), "bands"), F.col("doc") == F.col("f")).join(texts, F.col("doc") == F.col("doc_id"))
+    more = cut(_compare_buckets(rest, idf, threshold), "more")
+    return copies.unionByName(linked).unionByName(more)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
