@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +22,20 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Most words whose ids a process remembers, and most characters in one call of the encoder.
 MAX_WORDS = 600_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 4_000_000
 _HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
+_NO_SPACE = "\x01"
+_MARK = " " + _NO_SPACE
+_MARK_AFTER_OTHER = re.compile(r"[\W\d_] \x01").search
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
 
 
+def _tails_apart(text: str) -> str:
+    """A space and _NO_SPACE before each comma and full stop, if all of them follow a letter and so begin a token. The text must not hold _NO_SPACE."""
+    apart = text.replace(",", _MARK + ",").replace(".", _MARK + ".")
+    return text if _MARK_AFTER_OTHER(apart) or apart[:1] == " " else apart
+
+
 class WordEncoder:
     """Encodes with a tokenizers file, exactly as encode(text, add_special_tokens=False) would.
 
@@ -61,8 +71,12 @@ class WordEncoder:
         """Words are letters with or without a tail that starts with a mark, where a token always ends; a tail is learned
         once for all words. Letters are one token of the splitter, so `self.letters` need not look for others in them."""
         words, tails, tailed, others = self.words, self.tails, [], []
+        bare = [word for word in new if word[:1] == _NO_SPACE]
+        words.update(zip(bare, (x.tobytes() for x in self._ids([word[1:] for word in bare]))))
         alphabetic = []
         for word in new:
+            if word[:1] == _NO_SPACE:
+                continue
             if word.isalpha():
                 alphabetic.append(word)
             elif (found := _HEAD_AND_TAIL(word)) and found[1].isalpha():
@@ -84,22 +98,30 @@ class WordEncoder:
         words.update([(word, words[head] + tails[tail]) for word, head, tail in tailed])
         words.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each.
+
+        Words are told apart and numbered by Arrow; only a chunk's distinct words are looked up here, and the ids of all
+        its words gathered at once. A text's first word, which has no space before it, is a word of its own.
+        """
         if len(self.words) > MAX_WORDS:
             self.words.clear()
             self.tails.clear()
-        words = self.words
-        whole = [k for k, text in enumerate(texts) if _SPACE_AFTER_SPACE(text) or text[:1] == " "]
-        split = [text.split(" ") for text in texts]
-        for k in whole:
-            split[k] = [""]
-        out = [x.tobytes() for x in self._ids([parts.pop(0) for parts in split])]
-        self._learn([*set().union(*split).difference(words)])
-        out = [first + b"".join(map(words.__getitem__, parts)) for first, parts in zip(out, split)]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = ids.tobytes()
-        return out
+        alone = [text[:1] == " " or _NO_SPACE in text or _SPACE_AFTER_SPACE(text) is not None for text in texts]
+        apart = ["" if x else _tails_apart(text) for x, text in zip(alone, texts)]
+        lists = pc.split_pattern(pa.array(apart, pa.string()), " ")
+        coded, opens = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        index[opens] = np.arange(len(distinct), len(distinct) + len(texts))
+        self._learn([w for w in distinct if w not in self.words])
+        known = list(map(self.words.__getitem__, distinct))
+        known += [x.tobytes() for x in self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])]
+        widths = np.fromiter(map(len, known), "i8", len(known)) // 4
+        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(widths) - widths
+        widths, starts = widths[index], starts[index]
+        made = np.cumsum(widths)
+        places = np.arange(made[-1] if len(made) else 0) + np.repeat(starts - made + widths, widths)
+        return ids[places], np.add.reduceat(widths, opens) if len(opens) else widths
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -123,16 +145,16 @@ def in_chunks(texts: list[str], chars: int):
 
 def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> DataFrame:
     """doc_id and token_ids of each document; a null text is an empty one. end_id is appended where given."""
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         encoder = _encoder(model)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for part in in_chunks(texts, CHUNK_CHARS):
-                ids = [x + end for x in encoder.encode(texts[part])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("i4")
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                ids, counts = encoder.encode(texts[part])
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                offsets, values = np.append(0, np.cumsum(counts)).astype("i4"), pa.array(ids.astype("i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "token_ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>")
@@ -149,7 +171,7 @@ def write_tokens(docs: DataFrame, model: str, path: str, end_id: int | None = EN
     tokens = encode_column(dealt, model, end_id).select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids")
     dictionary = {"parquet.enable.dictionary": "false", "parquet.enable.dictionary#token_ids.list.element": str(list_encoding == "dictionary").lower()}
     sizes = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20}
-    tokens.write.options(**dictionary, **sizes).option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
+    tokens.write.options(**dictionary, **sizes).option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:

@@ -98,10 +98,11 @@ def test_codec_digests_of_a_table(spark, documents, empty, pieces):
 
 def test_words_encode_as_the_tokenizer_does():
     encoder = token_columns.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [*TEXTS, "word, word. word!! (word) it's it’s a1b2 x\n\ny z_w", "tail.\nNext line's end,  double", "é. ñ, ß! ½ ²x"]
+    texts = [*TEXTS, "word, word. word!! (word) it's it’s a1b2 x\n\ny z_w", "tail.\nNext line's end,  double", "é. ñ, ß! ½ ²x", "a \x01b, c", "one,two 3,4 x., y", ", z"]
     for _ in range(2):
-        for text, ids in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        ids, counts = encoder.encode(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
