@@ -1,0 +1,3 @@
+"""Queries over session files made on the spot."""
+
+FIXTURE_QUERIES: dict = {}
