@@ -22,18 +22,19 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Most words whose ids a process remembers, and most characters in one call of the encoder.
 MAX_WORDS = 600_000
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 3_000_000
 _HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
 _NO_SPACE = "\x01"
 _MARK = " " + _NO_SPACE
-_MARK_AFTER_OTHER = re.compile(r"[\W\d_] \x01").search
+_MARK_AFTER_OTHER = re.compile(r"[.,](?<![^\W\d_][.,])").search
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
 
 
 def _tails_apart(text: str) -> str:
     """A space and _NO_SPACE before each comma and full stop, if all of them follow a letter and so begin a token. The text must not hold _NO_SPACE."""
-    apart = text.replace(",", _MARK + ",").replace(".", _MARK + ".")
-    return text if _MARK_AFTER_OTHER(apart) or apart[:1] == " " else apart
+    if _MARK_AFTER_OTHER(text):
+        return text
+    return text.replace(",", _MARK + ",").replace(".", _MARK + ".")
 
 
 class WordEncoder:
@@ -60,12 +61,13 @@ class WordEncoder:
         self.tails: dict[str, bytes] = {}
         from tokenizers import pre_tokenizers
 
-        self.letters = Tokenizer.from_file(path)
         by_space = pre_tokenizers.Split(" ", "merged_with_next")
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([by_space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.splitter = self.tokenizer.pre_tokenizer
+        self.letters = pre_tokenizers.Sequence([by_space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], splitter=None) -> list[np.ndarray]:
+        self.tokenizer.pre_tokenizer = splitter or self.splitter
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Words are letters with or without a tail that starts with a mark, where a token always ends; a tail is learned
@@ -120,7 +122,7 @@ class WordEncoder:
         ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(widths) - widths
         widths, starts = widths[index], starts[index]
         made = np.cumsum(widths)
-        places = np.arange(made[-1] if len(made) else 0) + np.repeat(starts - made + widths, widths)
+        places = np.arange(made[-1] if len(made) else 0, dtype="i4") + np.repeat((starts - made + widths).astype("i4"), widths)
         return ids[places], np.add.reduceat(widths, opens) if len(opens) else widths
 
 
