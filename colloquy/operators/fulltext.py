@@ -76,16 +76,18 @@ class Phrase:
     column: bool = True  # False: looked for in a column that isn't indexed
 
     def starts(self) -> Column:
-        def here(i):
-            holds = F.lit(self.column and bool(self.words))
-            for k, word in enumerate(self.words):
-                at = F.get(F.col("tokens"), i + k)
-                last = self.prefix and k == len(self.words) - 1
-                holds = holds & F.coalesce(F.startswith(at, F.lit(word)) if last else at == word, F.lit(False))
-            return holds
-
-        places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1)).otherwise(F.array().cast("array<int>"))
-        found = F.filter(places, here)
+        """Places where the phrase starts. The tokens are arguments of functions, never named within a lambda, where they
+        would be made anew for every element."""
+        if not self.column or not self.words:
+            return F.array().cast("array<int>")
+
+        def places(k: int, word: str) -> Column:
+            prefix = self.prefix and k == len(self.words) - 1
+            return F.array_compact(F.transform("tokens", lambda t, i: F.when(F.startswith(t, F.lit(word)) if prefix else t == word, i - k)))
+
+        found = places(0, self.words[0])
+        for k, word in enumerate(self.words[1:], 1):
+            found = F.array_intersect(found, places(k, word))
         return F.filter(found, lambda i: i == 0) if self.first else found
 
 
