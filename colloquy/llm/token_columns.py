@@ -118,11 +118,12 @@ class WordEncoder:
         self._learn([w for w in distinct if w not in self.words])
         known = list(map(self.words.__getitem__, distinct))
         known += [x.tobytes() for x in self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])]
-        widths = np.fromiter(map(len, known), "i8", len(known)) // 4
-        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(widths) - widths
-        widths, starts = widths[index], starts[index]
-        made = np.cumsum(widths)
-        places = np.arange(made[-1] if len(made) else 0, dtype="i4") + np.repeat((starts - made + widths).astype("i4"), widths)
+        widths = np.fromiter(map(len, known), "i4", len(known)) >> 2
+        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(widths, dtype="i4") - widths
+        starts, widths = starts[index], widths[index]
+        made = np.cumsum(widths, dtype="i4")
+        places = np.repeat(starts - made + widths, widths)
+        places += np.arange(len(places), dtype="i4")
         return ids[places], np.add.reduceat(widths, opens) if len(opens) else widths
 
 
@@ -156,7 +157,7 @@ def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> D
                 ids, counts = encoder.encode(texts[part])
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
-                offsets, values = np.append(0, np.cumsum(counts)).astype("i4"), pa.array(ids.astype("i4"))
+                offsets, values = np.append(0, np.cumsum(counts)).astype("i4"), pa.array(ids.view("i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "token_ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>")
