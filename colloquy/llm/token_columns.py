@@ -20,10 +20,11 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Most words whose ids a process remembers, and most characters in one call of the encoder.
-MAX_WORDS = 600_000
-CHUNK_CHARS = 3_000_000
+#: Most words whose ids a process learns before it forgets those unused since it last did, and most characters in one call.
+MAX_WORDS = 250_000
+CHUNK_CHARS = 5_000_000
 _HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
+BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 _NO_SPACE = "\x01"
 _MARK = " " + _NO_SPACE
 _MARK_AFTER_OTHER = re.compile(r"[.,](?<![^\W\d_][.,])").search
@@ -42,7 +43,7 @@ class WordEncoder:
 
     A byte-level splitter never lets a token cross from a non-space into the space that follows, so a text falls apart at
     every single space between words, and each word with its space is encoded once and remembered. New words are encoded
-    many at a time, one after the other in one string, where the byte lengths of the tokens tell them apart. Texts where a
+    many at a time, one after the other in one string, where each word's first token begins with its space. Texts where a
     space follows white space are encoded whole.
     """
 
@@ -53,11 +54,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = {k: len(t.content.encode()) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.width = np.zeros(self.tokenizer.get_vocab_size() + len(added), "i8")
-        for token, k in self.tokenizer.get_vocab().items():
-            self.width[k] = added.get(k, len(token))
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[k for token, k in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         from tokenizers import pre_tokenizers
 
@@ -88,13 +89,12 @@ class WordEncoder:
         alphabetic += {head for _, head, _ in tailed}.difference(words, alphabetic)
         groups = [alphabetic[k : k + 128] for k in range(0, len(alphabetic), 128)]
         for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups], self.letters)):
-            ends, made = np.cumsum([1 + len(w.encode()) for w in group]), np.cumsum(self.width[ids])
-            at = np.searchsorted(made, ends, side="left") + 1
-            if made[-1] != ends[-1] or not np.array_equal(made[at - 1], ends):
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(group):
+                data, at = ids.tobytes(), [*(at * 4).tolist(), ids.nbytes]
+                words.update(zip(group, [data[a:b] for a, b in zip(at, at[1:])]))
+            else:
                 words.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
-                continue
-            data, at = ids.tobytes(), (at * 4).tolist()
-            words.update(zip(group, [data[a:b] for a, b in zip([0, *at], at)]))
         unknown = list({tail for _, _, tail in tailed}.difference(tails))
         tails.update(zip(unknown, (x.tobytes() for x in self._ids(unknown))))
         words.update([(word, words[head] + tails[tail]) for word, head, tail in tailed])
@@ -107,15 +107,18 @@ class WordEncoder:
         its words gathered at once. A text's first word, which has no space before it, is a word of its own.
         """
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
-            self.tails.clear()
+            self.words, self.old, self.tails = {}, self.words, {}
         alone = [text[:1] == " " or _NO_SPACE in text or _SPACE_AFTER_SPACE(text) is not None for text in texts]
         apart = ["" if x else _tails_apart(text) for x, text in zip(alone, texts)]
         lists = pc.split_pattern(pa.array(apart, pa.string()), " ")
         coded, opens = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         index[opens] = np.arange(len(distinct), len(distinct) + len(texts))
-        self._learn([w for w in distinct if w not in self.words])
+        del lists, coded
+        new = [w for w in distinct if w not in self.words]
+        kept = [(w, ids) for w in new if (ids := self.old.get(w)) is not None]
+        self.words.update(kept)
+        self._learn([w for w in new if w not in self.words] if kept else new)
         known = list(map(self.words.__getitem__, distinct))
         known += [x.tobytes() for x in self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])]
         widths = np.fromiter(map(len, known), "i4", len(known)) >> 2
