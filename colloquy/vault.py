@@ -8,10 +8,11 @@ Manifests are numbered; publishing a number that another writer has taken fails.
 import json
 from datetime import datetime
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import NotFound, UsageError
+from .errors import EmbedderError, NotFound, UsageError
 from .operators import embedding, export, fulltext, report, vectors
 from .operators.periods import Recency, parse_day, period, utc_now
 from .operators.upsert import replace_sessions
@@ -143,6 +144,8 @@ class Vault:
             config = {"embedding_model": model.name, "embedding_dimensions": model.dimensions, "embedding_provider": provider}
             self._commit(manifest, {"messages": shaped(rows, TABLES["messages"]), "sessions": shaped(summed, sessions.schema)}, buckets, config)
             return count
+        except PythonException as e:
+            raise EmbedderError(str(e).strip().splitlines()[-1] if "EmbedderError" not in str(e) else str(e).partition("EmbedderError: ")[2].splitlines()[0]) from None
         finally:
             done.unpersist()
 
