@@ -21,8 +21,8 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Most words whose ids a process learns before it forgets those unused since it last did, and most characters in one call.
-MAX_WORDS = 250_000
-CHUNK_CHARS = 5_000_000
+MAX_WORDS = 300_000
+CHUNK_CHARS = 3_000_000
 _HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
 BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 _NO_SPACE = "\x01"
