@@ -288,8 +288,8 @@ class _Plan:
             starts = [self._phrase(p) for p in node.phrases]
             ends = F.array_distinct(F.flatten(F.array(*starts)))
             reach = [len(p.words) + node.within for p in node.phrases]
-            close = F.filter(ends, lambda m: _all([F.exists(s, lambda x, r=r: (x <= m) & (x >= m - r)) for s, r in zip(starts, reach)]))
-            self.counts += [F.size(F.filter(s, lambda x, r=r: F.exists(close, lambda m: (x <= m) & (x >= m - r)))) for s, r in zip(starts, reach)]
+            close = F.filter(ends, lambda m: _all([F.exists(s, _within(m, r)) for s, r in zip(starts, reach)]))
+            self.counts += [F.size(F.filter(s, _reached(close, r))) for s, r in zip(starts, reach)]
             return F.size(close) > 0
         if isinstance(node, Both):
             holds = _all([self._of(p) for p in node.parts])
@@ -317,6 +317,16 @@ class _Plan:
         return self.needed(node.left) if isinstance(node, Without) else []
 
 
+def _within(last: Column, reach: int):
+    """Whether a start lies so near before the last start of a group."""
+    return lambda x: (x <= last) & (x >= last - reach)
+
+
+def _reached(lasts: Column, reach: int):
+    """Whether a start belongs to one of the groups that end with these starts."""
+    return lambda x: F.exists(lasts, lambda m: (x <= m) & (x >= m - reach))
+
+
 def _all(parts: list[Column]) -> Column:
     out = parts[0]
     for p in parts[1:]:

@@ -9,7 +9,7 @@ from ..functions.columns import child_uuid, embed_text, session_uuid, snippet
 from ..operators import fulltext, report, vectors
 from ..operators.periods import Period, period
 from . import derived
-from .fixtures import FIXTURE_QUERIES
+from .round_trips import ROUND_TRIPS
 
 NOW = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
 WHOLE = Period("custom", date(2024, 1, 1), date(2024, 1, 30))
@@ -137,10 +137,6 @@ def preagg_left_join(spark, sf_dir):
 # Search ----------------------------------------------------------------------------------------------------------------
 
 
-def _corpus(spark, sf_dir) -> DataFrame:
-    return fulltext.token_table(derived.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("text").alias("content")), stemmed=False)
-
-
 def _grep(pattern: str, project: str | None = None, stemmed: bool = False):
     def run(spark, sf_dir):
         docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("text").alias("content"))
@@ -158,11 +154,11 @@ def grep_turns(spark, sf_dir):
     return found.select("session_id", "source_seq", "role", "snippet", F.round("rank", 6).alias("rank"))
 
 
-GREPS = {  # name: pattern, project, SQL of each phrase's starts over i, match, counted phrases
+GREPS = {  # name: pattern, project
     "grep_term": ("worthless", None),
     "grep_and": ("the worthless", None),
     "grep_or": ("idiot OR scum", None),
-    "grep_not": ("idiot NOT the", None),
+    "grep_not": ("idiot NOT worthless", None),
     "grep_phrase": ('"of the"', None),
     "grep_prefix": ("worth*", None),
     "grep_near": ("NEAR(idiot of, 3)", None),
@@ -193,7 +189,7 @@ GREP_SQL = {
     "grep_term": _grep_sql([("tk[i] = 'worthless'", 1)], "len(p0) > 0"),
     "grep_and": _grep_sql([("tk[i] = 'the'", 1), ("tk[i] = 'worthless'", 1)], "len(p0) > 0 AND len(p1) > 0"),
     "grep_or": _grep_sql([("tk[i] = 'idiot'", 1), ("tk[i] = 'scum'", 1)], "len(p0) > 0 OR len(p1) > 0"),
-    "grep_not": _grep_sql([("tk[i] = 'idiot'", 1), ("tk[i] = 'the'", 1)], "len(p0) > 0 AND len(p1) = 0", ["len(p0)", "0"]),
+    "grep_not": _grep_sql([("tk[i] = 'idiot'", 1), ("tk[i] = 'worthless'", 1)], "len(p0) > 0 AND len(p1) = 0", ["len(p0)", "0"]),
     "grep_phrase": _grep_sql([("tk[i] = 'of' AND tk[i + 1] = 'the'", 2)], "len(p0) > 0"),
     "grep_prefix": _grep_sql([("starts_with(tk[i], 'worth')", 1)], "len(p0) > 0"),
     "grep_near": _near_sql(),
@@ -373,12 +369,13 @@ QUERIES = {
     "asof_last_assistant": (asof_last_assistant, "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'"),
     "cumulative_max": (cumulative_max, f"WITH {EVENTS} SELECT session_id, CAST(max(floor(value)) AS BIGINT) AS most FROM e GROUP BY 1"),
     "patch_replay": (patch_replay, "SELECT user_id, event_type, arg_max(props, event_id) AS props, count(*) AS patches FROM events GROUP BY 1, 2"),
+    **ROUND_TRIPS,
     "session_upsert_idempotent": (session_upsert_idempotent, "SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY 1"),
 }
 
 
 def queries() -> dict:
-    return {name: query for name, (query, _) in QUERIES.items()} | FIXTURE_QUERIES
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
