@@ -9,31 +9,38 @@ from ..errors import NotFound
 from ..operators.periods import Recency
 from ..parsers import Parsed, claude, codex, copilot, hermes, opencode
 from ..schemas import TABLES
-from .lines import by_kind, session_lines
+from .lines import by_kind, detect_kinds, session_lines
 from .sqlite import store_rows
 
 LINE_PARSERS = {"claude": claude.parse, "codex": codex.parse, "copilot-chat": copilot.parse_chat, "copilot-transcript": copilot.parse_transcript}
 STORE_PARSERS = {"opencode": opencode.parse, "hermes": hermes.parse}
 
 
-def parse_lines(lines: DataFrame) -> Parsed:
-    """Every file by the parser of its kind; files of no kind give one erratum each."""
+def parse_lines(lines: DataFrame, kinds: list[str | None] | None = None) -> Parsed:
+    """Every file by the parser of its kind; files of no kind give one erratum each. Given the kinds that there are, only
+    their parsers are in the plan."""
     rows = by_kind(lines)
     out = None
     for kind, parse in LINE_PARSERS.items():
-        found = parse(rows.where(F.col("kind") == kind).drop("kind"))
-        out = found if out is None else out.union(found)
-    unknown = rows.where("kind is null").groupBy("path").agg(F.min_by("line", "source_seq").alias("line"))
-    lost = unknown.select(F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.substring("line", 1, 500).alias("snippet"), F.col("path").alias("raw_path"))
-    out.errata = out.errata.unionByName(lost)
+        if kinds is None or kind in kinds:
+            found = parse(rows.where(F.col("kind") == kind).drop("kind"))
+            out = found if out is None else out.union(found)
+    if kinds is None or None in kinds or out is None:
+        unknown = rows.where("kind is null").groupBy("path").agg(F.min_by("line", "source_seq").alias("line"))
+        lost = unknown.select(F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.substring("line", 1, 500).alias("snippet"), F.col("path").alias("raw_path"))
+        if out is None:
+            none = {t: lines.sparkSession.createDataFrame([], schema) for t, schema in TABLES.items()}
+            out = Parsed(**none)
+        out.errata = out.errata.unionByName(lost)
     return out
 
 
-def parse_stores(rows: DataFrame) -> Parsed:
+def parse_stores(rows: DataFrame, kinds: list[str] | None = None) -> Parsed:
     out = None
-    for parse in STORE_PARSERS.values():
-        found = parse(rows)
-        out = found if out is None else out.union(found)
+    for kind, parse in STORE_PARSERS.items():
+        if kinds is None or kind in kinds:
+            found = parse(rows)
+            out = found if out is None else out.union(found)
     return out
 
 
@@ -42,9 +49,12 @@ def read_sessions(spark: SparkSession, path: str, recency: Recency = Recency())
     if "://" not in path and not os.path.exists(path):
         raise NotFound(f"no such file or folder: {path}")
     if path.endswith((".db", ".sqlite")):
-        found = parse_stores(store_rows(spark, path, recency))
+        rows = store_rows(spark, path, recency)
+        kinds = [r.kind for r in rows.select("kind").distinct().collect()]
+        found = parse_stores(rows, [k for k in kinds if k in STORE_PARSERS] or ["opencode"])
     else:
-        found = parse_lines(session_lines(spark, path, recency))
+        lines = session_lines(spark, path, recency)
+        found = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
     return _one_file_a_session(found)
 
 
