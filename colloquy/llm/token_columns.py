@@ -20,12 +20,13 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Most words whose ids a process learns before it forgets those unused since it last did, and most characters in one call.
-MAX_WORDS = 300_000
+#: Most words whose ids a process remembers before it starts anew, and most characters in one call of the encoder.
+MAX_WORDS = 1_500_000
+MAX_WORD_BYTES = 4096
 CHUNK_CHARS = 3_000_000
-_HEAD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s'’].*)\Z", re.S).match
 BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 _NO_SPACE = "\x01"
+_BETWEEN = "\x02"
 _MARK = " " + _NO_SPACE
 _MARK_AFTER_OTHER = re.compile(r"[.,](?<![^\W\d_][.,])").search
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
@@ -38,96 +39,144 @@ def _tails_apart(text: str) -> str:
     return text.replace(",", _MARK + ",").replace(".", _MARK + ".")
 
 
+class WordTable:
+    """Ids of words by two hashes of the words (64 and 32 bits), in arrays sorted by the first."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, "u8"), np.zeros(0, "u4")
+        self.starts, self.widths = np.zeros(0, "i4"), np.zeros(0, "i4")
+        self.pool, self.used = np.zeros(1 << 16, "u4"), 0
+
+    def add(self, data: bytes) -> int:
+        """Ids at the end of the pool; returns where."""
+        ids, at = np.frombuffer(data, "<u4"), self.used
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(len(self.pool), len(ids)), "u4")])
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is known, and its place and number of ids."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), "i4"), np.zeros(len(keys), "i4")
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys) & (self.checks[at] == checks), self.starts[at], self.widths[at]
+
+    def insert(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> None:
+        if not len(keys):
+            return
+        order = np.argsort(keys)
+        order = order[np.append(True, np.diff(keys[order]) != 0)]
+        at = np.searchsorted(self.keys, keys[order])
+        if len(self.keys):  # a word whose key another word has is learned anew each time
+            free = self.keys[np.minimum(at, len(self.keys) - 1)] != keys[order]
+            order, at = order[free], at[free]
+        for name, new in (("keys", keys), ("checks", checks), ("starts", starts), ("widths", widths)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+
+
+_TABLES = np.random.default_rng(77).integers(1, 1 << 63, (2, MAX_WORD_BYTES), "u8") | np.uint64(1)
+
+
 class WordEncoder:
     """Encodes with a tokenizers file, exactly as encode(text, add_special_tokens=False) would.
 
     A byte-level splitter never lets a token cross from a non-space into the space that follows, so a text falls apart at
     every single space between words, and each word with its space is encoded once and remembered. New words are encoded
     many at a time, one after the other in one string, where each word's first token begins with its space. Texts where a
-    space follows white space are encoded whole.
+    space follows white space, or a word is very long, are encoded whole.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[k for token, k in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        from tokenizers import pre_tokenizers
-
-        by_space = pre_tokenizers.Split(" ", "merged_with_next")
         self.splitter = self.tokenizer.pre_tokenizer
+        by_space = pre_tokenizers.Split(" ", "merged_with_next")
         self.letters = pre_tokenizers.Sequence([by_space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words = WordTable()
 
     def _ids(self, texts: list[str], splitter=None) -> list[np.ndarray]:
         self.tokenizer.pre_tokenizer = splitter or self.splitter
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Words are letters with or without a tail that starts with a mark, where a token always ends; a tail is learned
-        once for all words. Letters are one token of the splitter, so `self.letters` need not look for others in them."""
-        words, tails, tailed, others = self.words, self.tails, [], []
-        bare = [word for word in new if word[:1] == _NO_SPACE]
-        words.update(zip(bare, (x.tobytes() for x in self._ids([word[1:] for word in bare]))))
-        alphabetic = []
-        for word in new:
-            if word[:1] == _NO_SPACE:
-                continue
-            if word.isalpha():
-                alphabetic.append(word)
-            elif (found := _HEAD_AND_TAIL(word)) and found[1].isalpha():
-                tailed.append((word, found[1], found[2]))
-            else:
-                others.append(word)
-        alphabetic += {head for _, head, _ in tailed}.difference(words, alphabetic)
-        groups = [alphabetic[k : k + 128] for k in range(0, len(alphabetic), 128)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups], self.letters)):
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(group):
-                data, at = ids.tobytes(), [*(at * 4).tolist(), ids.nbytes]
-                words.update(zip(group, [data[a:b] for a, b in zip(at, at[1:])]))
-            else:
-                words.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
-        unknown = list({tail for _, _, tail in tailed}.difference(tails))
-        tails.update(zip(unknown, (x.tobytes() for x in self._ids(unknown))))
-        words.update([(word, words[head] + tails[tail]) for word, head, tail in tailed])
-        words.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it, or without for those marked so. Words of letters alone are one token
+        of the splitter, so `self.letters` need not look for others in them."""
+        out: list[bytes] = [b""] * len(new)
+        plain = [k for k, word in enumerate(new) if word.isalpha()]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            groups = [part[k : k + 128] for k in range(0, len(part), 128)]
+            for group, ids in zip(groups, self._ids([" " + " ".join([new[k] for k in g]) for g in groups], self.letters)):
+                opens = np.flatnonzero(self.opens[ids])
+                if len(opens) == len(group):
+                    data, edges = ids.tobytes(), [*(opens * 4).tolist(), ids.nbytes]
+                    for k, a, b in zip(group, edges, edges[1:]):
+                        out[k] = data[a:b]
+                else:
+                    for k, own in zip(group, self._ids([" " + new[k] for k in group])):
+                        out[k] = own.tobytes()
+        rest = [k for k, word in enumerate(new) if not word.isalpha()]
+        for k, ids in zip(rest, self._ids([new[k][1:] if new[k][:1] == _NO_SPACE else " " + new[k] for k in rest])):
+            out[k] = ids.tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each.
 
-        Words are told apart and numbered by Arrow; only a chunk's distinct words are looked up here, and the ids of all
-        its words gathered at once. A text's first word, which has no space before it, is a word of its own.
+        Words are hashed all at once; only a chunk's distinct words that the table doesn't hold are looked at here, and the
+        ids of all words are gathered at once. A text's first word, which has no space before it, is a word of its own.
         """
-        if len(self.words) > MAX_WORDS:
-            self.words, self.old, self.tails = {}, self.words, {}
-        alone = [text[:1] == " " or _NO_SPACE in text or _SPACE_AFTER_SPACE(text) is not None for text in texts]
+        if len(self.words.keys) > MAX_WORDS:
+            self.words = WordTable()
+        table = self.words
+        alone = [text[:1] == " " or _NO_SPACE in text or _BETWEEN in text or _SPACE_AFTER_SPACE(text) is not None for text in texts]
         apart = ["" if x else _tails_apart(text) for x, text in zip(alone, texts)]
-        lists = pc.split_pattern(pa.array(apart, pa.string()), " ")
-        coded, opens = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
-        index[opens] = np.arange(len(distinct), len(distinct) + len(texts))
-        del lists, coded
-        new = [w for w in distinct if w not in self.words]
-        kept = [(w, ids) for w in new if (ids := self.old.get(w)) is not None]
-        self.words.update(kept)
-        self._learn([w for w in new if w not in self.words] if kept else new)
-        known = list(map(self.words.__getitem__, distinct))
-        known += [x.tobytes() for x in self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])]
-        widths = np.fromiter(map(len, known), "i4", len(known)) >> 2
-        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(widths, dtype="i4") - widths
-        starts, widths = starts[index], widths[index]
-        made = np.cumsum(widths, dtype="i4")
-        places = np.repeat(starts - made + widths, widths)
+        for k in [k for k, text in enumerate(apart) if len(text) > MAX_WORD_BYTES // 4 and max(map(len, text.split(" "))) > MAX_WORD_BYTES // 4]:
+            alone[k], apart[k] = True, ""
+        blob = _BETWEEN.join([*apart, ""]).encode()  # each word is followed by a space or by _BETWEEN
+        raw = np.frombuffer(blob, "u1")
+        ends = np.flatnonzero((raw == 32) | (raw == ord(_BETWEEN)))
+        starts = np.append(0, ends[:-1] + 1)
+        place = np.arange(len(raw), dtype="i4") - np.repeat(starts.astype("i4"), ends + 1 - starts)
+        value = raw.astype("u8") + np.uint64(1)
+        value[ends] = 0
+        keys = np.add.reduceat(value * _TABLES[0][place], starts)
+        keys ^= keys >> np.uint64(29)
+        checks = (np.add.reduceat(value * _TABLES[1][place], starts) >> np.uint64(32)).astype("u4")
+        del place, value
+        opens = np.append(0, np.flatnonzero(raw[ends] == ord(_BETWEEN))[:-1] + 1)  # first words of texts
+
+        coded = pa.array(keys.view("i8")).dictionary_encode()
+        index = coded.indices.to_numpy().copy()
+        seen = np.empty(len(coded.dictionary), "i8")
+        seen[index[::-1]] = np.arange(len(index))[::-1]
+        hit, at, width = table.find(keys[seen], checks[seen])
+        at, width = at.copy(), width.copy()
+        lost = np.flatnonzero(~hit)
+        learned = self._learn([blob[a:b].decode() for a, b in zip(starts[seen[lost]].tolist(), ends[seen[lost]].tolist())])
+        sizes = np.fromiter(map(len, learned), "i4", len(learned)) >> 2
+        width[lost], at[lost] = sizes, table.add(b"".join(learned)) + np.cumsum(sizes, dtype="i4") - sizes
+        table.insert(keys[seen[lost]], checks[seen[lost]], at[lost], sizes)
+
+        firsts = self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])
+        own = np.fromiter(map(len, firsts), "i4", len(firsts))
+        index[opens] = len(seen) + np.arange(len(texts))
+        ids = np.concatenate([table.pool[: table.used], *firsts])
+        at, width = np.append(at, table.used + np.cumsum(own, dtype="i4") - own), np.append(width, own)
+        at, width = at[index], width[index]
+        made = np.cumsum(width, dtype="i4")
+        places = np.repeat(at - made + width, width)
         places += np.arange(len(places), dtype="i4")
-        return ids[places], np.add.reduceat(widths, opens) if len(opens) else widths
+        return ids[places], np.add.reduceat(width, opens)
 
 
 def _encoder(path: str) -> WordEncoder:
