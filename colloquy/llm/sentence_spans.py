@@ -7,8 +7,6 @@ many documents share stay. Runs are compared by 96-bit hashes of their words, ca
 first, by doc_id and place, stays; pieces that any other one covers go.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

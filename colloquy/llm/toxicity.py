@@ -112,10 +112,11 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
         return Lexicon()
     seen: tuple[Counter, Counter] = Counter(), Counter()
     starts: tuple[Counter, Counter] = Counter(), Counter()
-    for text, y in folded:
-        words = set(WORD.findall(text))
-        seen[y].update(words)
-        starts[y].update({w[:k] for w in words for k in PREFIXES if len(w) > k})
+    for y in (1, 0):  # of clean documents only what toxic ones hold too
+        for words in (set(WORD.findall(text)) for text, own in folded if own == y):
+            beginnings = {w[:k] for w in words for k in PREFIXES if len(w) > k}
+            seen[y].update(words if y else words & seen[1].keys())
+            starts[y].update(beginnings if y else beginnings & starts[1].keys())
     entries: dict[str, float] = {}
 
     def weight(toxic: int, clean: int) -> float:
