@@ -316,6 +316,14 @@ def session_upsert_idempotent(spark, sf_dir):
     return replace_sessions(replace_sessions(rows, some, some.select("session_id").distinct()), some, some.select("session_id").distinct()).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
+def parent_links(spark, sf_dir):
+    """Each conversation's parent is the one 50 before it, if there is such."""
+    from ..operators.upsert import resolve_parents
+
+    rows = derived.turns(spark, sf_dir).select("session_id").distinct().withColumn("parent_session_id", F.col("session_id") - 50)
+    return resolve_parents(rows).select("session_id", "parent_session_id")
+
+
 _S = f"WITH {SESSIONS} "
 _UUID = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr({h}, 17, 1) AS INTEGER) % 4) + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 _ROLLUP_SQL = f"""{_S} SELECT dd AS date, source, project_slug AS project, count(DISTINCT session_id) AS session_count, CAST(sum(message_count) AS BIGINT) AS message_count, CAST(sum(tool_call_count) AS BIGINT) AS tool_call_count,
@@ -369,6 +377,7 @@ QUERIES = {
     "asof_last_assistant": (asof_last_assistant, "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'"),
     "cumulative_max": (cumulative_max, f"WITH {EVENTS} SELECT session_id, CAST(max(floor(value)) AS BIGINT) AS most FROM e GROUP BY 1"),
     "patch_replay": (patch_replay, "SELECT user_id, event_type, arg_max(props, event_id) AS props, count(*) AS patches FROM events GROUP BY 1, 2"),
+    "parent_links": (parent_links, "WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT a.conv_id AS session_id, b.conv_id AS parent_session_id FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id - 50"),
     **ROUND_TRIPS,
     "session_upsert_idempotent": (session_upsert_idempotent, "SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY 1"),
 }

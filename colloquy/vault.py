@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .errors import EmbedderError, NotFound, UsageError
 from .operators import embedding, export, fulltext, report, vectors
 from .operators.periods import Recency, parse_day, period, utc_now
-from .operators.upsert import replace_sessions
+from .operators.upsert import replace_sessions, resolve_parents
 from .parsers import shaped
 from .schemas import TABLES
 from .sources.ingest import read_sessions, summary
@@ -117,6 +117,10 @@ class Vault:
         found = fulltext.search(fulltext.token_table(rows), pattern, limit, ("session_id", "source_seq"), where=None if project is None else F.col("project_slug") == project)
         return [r.asDict() for r in found.select("session_id", "role", "snippet", "rank").collect()]
 
+    def sessions(self) -> DataFrame:
+        """All sessions, with parents that the vault holds."""
+        return resolve_parents(self.table("sessions"))
+
     def export(self, session_id: str) -> str:
         return export.export_markdown(self.table("sessions"), self.table("messages"), self.table("tool_calls"), session_id)
 
