@@ -189,3 +189,27 @@ def test_spans_of_odd_rows(spark, documents, empty, rng):
     assert found[7].text == long and found[8].text == " ".join(f"{long} and more".split()[80:])  # the last piece differs
     assert found[8].removed[0].start == 0 and found[5].others == 1
     assert sentence_spans.remove_repeats(empty).count() == 0
+
+
+def test_passages_at_any_offset_go_to_their_true_ends(spark, documents, rng):
+    rows, want = [], {}
+    for k in range(30):
+        n = 49 + k
+        passage = words(rng, n) if k % 2 else " ".join(f"{w}." if p % 11 == 7 else w for p, w in enumerate(words(rng, n).split()))
+        before, after = words(rng, 60 + rng.randrange(16)), words(rng, 40)
+        rows += [(k, f"{words(rng, 20)} {passage} {words(rng, 30)}"), (100 + k, f"{before} {passage} {after}")]
+        want[100 + k] = before, passage, after
+    found = {r.doc_id: r.text for r in sentence_spans.remove_repeats(documents(rows)).collect()}
+    assert all(found[key] == text for key, text in rows if key < 100)
+    for key, (before, passage, after) in want.items():
+        left = found[key].removeprefix(f"{before} ").removesuffix(after).split()
+        assert found[key].startswith(before) and found[key].endswith(after)
+        assert len(left) < sentence_spans.PIECE_WORDS and passage.split()[len(passage.split()) - len(left) :] == left
+        assert not left or len(before.split()) % sentence_spans.PIECE_WORDS == 4  # pieces of both copies have the same edges
+    assert sum(found[key] == f"{b} {a}" for key, (b, _, a) in want.items()) >= 27
+
+
+def test_a_passage_twice_in_one_text_goes_once(spark, documents, rng):
+    passage, gap, end = words(rng, 80), words(rng, 13), words(rng, 9)
+    found = sentence_spans.remove_repeats(documents([(1, f"{passage} {gap} {passage} {end}")])).collect()[0]
+    assert found.text == f"{passage} {gap} {end}"
