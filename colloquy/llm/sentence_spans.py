@@ -35,6 +35,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
 
 
+_WIDE_MARKS = ((0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+_IDEOGRAPHS = ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _within(code: np.ndarray, ranges: tuple) -> np.ndarray:
+    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
+
+
 class Pieces:
     """The pieces of one text: places of their first words, hashes of the runs that start and end at them, and the anchors.
 
@@ -42,12 +50,19 @@ class Pieces:
 
     def __init__(self, text: str):
         code = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-        if len(code) != len(text):  # a letter whose lower case is longer
-            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if len(code) != len(text):  # a letter whose lower case is longer; its first code point stands for it
+            text = "".join(c if len(c.lower()) == 1 else c.lower()[0] for c in text)
+            code = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
         space = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0xA0) | (code == 0x3000)
         word = ((code >= 97) & (code <= 122)) | ((code >= 48) & (code <= 57)) | ((code >= 65) & (code <= 90)) | (code >= 0xC0)
         word &= ~space & ~((code >= 0x2000) & (code < 0x2070)) & ~((code >= 0x3000) & (code < 0x3040))
-        first = np.flatnonzero(word & ~np.append(False, word[:-1]))
+        goes_on = np.append(False, word[:-1])
+        wide = len(code) and code.max() >= 0x3000
+        if wide:  # full-width marks part words, and a Chinese or Japanese character is a word
+            word &= ~_within(code, _WIDE_MARKS)
+            alone = _within(code, _IDEOGRAPHS)
+            goes_on = np.append(False, (word & ~alone)[:-1]) & ~alone
+        first = np.flatnonzero(word & ~goes_on)
         self.words, self.bounds, self.tags = first, np.zeros(1, "i8"), np.zeros(0, "<u4")
         self.opens = np.zeros(0, "i8")  # first words of sentences
         self.runs, self.anchors = np.zeros((0, 2), "i8"), np.zeros(0, "i8")
@@ -60,7 +75,10 @@ class Pieces:
         hashed = _mix(np.add.reduceat(values, np.flatnonzero(np.append(True, index[1:] != index[:-1]))))
 
         stop = (code == 46) | (code == 33) | (code == 63) | (code == 0x3002) | (code == 0x2026)
-        ends = np.flatnonzero((stop & np.append(space[1:], True)) | (code == 10))
+        stop &= np.append(space[1:], True)
+        if wide:
+            stop |= (code == 0x3002) | (code == 0xFF01) | (code == 0xFF1F)
+        ends = np.flatnonzero(stop | (code == 10))
         sentence = np.searchsorted(ends, first)  # of each word
         self.opens = opens = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
         place = np.arange(len(first)) - opens[np.cumsum(np.append(0, sentence[1:] != sentence[:-1]))]
@@ -278,11 +296,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def clean(batches):
         for batch in batches:
-            texts, removed = [], []
-            for text, found in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
+            texts, removed, at = [], [], 0
+            found = batch.column(len(names))
+            h1, h2, before, after = found.flatten().flatten()
+            found_all = list(zip(h1.to_numpy().tolist(), h2.to_numpy().tolist(), before.to_pylist(), after.to_pylist()))
+            for text, n in zip(batch.column(text_at).to_pylist(), found.value_lengths().to_pylist()):
                 others = {}
-                for x in found or ():
-                    others.setdefault((x["h1"], x["h2"]), []).append((x["before"], x["after"]))
+                for a, b, *context in found_all[at : at + (n or 0)]:
+                    others.setdefault((a, b), []).append(context)
+                at += n or 0
                 new, spans = kept_text(text, others) if text else (text, [])
                 texts.append(new)
                 removed.append([{"start": a, "end": b} for a, b in spans])

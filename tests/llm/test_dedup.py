@@ -213,3 +213,13 @@ def test_a_passage_twice_in_one_text_goes_once(spark, documents, rng):
     passage, gap, end = words(rng, 80), words(rng, 13), words(rng, 9)
     found = sentence_spans.remove_repeats(documents([(1, f"{passage} {gap} {passage} {end}")])).collect()[0]
     assert found.text == f"{passage} {gap} {end}"
+
+
+def test_spans_of_texts_with_long_lower_case_and_without_spaces(spark, documents, rng):
+    passage, start = sentences(rng, 6), sentences(rng, 3)
+    signs = "".join(chr(c) for c in range(0x4E00, 0x4F00))
+    wide = ["".join("".join(rng.choices(signs, k=9)) + mark for mark in "。！？。") for _ in range(4)]
+    inner = "".join(rng.choices(signs, k=60))
+    rows = [(1, passage), (2, f"{start} İzmir. {passage}"), (3, wide[0] + wide[1]), (4, wide[2] + wide[1]), (5, inner), (6, f"{wide[3][:7]}{inner}{wide[3][8:]}")]
+    found = {r.doc_id: r.text for r in sentence_spans.remove_repeats(documents(rows)).collect()}
+    assert found == {1: passage, 2: f"{start} İzmir. ", 3: wide[0] + wide[1], 4: wide[2], 5: inner, 6: wide[3][:7] + wide[3][8:]}
