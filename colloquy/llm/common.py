@@ -1,34 +1,96 @@
 """What several operators share: the folder all executors see, cutting lineage, per-process caches, bounded label samples."""
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most labelled rows that a classifier is fitted on. The rows with the smallest hash of their id are taken.
 MAX_LABELLED = 12_000
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where none is set (local tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a session whose executors are threads of the driver gets
+    a temporary folder that goes with the process; any other is refused, as its executors would not see such a folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "folder" not in _local:
+        _local["folder"] = tempfile.mkdtemp(prefix="colloquy-")
+        atexit.register(shutil.rmtree, _local["folder"], ignore_errors=True)
+    return _local["folder"]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables that live while a block runs: `cut` as above, but all of them are removed when the block is left without an
+    error. What outlives the block must be cut by the function above. `drop` removes one before that."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.options(**options).parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        remove(self.spark, *(self.paths.pop(id(t))[1] for t in tables))
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            remove(self.spark, *(path for _, path in self.paths.values()))
+
+
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what runs within the block, where single rows are megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, also those with dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process; functions sent by value find it again in later tasks."""
     return sys.modules.setdefault("_colloquy_cache", types.ModuleType("_colloquy_cache")).__dict__
@@ -44,10 +106,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = MAX_LABELLED) -> DataFrame:
-    """Texts and labels of at most `limit` labelled documents for which `usable` (a condition on doc_id) holds.
+    """Texts and labels (doc_id, text, y) of at most `limit` labelled documents for which `usable` (a condition on doc_id) holds.
 
     The ids with the smallest hash are taken, so the sample is the same in every run. The id side is bounded by
-    `limit` and therefore broadcast. Null ids or labels are never used; a document labelled twice counts once.
+    `limit` and therefore broadcast. Null ids or labels are never used; a document labelled twice counts once, with the
+    higher label. Rows that repeat an id and its text count once. Empty labels or documents give an empty sample.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -57,4 +120,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
