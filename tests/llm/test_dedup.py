@@ -119,6 +119,46 @@ def test_embedding_links_match_brute_force(spark):
     assert all(r.component_id == want.get(k, k) and r.kept == (r.component_id == k) for k, r in found.items())
 
 
+def brute_links(rows):
+    """n_links and component_id of each (vec_id, vector) from all pairs."""
+    ids, x = [k for k, _ in rows], np.array([v for _, v in rows], "f8")
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    classes = components([(ids[p], ids[q]) for p, q in zip(a, b) if p != q])
+    return {k: (d - 1, classes.get(k, k)) for k, d in zip(ids, np.bincount(a, minlength=len(ids)).tolist())}
+
+
+def test_vectors_of_extreme_size_keep_their_angles(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 0.99e200]), (3, [1e-200, 1e-200]), (4, [1e-200, -1e-200]), (5, [5e-324, 5e-324]), (6, [1.7e308, -1.7e308]), (7, [1.0, 0.0]), (8, [-1e-300, 1e300])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_embeddings(data).collect()}
+    assert found == brute_links(rows)
+    assert found[1] == (3, 1) and found[4] == (1, 4) and found[7] == (0, 7)
+
+
+def test_links_are_symmetric_over_blocks_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 12))
+    x = np.concatenate([centres[k % 40 if k % 3 else 0] + rng.normal(scale=0.14, size=12) for k in range(1500)]).reshape(-1, 12).astype("f4")
+    monkeypatch.setattr(hnsw, "BLOCK", 128)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_links([(k, v.astype("f8")) for k, v in enumerate(x)])
+    for shards in (1, 5):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_embeddings(data, shards=shards).collect()}
+        assert found == want
+
+
+def test_a_beam_widens_where_planted_queries_are_lost():
+    rng = np.random.default_rng(3)
+    graph_ = hnsw.Graph(rng.normal(size=(3000, 48)))
+    for layer in graph_.layers:
+        layer[:, 2:] = -1  # a graph with too few ways
+    graph_.audit(0.6)
+    assert graph_.beam > hnsw.BEAM
+
+
 def test_recall_of_the_graph_itself():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24))
