@@ -13,7 +13,7 @@ word sums over hash ranges, so no task ever sees more than one range of one sour
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut, named
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -29,10 +29,10 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(seed: str = SEED, key: str = "doc_id") -> Column:
-    """A hash of the row's id in [0, 2**48), the same in every run; null ids all draw the same number."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
-    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+def draw(seed: str = SEED, key: str = "doc_id", text: str = "text") -> Column:
+    """A hash of the row's id and text in [0, 2**48), the same in every run. Rows without an id draw by their texts."""
+    parts = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -60,14 +60,15 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
     times, and once more if its draw is at most `below` (null: never)."""
     targets = water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = cut(targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    tables = Scratch(sized.sparkSession)
+    targets = tables.cut(targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
 
     coarse = F.shiftright("draw", HASH_BITS - RANGE_BITS)
     ranges = sized.groupBy("source", coarse.alias("span")).agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("words").over(running), F.lit(0)))
     at = ranges.join(targets.select(F.col("source").alias("s"), "need"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("ahead") < F.col("need")) & (F.col("ahead") + F.col("words") >= F.col("need")))
-    at = cut(at.select("source", "span", "ahead", "need"), "mix-ranges")  # one range a source
+    at = tables.cut(at.select("source", "span", "ahead", "need"), "mix-ranges")  # one range a source
 
     edge = sized.withColumn("span", coarse).alias("d").join(at.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.span") == F.col("r.span")))
     edge = edge.groupBy(F.col("r.source").alias("source"), "ahead", "need", "draw").agg(F.sum("size").alias("words"))
@@ -78,28 +79,31 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
     limit = at.select("source", first_draw.alias("floor")).alias("a").join(taken.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source")), "left")
     limit = limit.select(F.col("a.source").alias("at_source"), F.coalesce("last", "floor").alias("below"))
     plan = targets.join(limit, F.col("source").eqNullSafe(F.col("at_source")), "left")
-    return cut(plan.select("source", "source_size", "weight", "target", "whole", "below"), "mix-plan")
+    with tables:
+        return cut(plan.select("source", "source_size", "weight", "target", "whole", "below"), "mix-plan")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """docs with size, source_size, target, repeats and taken (= size * repeats) added, which replace columns so named.
+    """docs with size, source_size, target, repeats and taken (= size * repeats) added, which replace columns so named; all
+    other columns stay, whatever their names.
 
-    Null texts have size 0 and are kept with the repeats of their draw. Rows with the same doc_id share a draw and so are
-    taken together; a null doc_id is a draw of its own. An empty table gives an empty table.
+    Null texts have size 0 and are kept with the repeats of their draw. Rows with the same doc_id and text share a draw and
+    so are taken together; rows that differ in either draw for themselves, also those without an id. A null source is a
+    source. An empty table gives an empty table.
     """
-    docs = docs.drop("size", "source_size", "target", "repeats", "taken", "draw")
-    sized = cut(docs.select("source", n_words().alias("size"), draw(seed).alias("draw")), "mix-sizes")
-    plan = mixing_plan(sized, **options)
-    return apply_plan(docs.withColumn("size", n_words()).withColumn("draw", draw(seed)), plan)
-
-
-def apply_plan(sized_docs: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "below")
-    both = sized_docs.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    repeats = F.col("whole") + F.coalesce(F.col("draw") <= F.col("below"), F.lit(False)).cast("long")
-    return both.withColumn("repeats", repeats).withColumn("taken", F.col("size") * F.col("repeats")).drop("plan_source", "whole", "below", "draw")
+    rest = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "repeats", "taken")]
+    rows = docs.select(*named(rest), n_words().alias("_mix_size"), draw(seed).alias("_mix_draw"))
+    with Scratch(docs.sparkSession) as tables:
+        sized = tables.cut(rows.select("source", F.col("_mix_size").alias("size"), F.col("_mix_draw").alias("draw")), "mix-sizes")
+        plan = mixing_plan(sized, **options)
+    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "whole", "below")])
+    repeats = F.col("_mix_whole") + F.coalesce(F.col("_mix_draw") <= F.col("_mix_below"), F.lit(False)).cast("long")
+    both = rows.join(plan, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_repeats", repeats)
+    own = {"size": "_mix_size", "source_size": "_mix_source_size", "target": "_mix_target", "repeats": "_mix_repeats"}
+    return both.select(*named(rest), *[F.col(c).alias(name) for name, c in own.items()], (F.col("_mix_size") * F.col("_mix_repeats")).alias("taken"))
 
 
 def repeat_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for every repeat of a document."""
-    return mixed.where("repeats > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))).select(*columns)
+    """The columns of each document, one row for every repeat."""
+    again = F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int"))).alias("_mix_again")
+    return mixed.where("repeats > 0").select(*named(columns), again).select(*named(columns))

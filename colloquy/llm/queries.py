@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hnsw, language_id, media, minhash, mixing, piece_codec, quality, sentence_spans, token_columns, toxicity
-from .common import id_crc, labelled_sample, table
+from .common import id_crc, labelled_sample, new_path, short, table
 
 
 def _tokenizer(name: str) -> str:
@@ -19,7 +19,10 @@ def _held_out(parts: int, rest: int):
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, usable) -> toxicity.Lexicon:
-    rows = labelled_sample(docs, labels, "toxic", usable).select("text", "y").collect()
+    """The lexicon of the labelled documents that are usable (a condition on doc_id): at most MAX_LABELLED of them, of at most
+    MAX_LEARNED_CHARS characters each, come to the driver. Null texts are empty ones, repeated rows count once; without
+    labels of both kinds the lexicon is empty."""
+    rows = labelled_sample(docs, labels, "toxic", usable).where(short()).select("text", "y").collect()
     return toxicity.learn_lexicon([(r.text, r.y) for r in rows])
 
 
@@ -35,7 +38,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_crc("doc_id") % 4 != 2)
     picked = docs.select("doc_id", "lang").where(usable).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(language_id.MAX_LEARNED)
     picked = F.broadcast(picked.groupBy("doc_id").agg(F.min("lang").alias("known")))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "known").collect()
+    rows = docs.select("doc_id", "text").where(short()).join(picked, "doc_id").select("text", "known").distinct().collect()
     model = language_id.learn_languages(sorted((r.text or "", r.known) for r in rows))
     found = language_id.predict_languages(docs, model)
     return found.select("doc_id", _held_out(4, 2), "lang_pred", F.col("lang_score").alias("score"))
@@ -55,11 +58,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
+    stored = media.store_text_media(table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return stored.select(*columns, F.sha2("tile", 256).alias("tile_sha256"))
 
 
 def op7_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_columns.new_path(spark, "tokens")
+    path = new_path(spark, "tokens")
     token_columns.write_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path)
     return token_columns.token_offsets(spark, path)
 
@@ -70,7 +75,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", id_crc("doc_id") % 5 != 0)
     rows = sorted(tuple(r) for r in quality.text_statistics(sample, ("y",)).collect())
-    rules = quality.learn_rules(np.array([r[1:] for r in rows], "f8").reshape(len(rows), -1), np.array([r[0] for r in rows], "f8"))
+    rules = quality.learn_rules(np.array([r[1:] for r in rows], "f8").reshape(len(rows), len(quality.STATISTICS)), np.array([r[0] for r in rows], "f8"))
     scored = quality.text_statistics(docs).withColumn("score", rules.column())
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -87,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS draw
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS draw
   FROM documents),
 sources AS (
   SELECT source, source_size, CAST(list_value(3, 1, 2)[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
