@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows that a classifier is fitted on. The rows with the smallest hash of their id are taken.
 MAX_LABELLED = 12_000
+#: Longer texts are not collected to learn from, so a sample's bytes are bounded as its rows are. They are scored like others.
+MAX_LEARNED_CHARS = 20_000
 _local: dict[str, str] = {}
 
 
@@ -91,6 +93,18 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def in_chunks(texts: list[str], chars: int):
+    """Slices of texts of about so many characters; a longer text stands alone."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield slice(at, k)
+            at, size = k, 0
+        size += len(text)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process; functions sent by value find it again in later tasks."""
     return sys.modules.setdefault("_colloquy_cache", types.ModuleType("_colloquy_cache")).__dict__
@@ -105,6 +119,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short(text: str = "text") -> Column:
+    return F.coalesce(F.length(text), F.lit(0)) <= MAX_LEARNED_CHARS
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = MAX_LABELLED) -> DataFrame:
     """Texts and labels (doc_id, text, y) of at most `limit` labelled documents for which `usable` (a condition on doc_id) holds.
 

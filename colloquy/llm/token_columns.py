@@ -6,7 +6,6 @@ make them selective: a reader that wants a few documents or only the metadata fe
 """
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import process_cache, shared_dir
+from .common import in_chunks, process_cache
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -23,7 +22,7 @@ PAGE_ROWS = 2_000
 #: Most words whose ids a process remembers before it starts anew, and most characters in one call of the encoder.
 MAX_WORDS = 1_500_000
 MAX_WORD_BYTES = 4096
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_200_000
 BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 _NO_SPACE = "\x01"
 _BETWEEN = "\x02"
@@ -39,13 +38,25 @@ def _tails_apart(text: str) -> str:
     return text.replace(",", _MARK + ",").replace(".", _MARK + ".")
 
 
+def _equal_words(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each sizes[k] bytes of a from at[k] equal those of b from bt[k]."""
+    out, some = np.ones(len(sizes), bool), np.flatnonzero(sizes)
+    if len(some):
+        n = sizes[some]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[some] = np.logical_and.reduceat(a[np.repeat(at[some], n) + inside] == b[np.repeat(bt[some], n) + inside], first)
+    return out
+
+
 class WordTable:
-    """Ids of words by two hashes of the words (64 and 32 bits), in arrays sorted by the first."""
+    """Ids of words, found by a hash of the word in a sorted array and told apart by the word's own bytes."""
 
     def __init__(self):
-        self.keys, self.checks = np.zeros(0, "u8"), np.zeros(0, "u4")
-        self.starts, self.widths = np.zeros(0, "i4"), np.zeros(0, "i4")
+        self.keys = np.zeros(0, "u8")
+        self.starts, self.widths, self.places, self.sizes = (np.zeros(0, "i4") for _ in range(4))
         self.pool, self.used = np.zeros(1 << 16, "u4"), 0
+        self.letters, self.written = np.zeros(1 << 16, "u1"), 0
 
     def add(self, data: bytes) -> int:
         """Ids at the end of the pool; returns where."""
@@ -56,27 +67,35 @@ class WordTable:
         self.used += len(ids)
         return at
 
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each word is known, and its place and number of ids."""
+    def find(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word (sizes bytes of raw from starts) is known, and its place and number of ids."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), "i4"), np.zeros(len(keys), "i4")
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return (self.keys[at] == keys) & (self.checks[at] == checks), self.starts[at], self.widths[at]
+        hit = (self.keys[at] == keys) & (self.sizes[at] == sizes)
+        some = np.flatnonzero(hit)
+        hit[some] = _equal_words(raw, starts[some], self.letters, self.places[at[some]], sizes[some])
+        return hit, self.starts[at], self.widths[at]
 
-    def insert(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> None:
+    def insert(self, keys: np.ndarray, starts: np.ndarray, widths: np.ndarray, words: list[bytes]) -> None:
         if not len(keys):
             return
+        data, sizes = b"".join(words), np.fromiter(map(len, words), "i4", len(words))
+        if self.written + len(data) > len(self.letters):
+            self.letters = np.concatenate([self.letters[: self.written], np.zeros(max(len(self.letters), len(data)), "u1")])
+        self.letters[self.written : self.written + len(data)] = np.frombuffer(data, "u1")
+        places = self.written + np.cumsum(sizes, dtype="i4") - sizes
+        self.written += len(data)
         order = np.argsort(keys)
-        order = order[np.append(True, np.diff(keys[order]) != 0)]
         at = np.searchsorted(self.keys, keys[order])
         if len(self.keys):  # a word whose key another word has is learned anew each time
             free = self.keys[np.minimum(at, len(self.keys) - 1)] != keys[order]
             order, at = order[free], at[free]
-        for name, new in (("keys", keys), ("checks", checks), ("starts", starts), ("widths", widths)):
+        for name, new in (("keys", keys), ("starts", starts), ("widths", widths), ("places", places), ("sizes", sizes)):
             setattr(self, name, np.insert(getattr(self, name), at, new[order]))
 
 
-_TABLES = np.random.default_rng(77).integers(1, 1 << 63, (2, MAX_WORD_BYTES), "u8") | np.uint64(1)
+_FACTORS = np.random.default_rng(77).integers(1, 1 << 63, MAX_WORD_BYTES, "u8") | np.uint64(1)
 
 
 class WordEncoder:
@@ -129,16 +148,17 @@ class WordEncoder:
             out[k] = ids.tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and the number of ids of each.
+    def encode(self, texts: list[str], whole: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each. Those numbered in `whole` aren't split.
 
         Words are hashed all at once; only a chunk's distinct words that the table doesn't hold are looked at here, and the
         ids of all words are gathered at once. A text's first word, which has no space before it, is a word of its own.
+        Words of one hash are compared byte by byte; where they differ, their texts are encoded whole.
         """
         if len(self.words.keys) > MAX_WORDS:
             self.words = WordTable()
         table = self.words
-        alone = [text[:1] == " " or _NO_SPACE in text or _BETWEEN in text or _SPACE_AFTER_SPACE(text) is not None for text in texts]
+        alone = [k in whole or text[:1] == " " or _NO_SPACE in text or _BETWEEN in text or _SPACE_AFTER_SPACE(text) is not None for k, text in enumerate(texts)]
         apart = ["" if x else _tails_apart(text) for x, text in zip(alone, texts)]
         for k in [k for k, text in enumerate(apart) if len(text) > MAX_WORD_BYTES // 4 and max(map(len, text.split(" "))) > MAX_WORD_BYTES // 4]:
             alone[k], apart[k] = True, ""
@@ -146,26 +166,34 @@ class WordEncoder:
         raw = np.frombuffer(blob, "u1")
         ends = np.flatnonzero((raw == 32) | (raw == ord(_BETWEEN)))
         starts = np.append(0, ends[:-1] + 1)
-        place = np.arange(len(raw), dtype="i4") - np.repeat(starts.astype("i4"), ends + 1 - starts)
+        sizes = (ends - starts).astype("i4")
+        place = np.arange(len(raw)) - np.repeat(starts, sizes + 1)
         value = raw.astype("u8") + np.uint64(1)
         value[ends] = 0
-        keys = np.add.reduceat(value * _TABLES[0][place], starts)
+        keys = np.add.reduceat(value * _FACTORS[place], starts)
         keys ^= keys >> np.uint64(29)
-        checks = (np.add.reduceat(value * _TABLES[1][place], starts) >> np.uint64(32)).astype("u4")
-        del place, value
+        del value
         opens = np.append(0, np.flatnonzero(raw[ends] == ord(_BETWEEN))[:-1] + 1)  # first words of texts
 
         coded = pa.array(keys.view("i8")).dictionary_encode()
         index = coded.indices.to_numpy().copy()
         seen = np.empty(len(coded.dictionary), "i8")
         seen[index[::-1]] = np.arange(len(index))[::-1]
-        hit, at, width = table.find(keys[seen], checks[seen])
+        place += np.repeat(starts[seen[index]], sizes + 1)
+        differ = raw != raw.take(place, mode="clip")
+        differ[ends] = False
+        del place
+        if (sizes != sizes[seen[index]]).any() or differ.any():
+            words = np.flatnonzero((sizes != sizes[seen[index]]) | np.logical_or.reduceat(differ, starts))
+            return self.encode(texts, whole | set((np.searchsorted(opens, words, side="right") - 1).tolist()))
+        hit, at, width = table.find(keys[seen], raw, starts[seen], sizes[seen])
         at, width = at.copy(), width.copy()
         lost = np.flatnonzero(~hit)
-        learned = self._learn([blob[a:b].decode() for a, b in zip(starts[seen[lost]].tolist(), ends[seen[lost]].tolist())])
-        sizes = np.fromiter(map(len, learned), "i4", len(learned)) >> 2
-        width[lost], at[lost] = sizes, table.add(b"".join(learned)) + np.cumsum(sizes, dtype="i4") - sizes
-        table.insert(keys[seen[lost]], checks[seen[lost]], at[lost], sizes)
+        new = [blob[a:b] for a, b in zip(starts[seen[lost]].tolist(), ends[seen[lost]].tolist())]
+        learned = self._learn([x.decode() for x in new])
+        made = np.fromiter(map(len, learned), "i4", len(learned)) >> 2
+        width[lost], at[lost] = made, table.add(b"".join(learned)) + np.cumsum(made, dtype="i4") - made
+        table.insert(keys[seen[lost]], at[lost], made, new)
 
         firsts = self._ids([text if x else split.partition(" ")[0] for x, text, split in zip(alone, texts, apart)])
         own = np.fromiter(map(len, firsts), "i4", len(firsts))
@@ -186,18 +214,6 @@ def _encoder(path: str) -> WordEncoder:
     return cache["words", path]
 
 
-def in_chunks(texts: list[str], chars: int):
-    """Slices of texts of about so many characters; a longer text stands alone."""
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > chars:
-            yield slice(at, k)
-            at, size = k, 0
-        size += len(text)
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> DataFrame:
     """doc_id and token_ids of each document; a null text is an empty one. end_id is appended where given."""
 
@@ -237,6 +253,12 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
     return rows if high is None else rows.where(F.col("doc_id") <= high)
 
 
+def _file_order() -> list:
+    """Files in the order written: by the numbers in their names, whatever their number of digits."""
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long").asc_nulls_first()
+    return [number(r"part-(\d+)"), number(r"-c(\d+)"), F.col("file").asc()]
+
+
 def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before it in all files), n_tokens and ids_crc32, all from the files. Files are numbered in the
     order written; a running sum over files (few rows) and one within each file give the starts."""
@@ -254,10 +276,6 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.mapInArrow(sums, "doc_id long, n_tokens long, ids_crc32 long, file string, at long")
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     files = read_tokens(spark, path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    files = files.select(F.col("file").alias("in_file"), F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    files = files.select(F.col("file").alias("in_file"), F.coalesce(F.sum("n").over(Window.orderBy(*_file_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     rows = rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return rows.join(files, F.col("file") == F.col("in_file")).select("doc_id", (F.col("start") + F.col("ahead")).cast("long").alias("start"), "n_tokens", "ids_crc32")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
