@@ -1,11 +1,13 @@
-"""Ranked full-text search: a token table, a query grammar and BM25.
+"""Ranked full-text search: tokens or an index of them, a query grammar and BM25.
 
-The token table holds a row for each text with its tokens in order. A pattern is parsed on the driver into a tree of
-phrases; whether a row matches, and how often each phrase occurs in it, are column expressions over its tokens, so a
-search is two passes without a shuffle: one counts rows, lengths and rows with each phrase, the other scores and keeps the
-best. A postings table, where there is one, narrows both passes to rows that hold a word the pattern needs.
+A pattern is parsed on the driver into a tree of phrases; whether a row matches, and how often each phrase occurs in it,
+are column expressions over the places at which the pattern's words stand in the row. Those come either from a token table
+(a row for each text with its tokens in order: two passes over all of it) or from an index (a row for each text and word
+with the word's places, sorted by word: only the pattern's words are read). One pass counts rows with each phrase, the
+other scores and keeps the best.
 """
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -20,6 +22,8 @@ from ..functions.porter import stem
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 NEAR_TOKENS = 10
+#: Up to this distance NEAR compares sets of places; beyond it, each place with each.
+WIDEST = 64
 COLUMNS = ("content", "role")
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
@@ -60,9 +64,12 @@ def token_table(texts: DataFrame, content: str = "content", stemmed: bool = True
     return rows.withColumn("tokens", stems("tokens"))
 
 
-def postings(table: DataFrame, key: str) -> DataFrame:
-    """term and key of each row that holds it."""
-    return table.select(key, F.explode(F.array_distinct("tokens")).alias("term"))
+def index(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """From a token table: term, the key columns, n_tokens, and the term's places in the row. To be written sorted by
+    term, so that a search reads only the files and pages of its words."""
+    size = F.size("tokens").alias("n_tokens")
+    words = table.select(*key, size, F.posexplode("tokens").alias("place", "term"))
+    return words.groupBy("term", *key, "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 # The grammar -----------------------------------------------------------------------------------------------------------
@@ -75,22 +82,22 @@ class Phrase:
     first: bool = False
     column: bool = True  # False: looked for in a column that isn't indexed
 
-    def starts(self) -> Column:
-        """Places where the phrase starts. The tokens are arguments of functions, never named within a lambda, where they
-        would be made anew for every element."""
+    def starts(self, places) -> Column:
+        """Places where the phrase starts, in order. places: a function from a word, and whether it is the beginning of
+        one, to the column of its places."""
         if not self.column or not self.words:
             return F.array().cast("array<int>")
-
-        def places(k: int, word: str) -> Column:
-            prefix = self.prefix and k == len(self.words) - 1
-            return F.array_compact(F.transform("tokens", lambda t, i: F.when(F.startswith(t, F.lit(word)) if prefix else t == word, i - k)))
-
-        found = places(0, self.words[0])
+        found = places(self.words[0], self.prefix and len(self.words) == 1)
         for k, word in enumerate(self.words[1:], 1):
-            found = F.array_intersect(found, places(k, word))
+            here = places(word, self.prefix and k == len(self.words) - 1)
+            found = F.array_intersect(found, F.transform(here, _shifted(k)))
         return F.filter(found, lambda i: i == 0) if self.first else found
 
 
+def _shifted(k: int):
+    return lambda i: i - k
+
+
 @dataclass
 class Near:
     phrases: list[Phrase]
@@ -266,12 +273,18 @@ def parse(pattern: str, stemmed: bool = True) -> object:
 
 
 class _Plan:
-    """Numbers the phrases of a tree and writes its match and counts as columns over `starts_k`."""
+    """Numbers the words and phrases of a tree and writes its match and counts as columns over `starts_k`, and those over
+    `places_k`."""
 
     def __init__(self, tree):
         self.phrases: list[Phrase] = []
         self.counts: list[Column] = []
+        self.words: dict[tuple[str, bool], str] = {}
         self.matches = self._of(tree)
+        self.starts = [p.starts(self._places).alias(f"starts_{k}") for k, p in enumerate(self.phrases)]
+
+    def _places(self, word: str, prefix: bool) -> Column:
+        return F.col(self.words.setdefault((word, prefix), f"places_{len(self.words)}"))
 
     def _phrase(self, phrase: Phrase) -> Column:
         self.phrases.append(phrase)
@@ -286,10 +299,12 @@ class _Plan:
             return F.size(starts) > 0
         if isinstance(node, Near):
             starts = [self._phrase(p) for p in node.phrases]
-            ends = F.array_distinct(F.flatten(F.array(*starts)))
             reach = [len(p.words) + node.within for p in node.phrases]
-            close = F.filter(ends, lambda m: _all([F.exists(s, _within(m, r)) for s, r in zip(starts, reach)]))
-            self.counts += [F.size(F.filter(s, _reached(close, r))) for s, r in zip(starts, reach)]
+            ends = F.array_distinct(F.flatten(F.array(*starts)))
+            close = ends
+            for s, r in zip(starts, reach):
+                close = F.array_intersect(close, _after(s, r)) if r <= WIDEST else F.filter(close, _within(s, r))
+            self.counts += [F.size(F.array_intersect(s, _before(close, r)) if r <= WIDEST else F.filter(s, _reached(close, r))) for s, r in zip(starts, reach)]
             return F.size(close) > 0
         if isinstance(node, Both):
             holds = _all([self._of(p) for p in node.parts])
@@ -306,20 +321,19 @@ class _Plan:
         self.counts[at:] = [F.when(holds, c).otherwise(F.lit(0)) for c in self.counts[at:]]
         return holds
 
-    def needed(self, node) -> list[str]:
-        """Words without which nothing matches."""
-        if isinstance(node, Phrase):
-            return [] if node.prefix or not node.column else node.words
-        if isinstance(node, Near):
-            return [w for p in node.phrases for w in self.needed(p)]
-        if isinstance(node, Both):
-            return [w for p in node.parts for w in self.needed(p)]
-        return self.needed(node.left) if isinstance(node, Without) else []
+
+def _after(starts: Column, reach: int) -> Column:
+    """All places up to so many after some start: sets are met by hashing, which takes time in proportion to their sizes."""
+    return F.flatten(F.transform(starts, lambda x: F.sequence(x, x + reach)))
+
+
+def _before(lasts: Column, reach: int) -> Column:
+    return F.flatten(F.transform(lasts, lambda m: F.sequence(m - reach, m)))
 
 
-def _within(last: Column, reach: int):
-    """Whether a start lies so near before the last start of a group."""
-    return lambda x: (x <= last) & (x >= last - reach)
+def _within(starts: Column, reach: int):
+    """Whether some start lies so near before the last start of a group."""
+    return lambda last: F.exists(starts, lambda x: (x <= last) & (x >= last - reach))
 
 
 def _reached(lasts: Column, reach: int):
@@ -340,19 +354,40 @@ def search(table: DataFrame, pattern: str, limit: int, order: tuple[str, ...], s
     Frequencies and lengths are counted over the whole table, `where` only narrows what is returned.
     """
     plan = _Plan(parse(pattern, stemmed))
-    length = F.size("tokens")
-    starts = [p.starts().alias(f"starts_{k}") for k, p in enumerate(plan.phrases)]
-    rows = table.select("*", length.alias("n_tokens"), *starts)
-    tally = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), *[F.count_if(F.size(f"starts_{k}") > 0).alias(f"rows_{k}") for k in range(len(starts))]).first()
-    import math
 
-    mean = tally["tokens"] / tally["n"] if tally["n"] else 0.0
+    def places(word: str, prefix: bool) -> Column:
+        # the tokens are arguments of functions, never named within a lambda, where they would be made anew for every element
+        return F.array_compact(F.transform("tokens", lambda t, i: F.when(F.startswith(t, F.lit(word)) if prefix else t == word, i)))
+
+    rows = table.select("*", F.size("tokens").alias("n_tokens"), *[places(*word).alias(name) for word, name in plan.words.items()])
+    total = [F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")]
+    return _best(rows, plan, None, total, limit, order, where, [c for c in table.columns if c != "tokens"])
+
+
+def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True) -> DataFrame:
+    """The same from an index of n texts with n_tokens tokens in all: its key columns and rank. Only rows of the pattern's
+    words are read; what stands in one text meets in one group. A pattern without words matches nothing."""
+    plan = _Plan(parse(pattern, stemmed))
+    key = [c for c in postings.columns if c not in ("term", "places")]
+    holds = lambda word, prefix: F.startswith(F.col("term"), F.lit(word)) if prefix else F.col("term") == word
+    wanted = F.lit(False)
+    for word in plan.words:
+        wanted = wanted | holds(*word)
+    sums = [F.sort_array(F.flatten(F.collect_list(F.when(holds(*word), F.col("places"))))).alias(name) for word, name in plan.words.items()]
+    rows = postings.where(wanted).groupBy(*key).agg(*sums, F.count("*").alias("n_words")).drop("n_words")
+    return _best(rows, plan, (n, n_tokens), [], limit, order, None, [c for c in key if c != "n_tokens"])
+
+
+def _best(rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | None, kept: list[str]) -> DataFrame:
+    rows = rows.select("*", *plan.starts)
+    tally = rows.agg(*total, *[F.count_if(F.size(f"starts_{k}") > 0).alias(f"rows_{k}") for k in range(len(plan.starts))]).first()
+    n, tokens_ = sizes or (tally["n"], tally["tokens"])
+    mean = tokens_ / n if n else 0.0
     score = F.lit(0.0)
     for k, count in enumerate(plan.counts):
-        n = tally[f"rows_{k}"]
-        idf = max(LEAST_IDF, math.log((tally["n"] - n + 0.5) / (n + 0.5)))
+        holders = tally[f"rows_{k}"]
+        idf = max(LEAST_IDF, math.log((n - holders + 0.5) / (holders + 0.5)))
         score = score + F.lit(idf) * count * F.lit(K1 + 1) / (count + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(mean or 1.0)))
     found = rows.where(plan.matches)
     found = found if where is None else found.where(where)
-    kept = [c for c in table.columns if c != "tokens"]
     return found.select(*kept, (-score).alias("rank")).orderBy("rank", *order).limit(limit)

@@ -37,16 +37,23 @@ def sqlite(texts):
 
 PATTERNS = [
     "kafka", "kafka schema", "kafka OR worthless", "kafka NOT the", '"of the"', "of + the", "worth*", "^kafka", "NEAR(kafka schema, 2)", "NEAR(kafka schema)", "cafe", "migrations",
-    "content:kafka", "{content}:kafka", "- content:kafka", "(kafka OR schema) NOT (the AND of)", '"run" AND "tests"', "role:kafka", "kafka AND (the OR of)", "NEAR(the of run, 4)",
+    "content:kafka", "{content}:kafka", "- content:kafka", "(kafka OR schema) NOT (the AND of)", '"run" AND "tests"', "role:kafka", "kafka AND (the OR of)", "NEAR(the of run, 4)", "NEAR(the of, 100)", 'NEAR("of the" worth* kafka, 3)', "the* OR ^run",
 ]
 
 
+@pytest.fixture(scope="module")
+def postings(table):
+    return fulltext.index(table, ("id",)).cache()
+
+
 @pytest.mark.parametrize("pattern", PATTERNS)
-def test_ranks_match(table, sqlite, pattern):
+def test_ranks_match(table, postings, texts, sqlite, pattern):
     want = {k: r for k, r in sqlite.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (pattern,))}
-    found = {r.id: r["rank"] for r in fulltext.search(table, pattern, 1000, ("id",)).collect()}
-    assert found.keys() == want.keys()
-    assert all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    sizes = len(texts), sum(len(fulltext.plain_tokens(t or "")) for t in texts)
+    for rows in (fulltext.search(table, pattern, 1000, ("id",)), fulltext.search_index(postings, *sizes, pattern, 1000, ("id",))):
+        found = {r.id: r["rank"] for r in rows.collect()}
+        assert found.keys() == want.keys()
+        assert all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
 @pytest.mark.parametrize("pattern", ["", "Kafka's", "C++", "a.b", "foo-bar", "AND", "a AND", '"open', "(a", "NEAR(a b, x)", "nocolumn:a"])
