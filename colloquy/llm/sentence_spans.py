@@ -14,11 +14,11 @@ stays: where parts of a long sentence go as pieces and the copy ends inside its
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import Scratch, cut
 
 RUN_PIECES = 3
 RUN_WORDS = 25
@@ -156,24 +156,37 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return _TABLES[inverse][:n]
 
 
+#: In place of a run: the document repeats something of its own.
+_OWN = 0
+
+
+def _id() -> Column:
+    return F.col("doc_id").try_cast("long")
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """id, h1, h2: each run and each anchor once a document."""
+    """id, h1, h2: each run and each anchor once a document, and once _OWN for documents that hold one of them twice."""
 
     def find(batches):
         for batch in batches:
             keys, h1, h2 = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "u8")]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pieces = Pieces(text or "")
+                pieces, twice = Pieces(text or ""), False
                 for a, b in ((pieces.h1, pieces.h2), (pieces.a1, pieces.a2)):
                     if len(a):
                         _, at = np.unique(a, return_index=True)
+                        twice |= len(at) < len(a)
                         keys.append(np.full(len(at), key, "i8"))
                         h1.append(a[at])
                         h2.append(b[at])
+                if twice:
+                    keys.append(np.array([key], "i8"))
+                    h1.append(np.array([_OWN], "u8"))
+                    h2.append(np.array([_OWN], "u8"))
             columns = np.concatenate(keys), np.concatenate(h1).view("i8"), np.concatenate(h2).astype("u4").view("i4")
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "h1", "h2"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(find, "id long, h1 long, h2 int")
+    return docs.select(_id().alias("id"), "text").where("id is not null").mapInArrow(find, "id long, h1 long, h2 int")
 
 
 def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -181,7 +194,7 @@ def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     all texts less. The bits take 2 MB at any size."""
 
     def slot(name):
-        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS))
 
     bits = ids.select(slot(column).alias("slot")).select((F.col("slot") / 32).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit"))
     bits = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -195,8 +208,8 @@ def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             batch = batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype("u4")) & 1 == 1))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
-    return rows.mapInArrow(pick, docs.select("doc_id", "text").schema)
+    rows = docs.select(_id().alias("doc_id"), "text").where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
+    return rows.mapInArrow(pick, "doc_id long, text string")
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -276,20 +289,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the text cut, and `removed` (spans of characters of the former text) and `n_removed` (their number) added;
     columns so named are replaced. Every row stays, a text that is repeated as a whole as an empty one; null texts stay null.
 
-    Rows with the same doc_id count as one document. A row with a null id has no place in the order, so only what it
-    repeats of itself goes. A text under RUN_PIECES pieces or RUN_WORDS words has no run and stays as it is.
+    Rows with the same doc_id count as one document. A row whose id is null, or no whole number, has no place in the order, so
+    only what it repeats of itself goes. A text under RUN_PIECES pieces or RUN_WORDS words has no run and stays as it is.
     """
-    runs = _runs(docs)
-    firsts = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    firsts = cut(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "repeated")
-    contexts = _contexts(docs, firsts)
-    firsts = firsts.join(contexts, (F.col("g1") == F.col("c1")) & (F.col("g2") == F.col("c2")), "left").drop("c1", "c2")
-    others = runs.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("id > first")
-    others = others.groupBy(F.col("id").alias("_spans_of")).agg(F.collect_set(F.struct("h1", "h2", "before", "after")).alias("_spans"))
     docs = docs.drop("removed", "n_removed")
-    rows = docs.join(others, docs["doc_id"] == F.col("_spans_of"), "left").drop("_spans_of")
+    with Scratch(docs.sparkSession) as tables:
+        runs = tables.cut(_runs(docs), "runs")
+        shared, own = runs.where(f"h1 <> {_OWN} or h2 <> {_OWN}"), runs.where(f"h1 = {_OWN} and h2 = {_OWN}")
+        firsts = shared.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+        firsts = tables.cut(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "repeated")
+        contexts = _contexts(docs, firsts)
+        firsts = firsts.join(contexts, (F.col("g1") == F.col("c1")) & (F.col("g2") == F.col("c2")), "left").drop("c1", "c2")
+        others = shared.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("id > first").select("id", "h1", "h2", "before", "after")
+        none = F.lit(None).cast("binary")
+        others = others.unionByName(own.select("id", "h1", "h2", none.alias("before"), none.alias("after")))
+        others = others.groupBy(F.col("id").alias("_spans_of")).agg(F.collect_set(F.struct("h1", "h2", "before", "after")).alias("_spans"))
+        others = cut(others, "spans")
+    rows = docs.join(others, _id() == F.col("_spans_of"), "left").drop("_spans_of")
     names = docs.columns
-    text_at = names.index("text")
+    text_at, id_at = names.index("text"), names.index("doc_id")
+    whole_ids = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(span)), T.StructField("n_removed", T.IntegerType())])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -300,8 +319,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             found = batch.column(len(names))
             h1, h2, before, after = found.flatten().flatten()
             found_all = list(zip(h1.to_numpy().tolist(), h2.to_numpy().tolist(), before.to_pylist(), after.to_pylist()))
-            for text, n in zip(batch.column(text_at).to_pylist(), found.value_lengths().to_pylist()):
+            known = batch.column(id_at).is_valid().to_pylist() if whole_ids else [False] * batch.num_rows
+            for text, n, has_id in zip(batch.column(text_at).to_pylist(), found.value_lengths().to_pylist(), known):
                 others = {}
+                if has_id and not n:  # nothing of it stands elsewhere before, or twice
+                    texts.append(text)
+                    removed.append([])
+                    continue
                 for a, b, *context in found_all[at : at + (n or 0)]:
                     others.setdefault((a, b), []).append(context)
                 at += n or 0
