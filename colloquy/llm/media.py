@@ -9,8 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Scratch, cut, in_chunks
+
 ROW_BYTES = 192
 HASH_COLUMNS, HASH_ROWS = 8, 8
+TILE_SIDE = 8
+CHUNK_CHARS = 4_000_000
 
 
 def _header(data: bytes, count: int) -> tuple[list[int], int]:
@@ -90,6 +94,14 @@ def decode_image(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def decode_scaled(data: bytes) -> np.ndarray:
+    """The image with samples from 0 to 255, whatever the greatest value that its header names."""
+    image, most = decode_image(data), 255
+    if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
+        most = _header(data, 3)[0][2]
+    return image if most == 255 else image * (255 / most)
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the source area under each new pixel, from differences of the integral image, edges weighed by their
     share. Doubles; for images of any size, larger or smaller than the new one."""
@@ -117,6 +129,11 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
+def tile(image: np.ndarray, height: int, width: int) -> bytes:
+    """The image (samples from 0 to 255) resized to 8-bit samples, as an NPY file."""
+    return npy_tile(np.clip(np.rint(area_resize(image, height, width)), 0, 255).astype("u1"))
+
+
 def npy_tile(image: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.save(out, image, allow_pickle=False)
@@ -132,9 +149,8 @@ def image_tiles(media: DataFrame, key: str, column: str, height: int = 64, width
             found = []
             for data in batch.column(1).to_pylist():
                 try:
-                    image = decode_image(data or b"")
-                    small = np.clip(np.rint(area_resize(image * (255 / 65535) if image.dtype.itemsize == 2 else image, height, width)), 0, 255).astype("u1")
-                    found.append((npy_tile(small), difference_hash(image), None))
+                    image = decode_scaled(data or b"")
+                    found.append((tile(image, height, width), difference_hash(image), None))
                 except (ValueError, IndexError) as e:
                     found.append((None, None, str(e)))
             columns = list(zip(*found)) or [(), (), ()]
@@ -144,41 +160,47 @@ def image_tiles(media: DataFrame, key: str, column: str, height: int = 64, width
     return media.select(key, column).mapInArrow(tiles, f"`{key}` {kind}, tile binary, dhash string, error string")
 
 
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Tiles as Parquet: NPY bytes in a binary column beside key and hash."""
-    tiles.write.parquet(path)
-
-
 def text_payload(text: str | None) -> bytes:
     data = (text or "").encode()
     return data.ljust(max(1, -(-len(data) // ROW_BYTES)) * ROW_BYTES, b" ")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text as the samples of a P6 image 64 pixels wide. Null texts are empty ones."""
+    """doc_id, n_bytes and media: each text as the samples of a P6 image 64 pixels wide. Null texts are empty ones; rows
+    that repeat and null ids give a row each, an empty table none."""
 
     def images(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            media = [encode_netpbm(np.frombuffer(text_payload(x), "u1").reshape(-1, ROW_BYTES // 3, 3)) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for part in in_chunks(texts, CHUNK_CHARS):
+                media = [encode_netpbm(np.frombuffer(text_payload(x), "u1").reshape(-1, ROW_BYTES // 3, 3)) for x in texts[part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([len(x.encode()) for x in texts[part]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(images, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame) -> DataFrame:
+def media_tiles(media: DataFrame, side: int = TILE_SIDE) -> DataFrame:
     """doc_id, n_bytes, and what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256 and feature (the difference hash)."""
+    media_sha256, tile (an NPY file of the image resized to side x side) and feature (the difference hash)."""
 
     def features(batches):
         for batch in batches:
             rows = []
-            for data in batch.column(2).to_pylist():
+            for at in range(batch.num_rows):
+                data = batch.column(2)[at].as_py()
                 image = decode_image(data)
                 payload = image.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), tile(image, side, side), difference_hash(image)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             columns = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "feature"])
+
+    return media.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string")
+
 
-    return media.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def store_text_media(docs: DataFrame) -> DataFrame:
+    """The media column and then the tiles are written to the shared folder as Parquet; what is returned is read from the
+    tiles' files: the columns of `media_tiles`. The media go when the tiles, made from them as read back, are written."""
+    with Scratch(docs.sparkSession) as tables:
+        media = tables.cut(text_media(docs), "media", compression="zstd")
+        return cut(media_tiles(media), "tiles", compression="zstd")
