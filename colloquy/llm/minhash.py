@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, in_chunks
 from .graph import connected_components
 
 WORDS = 5
@@ -28,6 +28,7 @@ BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
+SKETCH_FAN = 16
 RAREST = 1 / 1024
 IDF_RANGE = 0.25
 #: Members that one task compares with a leader before the leader is copied to another task.
@@ -95,17 +96,6 @@ def _cells(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (found & mask).astype("i8"), ((found >> _U(SKETCH_BITS)) & mask).astype("i8")
 
 
-def _in_chunks(texts: list[str]):
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
-            yield slice(at, k)
-            at, size = k, 0
-        size += len(text)
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def idf_tables(counts: np.ndarray, documents: int) -> np.ndarray:
     """The idf that each counter stands for, from document frequencies counted over the whole corpus in two rows."""
     counts = counts.astype("f8")
@@ -129,30 +119,31 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             documents += len(texts)
-            for part in _in_chunks(texts):
+            for part in in_chunks(texts, CHUNK_CHARS):
                 found = shingles(texts[part])
                 for row, cells in zip(counts, _cells(np.concatenate([f for f, _ in found]))):
                     np.add.at(row, cells, 1)
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         some = [k for k in range(len(blocks)) if blocks[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*(zlib.compress(blocks[k].tobytes(), 1) for k in some), documents.to_bytes(8, "little")], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*(zlib.compress(blocks[k].astype("<i8").tobytes(), 1) for k in some), documents.to_bytes(8, "little")], pa.binary())], ["block", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(data if block < 0 else zlib.decompress(data), "<i8" if block < 0 else "<i4").astype("i8")
+                new = np.frombuffer(data if block < 0 else zlib.decompress(data), "<i8")
                 sums[block] = sums[block] + new if block in sums else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() if k < 0 else zlib.compress(x.tobytes(), 1) for k, x in sums.items()], pa.binary())], ["block", "counts"])
 
-    schema = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
+    schema = "block int, counts binary"  # a block comes from many tasks, so each is summed in some tasks and then in one
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCH_FAN))
+    rows = docs.select("text").mapInArrow(count, schema).repartition("block", part).mapInArrow(add, schema).repartition("block").mapInArrow(add, schema).collect()
     counts, documents = np.zeros((2 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, "i8").reshape(-1, SKETCH_BLOCK), 0
     for row in rows:
         if row.block < 0:
             documents = int(np.frombuffer(row.counts, "<i8")[0])
         else:
-            counts[row.block] = np.frombuffer(row.counts, "<i8")
+            counts[row.block] = np.frombuffer(zlib.decompress(row.counts), "<i8")
     return idf_tables(counts.reshape(2, -1), documents)
 
 
@@ -219,7 +210,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             kept, prints, bands = [], [], []
-            for part in _in_chunks(texts):
+            for part in in_chunks(texts, CHUNK_CHARS):
                 for key, (found, times) in zip(ids[part], shingles(texts[part])):
                     if len(found) and key is not None:
                         kept.append(key)
@@ -232,7 +223,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, print binary, bands array<long>")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float, cut) -> DataFrame:
     """pairs: member, leader. Adds linked. A leader's text goes to a task for every MEMBERS_A_TASK members, ahead of theirs."""
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("salts"))
     salts = cut(salts, "salts")
@@ -246,7 +237,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
         for batch in batches:
             ids, leaders, salt, kinds, texts = (batch.column(k).to_pylist() for k in range(5))
             out = []
-            for part in _in_chunks([t or "" for t in texts]):
+            for part in in_chunks([t or "" for t in texts], CHUNK_CHARS):
                 chunk = [t or "" for t in texts[part]]
                 for key, leader, s, kind, (found, times) in zip(ids[part], leaders[part], salt[part], kinds[part], shingles(chunk)):
                     vector = found, weights(tables, found, times)
@@ -264,10 +255,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
 
 
 def _compare_buckets(rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """rows: part, band, apart, block, doc, component, bands, text; a part is one block of a bucket, or two (apart), whose
-    members are then compared with those of the other block only.
+    """rows: band, hash, x, y, block, doc, component, bands, text; the first four name a part: one block of a bucket (x = y),
+    or two, whose members are then compared with those of the other block only.
     Links (a, b) between documents of different components, each pair in the first band that both share."""
-    rows = rows.repartition("part").sortWithinPartitions("part", "doc")
+    rows = rows.repartition("band", "hash", "x", "y").sortWithinPartitions("band", "hash", "x", "y", "doc")
 
     def compare(batches):
         tables, state = idf.value, {"part": None, "docs": []}
@@ -285,7 +276,8 @@ def _compare_buckets(rows: DataFrame, idf, threshold: float) -> DataFrame:
                 bands = np.stack([d[3] for d in docs])
                 blocks = np.array([d[1] for d in docs])
                 totals = np.array([d[4][1].sum(dtype="f8") for d in docs])
-                band, apart = docs[0][5], docs[0][6]
+                band, _, x, y = state["part"]
+                apart = x != y
                 for k in range(1, len(docs)):
                     first = (bands[:k] == bands[k]).argmax(1) == band
                     fair = np.minimum(totals[:k], totals[k]) >= threshold * np.maximum(totals[:k], totals[k])
@@ -299,30 +291,32 @@ def _compare_buckets(rows: DataFrame, idf, threshold: float) -> DataFrame:
             return out
 
         for batch in batches:
-            parts, band, apart, block, ids, components, bands, texts = (batch.column(k).to_pylist() for k in range(8))
-            out = []
-            for piece in _in_chunks([t or "" for t in texts]):
+            *part, block, ids, components, bands, texts = (batch.column(k).to_pylist() for k in range(9))
+            parts, out = list(zip(*part)), []
+            for piece in in_chunks([t or "" for t in texts], CHUNK_CHARS):
                 for n, (found, times) in zip(range(piece.start, piece.stop), shingles([t or "" for t in texts[piece]])):
                     if parts[n] != state["part"]:
                         out += links()
                         state["part"] = parts[n]
-                    state["docs"].append((ids[n], block[n], components[n], np.array(bands[n], "i8"), (found, weights(tables, found, times)), band[n], apart[n]))
+                    state["docs"].append((ids[n], block[n], components[n], np.array(bands[n], "i8"), (found, weights(tables, found, times))))
             yield _pairs(out)
         yield _pairs(links())
 
     def _pairs(out):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return rows.select("part", "band", "apart", "block", "doc", "component", "bands", "text").mapInArrow(compare, "a long, b long")
+    return rows.select("band", "hash", "x", "y", "block", "doc", "component", "bands", "text").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: verified links and links of exact copies to the first of them; enough to join all classes.
+def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables: Scratch | None = None) -> DataFrame:
+    """a, b: verified links and links of exact copies to the first of them; enough to join all classes. They are read from
+    written tables, which go with `tables` where that is given.
 
     First each member of a bucket is compared with the bucket's hub: the member that meets most others in all its buckets,
     as the original of a group of edited copies does. What this joins is one component; buckets that still hold several
     are compared in blocks of BLOCK_DOCUMENTS, one component's members with another's, inside tasks.
     """
+    cut = (tables or Scratch(docs.sparkSession)).cut
     idf = docs.sparkSession.sparkContext.broadcast(count_shingles(docs))
     signed = cut(_signatures(docs, idf), "signatures")
     firsts = cut(signed.groupBy("print").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "firsts")
@@ -339,9 +333,9 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     hubs = members.join(meets, F.col("doc") == F.col("d")).groupBy("band", "hash").agg(F.max(F.struct("meets", (-F.col("doc")).alias("minus"))).alias("hub"))
     hubs = cut(hubs.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), (-F.col("hub.minus")).alias("leader")), "hubs")
     pairs = cut(members.join(hubs, same_bucket).where("doc <> leader").select(F.col("doc").alias("member"), "leader").distinct(), "pairs")
-    linked = cut(_verify(pairs, texts, idf, threshold).where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")), "linked")
+    linked = cut(_verify(pairs, texts, idf, threshold, cut).where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")), "linked")
 
-    found = cut(connected_components(linked), "joined")
+    found = connected_components(linked)
     known = members.join(found, F.col("doc") == F.col("node"), "left").select("band", "hash", "doc", "size", F.coalesce("component", "doc").alias("component"))
     known = cut(known, "known")
     mixed = known.groupBy("band", "hash").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
@@ -349,7 +343,7 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     blocks = F.ceil(F.col("size") / BLOCK_DOCUMENTS).cast("int")
     rest = known.join(mixed, same_bucket).select("band", "hash", "doc", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
-    rest = rest.withColumn("pair", F.explode(other)).withColumn("part", F.xxhash64("band", "hash", "pair.x", "pair.y")).withColumn("apart", F.col("pair.x") != F.col("pair.y"))
+    rest = rest.withColumn("pair", F.explode(other)).select("*", "pair.x", "pair.y")
     rest = rest.join(firsts.select(F.col("first").alias("f"), "bands"), F.col("doc") == F.col("f")).join(texts, F.col("doc") == F.col("doc_id"))
     more = cut(_compare_buckets(rest, idf, threshold), "more")
     return copies.unionByName(linked).unionByName(more)
@@ -361,5 +355,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     Rows with the same doc_id are one document. A null id, and a text that is null or without words, links with nothing;
     a null id has a null class. An empty table gives an empty table.
     """
-    found = cut(connected_components(near_duplicate_links(docs, threshold)), "classes")
+    with Scratch(docs.sparkSession) as tables:
+        found = connected_components(near_duplicate_links(docs, threshold, tables))
     return docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
