@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import process_cache
+from .common import in_chunks, process_cache
 
 SPACE = "▁".encode()
 CHUNK_CHARS = 2_000_000
@@ -88,7 +88,7 @@ class PieceCodec:
 
     def _mapped(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         space, made, align, at = SPACE if self.escape else b" ", bytearray(), [], 0
-        pending = []  # (piece, source) in order
+        after_space, began = self.squeeze, False  # where white space is squeezed, none stands at the start
         while at < len(raw):
             found = self.map.longest(raw, at)
             if found:
@@ -96,25 +96,20 @@ class PieceCodec:
             else:
                 width = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
                 piece = raw[at : at + width]
-            pending.append((piece, at))
-            at += width
-        end = len(raw)
-        if self.squeeze:
-            while pending and pending[0][0] == b" ":
-                pending.pop(0)
-        if pending and self.dummy_prefix:
-            made += space
-            align += [pending[0][1]] * len(space)
-        after_space = self.squeeze
-        for piece, source in pending:
             if after_space:
                 piece = piece.lstrip(b" ")
-            for byte in piece:
-                new = space if byte == 32 else bytes([byte])
-                made += new
-                align += [source] * len(new)
+            if not began and (piece or not self.squeeze):
+                began = True
+                if self.dummy_prefix:
+                    made += space
+                    align += [at] * len(space)
             if piece:
+                new = piece.replace(b" ", space)
+                made += new
+                align += [at] * len(new)
                 after_space = self.squeeze and piece.endswith(b" ")
+            at += width
+        end = len(raw)
         if self.squeeze:
             while made.endswith(space):
                 end = align[len(made) - len(space)]
@@ -132,22 +127,15 @@ class PieceCodec:
         ends = np.cumsum(width)
         if len(ids) and ends[-1] != len(made):  # an unknown piece is as long as what the others leave
             lost = np.flatnonzero(ids == self.unknown)
-            if len(lost) != 1:
-                return self._library_spans(text, ids)
             width = width.copy()
-            width[lost[0]] += len(made) - ends[-1]
+            if len(lost) == 1:
+                width[lost[0]] += len(made) - ends[-1]
+            else:  # the library tells what several unknown pieces hold, in normalised text
+                names = self.library.encode(text, out_type=str, add_bos=True, add_eos=True)
+                width[lost] = [len(names[k].encode()) for k in lost]
             ends = np.cumsum(width)
         return align[np.stack([ends - width, ends], axis=1)] if len(ids) else np.zeros((0, 2), "i8")
 
-    def _library_spans(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """For several unknown pieces: their surfaces as the library has them, one after the other in the source."""
-        raw, out, at = text.encode(), [], 0
-        for piece in self.library.encode(text, return_type="proto", add_bos=True, add_eos=True).pieces:
-            width = len(piece.surface.encode())
-            out.append((at, at + width))
-            at = min(len(raw), at + width)
-        return np.array(out, "i8").reshape(-1, 2)
-
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
@@ -159,17 +147,6 @@ def codec(path: str) -> PieceCodec:
     return cache["pieces", path]
 
 
-def _chunks(texts: list[str]):
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
-            yield slice(at, k)
-            at, size = k, 0
-        size += len(text)
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, token_ids, starts and ends (source byte spans of the pieces). A null text is an empty one."""
 
@@ -177,7 +154,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         pieces = codec(model)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in _chunks(texts):
+            for part in in_chunks(texts, CHUNK_CHARS):
                 ids = pieces.encode(texts[part])
                 spans = [pieces.spans(text, x) for text, x in zip(texts[part], ids)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4"))
@@ -208,7 +185,7 @@ def codec_digests(docs: DataFrame, model: str) -> DataFrame:
         pieces = codec(model)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in _chunks(texts):
+            for part in in_chunks(texts, CHUNK_CHARS):
                 ids = pieces.encode(texts[part])
                 decoded = pieces.library.decode([x.tolist() for x in ids])
                 spans = [zlib.crc32(pieces.spans(text, x).astype("<i4").tobytes()) for text, x in zip(texts[part], ids)]

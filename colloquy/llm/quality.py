@@ -9,53 +9,83 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import named
 from .linear import fit_lasso_logistic, sigmoid
 
 STATISTICS = ("n_words", "word_length", "unique_share", "repeat_share", "top_share", "upper_share", "digit_share", "mark_share", "symbol_share", "bar_share", "capital_words", "sentence_words", "line_words", "line_repeat_share", "ended_share", "bracket_share")
 _LONG_RUN = re.compile(r"[.!?]+(?:\s|$)")
-#: What one text's lists may hold at once: longer texts are counted in parts of so many words.
-PART_WORDS = 200_000
+_SPACE = re.compile(r"\s")
+#: Texts longer than so many characters are counted in parts.
+PART_CHARS = 1_000_000
+
+
+def _parts(text: str):
+    """Parts of about PART_CHARS characters, each but the last with white space at its end."""
+    at = 0
+    while len(text) - at > PART_CHARS and (found := _SPACE.search(text, at + PART_CHARS)):
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
+def _lines(text: str):
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
 def statistics(text: str | None) -> tuple[float, ...]:
-    """The STATISTICS of a text; all 0 where it is null or has no word."""
+    """The STATISTICS of a text; all 0 where it is null or has no word. Of a long text only a part or a line is held in
+    pieces at once; its distinct words are counted, and lines that repeat told by their hashes."""
     text = text or ""
-    words = text.split()
-    n = len(words)
+    counts, kinds = Counter(), np.zeros(129, "i8")
+    n = repeats = capitals = sentences = 0
+    last = None
+    for part in _parts(text):
+        words = part.split()
+        kinds += np.bincount(np.minimum(np.frombuffer(part.encode("utf-32-le"), "<u4"), 128), minlength=129)
+        sentences += len(_LONG_RUN.findall(part))
+        if words:
+            n += len(words)
+            counts.update(words)
+            repeats += sum(map(str.__eq__, words, words[1:])) + (words[0] == last)
+            capitals += sum(map(str.isupper, words))
+            last = words[-1]
     if not n:
         return (0.0,) * len(STATISTICS)
-    raw = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    chars = len(raw)
-    kinds = np.bincount(np.minimum(raw, 128), minlength=129)
-    upper = kinds[65:91].sum()
-    digits = kinds[48:58].sum()
-    marks = kinds[33] + kinds[63]
+    n_lines = ended = 0
+    lines = set()
+    for line in _lines(text):
+        if shown := line.rstrip():
+            n_lines += 1
+            ended += shown[-1] in ".!?"
+            lines.add(hash(line))
+    chars = len(text)
+    upper, digits, marks = kinds[65:91].sum(), kinds[48:58].sum(), kinds[33] + kinds[63]
     brackets = kinds[[60, 62, 91, 93, 123, 125]].sum()
     symbols = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum() - kinds[44] - kinds[46]
-    counts = Counter(words)
-    repeats = sum(map(str.__eq__, words, words[1:]))
-    capitals = sum(map(str.isupper, words))
-    lines = [x for x in text.split("\n") if x.strip()]
-    sentences = len(_LONG_RUN.findall(text)) or 1
-    ended = sum(x.rstrip()[-1] in ".!?" for x in lines)
     return (
         float(n), (chars - n) / n, len(counts) / n, repeats / n, max(counts.values()) / n, upper / chars, digits / chars, marks / chars, symbols / chars, kinds[124] / chars,
-        capitals / n, n / sentences, n / len(lines), 1 - len(set(lines)) / len(lines), ended / len(lines), brackets / chars,
+        capitals / n, n / (sentences or 1), n / n_lines, 1 - len(lines) / n_lines, ended / n_lines, brackets / chars,
     )
 
 
 def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and one double for each of STATISTICS."""
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{s} double" for s in STATISTICS)])
+    """The kept columns and one double for each of STATISTICS, of every row, repeated rows and null ids included; null and
+    empty texts have zeros, an empty table gives an empty table. Other columns don't matter, whatever their names."""
+    fields = [docs.select(c).schema[0] for c in named(list(keep))]
+    schema = T.StructType([*fields, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
 
     def count(batches):
         for batch in batches:
             x = np.array([statistics(t) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(np.ascontiguousarray(c)) for c in x.T)], [*keep, *STATISTICS])
 
-    return docs.select(*keep, "text").mapInArrow(count, schema)
+    return docs.select(*named(list(keep)), F.col("text").alias("_quality_text")).mapInArrow(count, schema)
 
 
 @dataclass

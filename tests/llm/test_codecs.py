@@ -1,4 +1,5 @@
 import hashlib
+import io
 import zlib
 
 import numpy as np
@@ -81,6 +82,27 @@ def test_compiled_map_normalises_as_the_library_does(tmp_path, squeeze):
     assert made.decode().endswith("xza") and align[-4:].tolist() == [0, 1, 3, 4]
 
 
+def test_spans_of_several_unknown_pieces(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    model.trainer_spec.byte_fallback = False
+    for piece in model.pieces:
+        if piece.type == piece.BYTE:
+            piece.type = piece.UNUSED
+    model.normalizer_spec.precompiled_charsmap = compiled_map({"①".encode(): "☄☄☄".encode()})
+    path = tmp_path / "unknown.model"
+    path.write_bytes(model.SerializeToString())
+    codec = piece_codec.PieceCodec(str(path))
+    text = "a ☄ bc ① de ☄ f"
+    ids = codec.encode([text])[0]
+    assert (ids == codec.unknown).sum() >= 2
+    spans, raw = codec.spans(text, ids), text.encode()
+    assert (spans[1:, 0] <= spans[:-1, 1]).all() and spans[-1].tolist() == [len(raw)] * 2
+    assert [raw[a:b].decode().strip() for (a, b), k in zip(spans, ids) if k == codec.unknown] == [s.strip() for s in ("☄", "①", "☄")]
+
+
 def test_codec_digests_of_a_table(spark, documents, empty, pieces):
     docs = documents([*enumerate(TEXTS), (100, None), (None, "x"), (3, TEXTS[3])]).withColumn("n_tokens", F.lit("clash"))
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +127,35 @@ def test_words_encode_as_the_tokenizer_does():
             assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    encoder = token_columns.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_columns, "_FACTORS", np.ones(token_columns.MAX_WORD_BYTES, "u8"))  # anagrams agree, and worse
+    chunks = [["first of all", "on no no on", "stop pots tops", "was saw"], ["first no", "saw", "the pots are tops"], ["first on", "a no", "opts"], ["first az by", "zz"]]
+    for texts in chunks:
+        ids, counts = encoder.encode(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    table = token_columns.WordTable()
+    raw = np.frombuffer(b"abba", "u1")
+    table.insert(np.array([7], "u8"), np.array([0], "i4"), np.array([1], "i4"), [b"ab"])
+    hit, _, _ = table.find(np.array([7, 7], "u8"), raw, np.array([0, 2]), np.array([2, 2], "i4"))
+    assert hit.tolist() == [True, False]
+
+
+def test_files_count_in_the_order_of_their_numbers(spark, documents, tmp_path):
+    path = tmp_path / "tokens"
+    docs = documents([(k, "word " * k) for k in range(40)])
+    token_columns.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), str(path / "one"))
+    token_columns.write_tokens(docs.withColumn("doc_id", F.col("doc_id") + 100), public_tokenizers.path("byte_bpe_50k.json"), str(path / "two"))
+    (path / "both").mkdir()
+    for folder, number in (("one", 99_998), ("two", 100_000)):
+        for k, f in enumerate(sorted((path / folder).glob("part-*.parquet"))):
+            f.rename(path / "both" / f"part-{number + k}-x.c000.snappy.parquet")
+    found = sorted(token_columns.token_offsets(spark, str(path / "both")).collect(), key=lambda r: r.doc_id)
+    assert len(found) == 80
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_come_back_in_order(spark, documents, empty, tmp_path, encoding):
     from tokenizers import Tokenizer
@@ -164,19 +215,26 @@ def test_tiles_and_broken_images(spark):
     rows = [(1, bytearray(media.encode_netpbm(image))), (2, bytearray(media.encode_bmp(image))), (3, None), (4, bytearray(b"")), (5, bytearray(b"P6 9 9 255\nshort")), (6, bytearray(b"GIF89a"))]
     found = {r.k: r for r in media.image_tiles(spark.createDataFrame(rows, "k long, data binary"), "k", "data", 4, 4).collect()}
     assert found[1].tile == found[2].tile and found[1].dhash == found[2].dhash and found[1].error is None
-    import io
-
     assert np.load(io.BytesIO(found[1].tile)).shape == (4, 4, 3)
     assert all(found[k].tile is None and found[k].error for k in (3, 4, 5, 6))
 
 
+def test_tiles_of_any_sample_range(spark):
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 16, (8, 8)).astype("u1")
+    files = [b"P5 8 8 15\n" + image.tobytes(), b"P5 8 8 255\n" + (image * 17).tobytes(), b"P5 8 8 65535\n" + (image.astype(">u2") * 4369).tobytes(), b"P2 8 8 15\n" + b" ".join(b"%d" % x for x in image.ravel())]
+    found = media.image_tiles(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(files)], "k long, data binary"), "k", "data", 4, 4).collect()
+    assert len({bytes(r.tile) for r in found}) == 1 and len({r.dhash for r in found}) == 1
+
+
 def test_text_payloads_are_lossless(spark, documents, empty):
     docs = documents([*enumerate(TEXTS), (100, None), (None, "x")]).withColumn("media", F.lit("clash"))
-    rows = media.media_features(media.text_media(docs)).collect()
+    rows = media.store_text_media(docs).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
+        assert np.load(io.BytesIO(r.tile)).shape == (media.TILE_SIDE, media.TILE_SIDE, 3)
         raw = ("" if r.doc_id == 100 else "x" if r.doc_id is None else TEXTS[r.doc_id]).encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload)) and r.payload_bytes % 192 == 0
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and len(r.feature) == 16
-    assert media.media_features(media.text_media(empty)).count() == 0
+    assert media.store_text_media(empty).count() == 0

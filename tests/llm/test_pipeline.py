@@ -51,3 +51,33 @@ def test_every_operator_is_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_extra_columns_of_any_name_come_through(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    where, _ = corpus
+    own = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["tox_score", "tox_density", "kept_id", "class_id", "node", "component", "removed", "n_removed", "whole", "below", "plan_source", "size", "target", "repeats", "taken", "draw", "id", "first", "h1", "a.b"]
+    clash = own.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    clash = clash.withColumn("map", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs, plain = clash, own
+    for name, stage in corpus_pipeline.STAGES:
+        docs, plain = stage(spark, docs, where), stage(spark, plain, where)
+        if name == "pieces":
+            assert docs.count() == plain.count()
+            break
+        assert docs.columns == clash.columns
+        rows = docs.collect()
+        assert all(r[n] == f"{n}:{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        own_rows = plain.collect()
+        assert sorted(str(tuple(r[:5])) for r in rows) == sorted(str(tuple(r)) for r in own_rows)
+        docs, plain = spark.createDataFrame(rows, docs.schema), spark.createDataFrame(own_rows, plain.schema)
+
+
+def test_one_of_the_rows_of_an_id_stays_and_always_the_same(spark):
+    rows = [(1, "b text", "en", "s", 1), (1, "a text", "en", "s", 2), (1, "a text", "de", "s", 2), (2, None, "en", "s", 0), (2, "z", "en", "s", 0), (None, "b text", "en", "s", 1), (None, "b text", "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, DOC).repartition(3)
+        found = sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())))
+        assert found == sorted(map(str, [(1, "a text", "de", "s", 2), (2, None, "en", "s", 0), (None, "b text", "en", "s", 1), (None, "b text", "en", "s", 1)]))
