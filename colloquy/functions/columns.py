@@ -24,16 +24,6 @@ def child_uuid(*parts: Column) -> Column:
     return uuid5(F.concat(*[x for k, p in enumerate(parts) for x in ((F.lit(":"), p) if k else (p,))]))
 
 
-def timestamp_of(text: Column) -> Column:
-    """A timestamp from ISO text with or without offset (UTC then); null where it isn't one."""
-    return F.try_to_timestamp(text)
-
-
-def day_of(ts: Column) -> Column:
-    """The UTC day; the session time zone must be UTC."""
-    return F.to_date(ts)
-
-
 def iso_of_millis(millis: Column) -> Column:
     return F.date_format(F.timestamp_millis(millis.cast("long")), ISO_MILLIS)
 
@@ -66,7 +56,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), 1 - dot(a, b) / norms)
 
 
+# Forms of a git remote: scheme://host/owner/name and user@host:owner/name.
+_REMOTES = (r"^[a-z+]+://[^/]+/+([^/]+)/([^/]+?)(?:\.git)*(?:/.*)?$", r"^(?:[^@/:]+@)?[^/:]+:([^/]+)/([^/]+?)(?:\.git)*$")
+
+
+def _of_remote(url: Column, group: int) -> Column:
+    found = [F.nullif(F.regexp_extract(F.trim(url), form, group), F.lit("")) for form in _REMOTES]
+    return F.coalesce(*found)
+
+
+def owner(url: Column) -> Column:
+    """The owner in a git remote's URL; null where it has none."""
+    return _of_remote(url, 1)
+
+
 def repository(url: Column) -> Column:
-    """owner/name of a git remote, of the ssh or the https form."""
-    found = F.regexp_extract(F.trim(url), r"^(?:[a-z+]+://)?(?:[^@/]+@)?[^/:]+(?::\d+/|[:/])(.+?)(?:\.git)?/?$", 1)
-    return F.when(found != "", found)
+    """The repository's name in such a URL."""
+    return _of_remote(url, 2)

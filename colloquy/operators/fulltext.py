@@ -364,9 +364,10 @@ def search(table: DataFrame, pattern: str, limit: int, order: tuple[str, ...], s
     return _best(rows, plan, None, total, limit, order, where, [c for c in table.columns if c != "tokens"])
 
 
-def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True) -> DataFrame:
+def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True, where: DataFrame | None = None) -> DataFrame:
     """The same from an index of n texts with n_tokens tokens in all: its key columns and rank. Only rows of the pattern's
-    words are read; what stands in one text meets in one group. A pattern without words matches nothing."""
+    words are read; what stands in one text meets in one group. A pattern without words matches nothing. where: keys (one
+    column) to which the result is narrowed."""
     plan = _Plan(parse(pattern, stemmed))
     key = [c for c in postings.columns if c not in ("term", "places")]
     holds = lambda word, prefix: F.startswith(F.col("term"), F.lit(word)) if prefix else F.col("term") == word
@@ -375,10 +376,10 @@ def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit
         wanted = wanted | holds(*word)
     sums = [F.sort_array(F.flatten(F.collect_list(F.when(holds(*word), F.col("places"))))).alias(name) for word, name in plan.words.items()]
     rows = postings.where(wanted).groupBy(*key).agg(*sums, F.count("*").alias("n_words")).drop("n_words")
-    return _best(rows, plan, (n, n_tokens), [], limit, order, None, [c for c in key if c != "n_tokens"])
+    return _best(rows, plan, (n, n_tokens), [], limit, order, where, [c for c in key if c != "n_tokens"])
 
 
-def _best(rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | None, kept: list[str]) -> DataFrame:
+def _best(rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | DataFrame | None, kept: list[str]) -> DataFrame:
     rows = rows.select("*", *plan.starts)
     tally = rows.agg(*total, *[F.count_if(F.size(f"starts_{k}") > 0).alias(f"rows_{k}") for k in range(len(plan.starts))]).first()
     n, tokens_ = sizes or (tally["n"], tally["tokens"])
@@ -389,5 +390,8 @@ def _best(rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: li
         idf = max(LEAST_IDF, math.log((n - holders + 0.5) / (holders + 0.5)))
         score = score + F.lit(idf) * count * F.lit(K1 + 1) / (count + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(mean or 1.0)))
     found = rows.where(plan.matches)
-    found = found if where is None else found.where(where)
+    if isinstance(where, DataFrame):
+        found = found.join(where, where.columns, "left_semi")
+    elif where is not None:
+        found = found.where(where)
     return found.select(*kept, (-score).alias("rank")).orderBy("rank", *order).limit(limit)

@@ -14,6 +14,7 @@ class Parsed:
     messages: DataFrame
     tool_calls: DataFrame
     errata: DataFrame
+    held: DataFrame | None = None  # sessions before they are chosen among, persisted; to be given back when done
 
     def union(self, other: "Parsed") -> "Parsed":
         return Parsed(*(getattr(self, t).unionByName(getattr(other, t)) for t in TABLES))
@@ -66,10 +67,5 @@ def finish(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, erra
     if "project_root" in sessions.columns:
         sessions = sessions.withColumn("project_slug", F.nullif(F.regexp_extract("project_root", r"([^/\\]+)[/\\]*$", 1), F.lit("")))
     known = sessions.select("path", F.col("session_id").alias("sid"))
-    own = lambda df: df.join(known, "path", "left").withColumn("session_id", F.col("sid"))
-    return Parsed(
-        shaped(sessions, SESSIONS),
-        shaped(own(messages), MESSAGES),
-        shaped(own(tool_calls), TOOL_CALLS),
-        shaped(own(errata).withColumn("raw_path", F.col("path")), ERRATA),
-    )
+    own = lambda df: df.join(known, "path", "left").withColumn("session_id", F.col("sid")).withColumn("raw_path", F.col("path"))
+    return Parsed(shaped(sessions, SESSIONS), shaped(own(messages), MESSAGES), shaped(own(tool_calls), TOOL_CALLS), shaped(own(errata), ERRATA))

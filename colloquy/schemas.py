@@ -17,13 +17,17 @@ SESSIONS = _struct(
 )
 MESSAGES = _struct(
     session_id=S, uuid=S, parent_uuid=S, role=S, content=S, thinking=S, source_seq=L, turn_number=L, input_tokens=L, output_tokens=L,
-    embedding=T.ArrayType(T.FloatType()), ingested_at=T.TimestampType(),
+    embedding=T.ArrayType(T.FloatType()), ingested_at=T.TimestampType(), n_tokens=T.IntegerType(), raw_path=S,
 )
 TOOL_CALLS = _struct(
     session_id=S, uuid=S, call_id=S, tool_name=S, tool_input=S, tool_output=S, is_error=B, request_message=S, response_message=S,
-    source_seq=L, started_at=S, ended_at=S, duration_ms=L,
+    source_seq=L, started_at=S, ended_at=S, duration_ms=L, raw_path=S,
 )
 ERRATA = _struct(session_id=S, source_seq=L, kind=S, snippet=S, raw_path=S)
+#: The full-text index of messages; made from them, so it is no part of what is taken in.
+POSTINGS = _struct(term=S, session_id=S, uuid=S, source_seq=L, n_tokens=T.IntegerType(), places=T.ArrayType(T.IntegerType()))
+#: What each segment of a vault replaces in those before it.
+REPLACED = _struct(key=S)
 TABLES = {"sessions": SESSIONS, "messages": MESSAGES, "tool_calls": TOOL_CALLS, "errata": ERRATA}
 
 #: Names of the sources a vault knows, in the order of their ids.

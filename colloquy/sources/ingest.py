@@ -10,6 +10,7 @@ from ..operators.periods import Recency
 from ..parsers import Parsed, claude, codex, copilot, hermes, opencode
 from ..schemas import TABLES
 from .lines import by_kind, detect_kinds, session_lines
+from .roots import resolve_store
 from .sqlite import store_rows
 
 LINE_PARSERS = {"claude": claude.parse, "codex": codex.parse, "copilot-chat": copilot.parse_chat, "copilot-transcript": copilot.parse_transcript}
@@ -44,30 +45,46 @@ def parse_stores(rows: DataFrame, kinds: list[str] | None = None) -> Parsed:
     return out
 
 
-def read_sessions(spark: SparkSession, path: str, recency: Recency = Recency()) -> Parsed:
-    """A store file, a .jsonl file, or a folder of .jsonl files. Of sessions found twice the last in order of paths stays."""
-    if "://" not in path and not os.path.exists(path):
-        raise NotFound(f"no such file or folder: {path}")
-    if path.endswith((".db", ".sqlite")):
-        rows = store_rows(spark, path, recency)
+def read_sessions(spark: SparkSession, path: str | list[str], recency: Recency = Recency()) -> Parsed:
+    """A store file, a .jsonl file, a folder of .jsonl files and perhaps a store, or a list of .jsonl files."""
+    for name in [path] if isinstance(path, str) else path:
+        if "://" not in name and not os.path.exists(name):
+            raise NotFound(f"no such file or folder: {name}")
+    store = path if isinstance(path, str) and path.endswith((".db", ".sqlite")) else None
+    if store is None and isinstance(path, str) and os.path.isdir(path):
+        store = resolve_store(path)
+    found = None
+    if store:
+        rows = store_rows(spark, store, recency)
         kinds = [r.kind for r in rows.select("kind").distinct().collect()]
         found = parse_stores(rows, [k for k in kinds if k in STORE_PARSERS] or ["opencode"])
-    else:
+    if store != path:
         lines = session_lines(spark, path, recency)
-        found = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
-    return _one_file_a_session(found)
+        parsed = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
+        found = parsed if found is None else found.union(parsed)
+    return one_path_a_session(found)
 
 
-def _one_file_a_session(parsed: Parsed) -> Parsed:
-    """The same session at two paths is one session: everything of the other paths' copies goes. Rows of its own path are
-    told by the session's raw_path; messages and calls carry ids made from the session's, so equal ids are equal rows."""
-    sessions = parsed.sessions.groupBy("session_id").agg(F.max_by(F.struct(*[f for f in parsed.sessions.columns]), "raw_path").alias("s")).select("s.*")
-    return Parsed(sessions, parsed.messages.dropDuplicates(["uuid"]), parsed.tool_calls.dropDuplicates(["uuid"]), parsed.errata)
+def one_path_a_session(parsed: Parsed) -> Parsed:
+    """Of a session found at several paths the last in their order stays, whole: its row, messages, calls and errata.
+    Errata without a session stay. Calls whose request is no message of their session are errata too."""
+    sessions = parsed.sessions.persist()  # all tables meet them
+    last = sessions.groupBy(F.col("session_id").alias("_session")).agg(F.max("raw_path").alias("_path"))
 
+    def own(rows: DataFrame) -> DataFrame:
+        return rows.join(last, (F.col("session_id") == F.col("_session")) & (F.col("raw_path") == F.col("_path")), "left_semi")
 
-def summary(parsed: Parsed) -> DataFrame:
+    errata = own(parsed.errata).unionByName(parsed.errata.where("session_id is null"))
+    out = Parsed(own(sessions), own(parsed.messages).dropDuplicates(["uuid"]), own(parsed.tool_calls).dropDuplicates(["uuid"]), errata)
+    asked = out.messages.select(F.col("uuid").alias("_request"))
+    lost = out.tool_calls.join(asked, F.col("request_message") == F.col("_request"), "left_anti")
+    lost = lost.select("session_id", "source_seq", F.lit("unmatched_request").alias("kind"), F.col("call_id").alias("snippet"), "raw_path")
+    return Parsed(out.sessions, out.messages, out.tool_calls, out.errata.unionByName(lost), sessions)
+
+
+def summary(sessions: DataFrame) -> DataFrame:
     """A row for each session: how much of it was taken in."""
-    return parsed.sessions.select("session_id", "source", "message_count", "tool_call_count", "error_count", "total_tokens")
+    return sessions.select("session_id", "source", "message_count", "tool_call_count", "error_count", "total_tokens")
 
 
 def tables(parsed: Parsed) -> dict[str, DataFrame]:

@@ -7,11 +7,11 @@ from ..functions import variants as V
 from ..operators.periods import Recency
 
 
-def session_lines(spark: SparkSession, path: str, recency: Recency = Recency()) -> DataFrame:
+def session_lines(spark: SparkSession, path: str | list[str], recency: Recency = Recency()) -> DataFrame:
     """path, source_seq (from 1, blank lines counted but left out) and line, of every .jsonl file under a folder but those
-    in `subagents` folders. Files older than the window are left out before they are read."""
+    in `subagents` folders, or of a list of files. Files older than the window are left out before they are read."""
     reader = spark.read.option("recursiveFileLookup", True)
-    if not path.endswith(".jsonl"):
+    if isinstance(path, str) and not path.endswith(".jsonl"):
         reader = reader.option("pathGlobFilter", "*.jsonl")
     files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
     files = files.where(recency.holds(F.col("mtime")) & ~F.col("path").contains("/subagents/"))

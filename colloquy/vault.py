@@ -1,27 +1,45 @@
-"""A vault: the four tables under one path, replaced session by session, and everything asked of them.
+"""A vault: sessions and what belongs to them under one path, replaced session by session, and everything asked of them.
 
-Each table is kept in BUCKETS buckets of session ids; a change rewrites the touched buckets of all tables under a new
-version and then publishes a manifest that names every bucket's version, so readers see all of a change or none of it.
-Manifests are numbered; publishing a number that another writer has taken fails.
+A change appends a segment: the arriving rows of all tables, the keys they replace, and the full-text index of its
+messages. A manifest names the segments in order; it is published last, under a number that no other writer can take, so
+readers see all of a change or none of it. Rows count unless a later segment replaces their session. Segments are merged
+when some have gathered behind an older one and grown to half its size, so there are few of them, a row is rewritten a
+logarithmic number of times, and what a change costs depends on what arrives, not on what is there.
 """
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EmbedderError, NotFound, UsageError
-from .operators import embedding, export, fulltext, report, vectors
-from .operators.periods import Recency, parse_day, period, utc_now
-from .operators.upsert import replace_sessions, resolve_parents
+from .functions.columns import snippet
+from .operators import embedding, export, fulltext, projects, report, vectors
+from .operators.periods import Recency, period, utc_now
+from .operators.upsert import resolve_parents
 from .parsers import shaped
-from .schemas import TABLES
+from .schemas import POSTINGS, REPLACED, TABLES
 from .sources.ingest import read_sessions, summary
 from .sources.ingest import tables as parsed_tables
 
-BUCKETS = 32
+ALL = TABLES | {"postings": POSTINGS}
+FORMAT = 2
+#: A segment is merged with those after it when they hold more than this share of its sessions, and so many are to merge.
+MERGE_SHARE = 0.5
+LEAST_MERGED = 4
+
+
+def _no_session(path: str):
+    """The key of what has a file but no session."""
+    return F.concat(F.lit("path:"), F.col(path))
+
+
+def _key(table: str):
+    return F.coalesce("session_id", _no_session("raw_path")) if table == "errata" else F.col("session_id")
 
 
 class Vault:
@@ -35,11 +53,16 @@ class Vault:
     # Storage ---------------------------------------------------------------------------------------------------------
 
     def init(self) -> "Vault":
-        """Make an empty vault; one that is there stays as it is."""
+        """Make an empty vault; one that is there stays as it is, brought to the present format."""
         if self._latest() is None:
-            self._publish({"version": 1, "tables": {t: {} for t in TABLES}, "config": {}})
+            self._publish({"version": 1, "format": FORMAT, "segments": [], "config": {}})
+        else:
+            self.migrate()
         return self
 
+    def exists(self) -> bool:
+        return self._latest() is not None
+
     def _latest(self) -> int | None:
         if not self._fs.exists(self._path("manifests")):
             return None
@@ -61,68 +84,169 @@ class Vault:
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
 
-    def table(self, name: str, manifest: dict | None = None, buckets: list[int] | None = None) -> DataFrame:
-        found = (manifest or self.manifest())["tables"][name]
-        paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in found.items() if v and (buckets is None or int(b) in buckets)]
-        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
-
-    def _commit(self, manifest: dict, changed: dict[str, DataFrame], buckets: list[int], config: dict | None = None) -> None:
-        version = manifest["version"] + 1
-        for name, rows in changed.items():
-            place = F.pmod(F.xxhash64(F.coalesce("session_id", F.lit(""))), F.lit(BUCKETS)).cast("int")
-            target = f"{self.path}/{name}/v={version}"
-            rows.withColumn("bucket", place).repartition("bucket").sortWithinPartitions("bucket", "session_id").write.partitionBy("bucket").parquet(target)
-            written = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(f"{name}/v={version}")) if "=" in f.getPath().getName()}
-            manifest["tables"][name] |= {str(b): version if b in written else 0 for b in buckets}
-        self._publish(manifest | {"version": version, "config": manifest["config"] | (config or {})})
-
-    def _buckets(self, keys: DataFrame) -> list[int]:
-        place = F.pmod(F.xxhash64(F.coalesce("session_id", F.lit(""))), F.lit(BUCKETS)).cast("int")
-        return [r.b for r in keys.select(place.alias("b")).distinct().collect()]  # BUCKETS at most
-
-    def replace(self, incoming: dict[str, DataFrame]) -> None:
-        """Everything the vault holds of the incoming sessions goes, and the incoming rows come, in one change."""
+    def migrate(self) -> bool:
+        """Bring a vault of format 1, whose tables lie in buckets of several versions, to the present one. Columns that came
+        later are null in older rows, so tables need no rewriting beyond that. Returns whether anything was done."""
         manifest = self.manifest()
-        arrived = incoming["sessions"].select("session_id").distinct().unionByName(incoming["errata"].where("session_id is null").select(F.lit("").alias("session_id")).limit(1))
-        buckets = self._buckets(arrived)
-        changed = {}
+        if manifest.get("format", 1) >= FORMAT:
+            return False
+        rows = {}
         for name, schema in TABLES.items():
-            new = shaped(incoming[name], schema)
+            paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in manifest["tables"][name].items() if v]
+            rows[name] = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        version = manifest["version"] + 1
+        n = self._write(version, rows, self._keys(rows))
+        self._publish({"version": version, "format": FORMAT, "segments": [[version, n]] if n else [], "config": manifest["config"]})
+        return True
+
+    def table(self, name: str, manifest: dict | None = None, segments: list | None = None) -> DataFrame:
+        """The rows of a table that no later segment replaces."""
+        if segments is None:
+            segments = (manifest or self.manifest())["segments"]
+        schema = ALL[name]
+        read = lambda kind, v, form: self.spark.read.schema(form).parquet(f"{self.path}/{kind}/v={v}")
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        newest = read(name, segments[-1][0], schema)
+        if len(segments) == 1:
+            return newest
+        older = [read(name, v, schema).withColumn("_segment", F.lit(v)) for v, _ in segments[:-1]]
+        gone = [read("replaced", v, REPLACED).withColumn("_by", F.lit(v)) for v, _ in segments[1:]]
+        last = reduce(DataFrame.unionByName, gone).groupBy("key").agg(F.max("_by").alias("_by"))
+        rows = reduce(DataFrame.unionByName, older).join(last, _key(name) == F.col("key"), "left").where("_by is null or _by <= _segment")
+        return rows.select(*schema.names).unionByName(newest)
+
+    @staticmethod
+    def _keys(rows: dict[str, DataFrame]) -> DataFrame:
+        """What arriving rows replace: their sessions, and errata without a session of the same files."""
+        files = rows["sessions"].select("raw_path").unionByName(rows["errata"].where("session_id is null").select("raw_path"))
+        keys = rows["sessions"].select(F.col("session_id").alias("key")).unionByName(files.where("raw_path is not null").select(_no_session("raw_path").alias("key")))
+        return keys.distinct()
+
+    def _write(self, version: int, rows: dict[str, DataFrame], keys: DataFrame) -> int:
+        """Write a segment; returns its number of keys."""
+        place = lambda name: f"{self.path}/{name}/v={version}"
+
+        def write(name: str) -> None:
+            if name == "replaced":
+                keys.write.parquet(place(name))
+                return
+            new = shaped(rows[name], TABLES[name])
             if name == "messages":
-                new = new.withColumn("ingested_at", F.coalesce("ingested_at", F.current_timestamp()))
-            changed[name] = replace_sessions(self.table(name, manifest, buckets), new, arrived)
-        self._commit(manifest, changed, buckets)
+                new = new.withColumn("ingested_at", F.coalesce("ingested_at", F.current_timestamp())).withColumn("n_tokens", F.size(fulltext.tokens(F.col("content"))))
+            new.sortWithinPartitions("session_id").write.parquet(place(name))
+
+        with ThreadPoolExecutor(len(TABLES) + 1) as pool:  # the jobs don't need each other
+            list(pool.map(write, [*TABLES, "replaced"]))
+        messages = self.spark.read.schema(TABLES["messages"]).parquet(place("messages"))
+        index = fulltext.index(fulltext.token_table(messages.select("session_id", "uuid", "source_seq", "content")), ("session_id", "uuid", "source_seq"))
+        # dealt by word, and a frequent word by its texts too
+        index.select(*POSTINGS.names).repartitionByRange("term", "uuid").sortWithinPartitions("term", "uuid").write.parquet(place("postings"))
+        return self.spark.read.schema(REPLACED).parquet(place("replaced")).count()
+
+    def _append(self, manifest: dict, rows: dict[str, DataFrame], keys: DataFrame | None = None, config: dict | None = None) -> list:
+        version = manifest["version"] + 1
+        n = self._write(version, rows, self._keys(rows) if keys is None else keys)
+        segments = [*manifest["segments"], [version, n]] if n else manifest["segments"]
+        self._publish(manifest | {"version": version, "segments": segments, "config": manifest["config"] | (config or {})})
+        self.merge()
+        return [version, n]
+
+    def merge(self, all_of_them: bool = False) -> None:
+        """Merge the newest segments as far back as MERGE_SHARE asks, or all. Their rows are read once and written once."""
+        manifest = self.manifest()
+        segments = manifest["segments"]
+        at = max(0, len(segments) - 1)
+        while at and (all_of_them or sum(n for _, n in segments[at:]) > MERGE_SHARE * segments[at - 1][1]):
+            at -= 1
+        if len(segments) - at < (2 if all_of_them else LEAST_MERGED):
+            return
+        version, part = manifest["version"] + 1, segments[at:]
+        rows = {name: self.table(name, segments=part) for name in TABLES}
+        keys = [self.spark.read.schema(REPLACED).parquet(f"{self.path}/replaced/v={v}") for v, _ in part]
+        n = self._write(version, rows, reduce(DataFrame.unionByName, keys).distinct())
+        self._publish(manifest | {"version": version, "segments": [*segments[:at], [version, n]]})
+
+    def vacuum(self) -> int:
+        """Remove the files of segments and manifests that the last manifest doesn't need; nothing must be reading them.
+        Returns how many folders and files went."""
+        manifest, gone = self.manifest(), 0
+        needed = {f"v={v}" for v, _ in manifest["segments"]}
+        for name in (*ALL, "replaced", "usage_summary"):
+            kept = {f"v={manifest['config'].get('rollup')}"} if name == "usage_summary" else needed
+            if self._fs.exists(self._path(name)):
+                for f in self._fs.listStatus(self._path(name)):
+                    if f.getPath().getName() not in kept:
+                        gone += bool(self._fs.delete(f.getPath(), True))
+        for f in self._fs.listStatus(self._path("manifests")):
+            if f.getPath().getName() != f"{manifest['version']:08d}.json":
+                gone += bool(self._fs.delete(f.getPath(), False))
+        return gone
+
+    def replace(self, incoming: dict[str, DataFrame]) -> list:
+        """Everything the vault holds of the incoming sessions goes, and the incoming rows come, in one change. Returns the
+        segment: its version and number of keys."""
+        return self._append(self.manifest(), incoming)
 
     # Taking in and giving out ----------------------------------------------------------------------------------------
 
-    def ingest(self, path: str, recency: Recency = Recency()) -> list[dict]:
-        """Take in the sessions at a path; those taken in before are replaced. Returns a row a session."""
+    def ingest(self, path: str | list[str], recency: Recency = Recency()) -> DataFrame:
+        """Take in the sessions at a path (or of a list of session files); those taken in before are replaced. Returns a row
+        a session, as written."""
         parsed = read_sessions(self.spark, path, recency)
         fixed = {name: rows.persist() for name, rows in parsed_tables(parsed).items()}
         try:
-            self.replace(fixed)
-            return [r.asDict() for r in summary(parsed).collect()]
+            segment = self.replace(fixed)
         finally:
-            for rows in fixed.values():
+            for rows in (*fixed.values(), parsed.held):
                 rows.unpersist()
+        return summary(self.table("sessions", segments=[segment]))
 
-    def grep(self, pattern: str, limit: int = 20, project: str | None = None) -> list[dict]:
-        from .functions.columns import snippet
+    def note(self, path: str, message: str) -> None:
+        """Record that a file could not be taken in."""
+        errata = self.spark.createDataFrame([(None, None, "ingest_error", message[:500], path)], TABLES["errata"])
+        rows = {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()} | {"errata": errata}
+        self._append(self.manifest(), rows)
 
+    def grep(self, pattern: str, limit: int = 20, project: str | None = None) -> list[dict]:
+        """The best messages for a pattern. The index is read for the pattern's words only; of messages, their lengths, and
+        the rows that are given back."""
         fulltext.parse(pattern)
-        rows = self.table("messages").select("session_id", "source_seq", "role", "content").withColumn("snippet", snippet(F.col("content")))
+        manifest = self.manifest()
+        messages = self.table("messages", manifest)
+        sizes = messages.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+        postings = self.table("postings", manifest)
         if project is not None:
-            slugs = self.table("sessions").select("session_id", "project_slug")
-            rows = rows.join(slugs, "session_id", "left")
-        found = fulltext.search(fulltext.token_table(rows), pattern, limit, ("session_id", "source_seq"), where=None if project is None else F.col("project_slug") == project)
-        return [r.asDict() for r in found.select("session_id", "role", "snippet", "rank").collect()]
+            own = self.table("sessions", manifest).where(F.col("project_slug") == project).select("session_id")
+        order = ("session_id", "source_seq", "uuid")
+        found = fulltext.search_index(postings, sizes["n"], sizes["tokens"], pattern, limit, order, where=None if project is None else own)
+        best = {r.uuid: r for r in found.collect()}  # limit rows
+        if not best:
+            return []
+        of = messages.where(F.col("session_id").isin(*{r.session_id for r in best.values()}) & F.col("uuid").isin(*best))
+        texts = {r.uuid: r for r in of.select("uuid", "role", snippet(F.col("content")).alias("snippet")).collect()}
+        return [{"session_id": r.session_id, "role": texts[k].role, "snippet": texts[k].snippet, "rank": r["rank"]} for k, r in best.items()]
 
     def sessions(self) -> DataFrame:
         """All sessions, with parents that the vault holds."""
         return resolve_parents(self.table("sessions"))
 
     def export(self, session_id: str) -> str:
-        return export.export_markdown(self.table("sessions"), self.table("messages"), self.table("tool_calls"), session_id)
+        manifest = self.manifest()
+        return export.export_markdown(*(self.table(t, manifest) for t in ("sessions", "messages", "tool_calls")), session_id)
+
+    def projects(self) -> DataFrame:
+        """root_path, slug, git_remote, git_owner, git_repo and session_count of each project folder; remotes as last found."""
+        found = self.manifest()["config"].get("remotes", {})
+        return projects.projects(self.table("sessions"), self.spark.createDataFrame([*found.items()], projects.REMOTES))
+
+    def find_remotes(self) -> int:
+        """Ask git on this machine for the origins of the project folders that are here. Returns how many are known."""
+        roots = [r.root_path for r in projects.projects(self.table("sessions")).select("root_path").toLocalIterator()]
+        manifest = self.manifest()
+        found = manifest["config"].get("remotes", {}) | dict(projects.read_remotes(roots))
+        self._publish(manifest | {"version": manifest["version"] + 1, "config": manifest["config"] | {"remotes": found}})
+        return len(found)
 
     # Vectors ---------------------------------------------------------------------------------------------------------
 
@@ -138,15 +262,16 @@ class Vault:
             if model is None:
                 model, _ = embedding.run_embedder(provider, [])
             count = done.count()
-            sessions, touched = self.table("sessions", manifest), done.select("session_id").distinct()
-            buckets = self._buckets(touched)
+            touched = done.select("session_id").distinct().persist()
+            own = {name: self.table(name, manifest).join(touched, "session_id", "left_semi") for name in TABLES}
             new = done.select(F.col("uuid").alias("u"), F.col("embedding").alias("fresh"))
-            rows = self.table("messages", manifest, buckets).join(new, F.col("uuid") == F.col("u"), "left").withColumn("embedding", F.coalesce("fresh", "embedding")).drop("u", "fresh")
-            means = vectors.mean_vectors(done if scope == "run" else rows.join(touched, "session_id", "left_semi"), "session_id")
-            means = means.select(F.col("session_id").alias("s"), F.col("embedding").alias("mean"))
-            summed = self.table("sessions", manifest, buckets).join(means, F.col("session_id") == F.col("s"), "left").withColumn("summary_embedding", F.coalesce("mean", "summary_embedding")).drop("s", "mean")
+            rows = own["messages"].join(new, F.col("uuid") == F.col("u"), "left").withColumn("embedding", F.coalesce("fresh", "embedding")).drop("u", "fresh")
+            means = vectors.mean_vectors(done if scope == "run" else rows, "session_id").select(F.col("session_id").alias("s"), F.col("embedding").alias("mean"))
+            own["messages"] = rows
+            own["sessions"] = own["sessions"].join(means, F.col("session_id") == F.col("s"), "left").withColumn("summary_embedding", F.coalesce("mean", "summary_embedding")).drop("s", "mean")
             config = {"embedding_model": model.name, "embedding_dimensions": model.dimensions, "embedding_provider": provider}
-            self._commit(manifest, {"messages": shaped(rows, TABLES["messages"]), "sessions": shaped(summed, sessions.schema)}, buckets, config)
+            self._append(manifest, own, touched.select(F.col("session_id").alias("key")), config)
+            touched.unpersist()
             return count
         except PythonException as e:
             raise EmbedderError(str(e).strip().splitlines()[-1] if "EmbedderError" not in str(e) else str(e).partition("EmbedderError: ")[2].splitlines()[0]) from None
@@ -165,8 +290,6 @@ class Vault:
         model, found = embedding.run_embedder(config["embedding_provider"], [("query", query)])
         if model.dimensions != config["embedding_dimensions"]:
             raise UsageError(f"the query's vector has {model.dimensions} numbers, those of the vault have {config['embedding_dimensions']}")
-        from .functions.columns import snippet
-
         rows = rows.select("session_id", "source_seq", "role", snippet(F.col("content")).alias("snippet"), "embedding")
         near = vectors.nearest(rows, vectors.vector_literal(found["query"]), limit, ("session_id", "source_seq"))
         return [r.asDict() for r in near.select("session_id", "role", "snippet", "distance").collect()]
@@ -212,8 +335,3 @@ class Vault:
         version = manifest["version"] + 1
         (new if old is None else report.merge_rollup(old, new)).write.parquet(f"{self.path}/usage_summary/v={version}")
         self._publish(manifest | {"version": version, "config": manifest["config"] | {"rollup": version}})
-
-    def embed_since(self, day: str) -> Recency:
-        from datetime import timezone
-
-        return Recency(datetime.combine(parse_day(day), datetime.min.time(), timezone.utc))
