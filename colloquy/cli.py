@@ -30,6 +30,8 @@ def _parser() -> argparse.ArgumentParser:
     add("search", "messages nearest to a text", arg("query"), arg("--limit", type=int, default=20))
     add("similar", "sessions like a session", arg("session_id"), arg("--limit", type=int, default=10))
     add("watch", "take in files as they change", arg("paths", nargs="*"), arg("--debounce", type=int, default=1500), arg("--interval", type=int, default=60), arg("--once", action="store_true"))
+    add("projects", "the folders that sessions ran in")
+    add("vacuum", "remove files that no reader needs any more")
     add("autostart", "a service file that runs watch", arg("paths", nargs="*"), arg("--remove", action="store_true"))
     add("report", "usage in a period", arg("--period", choices=KINDS[:-1]), arg("--from", dest="start"), arg("--to", dest="end"), arg("--format", default="markdown", choices=("markdown", "md", "json")), arg("--save", action="store_true"), arg("--project"), arg("--source"))
     return top
@@ -53,6 +55,13 @@ def discover(home: str) -> list[str]:
     return [root for roots in default_roots(home).values() for root in roots]
 
 
+def confirm(question: str) -> bool:
+    try:
+        return input(f"{question} [y/N] ").strip().lower() in ("y", "yes")
+    except EOFError:
+        return False
+
+
 def session(name: str = "colloquy"):
     from pyspark.sql import SparkSession
 
@@ -60,13 +69,14 @@ def session(name: str = "colloquy"):
 
 
 def _take_in_all(vault, paths, window, say) -> int:
-    """Each root by itself; a root that fails is told and passed over. Returns how many sessions came."""
+    """Each root by itself; a root that fails is told, recorded and passed over. Returns how many sessions came."""
     total = 0
     for path in paths:
         try:
-            total += len(vault.ingest(path, window))
+            total += vault.ingest(path, window).count()
         except VaultError as e:
             say(f"{path}: {e}")
+            vault.note(path, str(e))
     return total
 
 
@@ -95,18 +105,26 @@ def _run(args, now, say) -> int:
 
     vault = Vault(session(), getattr(args, "path", None) or args.vault if args.command == "init" else args.vault)
     if args.command == "init":
+        if vault.exists() and not args.force:
+            raise UsageError(f"there is a vault at {vault.path}; --force brings it to the present format")
         vault.init()
         say(f"vault at {vault.path}")
     elif args.command == "setup":
+        roots = discover(os.path.expanduser("~"))
+        say("\n".join([f"vault: {vault.path}", *(f"sessions: {r}" for r in roots)]))
+        if not args.yes and not confirm("Take these in?"):
+            say("nothing done")
+            return 0
         vault.init()
-        say(f"{_take_in_all(vault, discover(os.path.expanduser('~')), windows[0], say)} sessions taken in")
+        say(f"{_take_in_all(vault, roots, windows[0], say)} sessions taken in")
         provider = args.provider or vault.manifest()["config"].get("embedding_provider")
         say(f"{vault.embed(provider, windows[1], args.force)} messages embedded" if provider else "nothing embedded: no provider is known")
     elif args.command == "ingest":
-        rows = vault.ingest(args.path, window)
-        for r in rows:
+        count = 0
+        for r in vault.ingest(args.path, window).toLocalIterator():
             say(f"{r['session_id']} {r['source']}: {r['message_count']} messages, {r['tool_call_count']} tool calls, {r['total_tokens']} tokens")
-        say(f"{len(rows)} sessions")
+            count += 1
+        say(f"{count} sessions")
     elif args.command == "grep":
         for r in vault.grep(args.pattern, args.limit, args.project):
             say(f"{r['session_id']} [{r['role']}] {r['snippet']}")
@@ -126,10 +144,15 @@ def _run(args, now, say) -> int:
             say(f"{r['distance']:.4f} {r['session_id']}")
         if not found:
             say("the session has no vector, or no other has; run embed first")
+    elif args.command == "projects":
+        for r in vault.projects().orderBy("root_path").toLocalIterator():
+            say(f"{r['root_path']} {r['slug']} {r['git_owner'] or '-'}/{r['git_repo'] or '-'}: {r['session_count']} sessions")
+    elif args.command == "vacuum":
+        say(f"{vault.vacuum()} folders and files removed")
     elif args.command == "watch":
         from .streaming.watch import watch
 
-        query = watch(vault, args.paths or discover(os.path.expanduser("~")), f"{vault.path}/watch", args.debounce, args.once, say)
+        query = watch(vault, args.paths or discover(os.path.expanduser("~")), f"{vault.path}/watch", args.debounce, args.once, say, args.interval)
         if not args.once:
             query.awaitTermination()
     else:

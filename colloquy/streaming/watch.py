@@ -1,11 +1,12 @@
-"""Watching folders: a stream of changed session files, each taken in anew.
+"""Watching folders: a stream of changed session files, taken in anew in batches.
 
 Spark's file stream never reads a file again that has grown, so the source here lists files and their modification times
-and gives those whose time has changed; its offset is the table of times. A trigger's interval is the debounce: a file
-changed many times within it comes once.
+and gives those whose time has changed; its offset is the table of times. A file comes when it has been quiet for the
+debounce, so one that is being written comes once, after its last change. Stores (SQLite) are looked at once an interval.
 """
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -13,9 +14,16 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from ..sources.roots import session_files
 
 
+STORES = (".db", ".sqlite")
+#: Files taken in by one change of the vault, and so held by the driver, at most.
+FILES_A_CHANGE = 1_000
+
+
 class _Changes(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.paths, self.known = json.loads(options["paths"]), json.loads(options.get("known", "{}"))
+        self.debounce, self.interval = float(options.get("debounce", "0")), float(options.get("interval", "0"))
+        self.polled = 0.0  # after a new start stores are looked at at once
 
     def initialOffset(self):
         return {"files": json.dumps(self.known)}
@@ -24,9 +32,18 @@ class _Changes(SimpleDataSourceStreamReader):
         return {name: at for path in self.paths for name, at in session_files(path).items()}
 
     def read(self, start):
-        before, now = json.loads(start["files"]), self._list()
-        changed = [(name, at) for name, at in sorted(now.items()) if before.get(name) != at]
-        return iter(changed), {"files": json.dumps(now)}
+        before, now = json.loads(start["files"]), time.time()
+        poll = now - self.polled >= self.interval
+        self.polled = now if poll else self.polled
+        seen = {}
+        for name, at in self._list().items():
+            due = poll if name.endswith(STORES) else now - at >= self.debounce
+            if due or before.get(name) == at:
+                seen[name] = at
+            elif name in before:
+                seen[name] = before[name]  # as before, so it comes when it is due
+        end = {"files": json.dumps(seen)}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start, end):
         before, now = json.loads(start["files"]), json.loads(end["files"])
@@ -34,7 +51,8 @@ class _Changes(SimpleDataSourceStreamReader):
 
 
 class SessionChanges(DataSource):
-    """Format `session_changes`: path and mtime of session files that are new or have changed. Option paths: a JSON list."""
+    """Format `session_changes`: path and mtime of session files that are new or have changed. Options: paths (a JSON list),
+    debounce and interval (seconds)."""
 
     @classmethod
     def name(cls):
@@ -47,29 +65,52 @@ class SessionChanges(DataSource):
         return _Changes(self.options)
 
 
-def changes(spark: SparkSession, paths: list[str], known: dict[str, float] | None = None) -> DataFrame:
+def changes(spark: SparkSession, paths: list[str], known: dict[str, float] | None = None, debounce: float = 0.0, interval: float = 0.0) -> DataFrame:
     spark.dataSource.register(SessionChanges)
-    return spark.readStream.format("session_changes").option("paths", json.dumps(paths)).option("known", json.dumps(known or {})).load()
+    reader = spark.readStream.format("session_changes").option("paths", json.dumps(paths)).option("known", json.dumps(known or {}))
+    return reader.option("debounce", str(debounce)).option("interval", str(interval)).load()
 
 
 def take_in(vault, report=print):
-    """A batch function: each changed file is taken in by itself, and one that fails doesn't stop the others."""
+    """A batch function: the changed files are taken in together, FILES_A_CHANGE at a time, stores by themselves. If that
+    fails each file is taken in by itself, and one that fails is told, recorded as an erratum, and stops no other."""
 
-    def batch(rows: DataFrame, number: int) -> None:
-        for row in rows.dropDuplicates(["path"]).orderBy("path").toLocalIterator():
+    def alone(paths: list[str]) -> None:
+        for path in paths:
             try:
-                vault.ingest(row.path)
+                vault.ingest(path)
             except Exception as e:  # noqa: BLE001
-                report(f"{row.path}: {e}")
+                report(f"{path}: {e}")
+                vault.note(path, str(e))
+
+    def together(paths: list[str]) -> None:
+        try:
+            if paths:
+                vault.ingest(paths)
+        except Exception:  # noqa: BLE001
+            alone(paths)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        files: list[str] = []
+        for row in rows.select("path").distinct().orderBy("path").toLocalIterator():
+            if row.path.endswith(STORES):
+                alone([row.path])
+                continue
+            files.append(row.path)
+            if len(files) == FILES_A_CHANGE:
+                together(files)
+                files = []
+        together(files)
 
     return batch
 
 
-def watch(vault, paths: list[str], checkpoint: str, debounce_ms: int = 1500, once: bool = False, report=print):
-    """Start the stream; with once, take in what has changed since the last time and stop."""
-    stream = changes(vault.spark, paths).writeStream.foreachBatch(take_in(vault, report)).option("checkpointLocation", checkpoint)
+def watch(vault, paths: list[str], checkpoint: str, debounce_ms: int = 1500, once: bool = False, report=print, interval_s: float = 60.0):
+    """Start the stream; with once, take in what has changed since the last time, at once, and stop."""
+    rows = changes(vault.spark, paths) if once else changes(vault.spark, paths, None, debounce_ms / 1000, interval_s)
+    stream = rows.writeStream.foreachBatch(take_in(vault, report)).option("checkpointLocation", checkpoint)
     if not once:
-        return stream.trigger(processingTime=f"{debounce_ms} milliseconds").start()
+        return stream.trigger(processingTime=f"{max(1, min(debounce_ms, 500))} milliseconds").start()
     query = stream.trigger(processingTime="0 seconds").start()
     query.processAllAvailable()
     query.stop()

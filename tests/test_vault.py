@@ -60,7 +60,7 @@ def sid(native):
 
 
 def test_taking_in_twice_changes_nothing(vault, logs):
-    first = vault.ingest(str(logs))
+    first = vault.ingest(str(logs)).collect()
     assert {r["session_id"]: r["message_count"] for r in first} == {sid("s1"): 3, sid("s2"): 2}
     counts = {t: vault.table(t).count() for t in ("sessions", "messages", "tool_calls", "errata")}
     vault.ingest(str(logs / "a" / "one.jsonl"))
@@ -68,10 +68,83 @@ def test_taking_in_twice_changes_nothing(vault, logs):
     claude_file(logs / "a" / "one.jsonl", "s1", 10, ["only this"])
     vault.ingest(str(logs))
     assert vault.table("messages").count() == 3 and vault.init().table("sessions").count() == 2
+    assert len(vault.manifest()["segments"]) == 3
+    vault.merge(all_of_them=True)
+    assert len(vault.manifest()["segments"]) == 1
+    vault.vacuum()
+    assert vault.table("messages").count() == 3 and vault.table("postings").where("term = 'kafka'").count() == 0
     with pytest.raises(NotFound):
         vault.ingest(str(logs / "missing"))
 
 
+def test_segments_merge_by_size_and_stay_right(vault, logs, monkeypatch):
+    from colloquy import vault as store
+
+    monkeypatch.setattr(store, "MERGE_SHARE", 1e9)  # never
+    for n in range(4):
+        claude_file(logs / "a" / "one.jsonl", "s1", 10, [f"kafka take {n}"] * (n + 1))
+        claude_file(logs / "n" / f"{n}.jsonl", f"n{n}", 11, ["plain words"])
+        vault.ingest(str(logs))
+    found = lambda: ({t: vault.table(t).count() for t in store.ALL}, [r["snippet"] for r in vault.grep("kafka")])
+    before = found()
+    assert len(vault.manifest()["segments"]) == 4 and before[0]["messages"] == 4 + 2 + 4 and before[1] == ["kafka take 3"] * 4
+    monkeypatch.setattr(store, "MERGE_SHARE", 0.5)
+    vault.merge()
+    assert len(vault.manifest()["segments"]) == 1 and found() == before
+    assert vault.vacuum() > 0 and found() == before
+
+
+def test_the_last_path_of_a_session_wins_whole(vault, logs):
+    claude_file(logs / "z" / "again.jsonl", "s1", 10, ["the other copy"])
+    vault.ingest(str(logs))
+    rows = vault.table("messages").where(f"session_id = '{sid('s1')}'").collect()
+    own = vault.table("sessions").where(f"session_id = '{sid('s1')}'").first()
+    assert [r.content for r in rows] == ["the other copy"] and own.message_count == 1 and own.raw_path.endswith("again.jsonl")
+
+
+def test_errata_of_a_file_go_when_it_is_taken_in_again(vault, logs):
+    bad = logs / "bad.jsonl"
+    bad.write_text("no session\n")
+    for _ in range(2):
+        vault.ingest(str(logs))
+        assert [r.kind for r in vault.table("errata").collect()] == ["parse_error"]
+    claude_file(bad, "s9", 12, ["mended"])
+    vault.ingest(str(logs))
+    assert vault.table("errata").count() == 0 and vault.table("sessions").count() == 3
+    vault.note("/some/file", "it broke")
+    assert [(r.kind, r.raw_path) for r in vault.table("errata").collect()] == [("ingest_error", "/some/file")]
+
+
+def test_old_vaults_are_migrated(spark, vault, logs, tmp_path):
+    vault.ingest(str(logs))
+    old = Vault(spark, f"file://{tmp_path}/old")
+    tables = {}
+    for name in ("sessions", "messages", "tool_calls", "errata"):
+        rows = vault.table(name).drop("n_tokens", *([] if name in ("sessions", "errata") else ["raw_path"]))
+        rows.write.parquet(f"{old.path}/{name}/v=2/bucket=0")
+        tables[name] = {"0": 2, "1": 0}
+    old._publish({"version": 2, "tables": tables, "config": {"kept": 1}})
+    old.init()
+    assert old.table("messages").count() == 5 and old.manifest()["config"] == {"kept": 1} and len(old.grep("kafka")) == 1
+    assert not old.migrate()
+
+
+def test_projects_and_remotes(spark, vault, logs, tmp_path):
+    from colloquy.operators import projects
+
+    vault.ingest(str(logs))
+    assert {(r.root_path, r.slug, r.session_count) for r in vault.projects().collect()} == {("/w/app", "app", 1), ("/w/lib", "lib", 1)}
+    urls = {
+        "https://host.example/team/tool.git": ("team", "tool"), "https://user@host.example:8443/team/tool/": ("team", "tool"), "ssh://git@host.example/team/tool.git": ("team", "tool"),
+        "git@host.example:team/tool.git": ("team", "tool"), "https://host.example/group/sub/tool.git": ("group", "sub"), "git@host.example:a/b/c": (None, None), "/a/path": (None, None), "https://host.example/one": (None, None), "": (None, None),
+    }
+    sessions = spark.createDataFrame([(str(k), f"/w/{k}", f"p{k}") for k in range(len(urls))], "session_id string, project_root string, project_slug string")
+    remotes = spark.createDataFrame([(f"/w/{k}", u) for k, u in enumerate(urls)], projects.REMOTES)
+    found = {r.git_remote: (r.git_owner, r.git_repo) for r in projects.projects(sessions, remotes).collect()}
+    assert found == urls
+    assert projects.read_remotes([str(tmp_path)]) == []
+
+
 def test_grep_and_export(vault, logs):
     vault.ingest(str(logs))
     assert [r["snippet"] for r in vault.grep("migrations")] and {r["session_id"] for r in vault.grep("migrations")} == {sid("s1")}
@@ -97,6 +170,28 @@ def test_embedding_search_and_similar(vault, logs, embedder):
     assert vault.table("messages").where("embedding is null").count() == 3
 
 
+def test_programs_may_answer_late_or_wrongly(tmp_path):
+    from colloquy.operators.embedding import Embedder
+
+    def program(body):
+        path = tmp_path / "program.py"
+        path.write_text(f"#!{sys.executable}\nimport json, sys\n{body}")
+        path.chmod(0o755)
+        return str(path)
+
+    late = program("rows = [json.loads(x) for x in sys.stdin]\nprint(json.dumps({'type': 'model', 'model': 'm', 'dimensions': 1}))\nfor r in rows[::-1]: print(json.dumps({'id': r['id'], 'embedding': [len(r['text'])]}))")
+    with Embedder(late) as running:
+        for k in range(50):
+            running.give([(f"{k}-{j}", "x" * 2000, "s") for j in range(20)])
+        found = running.taken() + running.finish()
+    assert len(found) == 1000 and all(v == [2000.0] and s == "s" for _, s, v in found)
+    head = "print(json.dumps({'type': 'model', 'model': 'm', 'dimensions': 2}))\n"
+    for body in ("sys.exit(3)", "", head, head + "print('{}')", head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1]})) for x in sys.stdin]", head + "[print(json.dumps({'id': 'other', 'embedding': [1, 2]})) for x in sys.stdin]", head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1, 2]})) for x in sys.stdin for _ in 'ab']"):
+        with pytest.raises(EmbedderError), Embedder(program(body)) as running:
+            running.give([("a", "b", None)])
+            running.finish()
+
+
 def test_a_failing_embedder_changes_nothing(vault, logs, tmp_path):
     vault.ingest(str(logs))
     bad = tmp_path / "bad.sh"
@@ -144,6 +239,46 @@ def test_watching_once_takes_in_what_changed(vault, logs, tmp_path, spark):
     claude_file(logs / "c.jsonl", "s3", 12, ["new"])
     watch.watch(vault, [str(logs)], f"file://{tmp_path}/check", once=True, report=told.append)
     assert vault.table("sessions").count() == 3
+    (logs / "store.db").write_text("no database")
+    watch.watch(vault, [str(logs)], f"file://{tmp_path}/check", once=True, report=told.append)
+    assert vault.table("sessions").count() == 3
+
+
+def test_files_come_when_they_are_quiet_and_stores_once_an_interval(tmp_path):
+    import os
+    import time
+
+    file, store = tmp_path / "a.jsonl", tmp_path / "b.db"
+    file.write_text("x")
+    store.write_text("x")
+    reader = watch._Changes({"paths": json.dumps([str(tmp_path)]), "debounce": "60", "interval": "1000"})
+    names = lambda rows: [os.path.basename(p) for p, _ in rows]
+    rows, offset = reader.read(reader.initialOffset())
+    assert names(rows) == ["b.db"]  # the file was written just now
+    os.utime(file, (1, time.time() - 100))
+    os.utime(store, (1, time.time() - 50))
+    rows, after = reader.read(offset)
+    assert names(rows) == ["a.jsonl"] and names(reader.readBetweenOffsets(offset, after)) == ["a.jsonl"]
+    reader.polled -= 2000
+    rows, last = reader.read(after)
+    assert names(rows) == ["b.db"] and names(reader.read(last)[0]) == []
+
+
+def test_one_failing_file_of_a_batch_is_recorded(spark, logs):
+    class Fails:
+        noted, taken = [], []
+
+        def ingest(self, path):
+            if isinstance(path, list) or "one" in path:
+                raise ValueError("broken")
+            self.taken.append(path)
+
+        def note(self, path, message):
+            self.noted.append((path, message))
+
+    fails, told = Fails(), []
+    watch.take_in(fails, told.append)(spark.createDataFrame([("x/one.jsonl", 1.0), ("x/two.jsonl", 1.0)], "path string, mtime double"), 0)
+    assert fails.noted == [("x/one.jsonl", "broken")] and fails.taken == ["x/two.jsonl"] and len(told) == 1
 
 
 def test_periods_and_windows():
@@ -164,7 +299,7 @@ def test_recency_leaves_old_files_out(vault, logs):
     import os
 
     os.utime(logs / "a" / "one.jsonl", (1, 1))
-    assert len(vault.ingest(str(logs), periods.recency(None, "2020-01-01", NOW))) == 1
+    assert vault.ingest(str(logs), periods.recency(None, "2020-01-01", NOW)).count() == 1
 
 
 def test_commands(spark, tmp_path, logs, capsys, monkeypatch):
@@ -175,6 +310,10 @@ def test_commands(spark, tmp_path, logs, capsys, monkeypatch):
     assert run("report", "--from", "2026-06-01", "--to", "2026-06-30") == 0 and said[-1].startswith("# Usage Report — global")
     assert run("report", "--from", "2020-06-01", "--to", "2020-06-30", "--format", "json") == 0 and said[-1] == "no sessions found"
     assert run("ingest", str(logs), "--recency", "1", "--since", "2026-01-01") == 1 and run("report") == 1
+    assert run("init") == 1 and run("init", "--force") == 0 and run("projects") == 0 and "/w/lib lib" in said[-1] and run("vacuum") == 0
+    monkeypatch.setattr(cli, "discover", lambda home: [str(logs)])
+    monkeypatch.setattr("builtins.input", lambda question: "n")
+    assert run("setup") == 0 and said[-1] == "nothing done" and run("setup", "--yes") == 0 and "2 sessions taken in" in said
     assert run("export", sid("s1")) == 0 and run("similar", sid("s1")) == 0 and run("watch", "--once", str(logs)) == 0
     assert run("autostart", "/x") == 0 and "watch /x" in said[-1]
     with pytest.raises(SystemExit) as e:
