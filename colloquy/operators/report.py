@@ -115,10 +115,11 @@ def merge_rollup(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def key_of(a: str, b: str):
-    same = F.col(f"{a}.project").eqNullSafe(F.col(f"{b}.project"))
-    return (F.col(f"{a}.date") == F.col(f"{b}.date")) & (F.col(f"{a}.source") == F.col(f"{b}.source")) & same
+    same = F.col(f"{a}.project").eqNullSafe(F.col(f"{b}.project")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    return (F.col(f"{a}.date") == F.col(f"{b}.date")) & same
 
 
+# The fields of a report's document, with their values where there is nothing, and the labels of its text.
 EMPTY = {
     "total_sessions": 0, "total_input_tokens": 0, "total_output_tokens": 0, "total_cache_read_tokens": 0, "total_cache_write_tokens": 0, "total_tokens": 0, "estimated_cost_usd": None,
     "message_count": 0, "messages_by_role": [], "tool_call_count": 0, "top_tools": [], "error_count": 0, "unique_models": 0, "avg_session_duration_seconds": None, "top_projects": [], "daily_breakdown": [], "sources": [],

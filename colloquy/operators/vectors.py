@@ -1,6 +1,10 @@
-"""Exact nearest neighbours by cosine distance, and mean vectors of sessions."""
+"""Exact nearest neighbours by cosine distance, mean vectors of sessions, and vectors as blobs."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_distance
@@ -16,6 +20,98 @@ def nearest(rows: DataFrame, query: Column, limit: int, order: tuple[str, ...],
     return found.drop(column).orderBy(distance, *order).limit(limit)
 
 
+#: Queries that are compared with all rows at once, and so are sent to all executors at most.
+QUERIES_A_BLOCK = 4096
+
+
+def nearest_to_each(rows: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query, the key and distance of the `limit` rows nearest to each query (columns key and column, as in rows), itself left
+    out; ties by key. Queries are taken in blocks of QUERIES_A_BLOCK; a task keeps the best of its rows for each query, so what is
+    shuffled are queries times tasks times limit rows. Vectors that `nearest` leaves out are left out."""
+    parts = [_block_nearest(rows, block, limit, key, column) for block in _blocks(queries, key, column)]
+    if not parts:
+        kind = rows.schema[key].dataType.simpleString()
+        return rows.sparkSession.createDataFrame([], f"query {kind}, `{key}` {kind}, distance double")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _blocks(queries: DataFrame, key: str, column: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of usable queries of one length, QUERIES_A_BLOCK at a time."""
+    held: dict[int, tuple[list, list]] = {}
+    for row in queries.select(key, column).where(F.col(column).isNotNull()).toLocalIterator():
+        vector = _unit(row[column])
+        if vector is not None:
+            ids, vectors = held.setdefault(len(vector), ([], []))
+            ids.append(row[key])
+            vectors.append(vector)
+            if len(ids) == QUERIES_A_BLOCK:
+                yield ids, np.array(vectors)
+                del held[len(vector)]
+    for ids, vectors in held.values():
+        yield ids, np.array(vectors)
+
+
+def _unit(vector) -> np.ndarray | None:
+    """In double precision; null for a vector without a length."""
+    if vector is None or any(x is None for x in vector):
+        return None
+    x = np.array(vector, "f8")
+    norm = np.linalg.norm(x)
+    return x / norm if norm > 0 and np.isfinite(norm) else None
+
+
+def _block_nearest(rows: DataFrame, block: tuple[list, np.ndarray], limit: int, key: str, column: str) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+    kind = rows.schema[key].dataType
+
+    def best(batches):
+        ids, queries = sent.value
+        near = [[] for _ in ids]  # of each query: (distance, key), the best so far
+        for batch in batches:
+            found = [(k, x) for k, x in zip(batch.column(0).to_pylist(), map(_unit, batch.column(1).to_pylist())) if x is not None and len(x) == queries.shape[1]]
+            for at in range(0, len(found), 1024):
+                part = found[at : at + 1024]
+                distances = 1 - np.array([x for _, x in part]) @ queries.T
+                least = np.argpartition(distances, min(limit, len(part) - 1), axis=0)[: limit + 1]
+                for q in range(len(ids)):
+                    edge = distances[least[:, q], q].max()  # with all that tie with the last
+                    new = [(float(distances[r, q]), part[r][0]) for r in np.flatnonzero(distances[:, q] <= edge) if part[r][0] != ids[q]]
+                    near[q] = sorted([*near[q], *new])[:limit]
+        out = [(ids[q], k, d) for q in range(len(ids)) for d, k in near[q]]
+        columns = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch_kind, batch_kind, pa.float64()))], ["query", key, "distance"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_kind, name = to_arrow_type(kind), kind.simpleString()
+    found = rows.select(key, column).mapInArrow(best, f"query {name}, `{key}` {name}, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def to_blob(vector: Column) -> Column:
+    """The vector as 32-bit little-endian floats, as stores keep it."""
+
+    @F.arrow_udf("binary")
+    def encode(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else np.array(x, "<f4").tobytes() for x in column.to_pylist()], pa.binary())
+
+    return encode(vector)
+
+
+def from_blob(blob: Column) -> Column:
+    """A blob's floats; null where its length isn't a multiple of four."""
+
+    @F.arrow_udf("array<float>")
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or len(x) % 4 else np.frombuffer(x, "<f4").tolist() for x in column.to_pylist()], pa.list_(pa.float32()))
+
+    return decode(blob)
+
+
 def mean_vectors(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame:
     """key and the mean of its vectors, place by place in double precision, given as floats. Partial sums are combined
     before the shuffle, so a session of any length needs no more than its vector's width."""

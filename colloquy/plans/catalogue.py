@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import child_uuid, embed_text, session_uuid, snippet
-from ..operators import fulltext, report, vectors
-from ..operators.periods import Period, period
+from ..functions.porter import stem
+from ..operators import embedding, export, fulltext, projects, report, vectors
+from ..operators.periods import Period, Recency, period
 from . import derived
 from .round_trips import ROUND_TRIPS
 
@@ -45,8 +46,8 @@ def _totals_sql(where: str) -> str:
 
 class _Base:
     def __init__(self, spark: SparkSession, sf_dir: str, when: Period = WHOLE, scope: report.Scope = report.Scope()):
-        self.sessions = report.in_scope(derived.sessions(spark, sf_dir), when, scope)
-        self.messages, self.tool_calls = derived.messages(spark, sf_dir), derived.tool_calls(spark, sf_dir)
+        self.sessions = report.in_scope(derived.sessions(spark, sf_dir, when), when, scope)
+        self.messages, self.tool_calls = derived.messages(spark, sf_dir, when), derived.tool_calls(spark, sf_dir, when)
 
 
 def _totals(spark, sf_dir, when=WHOLE, scope=report.Scope()) -> DataFrame:
@@ -179,6 +180,20 @@ def _grep_sql(phrases: list[tuple[str, int]], matches: str, counts: list[str] |
     SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS snippet, round(-({score}), 6) AS rank FROM q, n WHERE ({matches}){where} ORDER BY -({score}), doc_id LIMIT 20"""
 
 
+# Endings that may be added to a word or a word without its last letter.
+ENDINGS = ("", "s", "es", "ed", "ing", "ings", "ly", "ness", "nesses", "ful", "fulness", "fully", "er", "ers", "ment", "ments", "able", "ation", "edly", "ingly", "ive", "ate", "ated")
+
+
+def _stemmed_sql(*stems: str) -> str:
+    """The words of a stem are those that its endings make and that stem to it; accents are stripped."""
+    conditions = []
+    for word in stems:
+        forms = sorted({base + end for base in (word, word + "e") for end in ENDINGS if stem(base + end) == stem(word)})
+        conditions.append((f"tk[i] IN ({', '.join(map(repr, forms))})", 1))
+    sql = _grep_sql(conditions, " OR ".join(f"len(p{k}) > 0" for k in range(len(stems))))
+    return sql.replace("lower(coalesce(text, ''))", "strip_accents(lower(coalesce(text, '')))", 1)
+
+
 def _near_sql() -> str:
     close = ", list_filter(list_distinct(list_concat(p0, p1)), lambda m: len(list_filter(p0, lambda x: x <= m AND x >= m - 4)) > 0 AND len(list_filter(p1, lambda x: x <= m AND x >= m - 4)) > 0) AS close"
     count = lambda k: f"len(list_filter(p{k}, lambda x: len(list_filter(close, lambda m: x <= m AND x >= m - 4)) > 0))"
@@ -209,6 +224,30 @@ def knn_cosine(spark, sf_dir):
     return vectors.nearest(rows, vectors.vector_literal(query), 20, ("vec_id",)).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def knn_each(spark, sf_dir):
+    """The 5 vectors nearest to every one whose id is divisible by 50, among all."""
+    rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vectors.nearest_to_each(rows, rows.where("vec_id % 50 = 0"), 5)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def vector_blobs(spark, sf_dir):
+    """Vectors written as blobs and read again."""
+    rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_blob(F.col("embedding")).alias("blob"))
+    return rows.select("vec_id", F.length("blob").alias("n_bytes"), F.posexplode(vectors.from_blob(F.col("blob"))).alias("place", "x")).select("vec_id", "n_bytes", "place", "x")
+
+
+def project_remotes(spark, sf_dir):
+    """Folders, with remotes of several forms, resolved to owner and repository."""
+    base = derived.sessions(spark, sf_dir).withColumn("project_root", F.concat(F.lit("/work/"), "project_slug"))
+    slugs = derived.sessions(spark, sf_dir).select("project_slug").distinct().where("project_slug is not null")
+    n = F.regexp_extract("project_slug", r"(\d+)$", 1).cast("int")
+    forms = [F.concat(F.lit(a), n.cast("string"), F.lit(b)) for a, b in (("https://host.example/team", "/tool.git"), ("git@host.example:team", "/tool.git"), ("ssh://git@host.example/team", "/tool/"), ("not a remote ", ""))]
+    url = F.element_at(F.array(*forms), n % 4 + 1)
+    remotes = slugs.select(F.concat(F.lit("/work/"), "project_slug").alias("root_path"), url.alias("git_remote"))
+    return projects.projects(base, remotes)
+
+
 def _means(spark, sf_dir):
     return vectors.mean_vectors(derived.table(spark, sf_dir, "embeddings").select("label", "embedding"), "label")
 
@@ -238,10 +277,21 @@ def snippet_200(spark, sf_dir):
     return derived.turns(spark, sf_dir).select("session_id", "source_seq", snippet(F.col("content")).alias("snippet"))
 
 
-def embed_candidates(spark, sf_dir):
-    """Turns without an embedding (every third has one), ingested since a day, the first 100 in order."""
-    turns = derived.turns(spark, sf_dir).withColumn("embedded", F.col("source_seq") % 3 == 0).withColumn("ingested", F.date_add(F.lit(date(2024, 1, 1)), (F.col("session_id") % 30).cast("int")))
-    return turns.where(~F.col("embedded") & (F.col("ingested") >= F.lit(date(2024, 1, 15)))).orderBy("session_id", "source_seq").limit(100).select("session_id", "source_seq")
+def _embeddable(spark, sf_dir) -> DataFrame:
+    """Turns as messages: every third has a vector, and they came over thirty days."""
+    turns = derived.turns(spark, sf_dir).withColumn("uuid", F.concat_ws("-", "session_id", "source_seq")).withColumn("thinking", F.lit(None).cast("string"))
+    came = F.date_add(F.lit(date(2024, 1, 1)), (F.col("session_id") % 30).cast("int")).cast("timestamp")
+    return turns.withColumn("embedding", F.when(F.col("source_seq") % 3 == 0, F.array(F.lit(1.0)))).withColumn("ingested_at", came)
+
+
+def _candidates(**options):
+    """Messages to embed that were taken in since a day."""
+
+    def run(spark, sf_dir):
+        since = Recency(datetime(2024, 1, 15, tzinfo=timezone.utc)).holds(F.col("ingested_at"))
+        return embedding.candidates(_embeddable(spark, sf_dir), since, **options).select("session_id", "source_seq", F.col("text").alias("input"))
+
+    return run
 
 
 def transcript_order(spark, sf_dir):
@@ -250,10 +300,18 @@ def transcript_order(spark, sf_dir):
 
 
 def transcript_markdown(spark, sf_dir):
-    """A conversation's turns as one text, gathered by conversation in order."""
-    block = F.concat(F.lit("## ["), F.col("source_seq").cast("string"), F.lit("] "), F.col("role"), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
-    gathered = derived.turns(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("source_seq", block.alias("block")))).alias("blocks"))
-    return gathered.select("session_id", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("markdown"))
+    """The transcripts of all conversations; every fifth turn of an assistant asks for a call, every tenth of which fails."""
+    turns = derived.turns(spark, sf_dir)
+    sessions = turns.groupBy("session_id").agg(F.count("*").alias("tool_call_count")).select(
+        "session_id", F.lit(None).cast("string").alias("title"), F.lit("chat").alias("source"), F.concat(F.lit("project"), F.col("session_id") % 10).alias("project_slug"), F.lit("m").alias("model"),
+        F.lit(None).cast("string").alias("started_at"), F.lit(None).cast("string").alias("ended_at"), "tool_call_count", *[F.lit(k).alias(name) for k, (_, name) in enumerate(export.CHANNELS)],
+    )
+    messages = turns.select("session_id", F.concat_ws("-", "session_id", "source_seq").alias("uuid"), "source_seq", F.col("source_seq").alias("turn_number"), "role", "content", F.when(F.col("source_seq") % 7 == 3, F.lit("hm")).alias("thinking"))
+    calls = messages.where("role = 'assistant' and source_seq % 5 = 1").select(
+        "session_id", F.col("uuid").alias("request_message"), "source_seq", F.concat(F.lit("c"), "source_seq").alias("call_id"), F.lit("run").alias("tool_name"),
+        F.when(F.col("source_seq") % 2 == 0, F.lit("{}")).alias("tool_input"), F.lit("done").alias("tool_output"), (F.col("source_seq") % 10 == 1).alias("is_error"),
+    )
+    return export.transcripts(sessions, messages, calls)
 
 
 def session_summary(spark, sf_dir):
@@ -331,6 +389,14 @@ _ROLLUP_SQL = f"""{_S} SELECT dd AS date, source, project_slug AS project, count
 _UNIT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _MEANS = "w AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding) AS x FROM embeddings), mean AS (SELECT label, place, CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS x FROM w GROUP BY label, place)"
 
+_CANDIDATES_SQL = "SELECT conv_id AS session_id, turn AS source_seq, role || chr(10) || coalesce(text, '') AS input FROM conversations WHERE {more}DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) >= DATE '2024-01-15'{limit}"
+_TRANSCRIPT_SQL = """WITH b AS (SELECT conv_id, turn, '## [' || turn || '] ' || role || chr(10) || coalesce(text || chr(10), '') || CASE WHEN turn % 7 = 3 THEN '> **thinking:** hm' || repeat(chr(10), 2) ELSE '' END
+    || CASE WHEN role = 'assistant' AND turn % 5 = 1 THEN '### Tool: run (`c' || turn || '`)' || chr(10) || CASE WHEN turn % 2 = 0 THEN '**Input:**' || chr(10) || '```json' || chr(10) || '{}' || chr(10) || '```' || chr(10) ELSE '' END
+      || '**Output:**' || chr(10) || '```' || chr(10) || 'done' || CASE WHEN turn % 10 = 1 THEN chr(10) || '(error)' ELSE '' END || chr(10) || '```' || repeat(chr(10), 2) ELSE '' END || chr(10) AS block FROM conversations)
+  SELECT conv_id AS session_id, '# Untitled session' || repeat(chr(10), 2) || '- **Session ID:** ' || conv_id || chr(10) || '- **Source:** chat' || chr(10) || '- **Project:** project' || conv_id % 10 || chr(10)
+    || '- **Started:** ? · **Ended:** ?' || chr(10) || '- **Model:** m' || chr(10) || '- **Tokens:** in=0 out=1 cache_r=2 cache_w=3' || chr(10) || '- **Tool calls:** ' || count(*) || chr(10) || chr(10) || '---' || repeat(chr(10), 2) || string_agg(block, '' ORDER BY turn) AS markdown
+  FROM b GROUP BY conv_id"""
+
 QUERIES = {
     "report_totals": (report_totals, _totals_sql(_days())),
     "report_totals_filtered": (report_totals_filtered, _totals_sql(_days(more=" AND project_slug = 'project3' AND source = 'source3'"))),
@@ -354,16 +420,23 @@ QUERIES = {
     "preagg_left_join": (preagg_left_join, f"{_S} SELECT session_id, message_count, tool_call_count FROM c WHERE {_days()}"),
     **{name: (_grep(pattern, project), GREP_SQL[name]) for name, (pattern, project) in GREPS.items()},
     "grep_turns": (grep_turns, GREP_SQL["grep_turns"]),
-    "grep_stemmed": (_grep("worthlessness OR disgusted", stemmed=True), None),
+    "grep_stemmed": (_grep("worthlessness OR disgusted", stemmed=True), _stemmed_sql("worthless", "disgust")),
     "knn_cosine": (knn_cosine, f"WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), r AS (SELECT vec_id, 1 - {_UNIT.format(a='embedding', b='q')} / (sqrt({_UNIT.format(a='embedding', b='embedding')}) * sqrt({_UNIT.format(a='q', b='q')})) AS x FROM embeddings, q) SELECT vec_id, round(x, 6) AS distance FROM r ORDER BY x, vec_id LIMIT 20"),
+    "knn_each": (knn_each, f"WITH r AS (SELECT q.vec_id AS query, e.vec_id, 1 - {_UNIT.format(a='e.embedding', b='q.embedding')} / (sqrt({_UNIT.format(a='e.embedding', b='e.embedding')}) * sqrt({_UNIT.format(a='q.embedding', b='q.embedding')})) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT query, vec_id, round(x, 6) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, vec_id) <= 5"),
+    "vector_blobs": (vector_blobs, "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings"),
+    "project_remotes": (project_remotes, f"""{_S}, p AS (SELECT project_slug AS slug, count(DISTINCT session_id) AS session_count, CAST(regexp_extract(project_slug, '(\\d+)$', 1) AS INTEGER) AS n FROM t WHERE project_slug IS NOT NULL GROUP BY 1)
+      SELECT '/work/' || slug AS root_path, slug, CASE n % 4 WHEN 0 THEN 'https://host.example/team' || n || '/tool.git' WHEN 1 THEN 'git@host.example:team' || n || '/tool.git' WHEN 2 THEN 'ssh://git@host.example/team' || n || '/tool/' ELSE 'not a remote ' || n END AS git_remote,
+      CASE WHEN n % 4 < 3 THEN 'team' || n END AS git_owner, CASE WHEN n % 4 < 3 THEN 'tool' END AS git_repo, session_count FROM p"""),
     "session_mean_embedding": (session_mean_embedding, f"WITH {_MEANS} SELECT label, CAST(place - 1 AS INTEGER) AS place, round(CAST(x AS DOUBLE), 5) AS x FROM mean"),
     "similar_sessions": (similar_sessions, f"WITH {_MEANS}, v AS (SELECT label, list(x ORDER BY place) AS a FROM mean GROUP BY label), q AS (SELECT a AS b FROM v WHERE label = 0), r AS (SELECT label, 1 - {_UNIT.format(a='a', b='b')} / (sqrt({_UNIT.format(a='a', b='a')}) * sqrt({_UNIT.format(a='b', b='b')})) AS x FROM v, q WHERE label <> 0) SELECT label, round(x, 4) AS distance FROM r ORDER BY x, label LIMIT 10"),
     "has_embeddings": (has_embeddings, "SELECT EXISTS (SELECT 1 FROM embeddings WHERE embedding IS NOT NULL) AS has_embeddings"),
     "embed_text": (embed_text_query, "SELECT conv_id AS session_id, turn AS source_seq, role || chr(10) || coalesce(text, '') AS input FROM conversations"),
     "snippet_200": (snippet_200, "SELECT conv_id AS session_id, turn AS source_seq, substr(coalesce(text, ''), 1, 200) AS snippet FROM conversations"),
-    "embed_candidates": (embed_candidates, "SELECT conv_id AS session_id, turn AS source_seq FROM conversations WHERE turn % 3 <> 0 AND DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) >= DATE '2024-01-15' ORDER BY 1, 2 LIMIT 100"),
+    "embed_candidates": (_candidates(), _CANDIDATES_SQL.format(more="turn % 3 <> 0 AND ", limit="")),
+    "embed_candidates_forced": (_candidates(force=True), _CANDIDATES_SQL.format(more="", limit="")),
+    "embed_candidates_limit": (_candidates(limit=100), _CANDIDATES_SQL.format(more="turn % 3 <> 0 AND ", limit=" ORDER BY conv_id, turn LIMIT 100")),
     "transcript_order": (transcript_order, "SELECT conv_id AS session_id, turn AS source_seq, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations"),
-    "transcript_markdown": (transcript_markdown, "SELECT conv_id AS session_id, string_agg('## [' || CAST(turn AS VARCHAR) || '] ' || role || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id"),
+    "transcript_markdown": (transcript_markdown, _TRANSCRIPT_SQL),
     "session_summary": (session_summary, "SELECT conv_id AS session_id, count(*) AS message_count, count(*) FILTER (WHERE role = 'assistant') AS assistant_count, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id"),
     "uuid5_ids": (uuid5_ids, f"WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS native, turn AS source_seq, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || ('claude:' || CAST(conv_id AS VARCHAR))::BLOB) AS h FROM conversations), b AS (SELECT native, source_seq, {_UUID.format(h='h')} AS session_uuid FROM a), c AS (SELECT *, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || (session_uuid || ':' || CAST(source_seq AS VARCHAR))::BLOB) AS g FROM b) SELECT native, source_seq, session_uuid, {_UUID.format(h='g')} AS message_uuid FROM c"),
     "json_extract_props": (json_extract_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
