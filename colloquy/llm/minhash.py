@@ -314,7 +314,8 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables:
 
     First each member of a bucket is compared with the bucket's hub: the member that meets most others in all its buckets,
     as the original of a group of edited copies does. What this joins is one component; buckets that still hold several
-    are compared in blocks of BLOCK_DOCUMENTS, one component's members with another's, inside tasks.
+    are compared in blocks of BLOCK_DOCUMENTS, one component's members with another's, inside tasks. Of a bucket of m members
+    with s outside its largest component, (2 m s - s * s) / BLOCK_DOCUMENTS rows are sent, and m at least.
     """
     cut = (tables or Scratch(docs.sparkSession)).cut
     idf = docs.sparkSession.sparkContext.broadcast(count_shingles(docs))
@@ -338,12 +339,19 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables:
     found = connected_components(linked)
     known = members.join(found, F.col("doc") == F.col("node"), "left").select("band", "hash", "doc", "size", F.coalesce("component", "doc").alias("component"))
     known = cut(known, "known")
-    mixed = known.groupBy("band", "hash").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    mixed = cut(mixed.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash")), "mixed")
-    blocks = F.ceil(F.col("size") / BLOCK_DOCUMENTS).cast("int")
-    rest = known.join(mixed, same_bucket).select("band", "hash", "doc", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
-    rest = rest.withColumn("pair", F.explode(other)).select("*", "pair.x", "pair.y")
+    # A bucket's largest component is joined already, so its members meet the others only: these are dealt to `few` blocks
+    # ahead of `many` of the largest component.
+    parts = known.groupBy("band", "hash", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band", "hash").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_DOCUMENTS).cast("int")
+    mixed = cut(mixed.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many")), "mixed")
+    own, apart = F.pmod(F.xxhash64("doc"), F.col("few")), F.col("few") + F.pmod(F.xxhash64("doc"), F.col("many"))
+    in_main = F.col("component") == F.col("main")
+    rest = known.join(mixed, same_bucket).withColumn("block", F.when(in_main, apart).otherwise(own).cast("int"))
+    last = F.when(in_main, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    other = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
+    rest = rest.select("band", "hash", "doc", "component", "block", other.alias("others"))
+    rest = rest.withColumn("pair", F.explode("others")).select("band", "hash", "doc", "component", "block", "pair.x", "pair.y")
     rest = rest.join(firsts.select(F.col("first").alias("f"), "bands"), F.col("doc") == F.col("f")).join(texts, F.col("doc") == F.col("doc_id"))
     more = cut(_compare_buckets(rest, idf, threshold), "more")
     return copies.unionByName(linked).unionByName(more)

@@ -66,6 +66,30 @@ def test_classes_match_brute_force(spark, documents, rng):
     assert found == {k: want.get(k, k) for k in range(len(texts))}
 
 
+def test_small_blocks_lose_no_link(spark, documents, monkeypatch):
+    """Chains, in which no hub reaches all, and a large group with documents that are nearly like it, over many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCUMENTS", 3)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        chain = words(rng, 80).split()
+        for k in range(24):
+            texts.append(" ".join(chain))
+            chain[(k * 5) % 80] = words(rng, 1) + "y"
+    base = words(rng, 100).split()
+    for k in range(40):
+        copy = list(base)
+        for _ in range(1 if k < 25 else 4):
+            copy[rng.randrange(100)] = f"odd{k}"
+        texts.append(" ".join(copy))
+    docs = documents(list(enumerate(texts)))
+    tables = minhash.count_shingles(docs)
+    vectors = [(f, minhash.weights(tables, f, c)) for f, c in minhash.shingles(texts)]
+    want = components([(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if minhash.similarity(vectors[a], vectors[b]) >= 0.8])
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
+    assert found == {k: want.get(k, k) for k in range(len(texts))}
+
+
 def test_shingles_count_and_stay_within_texts():
     texts = ["a b c d e f", "", "One two", "x y z w v", "... !"]
     found = minhash.shingles(texts)
