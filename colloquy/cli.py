@@ -7,6 +7,7 @@ import sys
 from .errors import VaultError, UsageError
 from .operators import report as reports
 from .operators.periods import KINDS, period, recency, utc_now
+from .sources.discover import discover_all, total_count
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -110,13 +111,18 @@ def _run(args, now, say) -> int:
         vault.init()
         say(f"vault at {vault.path}")
     elif args.command == "setup":
-        roots = discover(os.path.expanduser("~"))
-        say("\n".join([f"vault: {vault.path}", *(f"sessions: {r}" for r in roots)]))
+        found = discover_all(vault.spark, os.path.expanduser("~"), windows[0])
+        say(f"vault: {vault.path}")
+        for d in found:
+            say(f"{d.source}: {d.sessions} sessions in {', '.join(d.roots)}")
+            for error in d.errors:
+                say(f"  {error}")
+        say(f"{total_count(found)} sessions found")
         if not args.yes and not confirm("Take these in?"):
             say("nothing done")
             return 0
         vault.init()
-        say(f"{_take_in_all(vault, roots, windows[0], say)} sessions taken in")
+        say(f"{_take_in_all(vault, [p for d in found for p in d.paths], windows[0], say)} sessions taken in")
         provider = args.provider or vault.manifest()["config"].get("embedding_provider")
         say(f"{vault.embed(provider, windows[1], args.force)} messages embedded" if provider else "nothing embedded: no provider is known")
     elif args.command == "ingest":

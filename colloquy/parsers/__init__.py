@@ -14,7 +14,7 @@ class Parsed:
     messages: DataFrame
     tool_calls: DataFrame
     errata: DataFrame
-    held: DataFrame | None = None  # sessions before they are chosen among, persisted; to be given back when done
+    held: tuple[DataFrame, ...] = ()  # what is persisted meanwhile, to be given back when done
 
     def union(self, other: "Parsed") -> "Parsed":
         return Parsed(*(getattr(self, t).unionByName(getattr(other, t)) for t in TABLES))

@@ -68,8 +68,8 @@ def claude_call_lines(rows: DataFrame) -> DataFrame:
     answered = _nested(type="tool_result", tool_use_id=call, content=F.concat(F.lit("out "), "n"), is_error=F.col("n") % 4 == 0)
     assistant = F.col("role") == "assistant"
     events = F.array(
-        F.struct((F.col("n") * 2).alias("source_seq"), F.when(assistant, event("assistant", F.col("n") * 2, F.array(told, asked))).otherwise(event("user", F.col("n") * 2, F.coalesce("content", F.lit("")))).alias("line")),
-        F.struct((F.col("n") * 2 + 1).alias("source_seq"), F.when(assistant & (F.col("n") % 5 != 0), event("user", F.col("n") * 2 + 1, F.array(answered))).alias("line")),
+        F.struct((F.col("n") * 2 - 1).alias("source_seq"), F.when(assistant, event("assistant", F.col("n") * 2, F.array(told, asked))).otherwise(event("user", F.col("n") * 2, F.coalesce("content", F.lit("")))).alias("line")),
+        F.struct((F.col("n") * 2).alias("source_seq"), F.when(assistant & (F.col("n") % 5 != 0), event("user", F.col("n") * 2 + 1, F.array(answered))).alias("line")),
     )
     return rows.select("path", F.inline(events)).where("line is not null")
 
@@ -196,7 +196,7 @@ ROUND_TRIPS = {
     "parse_copilot_chat": (_messages(chat_lines), _CHAT),
     "parse_opencode": (_messages(opencode_rows), _MESSAGES),
     "parse_hermes": (_messages(hermes_rows), _MESSAGES.replace("CAST(conv_id AS VARCHAR) AS native_id", "'web:' || conv_id AS native_id")),
-    "parse_claude_calls": (_calls(claude_call_lines), _calls_sql("a.n * 2", _OWN_ID, _ANSWERED, "CASE WHEN a.n % 5 <> 0 THEN a.n % 4 = 0 END")),
+    "parse_claude_calls": (_calls(claude_call_lines), _calls_sql("a.n * 2 - 1", _OWN_ID, _ANSWERED, "CASE WHEN a.n % 5 <> 0 THEN a.n % 4 = 0 END")),
     "parse_codex_calls": (_calls(codex_call_lines), _calls_sql("a.n * 3", _OWN_ID, _ANSWERED, "CAST(NULL AS BOOLEAN)")),
     "parse_opencode_calls": (_calls(opencode_rows), _calls_sql("a.n", _OWN_ID, "'out ' || CAST(a.n AS VARCHAR)", "a.n % 4 = 0")),
     "parse_hermes_calls": (_calls(hermes_rows), _calls_sql("a.n", "'c'", "'out ' || CAST(g.k AS VARCHAR)", "CAST(NULL AS BOOLEAN)").replace("CAST(a.conv_id AS VARCHAR) AS", "'web:' || a.conv_id AS")),

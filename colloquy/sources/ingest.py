@@ -10,7 +10,6 @@ from ..operators.periods import Recency
 from ..parsers import Parsed, claude, codex, copilot, hermes, opencode
 from ..schemas import TABLES
 from .lines import by_kind, detect_kinds, session_lines
-from .roots import resolve_store
 from .sqlite import store_rows
 
 LINE_PARSERS = {"claude": claude.parse, "codex": codex.parse, "copilot-chat": copilot.parse_chat, "copilot-transcript": copilot.parse_transcript}
@@ -46,22 +45,18 @@ def parse_stores(rows: DataFrame, kinds: list[str] | None = None) -> Parsed:
 
 
 def read_sessions(spark: SparkSession, path: str | list[str], recency: Recency = Recency()) -> Parsed:
-    """A store file, a .jsonl file, a folder of .jsonl files and perhaps a store, or a list of .jsonl files."""
+    """A store file, a .jsonl file, a folder of .jsonl files (stores in it are not read), or a list of .jsonl files."""
     for name in [path] if isinstance(path, str) else path:
         if "://" not in name and not os.path.exists(name):
             raise NotFound(f"no such file or folder: {name}")
-    store = path if isinstance(path, str) and path.endswith((".db", ".sqlite")) else None
-    if store is None and isinstance(path, str) and os.path.isdir(path):
-        store = resolve_store(path)
-    found = None
-    if store:
-        rows = store_rows(spark, store, recency)
+    if isinstance(path, str) and path.endswith((".db", ".sqlite")):
+        rows = store_rows(spark, path, recency).persist()  # read once for all its tables
         kinds = [r.kind for r in rows.select("kind").distinct().collect()]
         found = parse_stores(rows, [k for k in kinds if k in STORE_PARSERS] or ["opencode"])
-    if store != path:
+        found.held = (rows,)
+    else:
         lines = session_lines(spark, path, recency)
-        parsed = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
-        found = parsed if found is None else found.union(parsed)
+        found = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
     return one_path_a_session(found)
 
 
@@ -79,7 +74,7 @@ def one_path_a_session(parsed: Parsed) -> Parsed:
     asked = out.messages.select(F.col("uuid").alias("_request"))
     lost = out.tool_calls.join(asked, F.col("request_message") == F.col("_request"), "left_anti")
     lost = lost.select("session_id", "source_seq", F.lit("unmatched_request").alias("kind"), F.col("call_id").alias("snippet"), "raw_path")
-    return Parsed(out.sessions, out.messages, out.tool_calls, out.errata.unionByName(lost), sessions)
+    return Parsed(out.sessions, out.messages, out.tool_calls, out.errata.unionByName(lost), (*parsed.held, sessions))
 
 
 def summary(sessions: DataFrame) -> DataFrame:

@@ -39,12 +39,13 @@ def line_kind(v: Column) -> Column:
 
 
 def detect_kinds(lines: DataFrame) -> DataFrame:
-    """path and kind of each file, by its first line that isn't blank."""
-    first = lines.groupBy("path").agg(F.min_by("line", "source_seq").alias("line"))
-    return first.select("path", line_kind(F.try_parse_json("line")).alias("kind"))
+    """path and kind of each file, by its very first line; a file that starts with a blank line is of no kind."""
+    first = lines.groupBy("path").agg(F.min_by("line", "source_seq").alias("line"), F.min("source_seq").alias("at"))
+    return first.select("path", F.when(F.col("at") <= 1, line_kind(F.try_parse_json("line"))).alias("kind"))
 
 
 def by_kind(lines: DataFrame) -> DataFrame:
     """The lines with their file's kind."""
-    first = Window.partitionBy("path").orderBy("source_seq")
-    return parsed(lines).withColumn("kind", F.first(line_kind(F.col("v"))).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    whole = Window.partitionBy("path").orderBy("source_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("source_seq") <= 1, line_kind(F.col("v")))).over(whole)
+    return parsed(lines).withColumn("kind", first)

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from ..operators.periods import Recency
 
-# What is asked of each kind of store. {since} is a bound on the start in its own unit.
+# What is asked of each kind of store, within a bound on the sessions' start.
 QUERIES = {
     "opencode": {
         "session": "SELECT id, parent_id, directory, title, time_created, time_updated, model, tokens_input, tokens_output, tokens_cache_read, tokens_cache_write FROM session WHERE time_created >= {since_ms} ORDER BY time_created",
-        "message": "SELECT id, session_id, time_created, data FROM message",
-        "part": "SELECT id, message_id, time_created, data FROM part",
+        "message": "SELECT id, session_id, time_created, data FROM message WHERE session_id IN (SELECT id FROM session WHERE time_created >= {since_ms})",
+        "part": "SELECT id, message_id, time_created, data FROM part WHERE message_id IN (SELECT m.id FROM message m JOIN session s ON s.id = m.session_id WHERE s.time_created >= {since_ms})",
     },
     "hermes": {
         "session": "SELECT * FROM sessions WHERE archived = 0 AND started_at >= {since_s} ORDER BY started_at",
         "every": "SELECT id, source FROM sessions",
-        "message": "SELECT id, session_id, role, content, tool_call_id, tool_calls, reasoning_content, timestamp FROM messages WHERE active = 1",
+        "message": "SELECT id, session_id, role, content, tool_call_id, tool_calls, reasoning_content, timestamp FROM messages WHERE active = 1 AND session_id IN (SELECT id FROM sessions WHERE archived = 0 AND started_at >= {since_s})",
     },
 }
 MARKER = {"hermes": "compression_locks"}

@@ -198,7 +198,7 @@ class Vault:
         try:
             segment = self.replace(fixed)
         finally:
-            for rows in (*fixed.values(), parsed.held):
+            for rows in (*fixed.values(), *parsed.held):
                 rows.unpersist()
         return summary(self.table("sessions", segments=[segment]))
 

@@ -33,6 +33,35 @@ def test_kinds(spark):
     assert {r.path: r.kind for r in detect_kinds(files(spark, **named)).collect()} == {"a": "claude", "b": "codex", "c": "copilot-chat", "d": "copilot-transcript", "e": None}
 
 
+def test_a_blank_first_line_hides_the_kind(spark):
+    lines = number_lines(spark.createDataFrame([("f", "\n" + json.dumps(event(1, "user")))], "path string, value string"))
+    assert [r.kind for r in detect_kinds(lines).collect()] == [None]
+    out = collected(parse_lines(lines))
+    assert out["sessions"] == [] and [e["kind"] for e in out["errata"]] == ["parse_error"]
+
+
+def test_discovery_counts_and_tells_what_fails(spark, tmp_path):
+    from colloquy.sources.discover import discover_all, total_count
+
+    (tmp_path / ".claude/projects/p").mkdir(parents=True)
+    (tmp_path / ".claude/projects/p/a.jsonl").write_text(json.dumps(event(1, "user", {"content": "x"})))
+    (tmp_path / ".claude/projects/p/b.jsonl").write_text("something else")
+    (tmp_path / ".codex/sessions").mkdir(parents=True)
+    (tmp_path / ".hermes").mkdir()
+    (tmp_path / ".hermes/state.db").write_text("no database at all")
+    found = {d.source: d for d in discover_all(spark, str(tmp_path), env={})}
+    assert found["claude"].sessions == 1 and found["codex"].sessions == 0 and found["codex"].errors == []
+    assert found["hermes"].sessions == 0 and "database" in found["hermes"].errors[0] and total_count([*found.values()]) == 1
+
+
+def test_calls_without_their_request_are_errata(spark):
+    from colloquy.sources.ingest import one_path_a_session
+
+    rows = [{"type": "session.start", "sessionId": "q", "timestamp": 0}, {"type": "tool.execution_start", "tool_call_id": "t", "tool_name": "x", "timestamp": 1}, {"type": "user.message", "content": "hi", "timestamp": 2}]
+    out = collected(one_path_a_session(parse_lines(files(spark, f=rows))))
+    assert len(out["tool_calls"]) == 1 and "unmatched_request" in [e["kind"] for e in out["errata"]]
+
+
 def test_claude(spark):
     lines = [
         event(1, "user", {"content": "List files."}),

@@ -311,9 +311,15 @@ def test_commands(spark, tmp_path, logs, capsys, monkeypatch):
     assert run("report", "--from", "2020-06-01", "--to", "2020-06-30", "--format", "json") == 0 and said[-1] == "no sessions found"
     assert run("ingest", str(logs), "--recency", "1", "--since", "2026-01-01") == 1 and run("report") == 1
     assert run("init") == 1 and run("init", "--force") == 0 and run("projects") == 0 and "/w/lib lib" in said[-1] and run("vacuum") == 0
-    monkeypatch.setattr(cli, "discover", lambda home: [str(logs)])
+    home = tmp_path / "home"
+    claude_file(home / ".claude/projects/a/one.jsonl", "s1", 10, ["hello there"])
+    (home / ".claude/projects/a/other.jsonl").write_text("nothing\n")
+    (home / ".hermes").mkdir()
+    (home / ".hermes/state.db").write_text("no database")
+    monkeypatch.setenv("HOME", str(home))
     monkeypatch.setattr("builtins.input", lambda question: "n")
-    assert run("setup") == 0 and said[-1] == "nothing done" and run("setup", "--yes") == 0 and "2 sessions taken in" in said
+    assert run("setup") == 0 and said[-1] == "nothing done" and run("setup", "--yes") == 0 and "1 sessions found" in said and "1 sessions taken in" in said
+    assert any("file is not a database" in x for x in said)
     assert run("export", sid("s1")) == 0 and run("similar", sid("s1")) == 0 and run("watch", "--once", str(logs)) == 0
     assert run("autostart", "/x") == 0 and "watch /x" in said[-1]
     with pytest.raises(SystemExit) as e:
