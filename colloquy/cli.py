@@ -31,7 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     add("search", "messages nearest to a text", arg("query"), arg("--limit", type=int, default=20))
     add("similar", "sessions like a session", arg("session_id"), arg("--limit", type=int, default=10))
     add("watch", "take in files as they change", arg("paths", nargs="*"), arg("--debounce", type=int, default=1500), arg("--interval", type=int, default=60), arg("--once", action="store_true"))
-    add("projects", "the folders that sessions ran in")
+    add("projects", "the folders that sessions ran in", arg("--remotes", action="store_true", help="ask git for their origins first"))
     add("vacuum", "remove files that no reader needs any more")
     add("autostart", "a service file that runs watch", arg("paths", nargs="*"), arg("--remove", action="store_true"))
     add("report", "usage in a period", arg("--period", choices=KINDS[:-1]), arg("--from", dest="start"), arg("--to", dest="end"), arg("--format", default="markdown", choices=("markdown", "md", "json")), arg("--save", action="store_true"), arg("--project"), arg("--source"))
@@ -151,6 +151,8 @@ def _run(args, now, say) -> int:
         if not found:
             say("the session has no vector, or no other has; run embed first")
     elif args.command == "projects":
+        if args.remotes:
+            say(f"{vault.find_remotes()} remotes known")
         for r in vault.projects().orderBy("root_path").toLocalIterator():
             say(f"{r['root_path']} {r['slug']} {r['git_owner'] or '-'}/{r['git_repo'] or '-'}: {r['session_count']} sessions")
     elif args.command == "vacuum":

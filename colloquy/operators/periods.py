@@ -66,9 +66,6 @@ class Recency:
         """Unknown times pass."""
         return F.lit(True) if self.cutoff is None else F.coalesce(ts >= F.lit(self.cutoff), F.lit(True))
 
-    def keeps_mtime(self, seconds: float | None) -> bool:
-        return self.cutoff is None or seconds is None or seconds >= self.cutoff.timestamp()
-
 
 def recency(days: int | None, since: str | None, now: datetime) -> Recency:
     """The last N days, counted from today's midnight, or since a day; not both."""

@@ -5,10 +5,10 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import child_uuid, embed_text, session_uuid, snippet
+from ..functions.columns import child_uuid, embed_text, iso_of_millis, iso_of_seconds, session_uuid, snippet
 from ..functions.porter import stem
 from ..operators import embedding, export, fulltext, projects, report, vectors
-from ..operators.periods import Period, Recency, period
+from ..operators.periods import Period, Recency, period, recency
 from . import derived
 from .round_trips import ROUND_TRIPS
 
@@ -331,6 +331,19 @@ def json_extract_props(spark, sf_dir):
     return rows.select("event_id", parsed.alias("k"))
 
 
+def iso_stamps(spark, sf_dir):
+    """Times as the stores keep them, in milliseconds and in seconds with a fraction, as ISO text."""
+    rows = derived.events(spark, sf_dir)
+    millis = F.unix_millis("ts")
+    return rows.select("event_id", iso_of_millis(millis).alias("of_millis"), iso_of_seconds(millis / 1000).alias("of_seconds"))
+
+
+def recency_window(spark, sf_dir):
+    """What is as new as a day; unknown times (every tenth here) pass."""
+    rows = derived.events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts")))
+    return rows.where(recency(None, "2024-01-20", NOW).holds(F.col("ts"))).select("event_id", "user_id")
+
+
 # The order-dependent cores of the parsers, over events of a user in order ---------------------------------------------------
 
 
@@ -440,6 +453,8 @@ QUERIES = {
     "session_summary": (session_summary, "SELECT conv_id AS session_id, count(*) AS message_count, count(*) FILTER (WHERE role = 'assistant') AS assistant_count, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id"),
     "uuid5_ids": (uuid5_ids, f"WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS native, turn AS source_seq, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || ('claude:' || CAST(conv_id AS VARCHAR))::BLOB) AS h FROM conversations), b AS (SELECT native, source_seq, {_UUID.format(h='h')} AS session_uuid FROM a), c AS (SELECT *, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || (session_uuid || ':' || CAST(source_seq AS VARCHAR))::BLOB) AS g FROM b) SELECT native, source_seq, session_uuid, {_UUID.format(h='g')} AS message_uuid FROM c"),
     "json_extract_props": (json_extract_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
+    "iso_stamps": (iso_stamps, "SELECT event_id, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_millis, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_seconds FROM events"),
+    "recency_window": (recency_window, "SELECT event_id, user_id FROM events WHERE event_id % 10 = 0 OR ts >= TIMESTAMP '2024-01-20'"),
     "dedup_first": (dedup_first, "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2"),
     "fifo_pairing": (fifo_pairing, """WITH x AS (SELECT user_id, event_id, event_type = 'view' AS opens FROM events WHERE event_type IN ('view', 'click')),
       w AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER u AS level FROM x WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),

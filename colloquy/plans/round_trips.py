@@ -168,6 +168,15 @@ def errata_counts(spark, sf_dir):
     return parse_lines(broken).errata.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def unmatched_requests(spark, sf_dir):
+    """Every session starts a call before anyone has spoken, which never ends; its request is no message."""
+    rows = _turns(spark, sf_dir)
+    call = _json(type="tool.execution_start", tool_call_id="early", tool_name="run", timestamp=0)
+    early = rows.select("path").distinct().select("path", F.lit(1).cast("long").alias("source_seq"), call.alias("line"))
+    lines = transcript_lines(rows).withColumn("source_seq", F.col("source_seq") * 2).unionByName(early)
+    return one_path_a_session(parse_lines(lines)).errata.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"))
+
+
 def detect_kind(spark, sf_dir):
     rows = _turns(spark, sf_dir)
     lines = claude_lines(rows.where("path % 3 = 0")).unionByName(codex_lines(rows.where("path % 3 = 1"))).unionByName(transcript_lines(rows.where("path % 3 = 2")))
@@ -205,6 +214,7 @@ ROUND_TRIPS = {
     "parse_codex": (_messages(codex_lines), _MESSAGES),
     "parse_copilot": (_messages(transcript_lines), _MESSAGES),
     "parsed_sessions": (parsed_sessions, f"WITH {_TURNS} SELECT CAST(conv_id AS VARCHAR) AS native_id, count(*) AS message_count, CAST(sum(n) AS BIGINT) AS input_tokens, count(*) AS output_tokens, CAST(sum(n) + count(*) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS error_count FROM r GROUP BY 1"),
+    "unmatched_requests": (unmatched_requests, f"WITH {_TURNS}, k AS (SELECT unnest(['tool_before_any_message', 'unmatched_request', 'dangling_tool_start']) AS kind) SELECT kind, count(DISTINCT conv_id) AS n, count(DISTINCT conv_id) AS sessions FROM r, k GROUP BY kind"),
     "errata_counts": (errata_counts, f"WITH {_TURNS} SELECT 'parse_error' AS kind, count(*) AS n FROM r WHERE n % 3 = 0"),
     "detect_kind": (detect_kind, f"WITH {_TURNS} SELECT CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'copilot-transcript' END AS kind, count(DISTINCT conv_id) AS files FROM r GROUP BY 1"),
 }

@@ -289,7 +289,7 @@ def test_periods_and_windows():
         with pytest.raises(UsageError):
             periods.period(bad[0], NOW, *bad[1:])
     assert periods.recency(2, None, NOW).cutoff == datetime(2026, 6, 28, tzinfo=timezone.utc)
-    assert periods.recency(None, "2026-06-01", NOW).keeps_mtime(datetime(2026, 6, 1, tzinfo=timezone.utc).timestamp())
+    assert periods.recency(None, "2026-06-01", NOW).cutoff == datetime(2026, 6, 1, tzinfo=timezone.utc)
     for bad in ((0, None), (1, "2026-01-01"), (None, "1/2/2026")):
         with pytest.raises(UsageError):
             periods.recency(*bad, NOW)
@@ -310,7 +310,7 @@ def test_commands(spark, tmp_path, logs, capsys, monkeypatch):
     assert run("report", "--from", "2026-06-01", "--to", "2026-06-30") == 0 and said[-1].startswith("# Usage Report — global")
     assert run("report", "--from", "2020-06-01", "--to", "2020-06-30", "--format", "json") == 0 and said[-1] == "no sessions found"
     assert run("ingest", str(logs), "--recency", "1", "--since", "2026-01-01") == 1 and run("report") == 1
-    assert run("init") == 1 and run("init", "--force") == 0 and run("projects") == 0 and "/w/lib lib" in said[-1] and run("vacuum") == 0
+    assert run("init") == 1 and run("init", "--force") == 0 and run("projects", "--remotes") == 0 and "/w/lib lib" in said[-1] and run("vacuum") == 0
     home = tmp_path / "home"
     claude_file(home / ".claude/projects/a/one.jsonl", "s1", 10, ["hello there"])
     (home / ".claude/projects/a/other.jsonl").write_text("nothing\n")
