@@ -20,7 +20,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Most words whose ids a process remembers before it starts anew, and most characters in one call of the encoder.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_100_000
 MAX_WORD_BYTES = 4096
 CHUNK_CHARS = 1_200_000
 BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
