@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             large = tables.cut(large, "large")
             least = tables.cut(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m"), "least")
             small = large.where("true").join(least, F.col("b") == F.col("node"))
-            small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e")).select("e.*")
+            small = small.select(
+                F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e")
+            ).select("e.*")
             stars = tables.cut(small.where("a < b").distinct(), "edges")
             tables.drop(former, near, large, least)
             new = _tally(stars)

@@ -313,17 +313,27 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
     ask for; a graph is sent once for every BLOCKS_A_TASK blocks that query it, a block to half of the shards."""
     spark = vectors.sparkSession
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
-    good = vectors.select("vec_id", F.col("embedding").cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable())
+    good = vectors.select(
+        "vec_id", F.col("embedding").cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding")
+    ).where(F.col("vec_id").isNotNull() & usable())
     keyed = good.withColumn("key", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     with Scratch(spark) as tables:
-        firsts = tables.cut(keyed.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), "vectors")
-        copies = keyed.select("vec_id", "key").join(firsts.select(F.col("key").alias("k"), "first", "times"), F.col("key") == F.col("k")).select("vec_id", "first", "times")
+        firsts = tables.cut(
+            keyed.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), "vectors"
+        )
+        copies = keyed.select("vec_id", "key").join(
+            firsts.select(F.col("key").alias("k"), "first", "times"), F.col("key") == F.col("k")
+        ).select("vec_id", "first", "times")
         copies = cut(copies, "copies")
 
         widths = firsts.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).collect()  # one row a width
         dealt = {r.width: shards or max(LEAST_SHARDS, -(-r.n // max(1, min(SHARD_VECTORS, SHARD_BYTES // (8 * r.width))))) for r in widths}
         # of the blocks about half query a graph
-        salts = {r.width: max(-(-r.n // (2 * BLOCK * BLOCKS_A_TASK)), min(-(-r.n // (2 * BLOCK)), -(-spark.sparkContext.defaultParallelism // dealt[r.width]))) for r in widths}
+        salts = {
+            r.width: max(
+                -(-r.n // (2 * BLOCK * BLOCKS_A_TASK)), min(-(-r.n // (2 * BLOCK)), -(-spark.sparkContext.defaultParallelism // dealt[r.width]))
+            ) for r in widths
+        }
 
         def by_width(numbers: dict):
             return F.coalesce(*[F.when(F.col("width") == w, F.lit(x)) for w, x in numbers.items()]) if numbers else F.lit(1)
@@ -340,18 +350,28 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
             graph.audit(threshold)
             counts, root = graph.own_links(threshold, times)
             blocks = [slice(a, a + BLOCK) for a in range(0, len(first), BLOCK)]
-            columns = [[width], [shard], [graph.entry], [graph.beam], [[first[b].tobytes() for b in blocks]], [[times[b].tobytes() for b in blocks]], [[stored[b].tobytes() for b in blocks]], [counts.tobytes()], [first[root].tobytes()], [graph.pack()]]
+            columns = [
+                [width], [shard], [graph.entry], [graph.beam], [[first[b].tobytes() for b in blocks]], [[times[b].tobytes() for b in blocks]],
+                [[stored[b].tobytes() for b in blocks]], [counts.tobytes()], [first[root].tobytes()], [graph.pack()]
+            ]
             kinds = [pa.int32()] * 4 + [pa.list_(pa.binary())] * 3 + [pa.binary()] * 2 + [pa.list_(pa.binary())]
             return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], GRAPH)
 
         with rows_a_batch(spark, BATCH_ROWS * BLOCK):
-            graphs = tables.cut(rows.select("width", "shard", "first", "times", "embedding").groupBy("width", "shard").applyInArrow(build, SCHEMA), "graphs", maxRecordsPerFile=1)
+            graphs = tables.cut(
+                rows.select("width", "shard", "first", "times", "embedding").groupBy("width", "shard").applyInArrow(build, SCHEMA), "graphs",
+                maxRecordsPerFile=1
+            )
 
         blocks = graphs.select("width", F.col("shard").alias("of"), F.posexplode(F.arrays_zip("ids", "times", "data")).alias("place", "b"))
         asked = F.filter(F.sequence(F.lit(0), by_width(dealt) - 1), lambda s: (s != F.col("of")) & ((F.col("of") < s) == ((F.col("of") + s) % 2 == 0)))
         salt = F.pmod(F.xxhash64("of", "place"), by_width(salts)).cast("int")
         none = F.lit(None)
-        asks = blocks.select("width", F.explode(asked).alias("shard"), none.cast("int").alias("entry"), none.cast("int").alias("beam"), *[F.array(f"b.{c}").alias(c) for c in ("ids", "times", "data")], none.cast("binary").alias("counts"), none.cast("binary").alias("roots"), none.cast("array<binary>").alias("layers"), salt.alias("salt"), F.lit(1).alias("kind"))
+        asks = blocks.select(
+            "width", F.explode(asked).alias("shard"), none.cast("int").alias("entry"), none.cast("int").alias("beam"),
+            *[F.array(f"b.{c}").alias(c) for c in ("ids", "times", "data")], none.cast("binary").alias("counts"), none.cast("binary").alias("roots"),
+            none.cast("array<binary>").alias("layers"), salt.alias("salt"), F.lit(1).alias("kind")
+        )
         sent = graphs.select("*", F.explode(F.sequence(F.lit(0), by_width(salts) - 1)).alias("salt"), F.lit(0).alias("kind"))
         met = sent.unionByName(asks).repartition("width", "shard", "salt").sortWithinPartitions("width", "shard", "salt", "kind")
 
@@ -414,8 +434,13 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
     components = connected_components(inside.unionByName(across))
     counts = found.groupBy(F.col("first").alias("f")).agg(F.sum("n_links").alias("links"))
     of_copies = copies.groupBy("vec_id", "first", "times").agg(F.count("*").alias("rows"))
-    linked = of_copies.join(counts, F.col("first") == F.col("f"), "left").select(F.col("vec_id").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
+    linked = of_copies.join(counts, F.col("first") == F.col("f"), "left").select(
+        F.col("vec_id").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")
+    )
     linked = linked.groupBy("v").agg(F.max("links").alias("links"))
     out = vectors.select("vec_id").join(linked, F.col("vec_id") == F.col("v"), "left").join(components, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
+    )

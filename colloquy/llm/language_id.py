@@ -128,6 +128,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches):
         for batch in batches:
             names, scores = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "lang_score"]
+            )
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, lang_score double")

@@ -87,7 +87,9 @@ def encode_bmp(image: np.ndarray) -> bytes:
     rows = np.zeros((height, (width * 3 + 3) // 4 * 4), "u1")
     rows[:, : width * 3] = image[::-1, :, ::-1].reshape(height, -1)
     put = lambda *xs: b"".join(x.to_bytes(n, "little") for x, n in xs)
-    return b"BM" + put((54 + rows.size, 4), (0, 4), (54, 4), (40, 4), (width, 4), (height, 4), (1, 2), (24, 2), (0, 4), (rows.size, 4), (2835, 4), (2835, 4), (0, 4), (0, 4)) + rows.tobytes()
+    return b"BM" + put(
+        (54 + rows.size, 4), (0, 4), (54, 4), (40, 4), (width, 4), (height, 4), (1, 2), (24, 2), (0, 4), (rows.size, 4), (2835, 4), (2835, 4), (0, 4), (0, 4)
+    ) + rows.tobytes()
 
 
 def decode_image(data: bytes) -> np.ndarray:
@@ -154,7 +156,9 @@ def image_tiles(media: DataFrame, key: str, column: str, height: int = 64, width
                 except (ValueError, IndexError) as e:
                     found.append((None, None, str(e)))
             columns = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(columns, (pa.binary(), pa.string(), pa.string())))], [key, "tile", "dhash", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, kind) for x, kind in zip(columns, (pa.binary(), pa.string(), pa.string())))], [key, "tile", "dhash", "error"]
+            )
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(key, column).mapInArrow(tiles, f"`{key}` {kind}, tile binary, dhash string, error string")
@@ -174,7 +178,10 @@ def text_media(docs: DataFrame) -> DataFrame:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for part in in_chunks(texts, CHUNK_CHARS):
                 media = [encode_netpbm(np.frombuffer(text_payload(x), "u1").reshape(-1, ROW_BYTES // 3, 3)) for x in texts[part]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([len(x.encode()) for x in texts[part]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], pa.array([len(x.encode()) for x in texts[part]], pa.int64()), pa.array(media, pa.binary())],
+                    ["doc_id", "n_bytes", "media"]
+                )
 
     return docs.select("doc_id", "text").mapInArrow(images, "doc_id long, n_bytes long, media binary")
 
@@ -190,12 +197,23 @@ def media_tiles(media: DataFrame, side: int = TILE_SIDE) -> DataFrame:
                 data = batch.column(2)[at].as_py()
                 image = decode_image(data)
                 payload = image.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), tile(image, side, side), difference_hash(image)))
+                rows.append(
+                    (
+                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
+                        tile(image, side, side), difference_hash(image)
+                    )
+                )
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             columns = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "feature"])
-
-    return media.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "feature"]
+            )
+
+    return media.mapInArrow(
+        features,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string"
+    )
 
 
 def store_text_media(docs: DataFrame) -> DataFrame:

@@ -125,7 +125,13 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
                     np.add.at(row, cells, 1)
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         some = [k for k in range(len(blocks)) if blocks[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*(zlib.compress(blocks[k].astype("<i8").tobytes(), 1) for k in some), documents.to_bytes(8, "little")], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*some, -1], pa.int32()),
+                pa.array([*(zlib.compress(blocks[k].astype("<i8").tobytes(), 1) for k in some), documents.to_bytes(8, "little")], pa.binary())
+            ],
+            ["block", "counts"]
+        )
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -133,7 +139,10 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 new = np.frombuffer(data if block < 0 else zlib.decompress(data), "<i8")
                 sums[block] = sums[block] + new if block in sums else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() if k < 0 else zlib.compress(x.tobytes(), 1) for k, x in sums.items()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() if k < 0 else zlib.compress(x.tobytes(), 1) for k, x in sums.items()], pa.binary())],
+            ["block", "counts"]
+        )
 
     schema = "block int, counts binary"  # a block comes from many tasks, so each is summed in some tasks and then in one
     part = F.pmod(F.spark_partition_id(), F.lit(SKETCH_FAN))
@@ -227,7 +236,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float, cut) -> Da
     """pairs: member, leader. Adds linked. A leader's text goes to a task for every MEMBERS_A_TASK members, ahead of theirs."""
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("salts"))
     salts = cut(salts, "salts")
-    members = pairs.join(salts, "leader").select(F.col("member").alias("id"), "leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    members = pairs.join(salts, "leader").select(
+        F.col("member").alias("id"), "leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")
+    )
     leaders = salts.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     asked = members.unionByName(leaders)
     rows = asked.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
@@ -325,7 +336,12 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables:
     copies = copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
     dealt = firsts.select(F.col("first").alias("doc"), F.posexplode("bands").alias("band", "hash"))
-    sizes = cut(dealt.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), "size"), "sizes")
+    sizes = cut(
+        dealt.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1").select(
+            F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), "size"
+        ),
+        "sizes"
+    )
     same_bucket = (F.col("band") == F.col("in_band")) & (F.col("hash") == F.col("in_hash"))
     members = cut(dealt.join(sizes, same_bucket).select("band", "hash", "doc", "size"), "members")
     meets = cut(members.groupBy(F.col("doc").alias("d")).agg(F.sum(F.col("size") - 1).alias("meets")), "meets")
@@ -342,9 +358,17 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables:
     # A bucket's largest component is joined already, so its members meet the others only: these are dealt to `few` blocks
     # ahead of `many` of the largest component.
     parts = known.groupBy("band", "hash", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band", "hash").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = parts.groupBy("band", "hash").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")
+    ).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK_DOCUMENTS).cast("int")
-    mixed = cut(mixed.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many")), "mixed")
+    mixed = cut(
+        mixed.select(
+            F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), F.col("top.component").alias("main"),
+            blocks(F.col("all") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many")
+        ),
+        "mixed"
+    )
     own, apart = F.pmod(F.xxhash64("doc"), F.col("few")), F.col("few") + F.pmod(F.xxhash64("doc"), F.col("many"))
     in_main = F.col("component") == F.col("main")
     rest = known.join(mixed, same_bucket).withColumn("block", F.when(in_main, apart).otherwise(own).cast("int"))

@@ -50,7 +50,12 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     x = x.withColumn("left", F.col("words") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     x = x.withColumn("heavy", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     x = x.withColumn("full", F.col("left") * F.col("weight") >= F.col("cap") * F.col("heavy"))
-    x = x.withColumn("level", F.first(F.when(~F.col("full"), F.col("left") / F.col("heavy")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    x = x.withColumn(
+        "level",
+        F.first(F.when(~F.col("full"), F.col("left") / F.col("heavy")), ignorenulls=True).over(
+            by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+    )
     target = F.when(F.col("full") | F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return x.select("source", "source_size", "weight", target.alias("target"))
 
@@ -67,10 +72,14 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
     ranges = sized.groupBy("source", coarse.alias("span")).agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    at = ranges.join(targets.select(F.col("source").alias("s"), "need"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("ahead") < F.col("need")) & (F.col("ahead") + F.col("words") >= F.col("need")))
+    at = ranges.join(
+        targets.select(F.col("source").alias("s"), "need"), F.col("source").eqNullSafe(F.col("s"))
+    ).where((F.col("ahead") < F.col("need")) & (F.col("ahead") + F.col("words") >= F.col("need")))
     at = tables.cut(at.select("source", "span", "ahead", "need"), "mix-ranges")  # one range a source
 
-    edge = sized.withColumn("span", coarse).alias("d").join(at.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.span") == F.col("r.span")))
+    edge = sized.withColumn("span", coarse).alias("d").join(
+        at.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.span") == F.col("r.span"))
+    )
     edge = edge.groupBy(F.col("r.source").alias("source"), "ahead", "need", "draw").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("so_far", F.col("ahead") + F.coalesce(F.sum("words").over(upto), F.lit(0)))

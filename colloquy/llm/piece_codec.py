@@ -159,7 +159,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 spans = [pieces.spans(text, x) for text, x in zip(texts[part], ids)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4"))
                 flat = np.concatenate(spans)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype("i4"))) for x in (np.concatenate(ids), flat[:, 0], flat[:, 1])]
+                lists = [
+                    pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype("i4"))) for x in (np.concatenate(ids), flat[:, 0], flat[:, 1])
+                ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *lists], ["doc_id", "token_ids", "starts", "ends"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>, starts array<int>, ends array<int>")
@@ -189,7 +191,10 @@ def codec_digests(docs: DataFrame, model: str) -> DataFrame:
                 ids = pieces.encode(texts[part])
                 decoded = pieces.library.decode([x.tolist() for x in ids])
                 spans = [zlib.crc32(pieces.spans(text, x).astype("<i4").tobytes()) for text, x in zip(texts[part], ids)]
-                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]), pa.array(spans, pa.int64())]
+                columns = [
+                    pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]), pa.array(spans, pa.int64())
+                ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 from .common import named
 from .linear import fit_lasso_logistic, sigmoid
 
-STATISTICS = ("n_words", "word_length", "unique_share", "repeat_share", "top_share", "upper_share", "digit_share", "mark_share", "symbol_share", "bar_share", "capital_words", "sentence_words", "line_words", "line_repeat_share", "ended_share", "bracket_share")
+STATISTICS = (
+    "n_words", "word_length", "unique_share", "repeat_share", "top_share", "upper_share", "digit_share", "mark_share", "symbol_share", "bar_share",
+    "capital_words", "sentence_words", "line_words", "line_repeat_share", "ended_share", "bracket_share"
+)
 _LONG_RUN = re.compile(r"[.!?]+(?:\s|$)")
 _SPACE = re.compile(r"\s")
 #: Texts longer than so many characters are counted in parts.

@@ -30,7 +30,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = learn_toxicity(docs, table(spark, sf_dir, "labels"), id_crc("doc_id") % 5 != 0)
     scored = toxicity.toxicity_scores(docs, lexicon)
-    return scored.select("doc_id", _held_out(5, 0), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), "tox_density")
+    return scored.select(
+        "doc_id", _held_out(5, 0), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), "tox_density"
+    )
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,9 @@ def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     def slot(name):
         return F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS))
 
-    bits = ids.select(slot(column).alias("slot")).select((F.col("slot") / 32).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit"))
+    bits = ids.select(slot(column).alias("slot")).select(
+        (F.col("slot") / 32).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")
+    )
     bits = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 32, "u4")
     table[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
@@ -300,7 +302,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         firsts = tables.cut(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "repeated")
         contexts = _contexts(docs, firsts)
         firsts = firsts.join(contexts, (F.col("g1") == F.col("c1")) & (F.col("g2") == F.col("c2")), "left").drop("c1", "c2")
-        others = shared.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("id > first").select("id", "h1", "h2", "before", "after")
+        others = shared.join(
+            firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+        ).where("id > first").select("id", "h1", "h2", "before", "after")
         none = F.lit(None).cast("binary")
         others = others.unionByName(own.select("id", "h1", "h2", none.alias("before"), none.alias("after")))
         others = others.groupBy(F.col("id").alias("_spans_of")).agg(F.collect_set(F.struct("h1", "h2", "before", "after")).alias("_spans"))

@@ -9,7 +9,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -231,7 +230,10 @@ def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> D
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>")
 
 
-def write_tokens(docs: DataFrame, model: str, path: str, end_id: int | None = END_ID, list_encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
+def write_tokens(
+    docs: DataFrame, model: str, path: str, end_id: int | None = END_ID, list_encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES,
+    page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS
+) -> None:
     """Write doc_id, n_tokens and token_ids in ascending order of doc_id (null first), file after file.
 
     list_encoding: "dictionary" or "delta" (binary packed). Rows that share a doc_id stand in the order of their texts.
@@ -241,7 +243,10 @@ def write_tokens(docs: DataFrame, model: str, path: str, end_id: int | None = EN
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     tokens = encode_column(dealt, model, end_id).select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids")
     dictionary = {"parquet.enable.dictionary": "false", "parquet.enable.dictionary#token_ids.list.element": str(list_encoding == "dictionary").lower()}
-    sizes = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20}
+    sizes = {
+        "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
+        "parquet.dictionary.page.size": 1 << 20
+    }
     tokens.write.options(**dictionary, **sizes).option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
 
 
@@ -270,12 +275,20 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
             lists = batch.column(1)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype("i8")), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "file", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(offsets).astype("i8")), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)],
+                ["doc_id", "n_tokens", "ids_crc32", "file", "at"]
+            )
 
     rows = read_tokens(spark, path).select("doc_id", "token_ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     rows = rows.mapInArrow(sums, "doc_id long, n_tokens long, ids_crc32 long, file string, at long")
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     files = read_tokens(spark, path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    files = files.select(F.col("file").alias("in_file"), F.coalesce(F.sum("n").over(Window.orderBy(*_file_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    files = files.select(
+        F.col("file").alias("in_file"),
+        F.coalesce(F.sum("n").over(Window.orderBy(*_file_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")
+    )
     rows = rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return rows.join(files, F.col("file") == F.col("in_file")).select("doc_id", (F.col("start") + F.col("ahead")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(files, F.col("file") == F.col("in_file")).select(
+        "doc_id", (F.col("start") + F.col("ahead")).cast("long").alias("start"), "n_tokens", "ids_crc32"
+    )

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from colloquy.llm import media, piece_codec, token_columns
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-TEXTS = ["Hello world.", "", " lead and  two spaces ", "über\nnaïve\tçà  ", "日本語 ☃ 🙂 a", "a<|endoftext|> b", "x" * 5000, "don't stop, can’t? 3.14 ½", "nb  sp", "<s> </s> <unk> ▁x"]
+TEXTS = [
+    "Hello world.", "", " lead and  two spaces ", "über\nnaïve\tçà  ", "日本語 ☃ 🙂 a", "a<|endoftext|> b", "x" * 5000, "don't stop, can’t? 3.14 ½", "nb  sp",
+    "<s> </s> <unk> ▁x"
+]
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +68,10 @@ def test_compiled_map_normalises_as_the_library_does(tmp_path, squeeze):
 
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
-    pairs = {"ﬁ".encode(): b"fi", "A".encode(): b"a", "AB".encode(): b"z", "　".encode(): b" ", "①".encode(): b"(1)", b"\t": b" ", "é".encode(): "e".encode(), b"q": b""}
+    pairs = {
+        "ﬁ".encode(): b"fi", "A".encode(): b"a", "AB".encode(): b"z", "　".encode(): b" ", "①".encode(): b"(1)", b"\t": b" ", "é".encode(): "e".encode(),
+        b"q": b""
+    }
     model.normalizer_spec.precompiled_charsmap = compiled_map(pairs)
     model.normalizer_spec.remove_extra_whitespaces = squeeze
     path = tmp_path / "mapped.model"
@@ -120,7 +126,10 @@ def test_codec_digests_of_a_table(spark, documents, empty, pieces):
 
 def test_words_encode_as_the_tokenizer_does():
     encoder = token_columns.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [*TEXTS, "word, word. word!! (word) it's it’s a1b2 x\n\ny z_w", "tail.\nNext line's end,  double", "é. ñ, ß! ½ ²x", "a \x01b, c", "one,two 3,4 x., y", ", z"]
+    texts = [
+        *TEXTS, "word, word. word!! (word) it's it’s a1b2 x\n\ny z_w", "tail.\nNext line's end,  double", "é. ñ, ß! ½ ²x", "a \x01b, c", "one,two 3,4 x., y",
+        ", z"
+    ]
     for _ in range(2):
         ids, counts = encoder.encode(texts)
         for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
@@ -130,7 +139,10 @@ def test_words_encode_as_the_tokenizer_does():
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     encoder = token_columns.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     monkeypatch.setattr(token_columns, "_FACTORS", np.ones(token_columns.MAX_WORD_BYTES, "u8"))  # anagrams agree, and worse
-    chunks = [["first of all", "on no no on", "stop pots tops", "was saw"], ["first no", "saw", "the pots are tops"], ["first on", "a no", "opts"], ["first az by", "zz"]]
+    chunks = [
+        ["first of all", "on no no on", "stop pots tops", "was saw"], ["first no", "saw", "the pots are tops"], ["first on", "a no", "opts"],
+        ["first az by", "zz"]
+    ]
     for texts in chunks:
         ids, counts = encoder.encode(texts)
         for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
@@ -212,7 +224,10 @@ def test_area_resize_is_the_mean_under_each_pixel():
 
 def test_tiles_and_broken_images(spark):
     image = np.arange(300, dtype="u1").reshape(10, 10, 3)
-    rows = [(1, bytearray(media.encode_netpbm(image))), (2, bytearray(media.encode_bmp(image))), (3, None), (4, bytearray(b"")), (5, bytearray(b"P6 9 9 255\nshort")), (6, bytearray(b"GIF89a"))]
+    rows = [
+        (1, bytearray(media.encode_netpbm(image))), (2, bytearray(media.encode_bmp(image))), (3, None), (4, bytearray(b"")),
+        (5, bytearray(b"P6 9 9 255\nshort")), (6, bytearray(b"GIF89a"))
+    ]
     found = {r.k: r for r in media.image_tiles(spark.createDataFrame(rows, "k long, data binary"), "k", "data", 4, 4).collect()}
     assert found[1].tile == found[2].tile and found[1].dhash == found[2].dhash and found[1].error is None
     assert np.load(io.BytesIO(found[1].tile)).shape == (4, 4, 3)
@@ -222,7 +237,10 @@ def test_tiles_and_broken_images(spark):
 def test_tiles_of_any_sample_range(spark):
     rng = np.random.default_rng(6)
     image = rng.integers(0, 16, (8, 8)).astype("u1")
-    files = [b"P5 8 8 15\n" + image.tobytes(), b"P5 8 8 255\n" + (image * 17).tobytes(), b"P5 8 8 65535\n" + (image.astype(">u2") * 4369).tobytes(), b"P2 8 8 15\n" + b" ".join(b"%d" % x for x in image.ravel())]
+    files = [
+        b"P5 8 8 15\n" + image.tobytes(), b"P5 8 8 255\n" + (image * 17).tobytes(), b"P5 8 8 65535\n" + (image.astype(">u2") * 4369).tobytes(),
+        b"P2 8 8 15\n" + b" ".join(b"%d" % x for x in image.ravel())
+    ]
     found = media.image_tiles(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(files)], "k long, data binary"), "k", "data", 4, 4).collect()
     assert len({bytes(r.tile) for r in found}) == 1 and len({r.dhash for r in found}) == 1
 

@@ -27,7 +27,9 @@ def components(pairs):
 
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(8)
-    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)] + [(7, 7)]
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [
+        (rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)
+    ] + [(7, 7)]
     found = {r.node: r.component for r in graph.connected_components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()}
     want = components([p for p in pairs if p[0] != p[1]])
     assert found == want
@@ -154,7 +156,10 @@ def brute_links(rows):
 
 
 def test_vectors_of_extreme_size_keep_their_angles(spark):
-    rows = [(1, [1e200, 1e200]), (2, [1e200, 0.99e200]), (3, [1e-200, 1e-200]), (4, [1e-200, -1e-200]), (5, [5e-324, 5e-324]), (6, [1.7e308, -1.7e308]), (7, [1.0, 0.0]), (8, [-1e-300, 1e300])]
+    rows = [
+        (1, [1e200, 1e200]), (2, [1e200, 0.99e200]), (3, [1e-200, 1e-200]), (4, [1e-200, -1e-200]), (5, [5e-324, 5e-324]), (6, [1.7e308, -1.7e308]),
+        (7, [1.0, 0.0]), (8, [-1e-300, 1e300])
+    ]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_embeddings(data).collect()}
     assert found == brute_links(rows)
@@ -196,7 +201,10 @@ def test_recall_of_the_graph_itself():
 
 
 def test_odd_vectors_link_with_nothing(spark):
-    rows = [(1, None, 0), (2, [0.0, 0.0], 0), (3, [1.0, None], 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [], 0), (7, [1.0, 0.0], 0), (8, [2.0, 0.0], 0), (8, [2.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [1.0, 0.0, 0.0], 0)]
+    rows = [
+        (1, None, 0), (2, [0.0, 0.0], 0), (3, [1.0, None], 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [], 0), (7, [1.0, 0.0], 0),
+        (8, [2.0, 0.0], 0), (8, [2.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [1.0, 0.0, 0.0], 0)
+    ]
     data = vectors(spark, rows).withColumn("n_links", F.lit("clash"))
     found = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in hnsw.near_embeddings(data).collect())
     assert len(found) == len(rows)
@@ -243,7 +251,12 @@ def test_spans_match_brute_force(spark, documents, rng):
 def test_spans_of_odd_rows(spark, documents, empty, rng):
     text, line = sentences(rng, 8), "All rights are kept by us."
     long = words(rng, 90)  # no marks at all
-    docs = documents([(1, text), (2, text), (2, text), (3, None), (None, text), (None, text), (4, line), (5, line), (6, "Go on. " * 500), (7, long), (8, f"{long} and more"), (9, "")])
+    docs = documents(
+        [
+            (1, text), (2, text), (2, text), (3, None), (None, text), (None, text), (4, line), (5, line), (6, "Go on. " * 500), (7, long),
+            (8, f"{long} and more"), (9, "")
+        ]
+    )
     rows = sentence_spans.remove_repeats(docs.withColumn("removed", F.lit("clash")).withColumn("others", F.lit(1))).collect()
     found = {r.doc_id: r for r in rows}
     assert len(rows) == 12 and found[1].text == text and found[2].text == "" and found[3].text is None and found[9].text == ""
@@ -284,6 +297,8 @@ def test_spans_of_texts_with_long_lower_case_and_without_spaces(spark, documents
     signs = "".join(chr(c) for c in range(0x4E00, 0x4F00))
     wide = ["".join("".join(rng.choices(signs, k=9)) + mark for mark in "。！？。") for _ in range(4)]
     inner = "".join(rng.choices(signs, k=60))
-    rows = [(1, passage), (2, f"{start} İzmir. {passage}"), (3, wide[0] + wide[1]), (4, wide[2] + wide[1]), (5, inner), (6, f"{wide[3][:7]}{inner}{wide[3][8:]}")]
+    rows = [
+        (1, passage), (2, f"{start} İzmir. {passage}"), (3, wide[0] + wide[1]), (4, wide[2] + wide[1]), (5, inner), (6, f"{wide[3][:7]}{inner}{wide[3][8:]}")
+    ]
     found = {r.doc_id: r.text for r in sentence_spans.remove_repeats(documents(rows)).collect()}
     assert found == {1: passage, 2: f"{start} İzmir. ", 3: wide[0] + wide[1], 4: wide[2], 5: inner, 6: wide[3][:7] + wide[3][8:]}

@@ -31,7 +31,9 @@ def test_targets_are_the_fixed_point(spark):
 
 
 def test_mix_comes_near_its_targets(spark, documents, empty, rng):
-    rows = [(k, "w " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", "c", "d"])) for k in range(900)] + [(5000, None, "a"), (None, "x y", "b"), (1, "w w", "a")]
+    rows = [
+        (k, "w " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", "c", "d"])) for k in range(900)
+    ] + [(5000, None, "a"), (None, "x y", "b"), (1, "w w", "a")]
     docs = documents(rows).withColumn("source", F.when(F.col("source") == "d", None).otherwise(F.col("source"))).withColumn("taken", F.lit("clash"))
     out = mixing.mix(docs)
     found = out.collect()

@@ -58,7 +58,10 @@ def test_extra_columns_of_any_name_come_through(spark, corpus, tmp_path):
 
     where, _ = corpus
     own = spark.read.parquet(f"{where}/documents.parquet")
-    names = ["tox_score", "tox_density", "kept_id", "class_id", "node", "component", "removed", "n_removed", "whole", "below", "plan_source", "size", "target", "repeats", "taken", "draw", "id", "first", "h1", "a.b"]
+    names = [
+        "tox_score", "tox_density", "kept_id", "class_id", "node", "component", "removed", "n_removed", "whole", "below", "plan_source", "size", "target",
+        "repeats", "taken", "draw", "id", "first", "h1", "a.b"
+    ]
     clash = own.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
     clash = clash.withColumn("map", F.create_map(F.lit("k"), F.col("doc_id")))
     docs, plain = clash, own
@@ -76,7 +79,10 @@ def test_extra_columns_of_any_name_come_through(spark, corpus, tmp_path):
 
 
 def test_one_of_the_rows_of_an_id_stays_and_always_the_same(spark):
-    rows = [(1, "b text", "en", "s", 1), (1, "a text", "en", "s", 2), (1, "a text", "de", "s", 2), (2, None, "en", "s", 0), (2, "z", "en", "s", 0), (None, "b text", "en", "s", 1), (None, "b text", "en", "s", 1)]
+    rows = [
+        (1, "b text", "en", "s", 1), (1, "a text", "en", "s", 2), (1, "a text", "de", "s", 2), (2, None, "en", "s", 0), (2, "z", "en", "s", 0),
+        (None, "b text", "en", "s", 1), (None, "b text", "en", "s", 1)
+    ]
     for order in (rows, rows[::-1]):
         docs = spark.createDataFrame(order, DOC).repartition(3)
         found = sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())))

@@ -50,16 +50,27 @@ def corpus(spark, tmp_path_factory):
     rows += [(1000 + k, base + f" Ending {k}.", "en", "src1", 0) for k in range(5)] + [(1100, base, "en", "src1", 0), (1101, base, "en", "src1", 0)]
     odd = ["", None, "²", "½ Ⅷ ①", "12 + 3!", "x", "日本語 ☃ 🙂", "a" * 4000, "word " * 30_000, " \t\n ", "İstanbul. " * 40, "c\u0000d", "tail  space "]
     rows += [(2000 + k, text, None, None, None) for k, text in enumerate(odd)]
-    rows += [(None, "No id at all.", "en", "src0", 1), (None, None, None, None, None), (7, rows[7][1], "en", "src3", 0), (7, "Another text under a used id.", "de", "src3", 0), (-5, "negative", "xx", "", 3)]
-    clash = ["score", "held_out", "predicted", "lang_pred", "class_id", "kept", "whole", "below", "size", "target", "taken", "media", "feature", "tokens", "removed", "node", "y", "known"]
+    rows += [
+        (None, "No id at all.", "en", "src0", 1), (None, None, None, None, None), (7, rows[7][1], "en", "src3", 0),
+        (7, "Another text under a used id.", "de", "src3", 0), (-5, "negative", "xx", "", 3)
+    ]
+    clash = [
+        "score", "held_out", "predicted", "lang_pred", "class_id", "kept", "whole", "below", "size", "target", "taken", "media", "feature", "tokens", "removed",
+        "node", "y", "known"
+    ]
     where = str(tmp_path_factory.mktemp("queries"))
     docs = spark.createDataFrame(rows, DOC)
     docs.select("*", *[F.lit(f"own {c}").alias(c) for c in clash]).repartition(5).write.parquet(f"{where}/documents.parquet")
     labels += [(1, None, None), (None, 1, 1), (5, 0, 1), (999_999, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     vectors = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(80)]
-    vectors += [(100 + k, [x + rng.gauss(0, 0.05) for x in vectors[k % 9][1]]) for k in range(60)] + [(300, vectors[0][1]), (301, [2 * x for x in vectors[0][1]])]
-    odd_vectors = [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [None] + [1.0] * 7), (404, [float("-inf")] + [1.0] * 7), (405, [1.0] * 9), (406, []), (None, [1.0] * 8)]
+    vectors += [
+        (100 + k, [x + rng.gauss(0, 0.05) for x in vectors[k % 9][1]]) for k in range(60)
+    ] + [(300, vectors[0][1]), (301, [2 * x for x in vectors[0][1]])]
+    odd_vectors = [
+        (400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [None] + [1.0] * 7), (404, [float("-inf")] + [1.0] * 7), (405, [1.0] * 9),
+        (406, []), (None, [1.0] * 8)
+    ]
     made = spark.createDataFrame([(k, v, 1) for k, v in vectors + odd_vectors], "vec_id long, embedding array<double>, label int")
     made.withColumn("n_links", F.lit("own")).withColumn("first", F.lit(0)).write.parquet(f"{where}/embeddings.parquet")
     return {"where": where, "docs": rows, "vectors": vectors, "odd_vectors": odd_vectors}
@@ -194,7 +205,9 @@ def test_op6_payloads_come_back(spark, corpus):
         raw = (text or "").encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         stored = b"P6\n64 %d\n255\n" % (len(payload) // 192) + payload
-        want.append((key, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest()))
+        want.append(
+            (key, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        )
     assert sorted(map(str, (tuple(r)[:7] for r in rows))) == sorted(map(str, want))
     assert len({(r.payload_sha256, r.feature, r.tile_sha256) for r in rows}) == len({r.payload_sha256 for r in rows})
 
@@ -236,7 +249,9 @@ def test_op8_scores_and_statistics(spark, corpus, monkeypatch):
     held = [k for k in range(600) if crc(k) % 5 == 0 and k != 7]
     assert np.mean([by_id[k].predicted == (k % 7 != 0) for k in held]) > 0.97
     rng = random.Random(8)
-    texts = [sentences(rng, 20).replace(". ", rng.choice([". ", ".\n", "!\n\n", " | "])) for _ in range(30)] + ["A A a a\nA A a a\n[x]", "no end", "\n\n. . .\n", "é Ünï. ②"]
+    texts = [
+        sentences(rng, 20).replace(". ", rng.choice([". ", ".\n", "!\n\n", " | "])) for _ in range(30)
+    ] + ["A A a a\nA A a a\n[x]", "no end", "\n\n. . .\n", "é Ünï. ②"]
     for chars in (10**6, 50):
         monkeypatch.setattr(quality, "PART_CHARS", chars)
         for text in texts:
@@ -264,7 +279,9 @@ def test_op10_meets_its_targets_also_without_ids(spark, tmp_path):
     rows = [(None if k % 4 == 0 else k, words(rng, rng.randint(1, 40)), "en", None if k % 4 == 0 else f"s{k % 4}", 0) for k in range(800)]
     rows += [(None, None, None, "s1", None), (3, "", "en", "s3", 0)]
     docs = spark.createDataFrame(rows, DOC)
-    docs.select("*", *[F.lit("own").alias(c) for c in ("whole", "below", "plan_source", "draw", "ratio", "level", "words")]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select(
+        "*", *[F.lit("own").alias(c) for c in ("whole", "below", "plan_source", "draw", "ratio", "level", "words")]
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op10_mixing(spark, str(tmp_path)).collect()
     assert len(found) == len(rows)
     sizes = {}

@@ -93,7 +93,9 @@ def test_languages_by_family_and_pair(spark, documents, empty):
 
 def test_rules_are_columns_and_tell_junk_from_prose(spark, documents, empty):
     rng = random.Random(6)
-    make = lambda good: sentences(rng, 12) if good else rng.choice([" ".join([words(rng, 1)] * 60), words(rng, 50).upper().replace(" ", "!! "), words(rng, 40).replace(" ", " | ")])
+    make = lambda good: sentences(rng, 12) if good else rng.choice(
+        [" ".join([words(rng, 1)] * 60), words(rng, 50).upper().replace(" ", "!! "), words(rng, 40).replace(" ", " | ")]
+    )
     texts = [(make(k % 3 > 0), int(k % 3 > 0)) for k in range(600)]
     x, y = np.array([quality.statistics(t) for t, _ in texts]), np.array([y for _, y in texts], "f8")
     rules = quality.learn_rules(x[:400], y[:400])
