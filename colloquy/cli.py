@@ -23,18 +23,30 @@ def _parser() -> argparse.ArgumentParser:
     arg = lambda *names, **options: (names, options)
     window = (arg("--recency", type=int, help="the last N days"), arg("--since", help="since YYYY-MM-DD"))
     add("init", "make an empty vault", arg("path", nargs="?"), arg("--force", action="store_true", help="run again on a vault that is there"))
-    add("setup", "init, find sessions, take them in, embed", *window, arg("--ingest-recency", type=int), arg("--embed-recency", type=int), arg("--provider"), arg("--force", action="store_true"), arg("-y", "--yes", action="store_true"))
+    add(
+        "setup", "init, find sessions, take them in, embed", *window, arg("--ingest-recency", type=int), arg("--embed-recency", type=int), arg("--provider"),
+        arg("--force", action="store_true"), arg("-y", "--yes", action="store_true")
+    )
     add("ingest", "take in session files", arg("path"), *window)
     add("grep", "search messages for words", arg("pattern"), arg("--limit", type=int, default=20), arg("--project"))
     add("export", "a session's transcript", arg("session_id"), arg("--format", default="markdown", choices=("markdown", "md")))
-    add("embed", "embed messages by an external program", arg("--provider", required=True), arg("--limit", type=int), *window, arg("--force", action="store_true"))
+    add(
+        "embed", "embed messages by an external program", arg("--provider", required=True), arg("--limit", type=int), *window,
+        arg("--force", action="store_true")
+    )
     add("search", "messages nearest to a text", arg("query"), arg("--limit", type=int, default=20))
     add("similar", "sessions like a session", arg("session_id"), arg("--limit", type=int, default=10))
-    add("watch", "take in files as they change", arg("paths", nargs="*"), arg("--debounce", type=int, default=1500), arg("--interval", type=int, default=60), arg("--once", action="store_true"))
+    add(
+        "watch", "take in files as they change", arg("paths", nargs="*"), arg("--debounce", type=int, default=1500), arg("--interval", type=int, default=60),
+        arg("--once", action="store_true")
+    )
     add("projects", "the folders that sessions ran in", arg("--remotes", action="store_true", help="ask git for their origins first"))
     add("vacuum", "remove files that no reader needs any more")
     add("autostart", "a service file that runs watch", arg("paths", nargs="*"), arg("--remove", action="store_true"))
-    add("report", "usage in a period", arg("--period", choices=KINDS[:-1]), arg("--from", dest="start"), arg("--to", dest="end"), arg("--format", default="markdown", choices=("markdown", "md", "json")), arg("--save", action="store_true"), arg("--project"), arg("--source"))
+    add(
+        "report", "usage in a period", arg("--period", choices=KINDS[:-1]), arg("--from", dest="start"), arg("--to", dest="end"),
+        arg("--format", default="markdown", choices=("markdown", "md", "json")), arg("--save", action="store_true"), arg("--project"), arg("--source")
+    )
     return top
 
 

@@ -134,7 +134,12 @@ def embed(rows: DataFrame, provider: str) -> DataFrame:
     through it."""
 
     def frame(program: Embedder, found: list) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [s for _, s, _ in found], "uuid": [k for k, _, _ in found], "embedding": [v for _, _, v in found], "model": program.model.name if found else None, "dimensions": program.model.dimensions if found else None})
+        return pd.DataFrame(
+            {
+                "session_id": [s for _, s, _ in found], "uuid": [k for k, _, _ in found], "embedding": [v for _, _, v in found],
+                "model": program.model.name if found else None, "dimensions": program.model.dimensions if found else None
+            }
+        )
 
     def run(frames):
         program = None

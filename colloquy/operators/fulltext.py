@@ -183,7 +183,9 @@ class _Parser:
 
     def group(self, column: bool):
         parts = [self.primary(column)]
-        while self.peek()[0] == "string" or self.peek()[0] == "word" and self.peek()[1] not in ("AND", "OR", "NOT") or self.peek() in (("mark", "("), ("mark", "^"), ("mark", "{"), ("mark", "-")):
+        while self.peek()[0] == "string" or self.peek()[0] == "word" and self.peek()[1] not in ("AND", "OR", "NOT") or self.peek() in (
+            ("mark", "("), ("mark", "^"), ("mark", "{"), ("mark", "-")
+        ):
             parts.append(self.primary(column))
         return parts[0] if len(parts) == 1 else Both(parts)
 
@@ -364,7 +366,9 @@ def search(table: DataFrame, pattern: str, limit: int, order: tuple[str, ...], s
     return _best(rows, plan, None, total, limit, order, where, [c for c in table.columns if c != "tokens"])
 
 
-def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True, where: DataFrame | None = None) -> DataFrame:
+def search_index(
+    postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True, where: DataFrame | None = None
+) -> DataFrame:
     """The same from an index of n texts with n_tokens tokens in all: its key columns and rank. Only rows of the pattern's
     words are read; what stands in one text meets in one group. A pattern without words matches nothing. where: keys (one
     column) to which the result is narrowed."""
@@ -379,7 +383,10 @@ def search_index(postings: DataFrame, n: int, n_tokens: int, pattern: str, limit
     return _best(rows, plan, (n, n_tokens), [], limit, order, where, [c for c in key if c != "n_tokens"])
 
 
-def _best(rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | DataFrame | None, kept: list[str]) -> DataFrame:
+def _best(
+    rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | DataFrame | None,
+    kept: list[str]
+) -> DataFrame:
     rows = rows.select("*", *plan.starts)
     tally = rows.agg(*total, *[F.count_if(F.size(f"starts_{k}") > 0).alias(f"rows_{k}") for k in range(len(plan.starts))]).first()
     n, tokens_ = sizes or (tally["n"], tally["tokens"])

@@ -18,9 +18,16 @@ def first_in_first_out(rows: DataFrame, key: list[str], order: str, opens: str)
     marked = balanced.withColumn("_orphan", ~F.col(opens) & (F.col("_level") < before))
     taken = F.sum(F.when(F.col(opens), 1).when(~F.col("_orphan"), -1).otherwise(0)).over(upto.rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("waiting", F.coalesce(taken, F.lit(0)))
-    numbered = marked.withColumn("_n", F.when(F.col(opens), F.sum(F.col(opens).cast("int")).over(upto)).when(~F.col("_orphan"), F.sum((~F.col(opens) & ~F.col("_orphan")).cast("int")).over(upto)))
+    numbered = marked.withColumn(
+        "_n",
+        F.when(F.col(opens), F.sum(F.col(opens).cast("int")).over(upto)).when(
+            ~F.col("_orphan"), F.sum((~F.col(opens) & ~F.col("_orphan")).cast("int")).over(upto)
+        )
+    )
     answers = numbered.where(~F.col(opens)).drop(opens, "_level")
-    requests = numbered.where(opens).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_n").alias("_request"), F.col(order).alias("opened_by"))
+    requests = numbered.where(opens).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_n").alias("_request"), F.col(order).alias("opened_by")
+    )
     same = F.col("_n") == F.col("_request")
     for i, k in enumerate(key):
         same = same & (F.col(k) == F.col(f"_k{i}"))

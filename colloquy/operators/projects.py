@@ -20,7 +20,9 @@ def projects(sessions: DataFrame, remotes: DataFrame | None = None) -> DataFrame
     else:
         known = remotes.groupBy("root_path").agg(F.max("git_remote").alias("git_remote"))
         found = found.join(known, "root_path", "left")
-    return found.select("root_path", "slug", "git_remote", owner(F.col("git_remote")).alias("git_owner"), repository(F.col("git_remote")).alias("git_repo"), "session_count")
+    return found.select(
+        "root_path", "slug", "git_remote", owner(F.col("git_remote")).alias("git_owner"), repository(F.col("git_remote")).alias("git_repo"), "session_count"
+    )
 
 
 def read_remotes(roots: list[str]) -> list[tuple[str, str]]:

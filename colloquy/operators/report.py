@@ -75,7 +75,9 @@ def top_tools(sessions: DataFrame, tool_calls: DataFrame, limit: int = TOP) -> D
 
 def _use(sessions: DataFrame, by: str, name: str) -> DataFrame:
     grouped = sessions.groupBy(F.col(by).alias(name))
-    return grouped.agg(F.count("*").alias("session_count"), F.sum(total_tokens()).alias("total_tokens")).orderBy(F.desc("session_count"), F.coalesce(name, F.lit("")))
+    return grouped.agg(
+        F.count("*").alias("session_count"), F.sum(total_tokens()).alias("total_tokens")
+    ).orderBy(F.desc("session_count"), F.coalesce(name, F.lit("")))
 
 
 def top_projects(sessions: DataFrame, limit: int = TOP) -> DataFrame:
@@ -98,14 +100,20 @@ def with_counts(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame)
 def daily_breakdown(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
     """All counts belong to the day on which the session started; days without sessions are left out."""
     counted = with_counts(sessions, messages, tool_calls)
-    return counted.groupBy(F.to_date("started_ts").alias("date")).agg(F.count("*").alias("session_count"), F.sum("message_count").alias("message_count"), F.sum("tool_call_count").alias("tool_call_count"), F.sum(total_tokens()).alias("total_tokens")).orderBy("date")
+    return counted.groupBy(F.to_date("started_ts").alias("date")).agg(
+        F.count("*").alias("session_count"), F.sum("message_count").alias("message_count"), F.sum("tool_call_count").alias("tool_call_count"),
+        F.sum(total_tokens()).alias("total_tokens")
+    ).orderBy("date")
 
 
 def usage_rollup(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
     """A row for each day, source and project (null: none)."""
     counted = with_counts(sessions, messages, tool_calls)
     sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in TOKENS]
-    return counted.groupBy(F.to_date("started_ts").alias("date"), "source", F.col("project_slug").alias("project")).agg(F.count_distinct("session_id").alias("session_count"), F.sum("message_count").alias("message_count"), F.sum("tool_call_count").alias("tool_call_count"), *sums, F.sum(total_tokens()).alias("total_tokens"), F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
+    return counted.groupBy(F.to_date("started_ts").alias("date"), "source", F.col("project_slug").alias("project")).agg(
+        F.count_distinct("session_id").alias("session_count"), F.sum("message_count").alias("message_count"), F.sum("tool_call_count").alias("tool_call_count"),
+        *sums, F.sum(total_tokens()).alias("total_tokens"), F.sum("estimated_cost_usd").alias("estimated_cost_usd")
+    )
 
 
 def merge_rollup(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -141,7 +149,10 @@ def metrics(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame) ->
 
 
 def document(period: Period, scope: Scope, generated_at: str, figures: dict, from_cache: bool = False) -> dict:
-    return {"scope": scope.label, "period_kind": period.kind, "period_start": period.start.isoformat(), "period_end": period.end.isoformat(), "generated_at": generated_at, "from_cache": from_cache, "metrics": figures}
+    return {
+        "scope": scope.label, "period_kind": period.kind, "period_start": period.start.isoformat(), "period_end": period.end.isoformat(),
+        "generated_at": generated_at, "from_cache": from_cache, "metrics": figures
+    }
 
 
 def render_json(doc: dict) -> str:
@@ -160,8 +171,18 @@ def render_markdown(doc: dict) -> str:
     use = lambda r: f"{r['session_count']} sessions, {r['total_tokens']} tokens"
     days = [f"| {d['date']} | {d['session_count']} | {d['message_count']} | {d['tool_call_count']} | {d['total_tokens']} |" for d in m["daily_breakdown"]]
     head = ["| date       | sessions | messages | tools | tokens |", "|------------|----------|----------|-------|--------|"]
-    lines = [f"# Usage Report — {doc['scope']}", "", f"- **Period:** {doc['period_kind']} ({doc['period_start']} → {doc['period_end']})", f"- **Generated:** {doc['generated_at']}", f"- **Source:** {'cached' if doc['from_cache'] else 'fresh'}"]
-    lines += _section("Totals", [f"- Sessions: {m['total_sessions']}", f"- Tokens: {channels} total={m['total_tokens']}", f"- Estimated cost: {cost}", f"- Messages: {m['message_count']}", f"- Tool calls: {m['tool_call_count']}", f"- Errors: {m['error_count']}", f"- Unique models: {m['unique_models']}", f"- Avg session duration: {'n/a' if mean is None else f'{mean:.0f}s'}"])
+    lines = [
+        f"# Usage Report — {doc['scope']}", "", f"- **Period:** {doc['period_kind']} ({doc['period_start']} → {doc['period_end']})",
+        f"- **Generated:** {doc['generated_at']}", f"- **Source:** {'cached' if doc['from_cache'] else 'fresh'}"
+    ]
+    lines += _section(
+        "Totals",
+        [
+            f"- Sessions: {m['total_sessions']}", f"- Tokens: {channels} total={m['total_tokens']}", f"- Estimated cost: {cost}",
+            f"- Messages: {m['message_count']}", f"- Tool calls: {m['tool_call_count']}", f"- Errors: {m['error_count']}",
+            f"- Unique models: {m['unique_models']}", f"- Avg session duration: {'n/a' if mean is None else f'{mean:.0f}s'}"
+        ]
+    )
     lines += _section("Messages by role", [f"- {r['role']}: {r['count']}" for r in m["messages_by_role"]])
     lines += _section("Top tools", [f"{k}. {r['tool_name']} — {r['count']}" for k, r in enumerate(m["top_tools"], 1)])
     lines += _section("Top projects", [f"{k}. {r['slug'] or 'unknown'} — {use(r)}" for k, r in enumerate(m["top_projects"], 1)])

@@ -71,7 +71,9 @@ def _block_nearest(rows: DataFrame, block: tuple[list, np.ndarray], limit: int,
         ids, queries = sent.value
         near = [[] for _ in ids]  # of each query: (distance, key), the best so far
         for batch in batches:
-            found = [(k, x) for k, x in zip(batch.column(0).to_pylist(), map(_unit, batch.column(1).to_pylist())) if x is not None and len(x) == queries.shape[1]]
+            found = [
+                (k, x) for k, x in zip(batch.column(0).to_pylist(), map(_unit, batch.column(1).to_pylist())) if x is not None and len(x) == queries.shape[1]
+            ]
             for at in range(0, len(found), 1024):
                 part = found[at : at + 1024]
                 distances = 1 - np.array([x for _, x in part]) @ queries.T

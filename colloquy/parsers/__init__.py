@@ -63,7 +63,9 @@ def finish(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, erra
     for name in (*tokens, "message_count", "turn_count", "tool_call_count", "error_count"):
         sessions = sessions.withColumn(name, F.coalesce(F.col(name), F.lit(0)) if name in sessions.columns else F.lit(0))
     sessions = sessions.withColumn("total_tokens", sum((F.col(t) for t in tokens[1:]), F.col(tokens[0])))
-    sessions = sessions.withColumn("started_ts", F.try_to_timestamp("started_at")).withColumn("ended_ts", F.try_to_timestamp("ended_at")).withColumn("raw_path", F.col("path"))
+    sessions = sessions.withColumn(
+        "started_ts", F.try_to_timestamp("started_at")
+    ).withColumn("ended_ts", F.try_to_timestamp("ended_at")).withColumn("raw_path", F.col("path"))
     if "project_root" in sessions.columns:
         sessions = sessions.withColumn("project_slug", F.nullif(F.regexp_extract("project_root", r"([^/\\]+)[/\\]*$", 1), F.lit("")))
     known = sessions.select("path", F.col("session_id").alias("sid"))

@@ -70,7 +70,10 @@ def parse(lines: DataFrame) -> Parsed:
     turns = events.where(F.col("type").isin("user", "assistant")).withColumn("turn_number", F.row_number().over(in_file()).cast("long"))
     turns = turns.withColumn("uuid", child_uuid(F.col("session_id"), F.col("event"))).withColumn("role", F.col("type"))
     user = F.col("role") == "user"
-    said = F.transform("blocks", lambda b: F.when(V.string(b, "$.type") == "text", V.string(b, "$.text")).when(user & (V.string(b, "$.type") == "tool_result"), _result_text(b)))
+    said = F.transform(
+        "blocks",
+        lambda b: F.when(V.string(b, "$.type") == "text", V.string(b, "$.text")).when(user & (V.string(b, "$.type") == "tool_result"), _result_text(b))
+    )
     thought = F.transform("blocks", lambda b: F.when(V.string(b, "$.type") == "thinking", V.string(b, "$.thinking")))
     messages = turns.select(
         "path", "uuid", "parent_uuid", "role", "source_seq", "turn_number", F.coalesce("text", V.joined(said)).alias("content"), F.when(~user, V.joined(thought)).alias("thinking"),
@@ -81,12 +84,25 @@ def parse(lines: DataFrame) -> Parsed:
     order = F.struct("source_seq", "place")
     uses = blocks.where((F.col("role") == "assistant") & (V.string(F.col("b"), "$.type") == "tool_use")).withColumn("call_id", V.string(F.col("b"), "$.id"))
     last = F.row_number().over(Window.partitionBy("path", "call_id").orderBy(F.desc("source_seq"), F.desc("place")))
-    uses = uses.withColumn("n", last).where("n = 1").select("path", "session_id", "call_id", "source_seq", order.alias("asked"), F.col("uuid").alias("request_message"), F.col("at").alias("started_at"), V.string(F.col("b"), "$.name").alias("tool_name"), V.json(F.col("b"), "$.input").alias("tool_input"))
+    uses = uses.withColumn("n", last).where("n = 1").select(
+        "path", "session_id", "call_id", "source_seq", order.alias("asked"), F.col("uuid").alias("request_message"), F.col("at").alias("started_at"),
+        V.string(F.col("b"), "$.name").alias("tool_name"), V.json(F.col("b"), "$.input").alias("tool_input")
+    )
     results = blocks.where((F.col("role") == "user") & (V.string(F.col("b"), "$.type") == "tool_result"))
-    results = results.select("path", V.string(F.col("b"), "$.tool_use_id").alias("call_id"), order.alias("answered"), F.struct(F.col("uuid").alias("response_message"), _result_text(F.col("b")).alias("tool_output"), V.boolean(F.col("b"), "$.is_error").alias("is_error")).alias("r"))
+    results = results.select(
+        "path", V.string(F.col("b"), "$.tool_use_id").alias("call_id"), order.alias("answered"),
+        F.struct(
+            F.col("uuid").alias("response_message"), _result_text(F.col("b")).alias("tool_output"), V.boolean(F.col("b"), "$.is_error").alias("is_error")
+        ).alias("r")
+    )
     met = uses.join(results, ["path", "call_id"], "left").where(F.col("answered").isNull() | (F.col("answered") > F.col("asked")))
     latest = met.groupBy("path", "call_id").agg(F.max_by("r", "answered").alias("r"))
-    calls = uses.join(latest, ["path", "call_id"], "left").select("path", "call_id", "source_seq", "request_message", "started_at", "tool_name", "tool_input", "r.response_message", "r.tool_output", "r.is_error", child_uuid(F.col("session_id"), F.col("request_message"), F.col("call_id")).alias("uuid"))
-
-    unknown = events.where(~F.col("type").isin("user", "assistant", "system", *TITLES)).select("path", "source_seq", F.lit("unknown_event_kind").alias("kind"), F.col("type").alias("snippet"))
+    calls = uses.join(latest, ["path", "call_id"], "left").select(
+        "path", "call_id", "source_seq", "request_message", "started_at", "tool_name", "tool_input", "r.response_message", "r.tool_output", "r.is_error",
+        child_uuid(F.col("session_id"), F.col("request_message"), F.col("call_id")).alias("uuid")
+    )
+
+    unknown = events.where(~F.col("type").isin("user", "assistant", "system", *TITLES)).select(
+        "path", "source_seq", F.lit("unknown_event_kind").alias("kind"), F.col("type").alias("snippet")
+    )
     return finish(sessions, messages, calls, bad_lines(lines, good).unionByName(unknown))

@@ -31,7 +31,9 @@ def parse(lines: DataFrame) -> Parsed:
     v = F.col("v")
     good = V.is_object(v) & V.string(v, "$.type").isNotNull()
     p, kind, sub = F.col("p"), F.col("type"), F.col("sub")
-    events = lines.where(good).select("path", "source_seq", V.string(v, "$.type").alias("type"), V.string(v, "$.timestamp").alias("at"), V.get(v, "$.payload").alias("p"))
+    events = lines.where(good).select(
+        "path", "source_seq", V.string(v, "$.type").alias("type"), V.string(v, "$.timestamp").alias("at"), V.get(v, "$.payload").alias("p")
+    )
     events = events.withColumn("sub", F.when(kind.isin("response_item", "event_msg"), F.coalesce(V.string(p, "$.type"), F.lit(""))))
     meta = first_of(F.when(kind == "session_meta", F.col("p")))
     events = events.withColumn("meta", whole_file(meta)).withColumn("native", V.string(F.col("meta"), "$.id"))
@@ -40,13 +42,20 @@ def parse(lines: DataFrame) -> Parsed:
 
     message = (kind == "response_item") & sub.isin("message", "reasoning") | (kind == "event_msg") & sub.isin(*SPOKEN)
     role = F.when(sub == "message", F.coalesce(V.string(p, "$.role"), F.lit("assistant"))).when(sub == "user_message", "user").otherwise("assistant")
-    events = events.withColumn("uuid", F.when(message, child_uuid(F.col("session_id"), F.concat(F.lit("seq-"), F.col("source_seq"))))).withColumn("role", F.when(message, role))
+    events = events.withColumn(
+        "uuid", F.when(message, child_uuid(F.col("session_id"), F.concat(F.lit("seq-"), F.col("source_seq"))))
+    ).withColumn("role", F.when(message, role))
     events = events.withColumn("speaker", so_far(F.when(F.col("role") == "assistant", F.col("uuid"))))
     said = F.when(sub == "message", _parts(V.get(p, "$.content"))).when(sub.isin(*SPOKEN), V.string(p, "$.message"))
-    messages = events.where(message).select("path", "uuid", "role", "source_seq", said.alias("content"), F.when(sub == "reasoning", V.string(p, "$.text")).alias("thinking"), F.row_number().over(in_file()).cast("long").alias("turn_number"))
+    messages = events.where(message).select(
+        "path", "uuid", "role", "source_seq", said.alias("content"), F.when(sub == "reasoning", V.string(p, "$.text")).alias("thinking"),
+        F.row_number().over(in_file()).cast("long").alias("turn_number")
+    )
 
     summary = F.nullif(V.string(p, "$.summary"), F.lit(""))
-    title = F.when(kind.isin("turn_context", "compacted"), summary).when((kind == "event_msg") & (sub == "user_message"), F.nullif(F.substring(V.string(p, "$.message"), 1, 80), F.lit("")))
+    title = F.when(kind.isin("turn_context", "compacted"), summary).when(
+        (kind == "event_msg") & (sub == "user_message"), F.nullif(F.substring(V.string(p, "$.message"), 1, 80), F.lit(""))
+    )
     tokens = (kind == "event_msg") & (sub == "token_count")
     most = lambda x: F.greatest(F.lit(0), F.max(F.when(tokens, x)))
     made = _count(p, "output", "output_tokens") + _count(p, "reasoning_output", "reasoning_output_tokens")
@@ -54,20 +63,35 @@ def parse(lines: DataFrame) -> Parsed:
     sessions = events.groupBy("path", "session_id").agg(
         F.first("native").alias("native_id"), F.first("meta").alias("meta"), F.min_by("at", "source_seq").alias("started_at"), F.max_by("at", "source_seq").alias("ended_at"),
         first_of(title).alias("title"), first_of(F.when(kind == "turn_context", F.nullif(V.string(p, "$.model"), F.lit("")))).alias("model"),
-        most(_count(p, "input", "input_tokens")).alias("input_tokens"), most(made).alias("output_tokens"), most(_count(p, "cached_input", "cached_input_tokens")).alias("cache_read_tokens"),
+        most(_count(p, "input", "input_tokens")).alias("input_tokens"), most(made).alias("output_tokens"), most(
+            _count(p, "cached_input", "cached_input_tokens")
+        ).alias("cache_read_tokens"),
     )
     parent = F.coalesce(V.string(m, "$.forked_from_id"), V.string(m, "$.parent_thread_id"))
-    sessions = sessions.withColumns({"source": F.lit("codex"), "project_root": F.nullif(V.string(m, "$.cwd"), F.lit("")), "git_branch": V.string(m, "$.git.branch"), "tool_version": V.string(m, "$.cli_version"), "parent_session_id": session_uuid(F.lit("codex"), parent)})
+    sessions = sessions.withColumns(
+        {
+            "source": F.lit("codex"), "project_root": F.nullif(V.string(m, "$.cwd"), F.lit("")), "git_branch": V.string(m, "$.git.branch"),
+            "tool_version": V.string(m, "$.cli_version"), "parent_session_id": session_uuid(F.lit("codex"), parent)
+        }
+    )
     stored = F.lit(False)
     for name in NOT_STORED:
         stored = stored | V.string(m, f"$.{name}").isNotNull()
-    dropped = sessions.where(stored).select("path", F.lit(None).cast("long").alias("source_seq"), F.lit("dropped_metadata").alias("kind"), F.lit("session_meta.*").alias("snippet"))
+    dropped = sessions.where(stored).select(
+        "path", F.lit(None).cast("long").alias("source_seq"), F.lit("dropped_metadata").alias("kind"), F.lit("session_meta.*").alias("snippet")
+    )
 
     calls, call_errata = _calls(events)
-    note = lambda rows, name, snippet: rows.select("path", "source_seq", F.lit(name).alias("kind") if isinstance(name, str) else name.alias("kind"), snippet.alias("snippet"))
+    note = lambda rows, name, snippet: rows.select(
+        "path", "source_seq", F.lit(name).alias("kind") if isinstance(name, str) else name.alias("kind"), snippet.alias("snippet")
+    )
     first_only = F.row_number().over(Window.partitionBy("path", "type", "sub").orderBy("source_seq"))
     handled = (*SPOKEN, *BEGINS, *ENDS, *FAULTS, *QUIET, "token_count")
-    other = events.where(kind.isin(*SKIPPED) | (kind == "event_msg") & ~sub.isin(*handled) | ~kind.isin(*SKIPPED, "session_meta", "turn_context", "compacted", "response_item", "event_msg")).withColumn("n", first_only).where("n = 1")
+    other = events.where(
+        kind.isin(*SKIPPED) | (kind == "event_msg") & ~sub.isin(*handled) | ~kind.isin(
+            *SKIPPED, "session_meta", "turn_context", "compacted", "response_item", "event_msg"
+        )
+    ).withColumn("n", first_only).where("n = 1")
     known = (*SKIPPED, "event_msg")
     errata = [
         bad_lines(lines, F.coalesce(good, F.lit(False))),
@@ -75,9 +99,14 @@ def parse(lines: DataFrame) -> Parsed:
         call_errata,
         note(events.where(kind == "compacted"), "history_compacted", F.lit("type:compacted")),
         note(other, F.when(kind.isin(*known), "skipped_event").otherwise("unknown_event_type"), F.concat_ws(":", "type", "sub")),
-        note(events.where((kind == "response_item") & ~sub.isin("message", "reasoning", "function_call_output", *CALLS)), "unknown_response_subtype", F.col("sub")),
+        note(
+            events.where((kind == "response_item") & ~sub.isin("message", "reasoning", "function_call_output", *CALLS)), "unknown_response_subtype",
+            F.col("sub")
+        ),
         note(events.where((kind == "event_msg") & sub.isin(*FAULTS)), F.col("sub"), F.coalesce(V.string(p, "$.message"), F.to_json(p))),
-        lost.select("path", F.lit(None).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.lit("no session_meta with an id").alias("snippet")),
+        lost.select(
+            "path", F.lit(None).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.lit("no session_meta with an id").alias("snippet")
+        ),
     ]
     out = errata[0]
     for rows in errata[1:]:
@@ -93,7 +122,9 @@ def _calls(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     item, msg = F.col("type") == "response_item", F.col("type") == "event_msg"
     rows = events.where(item & sub.isin(*CALLS, "function_call_output") | msg & sub.isin(*BEGINS, *ENDS))
     end = msg & sub.isin(*ENDS)
-    rows = rows.withColumn("call_id", F.when(end & (call_id == ""), F.concat(F.lit("synthetic-"), F.col("source_seq"))).otherwise(call_id)).withColumn("end", end)
+    rows = rows.withColumn(
+        "call_id", F.when(end & (call_id == ""), F.concat(F.lit("synthetic-"), F.col("source_seq"))).otherwise(call_id)
+    ).withColumn("end", end)
     rows = rows.where((F.col("call_id") != "") | (sub == "function_call_output"))
     output = F.when(end, F.coalesce(V.text(p, "$.aggregated_output"), V.text(p, "$.result"))).when(sub == "function_call_output", V.text(p, "$.output"))
     rows = rows.withColumn("output", output).withColumn("failed", F.when(end, V.integer(p, "$.exit_code") != 0))
@@ -113,21 +144,34 @@ def _calls(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     request = F.coalesce("speaker", child_uuid(F.col("session_id"), F.concat(F.lit("seq-"), F.col("source_seq"))))
     given = F.when(sub == "web_search_call", V.string(p, "$.query")).when(sub == "function_call", F.coalesce(V.json(p, "$.arguments"), V.json(p, "$.input")))
     given = given.otherwise(F.coalesce(V.json(F.col("begin"), "$.arguments"), V.string(F.col("begin"), "$.query"), V.json(p, "$.arguments")))
-    name = F.when(sub == "web_search_call", "web_search").when(sub == "function_call", F.coalesce(V.string(p, "$.name"), F.lit("unknown"))).when(sub == "exec_command_end", "exec_command").otherwise(F.coalesce(V.string(p, "$.tool"), F.lit("mcp_tool_call")))
-    made = made.select("path", "session_id", "call_id", "source_seq", request.alias("request_message"), name.alias("tool_name"), given.alias("tool_input"), F.coalesce("at", "begun_at").alias("started_at"), F.when(F.col("rebuilt") | F.col("speaker").isNull(), request).alias("own_response"), F.when(F.col("rebuilt"), F.col("output")).alias("own_output"), F.when(F.col("rebuilt"), F.col("failed")).alias("own_failed"), F.when(F.col("rebuilt"), F.col("at")).alias("own_end"))
+    name = F.when(sub == "web_search_call", "web_search").when(
+        sub == "function_call", F.coalesce(V.string(p, "$.name"), F.lit("unknown"))
+    ).when(sub == "exec_command_end", "exec_command").otherwise(F.coalesce(V.string(p, "$.tool"), F.lit("mcp_tool_call")))
+    made = made.select(
+        "path", "session_id", "call_id", "source_seq", request.alias("request_message"), name.alias("tool_name"), given.alias("tool_input"),
+        F.coalesce("at", "begun_at").alias("started_at"), F.when(F.col("rebuilt") | F.col("speaker").isNull(), request).alias("own_response"),
+        F.when(F.col("rebuilt"), F.col("output")).alias("own_output"), F.when(F.col("rebuilt"), F.col("failed")).alias("own_failed"),
+        F.when(F.col("rebuilt"), F.col("at")).alias("own_end")
+    )
 
     after = rows.where((F.col("source_seq") > F.col("made")) & (F.col("end") | (sub == "function_call_output")))
     answer = sub == "function_call_output"
     seq = F.col("source_seq")
     done = after.groupBy("path", "call_id").agg(
         F.max_by("output", F.when(answer, seq)).alias("answer"), F.max_by("speaker", F.when(answer, seq)).alias("responder"), F.count_if(answer).alias("answers"),
-        F.min_by("output", F.when(F.col("end") & F.col("output").isNotNull(), seq)).alias("end_output"), F.max_by("failed", F.when(F.col("failed").isNotNull(), seq)).alias("failed"), F.max_by("at", seq).alias("at"),
+        F.min_by(
+            "output", F.when(F.col("end") & F.col("output").isNotNull(), seq)
+        ).alias("end_output"), F.max_by("failed", F.when(F.col("failed").isNotNull(), seq)).alias("failed"), F.max_by("at", seq).alias("at"),
     )
     calls = made.join(done, ["path", "call_id"], "left").select(
         "path", "call_id", "source_seq", "request_message", "tool_name", "tool_input", "started_at", F.coalesce("at", "own_end").alias("ended_at"),
         F.coalesce("answer", "own_output", "end_output").alias("tool_output"), F.coalesce("failed", "own_failed").alias("is_error"),
-        F.when(F.col("answers") > 0, F.col("responder")).otherwise(F.col("own_response")).alias("response_message"), child_uuid(F.col("session_id"), F.col("request_message"), F.col("call_id")).alias("uuid"),
+        F.when(F.col("answers") > 0, F.col("responder")).otherwise(F.col("own_response")).alias("response_message"), child_uuid(
+            F.col("session_id"), F.col("request_message"), F.col("call_id")
+        ).alias("uuid"),
     )
     note = lambda where, kind: rows.where(where).select("path", "source_seq", F.lit(kind).alias("kind"), F.col("call_id").alias("snippet"))
-    errata = note(orphan, "orphan_tool_call").unionByName(note(F.col("rebuilt"), "tool_call_from_event_msg")).unionByName(note(answer & ~F.col("open"), "unpaired_tool_output"))
+    errata = note(orphan, "orphan_tool_call").unionByName(note(F.col("rebuilt"), "tool_call_from_event_msg")).unionByName(
+        note(answer & ~F.col("open"), "unpaired_tool_output")
+    )
     return calls, errata

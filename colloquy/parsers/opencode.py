@@ -21,7 +21,9 @@ def parse(rows: DataFrame) -> Parsed:
         V.string(model, "$.id").alias("model"), F.col("directory").alias("project_root"), F.col("tokens_input").alias("input_tokens"), F.col("tokens_output").alias("output_tokens"), F.col("tokens_cache_read").alias("cache_read_tokens"), F.col("tokens_cache_write").alias("cache_write_tokens"),
     )
     none = F.lit(None).cast("long")
-    fault = lambda df, kind, snippet, seq=none: df.select("path", seq.alias("source_seq"), F.lit(kind).alias("kind"), F.substring(snippet, 1, 500).alias("snippet"))
+    fault = lambda df, kind, snippet, seq=none: df.select(
+        "path", seq.alias("source_seq"), F.lit(kind).alias("kind"), F.substring(snippet, 1, 500).alias("snippet")
+    )
     errata = fault(base.where(F.col("model").isNotNull() & model.isNull()), "parse_error", F.col("model"))
 
     kept = base.select("path", "session_id", F.col("file").alias("f"), F.col("id").alias("native"))
@@ -34,18 +36,28 @@ def parse(rows: DataFrame) -> Parsed:
     turns = messages.withColumn("role", role).where(F.col("v").isNotNull() & F.col("role").isin("user", "assistant"))
     turns = turns.withColumn("turn_number", F.row_number().over(order).cast("long")).withColumn("uuid", child_uuid(F.col("session_id"), F.col("id")))
 
-    parts = store("part", "id string, message_id string, time_created long, data string").withColumnRenamed("id", "part").withColumnRenamed("time_created", "part_time").withColumnRenamed("file", "part_file").withColumnRenamed("data", "part_data")
-    joined = turns.select("path", "file", "session_id", "id", "uuid", "source_seq").join(parts, (F.col("file") == F.col("part_file")) & (F.col("id") == F.col("message_id"))).withColumn("p", F.try_parse_json("part_data"))
+    parts = store(
+        "part", "id string, message_id string, time_created long, data string"
+    ).withColumnRenamed("id", "part").withColumnRenamed("time_created", "part_time").withColumnRenamed("file", "part_file").withColumnRenamed("data", "part_data")
+    joined = turns.select("path", "file", "session_id", "id", "uuid", "source_seq").join(
+        parts, (F.col("file") == F.col("part_file")) & (F.col("id") == F.col("message_id"))
+    ).withColumn("p", F.try_parse_json("part_data"))
     errata = errata.unionByName(fault(joined.where("p is null"), "parse_error", F.col("part_data"), F.col("source_seq")))
     p = F.col("p")
     joined = joined.where("p is not null").withColumn("type", F.coalesce(V.string(p, "$.type"), F.lit("unknown")))
     place = F.struct("part_time", "part")
-    text = lambda kind: V.joined(F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("part_time", "part", V.string(p, "$.text").alias("text"))))), lambda x: x["text"]))
+    text = lambda kind: V.joined(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("part_time", "part", V.string(p, "$.text").alias("text"))))), lambda x: x["text"]
+        )
+    )
     said = joined.groupBy(F.col("uuid").alias("u")).agg(text("text").alias("content"), text("reasoning").alias("thinking"))
     assistant = F.col("role") == "assistant"
     v = F.col("v")
     out = turns.join(said, F.col("uuid") == F.col("u"), "left").select(
-        "path", "uuid", "role", "content", "thinking", "source_seq", "turn_number", F.when(assistant, child_uuid(F.col("session_id"), V.string(v, "$.parentID"))).alias("parent_uuid"),
+        "path", "uuid", "role", "content", "thinking", "source_seq", "turn_number", F.when(
+            assistant, child_uuid(F.col("session_id"), V.string(v, "$.parentID"))
+        ).alias("parent_uuid"),
         F.when(assistant, V.integer(v, "$.tokens.input")).alias("input_tokens"), F.when(assistant, V.integer(v, "$.tokens.output")).alias("output_tokens"),
     )
 
@@ -54,7 +66,9 @@ def parse(rows: DataFrame) -> Parsed:
     status = V.string(p, "$.state.status")
     first = tools.where("n = 1")
     calls = first.select(
-        "path", "call_id", "source_seq", child_uuid(F.col("session_id"), F.col("uuid"), F.col("call_id")).alias("uuid"), F.col("uuid").alias("request_message"), F.col("uuid").alias("response_message"),
+        "path", "call_id", "source_seq", child_uuid(
+            F.col("session_id"), F.col("uuid"), F.col("call_id")
+        ).alias("uuid"), F.col("uuid").alias("request_message"), F.col("uuid").alias("response_message"),
         F.coalesce(V.string(p, "$.tool"), F.lit("unknown")).alias("tool_name"), V.json(p, "$.state.input").alias("tool_input"), V.string(p, "$.state.output").alias("tool_output"),
         F.when(status == "error", True).when(status == "completed", False).alias("is_error"), iso_of_millis(V.integer(p, "$.state.time.start")).alias("started_at"), iso_of_millis(V.integer(p, "$.state.time.end")).alias("ended_at"),
     )

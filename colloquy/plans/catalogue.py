@@ -173,7 +173,10 @@ def _grep_sql(phrases: list[tuple[str, int]], matches: str, counts: list[str] |
     starts = ", ".join(f"list_filter(range(1, len(tk) + 1), lambda i: {cond}) AS p{k}" for k, (cond, _) in enumerate(phrases))
     counts = counts or [f"len(p{k})" for k in range(len(phrases))]
     tally = ", ".join(f"count(*) FILTER (WHERE len(p{k}) > 0) AS n{k}" for k in range(len(phrases)))
-    score = " + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * ({c}) * 2.2 / (({c}) + 1.2 * (0.25 + 0.75 * len(tk) / (total / n)))" for k, c in enumerate(counts))
+    score = " + ".join(
+        f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * ({c}) * 2.2 / (({c}) + 1.2 * (0.25 + 0.75 * len(tk) / (total / n)))" for k,
+        c in enumerate(counts)
+    )
     where = "" if project is None else f" AND source = '{project}'"
     return f"""WITH d AS (SELECT doc_id, source, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tk FROM documents),
     p AS (SELECT *, {starts} FROM d), q AS (SELECT *{close} FROM p), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(tk)) AS DOUBLE) AS total, {tally} FROM p)
@@ -181,7 +184,10 @@ def _grep_sql(phrases: list[tuple[str, int]], matches: str, counts: list[str] |
 
 
 # Endings that may be added to a word or a word without its last letter.
-ENDINGS = ("", "s", "es", "ed", "ing", "ings", "ly", "ness", "nesses", "ful", "fulness", "fully", "er", "ers", "ment", "ments", "able", "ation", "edly", "ingly", "ive", "ate", "ated")
+ENDINGS = (
+    "", "s", "es", "ed", "ing", "ings", "ly", "ness", "nesses", "ful", "fulness", "fully", "er", "ers", "ment", "ments", "able", "ation", "edly", "ingly",
+    "ive", "ate", "ated"
+)
 
 
 def _stemmed_sql(*stems: str) -> str:
@@ -234,7 +240,9 @@ def knn_each(spark, sf_dir):
 def vector_blobs(spark, sf_dir):
     """Vectors written as blobs and read again."""
     rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_blob(F.col("embedding")).alias("blob"))
-    return rows.select("vec_id", F.length("blob").alias("n_bytes"), F.posexplode(vectors.from_blob(F.col("blob"))).alias("place", "x")).select("vec_id", "n_bytes", "place", "x")
+    return rows.select(
+        "vec_id", F.length("blob").alias("n_bytes"), F.posexplode(vectors.from_blob(F.col("blob"))).alias("place", "x")
+    ).select("vec_id", "n_bytes", "place", "x")
 
 
 def project_remotes(spark, sf_dir):
@@ -242,7 +250,12 @@ def project_remotes(spark, sf_dir):
     base = derived.sessions(spark, sf_dir).withColumn("project_root", F.concat(F.lit("/work/"), "project_slug"))
     slugs = derived.sessions(spark, sf_dir).select("project_slug").distinct().where("project_slug is not null")
     n = F.regexp_extract("project_slug", r"(\d+)$", 1).cast("int")
-    forms = [F.concat(F.lit(a), n.cast("string"), F.lit(b)) for a, b in (("https://host.example/team", "/tool.git"), ("git@host.example:team", "/tool.git"), ("ssh://git@host.example/team", "/tool/"), ("not a remote ", ""))]
+    forms = [
+        F.concat(F.lit(a), n.cast("string"), F.lit(b)) for a,
+        b in (
+            ("https://host.example/team", "/tool.git"), ("git@host.example:team", "/tool.git"), ("ssh://git@host.example/team", "/tool/"), ("not a remote ", "")
+        )
+    ]
     url = F.element_at(F.array(*forms), n % 4 + 1)
     remotes = slugs.select(F.concat(F.lit("/work/"), "project_slug").alias("root_path"), url.alias("git_remote"))
     return projects.projects(base, remotes)
@@ -253,7 +266,9 @@ def _means(spark, sf_dir):
 
 
 def session_mean_embedding(spark, sf_dir):
-    return _means(spark, sf_dir).select("label", F.posexplode("embedding").alias("place", "x")).select("label", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
+    return _means(spark, sf_dir).select("label", F.posexplode("embedding").alias("place", "x")).select(
+        "label", "place", F.round(F.col("x").cast("double"), 5).alias("x")
+    )
 
 
 def similar_sessions(spark, sf_dir):
@@ -270,7 +285,9 @@ def has_embeddings(spark, sf_dir):
 
 
 def embed_text_query(spark, sf_dir):
-    return derived.turns(spark, sf_dir).select("session_id", "source_seq", embed_text(F.col("role"), F.col("content"), F.lit(None).cast("string")).alias("input"))
+    return derived.turns(spark, sf_dir).select(
+        "session_id", "source_seq", embed_text(F.col("role"), F.col("content"), F.lit(None).cast("string")).alias("input")
+    )
 
 
 def snippet_200(spark, sf_dir):
@@ -303,20 +320,32 @@ def transcript_markdown(spark, sf_dir):
     """The transcripts of all conversations; every fifth turn of an assistant asks for a call, every tenth of which fails."""
     turns = derived.turns(spark, sf_dir)
     sessions = turns.groupBy("session_id").agg(F.count("*").alias("tool_call_count")).select(
-        "session_id", F.lit(None).cast("string").alias("title"), F.lit("chat").alias("source"), F.concat(F.lit("project"), F.col("session_id") % 10).alias("project_slug"), F.lit("m").alias("model"),
-        F.lit(None).cast("string").alias("started_at"), F.lit(None).cast("string").alias("ended_at"), "tool_call_count", *[F.lit(k).alias(name) for k, (_, name) in enumerate(export.CHANNELS)],
+        "session_id", F.lit(None).cast("string").alias("title"), F.lit("chat").alias("source"), F.concat(
+            F.lit("project"), F.col("session_id") % 10
+        ).alias("project_slug"), F.lit("m").alias("model"),
+        F.lit(None).cast("string").alias("started_at"), F.lit(None).cast("string").alias("ended_at"), "tool_call_count", *[
+            F.lit(k).alias(name) for k, (_, name) in enumerate(export.CHANNELS)
+        ],
     )
-    messages = turns.select("session_id", F.concat_ws("-", "session_id", "source_seq").alias("uuid"), "source_seq", F.col("source_seq").alias("turn_number"), "role", "content", F.when(F.col("source_seq") % 7 == 3, F.lit("hm")).alias("thinking"))
+    messages = turns.select(
+        "session_id", F.concat_ws("-", "session_id", "source_seq").alias("uuid"), "source_seq", F.col("source_seq").alias("turn_number"), "role", "content",
+        F.when(F.col("source_seq") % 7 == 3, F.lit("hm")).alias("thinking")
+    )
     calls = messages.where("role = 'assistant' and source_seq % 5 = 1").select(
         "session_id", F.col("uuid").alias("request_message"), "source_seq", F.concat(F.lit("c"), "source_seq").alias("call_id"), F.lit("run").alias("tool_name"),
-        F.when(F.col("source_seq") % 2 == 0, F.lit("{}")).alias("tool_input"), F.lit("done").alias("tool_output"), (F.col("source_seq") % 10 == 1).alias("is_error"),
+        F.when(
+            F.col("source_seq") % 2 == 0, F.lit("{}")
+        ).alias("tool_input"), F.lit("done").alias("tool_output"), (F.col("source_seq") % 10 == 1).alias("is_error"),
     )
     return export.transcripts(sessions, messages, calls)
 
 
 def session_summary(spark, sf_dir):
     rows = derived.turns(spark, sf_dir)
-    return rows.groupBy("session_id").agg(F.count("*").alias("message_count"), F.count_if(F.col("role") == "assistant").alias("assistant_count"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("n_chars"))
+    return rows.groupBy("session_id").agg(
+        F.count("*").alias("message_count"), F.count_if(F.col("role") == "assistant").alias("assistant_count"),
+        F.sum(F.length(F.coalesce("content", F.lit("")))).alias("n_chars")
+    )
 
 
 def uuid5_ids(spark, sf_dir):
@@ -358,7 +387,9 @@ def fifo_pairing(spark, sf_dir):
     from ..operators.pairing import first_in_first_out
 
     rows = derived.events(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
-    return first_in_first_out(rows.select("user_id", "event_id", (F.col("event_type") == "view").alias("opens")), ["user_id"], "event_id", "opens").select("user_id", "event_id", "opened_by")
+    return first_in_first_out(
+        rows.select("user_id", "event_id", (F.col("event_type") == "view").alias("opens")), ["user_id"], "event_id", "opens"
+    ).select("user_id", "event_id", "opened_by")
 
 
 def asof_last_assistant(spark, sf_dir):
@@ -384,7 +415,9 @@ def session_upsert_idempotent(spark, sf_dir):
 
     rows = derived.turns(spark, sf_dir)
     some = rows.where("session_id % 10 = 0")
-    return replace_sessions(replace_sessions(rows, some, some.select("session_id").distinct()), some, some.select("session_id").distinct()).groupBy("session_id").agg(F.count("*").alias("n"))
+    return replace_sessions(
+        replace_sessions(rows, some, some.select("session_id").distinct()), some, some.select("session_id").distinct()
+    ).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 def parent_links(spark, sf_dir):
@@ -415,12 +448,25 @@ QUERIES = {
     "report_totals_filtered": (report_totals_filtered, _totals_sql(_days(more=" AND project_slug = 'project3' AND source = 'source3'"))),
     "avg_session_duration": (avg_session_duration, f"SELECT avg_session_duration_seconds FROM ({_totals_sql(_days())})"),
     "unique_models": (unique_models, f"SELECT unique_models FROM ({_totals_sql(_days())})"),
-    "messages_by_role": (messages_by_role, f'{_S} SELECT role, count(*) AS "count" FROM m WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY role'),
+    "messages_by_role": (
+        messages_by_role, f'{_S} SELECT role, count(*) AS "count" FROM m WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY role'
+    ),
     "tool_call_total": (tool_call_total, f"{_S} SELECT count(*) AS tool_call_count FROM k WHERE session_id IN (SELECT session_id FROM t WHERE {_days()})"),
-    "top_tools": (top_tools, f'{_S} SELECT tool_name, count(*) AS "count" FROM k WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY tool_name ORDER BY 2 DESC, 1 LIMIT 10'),
-    "top_projects": (top_projects, f"{_S} SELECT project_slug AS slug, count(*) AS session_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t WHERE {_days()} GROUP BY 1 ORDER BY 2 DESC, coalesce(project_slug, '') LIMIT 10"),
-    "source_breakdown": (source_breakdown, f"{_S} SELECT source, count(*) AS session_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t WHERE {_days()} GROUP BY 1"),
-    "daily_breakdown": (daily_breakdown, f"{_S} SELECT dd AS date, count(*) AS session_count, CAST(sum(message_count) AS BIGINT) AS message_count, CAST(sum(tool_call_count) AS BIGINT) AS tool_call_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM c WHERE {_days()} GROUP BY 1"),
+    "top_tools": (
+        top_tools,
+        f'{_S} SELECT tool_name, count(*) AS "count" FROM k WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY tool_name ORDER BY 2 DESC, 1 LIMIT 10'
+    ),
+    "top_projects": (
+        top_projects,
+        f"{_S} SELECT project_slug AS slug, count(*) AS session_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t WHERE {_days()} GROUP BY 1 ORDER BY 2 DESC, coalesce(project_slug, '') LIMIT 10"
+    ),
+    "source_breakdown": (
+        source_breakdown, f"{_S} SELECT source, count(*) AS session_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t WHERE {_days()} GROUP BY 1"
+    ),
+    "daily_breakdown": (
+        daily_breakdown,
+        f"{_S} SELECT dd AS date, count(*) AS session_count, CAST(sum(message_count) AS BIGINT) AS message_count, CAST(sum(tool_call_count) AS BIGINT) AS tool_call_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM c WHERE {_days()} GROUP BY 1"
+    ),
     "usage_rollup": (usage_rollup, _ROLLUP_SQL),
     "usage_rollup_upsert": (usage_rollup_upsert, _ROLLUP_SQL),
     "period_daily": (_period_query("daily"), _totals_sql(_days("2024-01-30"))),
@@ -428,32 +474,64 @@ QUERIES = {
     "period_monthly": (_period_query("monthly"), _totals_sql(_days("2024-01-01"))),
     "period_last30": (_period_query("last-30-days"), _totals_sql(_days("2024-01-01"))),
     "period_custom": (_period_query("custom", start="2024-01-10", end="2024-01-12"), _totals_sql(_days("2024-01-10", "2024-01-12"))),
-    "scope_empty": (scope_empty, f"{_S} SELECT 'all' AS scope, NOT EXISTS (SELECT 1 FROM t WHERE {_days()}) AS is_empty UNION ALL SELECT 'unknown', NOT EXISTS (SELECT 1 FROM t WHERE {_days(more=' AND project_slug = ' + chr(39) + 'no-such-project' + chr(39))})"),
-    "semi_join_counts": (semi_join_counts, f"{_S} SELECT t.dd AS date, count(*) AS message_count FROM m JOIN t USING (session_id) WHERE {_days()} AND source = 'source2' GROUP BY 1"),
+    "scope_empty": (
+        scope_empty,
+        f"{_S} SELECT 'all' AS scope, NOT EXISTS (SELECT 1 FROM t WHERE {_days()}) AS is_empty UNION ALL SELECT 'unknown', NOT EXISTS (SELECT 1 FROM t WHERE {_days(more=' AND project_slug = ' + chr(39) + 'no-such-project' + chr(39))})"
+    ),
+    "semi_join_counts": (
+        semi_join_counts,
+        f"{_S} SELECT t.dd AS date, count(*) AS message_count FROM m JOIN t USING (session_id) WHERE {_days()} AND source = 'source2' GROUP BY 1"
+    ),
     "preagg_left_join": (preagg_left_join, f"{_S} SELECT session_id, message_count, tool_call_count FROM c WHERE {_days()}"),
     **{name: (_grep(pattern, project), GREP_SQL[name]) for name, (pattern, project) in GREPS.items()},
     "grep_turns": (grep_turns, GREP_SQL["grep_turns"]),
     "grep_stemmed": (_grep("worthlessness OR disgusted", stemmed=True), _stemmed_sql("worthless", "disgust")),
-    "knn_cosine": (knn_cosine, f"WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), r AS (SELECT vec_id, 1 - {_UNIT.format(a='embedding', b='q')} / (sqrt({_UNIT.format(a='embedding', b='embedding')}) * sqrt({_UNIT.format(a='q', b='q')})) AS x FROM embeddings, q) SELECT vec_id, round(x, 6) AS distance FROM r ORDER BY x, vec_id LIMIT 20"),
-    "knn_each": (knn_each, f"WITH r AS (SELECT q.vec_id AS query, e.vec_id, 1 - {_UNIT.format(a='e.embedding', b='q.embedding')} / (sqrt({_UNIT.format(a='e.embedding', b='e.embedding')}) * sqrt({_UNIT.format(a='q.embedding', b='q.embedding')})) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT query, vec_id, round(x, 6) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, vec_id) <= 5"),
-    "vector_blobs": (vector_blobs, "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings"),
+    "knn_cosine": (
+        knn_cosine,
+        f"WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), r AS (SELECT vec_id, 1 - {_UNIT.format(a='embedding', b='q')} / (sqrt({_UNIT.format(a='embedding', b='embedding')}) * sqrt({_UNIT.format(a='q', b='q')})) AS x FROM embeddings, q) SELECT vec_id, round(x, 6) AS distance FROM r ORDER BY x, vec_id LIMIT 20"
+    ),
+    "knn_each": (
+        knn_each,
+        f"WITH r AS (SELECT q.vec_id AS query, e.vec_id, 1 - {_UNIT.format(a='e.embedding', b='q.embedding')} / (sqrt({_UNIT.format(a='e.embedding', b='e.embedding')}) * sqrt({_UNIT.format(a='q.embedding', b='q.embedding')})) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT query, vec_id, round(x, 6) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, vec_id) <= 5"
+    ),
+    "vector_blobs": (
+        vector_blobs,
+        "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings"
+    ),
     "project_remotes": (project_remotes, f"""{_S}, p AS (SELECT project_slug AS slug, count(DISTINCT session_id) AS session_count, CAST(regexp_extract(project_slug, '(\\d+)$', 1) AS INTEGER) AS n FROM t WHERE project_slug IS NOT NULL GROUP BY 1)
       SELECT '/work/' || slug AS root_path, slug, CASE n % 4 WHEN 0 THEN 'https://host.example/team' || n || '/tool.git' WHEN 1 THEN 'git@host.example:team' || n || '/tool.git' WHEN 2 THEN 'ssh://git@host.example/team' || n || '/tool/' ELSE 'not a remote ' || n END AS git_remote,
       CASE WHEN n % 4 < 3 THEN 'team' || n END AS git_owner, CASE WHEN n % 4 < 3 THEN 'tool' END AS git_repo, session_count FROM p"""),
-    "session_mean_embedding": (session_mean_embedding, f"WITH {_MEANS} SELECT label, CAST(place - 1 AS INTEGER) AS place, round(CAST(x AS DOUBLE), 5) AS x FROM mean"),
-    "similar_sessions": (similar_sessions, f"WITH {_MEANS}, v AS (SELECT label, list(x ORDER BY place) AS a FROM mean GROUP BY label), q AS (SELECT a AS b FROM v WHERE label = 0), r AS (SELECT label, 1 - {_UNIT.format(a='a', b='b')} / (sqrt({_UNIT.format(a='a', b='a')}) * sqrt({_UNIT.format(a='b', b='b')})) AS x FROM v, q WHERE label <> 0) SELECT label, round(x, 4) AS distance FROM r ORDER BY x, label LIMIT 10"),
+    "session_mean_embedding": (
+        session_mean_embedding, f"WITH {_MEANS} SELECT label, CAST(place - 1 AS INTEGER) AS place, round(CAST(x AS DOUBLE), 5) AS x FROM mean"
+    ),
+    "similar_sessions": (
+        similar_sessions,
+        f"WITH {_MEANS}, v AS (SELECT label, list(x ORDER BY place) AS a FROM mean GROUP BY label), q AS (SELECT a AS b FROM v WHERE label = 0), r AS (SELECT label, 1 - {_UNIT.format(a='a', b='b')} / (sqrt({_UNIT.format(a='a', b='a')}) * sqrt({_UNIT.format(a='b', b='b')})) AS x FROM v, q WHERE label <> 0) SELECT label, round(x, 4) AS distance FROM r ORDER BY x, label LIMIT 10"
+    ),
     "has_embeddings": (has_embeddings, "SELECT EXISTS (SELECT 1 FROM embeddings WHERE embedding IS NOT NULL) AS has_embeddings"),
     "embed_text": (embed_text_query, "SELECT conv_id AS session_id, turn AS source_seq, role || chr(10) || coalesce(text, '') AS input FROM conversations"),
     "snippet_200": (snippet_200, "SELECT conv_id AS session_id, turn AS source_seq, substr(coalesce(text, ''), 1, 200) AS snippet FROM conversations"),
     "embed_candidates": (_candidates(), _CANDIDATES_SQL.format(more="turn % 3 <> 0 AND ", limit="")),
     "embed_candidates_forced": (_candidates(force=True), _CANDIDATES_SQL.format(more="", limit="")),
     "embed_candidates_limit": (_candidates(limit=100), _CANDIDATES_SQL.format(more="turn % 3 <> 0 AND ", limit=" ORDER BY conv_id, turn LIMIT 100")),
-    "transcript_order": (transcript_order, "SELECT conv_id AS session_id, turn AS source_seq, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations"),
+    "transcript_order": (
+        transcript_order,
+        "SELECT conv_id AS session_id, turn AS source_seq, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations"
+    ),
     "transcript_markdown": (transcript_markdown, _TRANSCRIPT_SQL),
-    "session_summary": (session_summary, "SELECT conv_id AS session_id, count(*) AS message_count, count(*) FILTER (WHERE role = 'assistant') AS assistant_count, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id"),
-    "uuid5_ids": (uuid5_ids, f"WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS native, turn AS source_seq, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || ('claude:' || CAST(conv_id AS VARCHAR))::BLOB) AS h FROM conversations), b AS (SELECT native, source_seq, {_UUID.format(h='h')} AS session_uuid FROM a), c AS (SELECT *, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || (session_uuid || ':' || CAST(source_seq AS VARCHAR))::BLOB) AS g FROM b) SELECT native, source_seq, session_uuid, {_UUID.format(h='g')} AS message_uuid FROM c"),
+    "session_summary": (
+        session_summary,
+        "SELECT conv_id AS session_id, count(*) AS message_count, count(*) FILTER (WHERE role = 'assistant') AS assistant_count, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id"
+    ),
+    "uuid5_ids": (
+        uuid5_ids,
+        f"WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS native, turn AS source_seq, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || ('claude:' || CAST(conv_id AS VARCHAR))::BLOB) AS h FROM conversations), b AS (SELECT native, source_seq, {_UUID.format(h='h')} AS session_uuid FROM a), c AS (SELECT *, sha1(unhex('019257924a7c4e6f9d6f1a2b3c4d5e6f') || (session_uuid || ':' || CAST(source_seq AS VARCHAR))::BLOB) AS g FROM b) SELECT native, source_seq, session_uuid, {_UUID.format(h='g')} AS message_uuid FROM c"
+    ),
     "json_extract_props": (json_extract_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
-    "iso_stamps": (iso_stamps, "SELECT event_id, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_millis, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_seconds FROM events"),
+    "iso_stamps": (
+        iso_stamps,
+        "SELECT event_id, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_millis, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS of_seconds FROM events"
+    ),
     "recency_window": (recency_window, "SELECT event_id, user_id FROM events WHERE event_id % 10 = 0 OR ts >= TIMESTAMP '2024-01-20'"),
     "dedup_first": (dedup_first, "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2"),
     "fifo_pairing": (fifo_pairing, """WITH x AS (SELECT user_id, event_id, event_type = 'view' AS opens FROM events WHERE event_type IN ('view', 'click')),
@@ -462,10 +540,16 @@ QUERIES = {
       a AS (SELECT *, NOT opens AND low < coalesce(was, 0) AS orphan FROM l),
       o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM a WHERE opens), c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM a WHERE NOT opens AND NOT orphan)
       SELECT a.user_id, a.event_id, o.event_id AS opened_by FROM a LEFT JOIN c ON a.event_id = c.event_id LEFT JOIN o ON c.user_id = o.user_id AND c.n = o.n WHERE NOT a.opens"""),
-    "asof_last_assistant": (asof_last_assistant, "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'"),
+    "asof_last_assistant": (
+        asof_last_assistant,
+        "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'"
+    ),
     "cumulative_max": (cumulative_max, f"WITH {EVENTS} SELECT session_id, CAST(max(floor(value)) AS BIGINT) AS most FROM e GROUP BY 1"),
     "patch_replay": (patch_replay, "SELECT user_id, event_type, arg_max(props, event_id) AS props, count(*) AS patches FROM events GROUP BY 1, 2"),
-    "parent_links": (parent_links, "WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT a.conv_id AS session_id, b.conv_id AS parent_session_id FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id - 50"),
+    "parent_links": (
+        parent_links,
+        "WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT a.conv_id AS session_id, b.conv_id AS parent_session_id FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id - 50"
+    ),
     **ROUND_TRIPS,
     "session_upsert_idempotent": (session_upsert_idempotent, "SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY 1"),
 }

@@ -30,7 +30,9 @@ def events(spark: SparkSession, sf_dir: str, when: Period | None = None) -> Data
 
 def sessions(spark: SparkSession, sf_dir: str, when: Period | None = None) -> DataFrame:
     tokens = [F.sum(F.when(F.col("event_type") == kind, F.floor("value")).otherwise(F.lit(0))).cast("long").alias(name) for kind, name in CHANNELS.items()]
-    grouped = events(spark, sf_dir, when).groupBy("session_id", "user_id").agg(F.min("ts").alias("started_ts"), F.max("ts").alias("ended_ts"), F.count_if(F.col("event_type") == "error").alias("error_count"), *tokens)
+    grouped = events(spark, sf_dir, when).groupBy("session_id", "user_id").agg(
+        F.min("ts").alias("started_ts"), F.max("ts").alias("ended_ts"), F.count_if(F.col("event_type") == "error").alias("error_count"), *tokens
+    )
     user = F.col("user_id")
     return grouped.select(
         "session_id",
@@ -51,4 +53,7 @@ def tool_calls(spark: SparkSession, sf_dir: str, when: Period | None = None) ->
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("source_seq"), "role", F.col("text").alias("content"), (F.col("conv_id") % 10).alias("project"))
+    return rows.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("source_seq"), "role", F.col("text").alias("content"),
+        (F.col("conv_id") % 10).alias("project")
+    )

@@ -34,7 +34,13 @@ def _nested(**fields) -> Column:
 
 def claude_lines(rows: DataFrame) -> DataFrame:
     usage = _nested(input_tokens=F.col("n"), output_tokens=F.lit(1))
-    return _lines(rows, _json(uuid=F.concat_ws("-", "path", "n"), type=F.col("role"), timestamp=BORN, sessionId=F.col("path"), version="1", cwd="/work/app", message=_nested(model="m", content=F.col("content"), usage=usage)))
+    return _lines(
+        rows,
+        _json(
+            uuid=F.concat_ws("-", "path", "n"), type=F.col("role"), timestamp=BORN, sessionId=F.col("path"), version="1", cwd="/work/app",
+            message=_nested(model="m", content=F.col("content"), usage=usage)
+        )
+    )
 
 
 def codex_lines(rows: DataFrame) -> DataFrame:
@@ -59,7 +65,10 @@ def claude_call_lines(rows: DataFrame) -> DataFrame:
     """Each turn of an assistant asks for a call besides what it says; the user's next event answers it, with an error in
     every fourth. Every fifth is never answered."""
     def event(kind, number, content):
-        return _json(uuid=F.concat_ws("-", "path", number), type=kind, timestamp=BORN, sessionId=F.col("path"), version="1", cwd="/work/app", message=_nested(content=content))
+        return _json(
+            uuid=F.concat_ws("-", "path", number), type=kind, timestamp=BORN, sessionId=F.col("path"), version="1", cwd="/work/app",
+            message=_nested(content=content)
+        )
 
     call = F.concat(F.lit("c"), "n")
     none = F.lit(None).cast("string")
@@ -68,8 +77,15 @@ def claude_call_lines(rows: DataFrame) -> DataFrame:
     answered = _nested(type="tool_result", tool_use_id=call, content=F.concat(F.lit("out "), "n"), is_error=F.col("n") % 4 == 0)
     assistant = F.col("role") == "assistant"
     events = F.array(
-        F.struct((F.col("n") * 2 - 1).alias("source_seq"), F.when(assistant, event("assistant", F.col("n") * 2, F.array(told, asked))).otherwise(event("user", F.col("n") * 2, F.coalesce("content", F.lit("")))).alias("line")),
-        F.struct((F.col("n") * 2).alias("source_seq"), F.when(assistant & (F.col("n") % 5 != 0), event("user", F.col("n") * 2 + 1, F.array(answered))).alias("line")),
+        F.struct(
+            (F.col("n") * 2 - 1).alias("source_seq"),
+            F.when(
+                assistant, event("assistant", F.col("n") * 2, F.array(told, asked))
+            ).otherwise(event("user", F.col("n") * 2, F.coalesce("content", F.lit("")))).alias("line")
+        ),
+        F.struct(
+            (F.col("n") * 2).alias("source_seq"), F.when(assistant & (F.col("n") % 5 != 0), event("user", F.col("n") * 2 + 1, F.array(answered))).alias("line")
+        ),
     )
     return rows.select("path", F.inline(events)).where("line is not null")
 
@@ -78,9 +94,15 @@ def codex_call_lines(rows: DataFrame) -> DataFrame:
     """Each turn of an assistant is followed by a function call and, but for every fifth, its output."""
     said = codex_lines(rows).withColumn("source_seq", F.col("source_seq") * 3)
     call = F.concat(F.lit("c"), "n")
-    asked = _json(timestamp=BORN, type="response_item", payload=_nested(type="function_call", name=F.concat(F.lit("tool"), F.col("n") % 3), arguments=_nested(n=F.col("n")), call_id=call))
+    asked = _json(
+        timestamp=BORN, type="response_item",
+        payload=_nested(type="function_call", name=F.concat(F.lit("tool"), F.col("n") % 3), arguments=_nested(n=F.col("n")), call_id=call)
+    )
     given = _json(timestamp=BORN, type="response_item", payload=_nested(type="function_call_output", call_id=call, output=F.concat(F.lit("out "), "n")))
-    more = F.array(F.struct((F.col("n") * 3 + 1).alias("source_seq"), asked.alias("line")), F.struct((F.col("n") * 3 + 2).alias("source_seq"), F.when(F.col("n") % 5 != 0, given).alias("line")))
+    more = F.array(
+        F.struct((F.col("n") * 3 + 1).alias("source_seq"), asked.alias("line")),
+        F.struct((F.col("n") * 3 + 2).alias("source_seq"), F.when(F.col("n") % 5 != 0, given).alias("line"))
+    )
     return said.unionByName(rows.where("role = 'assistant'").select("path", F.inline(more)).where("line is not null"))
 
 
@@ -88,7 +110,9 @@ def _store(kind: str, **tables) -> DataFrame:
     """Rows as the reader of stores gives them."""
     out = None
     for name, rows in tables.items():
-        found = rows.select(F.lit("store.db").alias("path"), F.lit(kind).alias("kind"), F.lit(name).alias("table"), F.to_json(F.struct(*rows.columns)).alias("row"))
+        found = rows.select(
+            F.lit("store.db").alias("path"), F.lit(kind).alias("kind"), F.lit(name).alias("table"), F.to_json(F.struct(*rows.columns)).alias("row")
+        )
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -97,24 +121,46 @@ def opencode_rows(rows: DataFrame) -> DataFrame:
     """A message with a part of text for each turn; those of assistants have a part for a call, of which every fourth failed."""
     message = F.concat_ws("-", "path", "n")
     sessions = rows.groupBy("path").agg(F.sum("n").alias("tokens_input"), F.count("*").alias("tokens_output"))
-    sessions = sessions.select(F.col("path").alias("id"), F.lit("/work/app").alias("directory"), F.lit("t").alias("title"), F.lit(0).alias("time_created"), F.lit(0).alias("time_updated"), F.lit('{"id":"m"}').alias("model"), "tokens_input", "tokens_output", F.lit(0).alias("tokens_cache_read"), F.lit(0).alias("tokens_cache_write"))
+    sessions = sessions.select(
+        F.col("path").alias("id"), F.lit("/work/app").alias("directory"), F.lit("t").alias("title"), F.lit(0).alias("time_created"),
+        F.lit(0).alias("time_updated"), F.lit('{"id":"m"}').alias("model"), "tokens_input", "tokens_output", F.lit(0).alias("tokens_cache_read"),
+        F.lit(0).alias("tokens_cache_write")
+    )
     messages = rows.select(message.alias("id"), F.col("path").alias("session_id"), F.col("n").alias("time_created"), _json(role=F.col("role")).alias("data"))
-    text = rows.select(F.concat(message, F.lit("-a")).alias("id"), message.alias("message_id"), F.col("n").alias("time_created"), _json(type="text", text=F.col("content")).alias("data"))
-    state = _nested(status=F.when(F.col("n") % 4 == 0, F.lit("error")).otherwise(F.lit("completed")), input=_nested(n=F.col("n")), output=F.concat(F.lit("out "), "n"))
-    calls = rows.where("role = 'assistant'").select(F.concat(message, F.lit("-b")).alias("id"), message.alias("message_id"), F.col("n").alias("time_created"), _json(type="tool", callID=F.concat(F.lit("c"), "n"), tool=F.concat(F.lit("tool"), F.col("n") % 3), state=state).alias("data"))
+    text = rows.select(
+        F.concat(message, F.lit("-a")).alias("id"), message.alias("message_id"), F.col("n").alias("time_created"),
+        _json(type="text", text=F.col("content")).alias("data")
+    )
+    state = _nested(
+        status=F.when(F.col("n") % 4 == 0, F.lit("error")).otherwise(F.lit("completed")), input=_nested(n=F.col("n")), output=F.concat(F.lit("out "), "n")
+    )
+    calls = rows.where("role = 'assistant'").select(
+        F.concat(message, F.lit("-b")).alias("id"), message.alias("message_id"), F.col("n").alias("time_created"),
+        _json(type="tool", callID=F.concat(F.lit("c"), "n"), tool=F.concat(F.lit("tool"), F.col("n") % 3), state=state).alias("data")
+    )
     return _store("opencode", session=sessions, message=messages, part=text.unionByName(calls))
 
 
 def hermes_rows(rows: DataFrame) -> DataFrame:
     """Messages of assistants ask for a call each, all by one id within a session; but for every fifth, tool messages answer
     them after the last message, so the answers are paired first in, first out."""
-    sessions = rows.select("path").distinct().select(F.col("path").alias("id"), F.lit("web").alias("source"), F.lit("m").alias("model"), F.lit(0.5).alias("started_at"), F.lit(1.0).alias("input_tokens").cast("long"))
+    sessions = rows.select("path").distinct().select(
+        F.col("path").alias("id"), F.lit("web").alias("source"), F.lit("m").alias("model"), F.lit(0.5).alias("started_at"),
+        F.lit(1.0).alias("input_tokens").cast("long")
+    )
     assistant = F.col("role") == "assistant"
-    asked = F.to_json(F.array(_nested(call_id="c", function=_nested(name=F.concat(F.lit("tool"), F.col("n") % 3), arguments=F.concat(F.lit('{"n":'), "n", F.lit("}"))))))
+    asked = F.to_json(
+        F.array(_nested(call_id="c", function=_nested(name=F.concat(F.lit("tool"), F.col("n") % 3), arguments=F.concat(F.lit('{"n":'), "n", F.lit("}")))))
+    )
     own = [F.col("path").alias("session_id"), F.lit(1.5).alias("timestamp")]
-    said = rows.select(F.col("n").alias("id"), *own, "role", "content", F.lit(None).cast("string").alias("tool_call_id"), F.when(assistant, asked).alias("tool_calls"))
+    said = rows.select(
+        F.col("n").alias("id"), *own, "role", "content", F.lit(None).cast("string").alias("tool_call_id"), F.when(assistant, asked).alias("tool_calls")
+    )
     answers = rows.where(assistant).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("n")))
-    answers = answers.where("k % 5 != 0").select((F.col("n") + 1_000_000).alias("id"), *own, F.lit("tool").alias("role"), F.concat(F.lit("out "), "k").alias("content"), F.lit("c").alias("tool_call_id"), F.lit(None).cast("string").alias("tool_calls"))
+    answers = answers.where("k % 5 != 0").select(
+        (F.col("n") + 1_000_000).alias("id"), *own, F.lit("tool").alias("role"), F.concat(F.lit("out "), "k").alias("content"),
+        F.lit("c").alias("tool_call_id"), F.lit(None).cast("string").alias("tool_calls")
+    )
     return _store("hermes", session=sessions, every=sessions.select("id", "source"), message=said.unionByName(answers))
 
 
@@ -139,7 +185,9 @@ def _calls(make):
         named = parsed.sessions.select("session_id", "native_id")
         asked = parsed.messages.select(F.col("uuid").alias("request_message"), F.col("source_seq").alias("asked_at"))
         calls = parsed.tool_calls.join(named, "session_id").join(asked, "request_message", "left")
-        return calls.select("native_id", "asked_at", "call_id", "tool_name", F.regexp_replace("tool_input", " ", "").alias("tool_input"), "tool_output", "is_error")
+        return calls.select(
+            "native_id", "asked_at", "call_id", "tool_name", F.regexp_replace("tool_input", " ", "").alias("tool_input"), "tool_output", "is_error"
+        )
 
     return run
 
@@ -152,7 +200,9 @@ def same_session_two_paths(spark, sf_dir):
     shorter = claude_lines(rows.withColumn("last", last).where("n < last or last = 1")).withColumn("path", F.concat(F.lit("b/"), "path"))
     found = one_path_a_session(parse_lines(lines.unionByName(shorter)))
     counted = found.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.max("turn_number").alias("last_turn"))
-    return found.sessions.join(counted, "session_id").select("native_id", "message_count", "input_tokens", "messages", "last_turn", F.substring("raw_path", 1, 2).alias("path"))
+    return found.sessions.join(counted, "session_id").select(
+        "native_id", "message_count", "input_tokens", "messages", "last_turn", F.substring("raw_path", 1, 2).alias("path")
+    )
 
 
 def parsed_sessions(spark, sf_dir):
@@ -179,7 +229,9 @@ def unmatched_requests(spark, sf_dir):
 
 def detect_kind(spark, sf_dir):
     rows = _turns(spark, sf_dir)
-    lines = claude_lines(rows.where("path % 3 = 0")).unionByName(codex_lines(rows.where("path % 3 = 1"))).unionByName(transcript_lines(rows.where("path % 3 = 2")))
+    lines = claude_lines(rows.where("path % 3 = 0")).unionByName(codex_lines(rows.where("path % 3 = 1"))).unionByName(
+        transcript_lines(rows.where("path % 3 = 2"))
+    )
     return detect_kinds(lines).groupBy("kind").agg(F.count("*").alias("files"))
 
 
@@ -208,13 +260,25 @@ ROUND_TRIPS = {
     "parse_claude_calls": (_calls(claude_call_lines), _calls_sql("a.n * 2 - 1", _OWN_ID, _ANSWERED, "CASE WHEN a.n % 5 <> 0 THEN a.n % 4 = 0 END")),
     "parse_codex_calls": (_calls(codex_call_lines), _calls_sql("a.n * 3", _OWN_ID, _ANSWERED, "CAST(NULL AS BOOLEAN)")),
     "parse_opencode_calls": (_calls(opencode_rows), _calls_sql("a.n", _OWN_ID, "'out ' || CAST(a.n AS VARCHAR)", "a.n % 4 = 0")),
-    "parse_hermes_calls": (_calls(hermes_rows), _calls_sql("a.n", "'c'", "'out ' || CAST(g.k AS VARCHAR)", "CAST(NULL AS BOOLEAN)").replace("CAST(a.conv_id AS VARCHAR) AS", "'web:' || a.conv_id AS")),
+    "parse_hermes_calls": (
+        _calls(hermes_rows),
+        _calls_sql("a.n", "'c'", "'out ' || CAST(g.k AS VARCHAR)", "CAST(NULL AS BOOLEAN)").replace("CAST(a.conv_id AS VARCHAR) AS", "'web:' || a.conv_id AS")
+    ),
     "same_session_two_paths": (same_session_two_paths, _LOST),
     "parse_claude": (_messages(claude_lines), _MESSAGES),
     "parse_codex": (_messages(codex_lines), _MESSAGES),
     "parse_copilot": (_messages(transcript_lines), _MESSAGES),
-    "parsed_sessions": (parsed_sessions, f"WITH {_TURNS} SELECT CAST(conv_id AS VARCHAR) AS native_id, count(*) AS message_count, CAST(sum(n) AS BIGINT) AS input_tokens, count(*) AS output_tokens, CAST(sum(n) + count(*) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS error_count FROM r GROUP BY 1"),
-    "unmatched_requests": (unmatched_requests, f"WITH {_TURNS}, k AS (SELECT unnest(['tool_before_any_message', 'unmatched_request', 'dangling_tool_start']) AS kind) SELECT kind, count(DISTINCT conv_id) AS n, count(DISTINCT conv_id) AS sessions FROM r, k GROUP BY kind"),
+    "parsed_sessions": (
+        parsed_sessions,
+        f"WITH {_TURNS} SELECT CAST(conv_id AS VARCHAR) AS native_id, count(*) AS message_count, CAST(sum(n) AS BIGINT) AS input_tokens, count(*) AS output_tokens, CAST(sum(n) + count(*) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS error_count FROM r GROUP BY 1"
+    ),
+    "unmatched_requests": (
+        unmatched_requests,
+        f"WITH {_TURNS}, k AS (SELECT unnest(['tool_before_any_message', 'unmatched_request', 'dangling_tool_start']) AS kind) SELECT kind, count(DISTINCT conv_id) AS n, count(DISTINCT conv_id) AS sessions FROM r, k GROUP BY kind"
+    ),
     "errata_counts": (errata_counts, f"WITH {_TURNS} SELECT 'parse_error' AS kind, count(*) AS n FROM r WHERE n % 3 = 0"),
-    "detect_kind": (detect_kind, f"WITH {_TURNS} SELECT CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'copilot-transcript' END AS kind, count(DISTINCT conv_id) AS files FROM r GROUP BY 1"),
+    "detect_kind": (
+        detect_kind,
+        f"WITH {_TURNS} SELECT CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'copilot-transcript' END AS kind, count(DISTINCT conv_id) AS files FROM r GROUP BY 1"
+    ),
 }

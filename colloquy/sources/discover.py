@@ -45,7 +45,9 @@ def discover_all(spark: SparkSession, home: str, recency: Recency = Recency(), e
 
 def _count(spark: SparkSession, source: str, path: str, recency: Recency) -> int:
     if source in STORES:
-        rows = store_rows(spark, path, recency).where(F.col("table").isin("session", "error")).groupBy("table").agg(F.count("*").alias("n"), F.first("row").alias("row")).collect()
+        rows = store_rows(spark, path, recency).where(F.col("table").isin("session", "error")).groupBy("table").agg(
+            F.count("*").alias("n"), F.first("row").alias("row")
+        ).collect()
         broken = [r.row for r in rows if r["table"] == "error"]
         if broken:
             raise ValueError(broken[0])

@@ -27,7 +27,10 @@ def parse_lines(lines: DataFrame, kinds: list[str | None] | None = None) -> Pars
             out = found if out is None else out.union(found)
     if kinds is None or None in kinds or out is None:
         unknown = rows.where("kind is null").groupBy("path").agg(F.min_by("line", "source_seq").alias("line"))
-        lost = unknown.select(F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.substring("line", 1, 500).alias("snippet"), F.col("path").alias("raw_path"))
+        lost = unknown.select(
+            F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"),
+            F.substring("line", 1, 500).alias("snippet"), F.col("path").alias("raw_path")
+        )
         if out is None:
             none = {t: lines.sparkSession.createDataFrame([], schema) for t, schema in TABLES.items()}
             out = Parsed(**none)

@@ -13,7 +13,9 @@ def session_lines(spark: SparkSession, path: str | list[str], recency: Recency =
     reader = spark.read.option("recursiveFileLookup", True)
     if isinstance(path, str) and not path.endswith(".jsonl"):
         reader = reader.option("pathGlobFilter", "*.jsonl")
-    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    files = reader.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime")
+    )
     files = files.where(recency.holds(F.col("mtime")) & ~F.col("path").contains("/subagents/"))
     return number_lines(files.select("path", "value"))
 

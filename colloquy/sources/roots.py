@@ -15,8 +15,14 @@ def default_roots(home: str, env: dict[str, str] | None = None) -> dict[str, lis
     env = os.environ if env is None else env
     under = lambda names: [str(Path(home, n)) for n in names if Path(home, n).exists()]
     data, config = env.get("XDG_DATA_HOME"), env.get("XDG_CONFIG_HOME")
-    hermes = [Path(home, ".hermes/state.db"), *([Path(data, "hermes/state.db")] if data else []), Path(home, ".local/share/hermes/state.db"), *([Path(config, "hermes/state.db")] if config else []), Path(home, ".config/hermes/state.db")]
-    found = {"claude": under(CLAUDE), "codex": under(CODEX), "opencode": under(OPENCODE), "hermes": [str(p) for p in hermes if p.exists()][:1], "copilot": under(COPILOT)}
+    hermes = [
+        Path(home, ".hermes/state.db"), *([Path(data, "hermes/state.db")] if data else []), Path(home, ".local/share/hermes/state.db"),
+        *([Path(config, "hermes/state.db")] if config else []), Path(home, ".config/hermes/state.db")
+    ]
+    found = {
+        "claude": under(CLAUDE), "codex": under(CODEX), "opencode": under(OPENCODE), "hermes": [str(p) for p in hermes if p.exists()][:1],
+        "copilot": under(COPILOT)
+    }
     return {source: roots for source, roots in found.items() if roots}
 
 

@@ -120,7 +120,9 @@ class Vault:
     def _keys(rows: dict[str, DataFrame]) -> DataFrame:
         """What arriving rows replace: their sessions, and errata without a session of the same files."""
         files = rows["sessions"].select("raw_path").unionByName(rows["errata"].where("session_id is null").select("raw_path"))
-        keys = rows["sessions"].select(F.col("session_id").alias("key")).unionByName(files.where("raw_path is not null").select(_no_session("raw_path").alias("key")))
+        keys = rows["sessions"].select(F.col("session_id").alias("key")).unionByName(
+            files.where("raw_path is not null").select(_no_session("raw_path").alias("key"))
+        )
         return keys.distinct()
 
     def _write(self, version: int, rows: dict[str, DataFrame], keys: DataFrame) -> int:
@@ -133,7 +135,9 @@ class Vault:
                 return
             new = shaped(rows[name], TABLES[name])
             if name == "messages":
-                new = new.withColumn("ingested_at", F.coalesce("ingested_at", F.current_timestamp())).withColumn("n_tokens", F.size(fulltext.tokens(F.col("content"))))
+                new = new.withColumn(
+                    "ingested_at", F.coalesce("ingested_at", F.current_timestamp())
+                ).withColumn("n_tokens", F.size(fulltext.tokens(F.col("content"))))
             new.sortWithinPartitions("session_id").write.parquet(place(name))
 
         with ThreadPoolExecutor(len(TABLES) + 1) as pool:  # the jobs don't need each other
@@ -266,15 +270,21 @@ class Vault:
             own = {name: self.table(name, manifest).join(touched, "session_id", "left_semi") for name in TABLES}
             new = done.select(F.col("uuid").alias("u"), F.col("embedding").alias("fresh"))
             rows = own["messages"].join(new, F.col("uuid") == F.col("u"), "left").withColumn("embedding", F.coalesce("fresh", "embedding")).drop("u", "fresh")
-            means = vectors.mean_vectors(done if scope == "run" else rows, "session_id").select(F.col("session_id").alias("s"), F.col("embedding").alias("mean"))
+            means = vectors.mean_vectors(done if scope == "run" else rows, "session_id").select(
+                F.col("session_id").alias("s"), F.col("embedding").alias("mean")
+            )
             own["messages"] = rows
-            own["sessions"] = own["sessions"].join(means, F.col("session_id") == F.col("s"), "left").withColumn("summary_embedding", F.coalesce("mean", "summary_embedding")).drop("s", "mean")
+            own["sessions"] = own["sessions"].join(means, F.col("session_id") == F.col("s"), "left").withColumn(
+                "summary_embedding", F.coalesce("mean", "summary_embedding")
+            ).drop("s", "mean")
             config = {"embedding_model": model.name, "embedding_dimensions": model.dimensions, "embedding_provider": provider}
             self._append(manifest, own, touched.select(F.col("session_id").alias("key")), config)
             touched.unpersist()
             return count
         except PythonException as e:
-            raise EmbedderError(str(e).strip().splitlines()[-1] if "EmbedderError" not in str(e) else str(e).partition("EmbedderError: ")[2].splitlines()[0]) from None
+            raise EmbedderError(
+                str(e).strip().splitlines()[-1] if "EmbedderError" not in str(e) else str(e).partition("EmbedderError: ")[2].splitlines()[0]
+            ) from None
         finally:
             done.unpersist()
 
@@ -299,7 +309,10 @@ class Vault:
 
     # Reports ---------------------------------------------------------------------------------------------------------
 
-    def report(self, kind: str | None = None, start: str | None = None, end: str | None = None, project: str | None = None, source: str | None = None, save: bool = False, now: datetime | None = None) -> dict:
+    def report(
+        self, kind: str | None = None, start: str | None = None, end: str | None = None, project: str | None = None, source: str | None = None,
+        save: bool = False, now: datetime | None = None
+    ) -> dict:
         """A report's document. A saved one of a period that is over is served again, unless the period moves with today;
         any report of sessions that exist brings the rollup of its period up to date."""
         now = now or utc_now()

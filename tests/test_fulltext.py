@@ -68,5 +68,9 @@ def test_limit_and_order(table):
 
 
 def test_stems():
-    pairs = {"caresses": "caress", "ponies": "poni", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "digitizer": "digit", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "controll": "control", "roll": "roll", "sky": "sky", "is": "is"}
+    pairs = {
+        "caresses": "caress", "ponies": "poni", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat",
+        "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "digitizer": "digit", "triplicate": "triplic", "hopeful": "hope",
+        "revival": "reviv", "adoption": "adopt", "probate": "probat", "controll": "control", "roll": "roll", "sky": "sky", "is": "is"
+    }
     assert {w: stem(w) for w in pairs} == pairs

@@ -29,8 +29,13 @@ def test_lines_keep_their_numbers(spark):
 
 
 def test_kinds(spark):
-    named = {"a": [event(1, "user")], "b": [{"type": "session_meta", "payload": {"id": "x"}}], "c": [{"kind": 0, "v": {"sessionId": "q"}}], "d": [{"type": "session.start", "sessionId": "q"}], "e": ["nonsense"]}
-    assert {r.path: r.kind for r in detect_kinds(files(spark, **named)).collect()} == {"a": "claude", "b": "codex", "c": "copilot-chat", "d": "copilot-transcript", "e": None}
+    named = {
+        "a": [event(1, "user")], "b": [{"type": "session_meta", "payload": {"id": "x"}}], "c": [{"kind": 0, "v": {"sessionId": "q"}}],
+        "d": [{"type": "session.start", "sessionId": "q"}], "e": ["nonsense"]
+    }
+    assert {r.path: r.kind for r in detect_kinds(files(spark, **named)).collect()} == {
+        "a": "claude", "b": "codex", "c": "copilot-chat", "d": "copilot-transcript", "e": None
+    }
 
 
 def test_a_blank_first_line_hides_the_kind(spark):
@@ -57,7 +62,10 @@ def test_discovery_counts_and_tells_what_fails(spark, tmp_path):
 def test_calls_without_their_request_are_errata(spark):
     from colloquy.sources.ingest import one_path_a_session
 
-    rows = [{"type": "session.start", "sessionId": "q", "timestamp": 0}, {"type": "tool.execution_start", "tool_call_id": "t", "tool_name": "x", "timestamp": 1}, {"type": "user.message", "content": "hi", "timestamp": 2}]
+    rows = [
+        {"type": "session.start", "sessionId": "q", "timestamp": 0}, {"type": "tool.execution_start", "tool_call_id": "t", "tool_name": "x", "timestamp": 1},
+        {"type": "user.message", "content": "hi", "timestamp": 2}
+    ]
     out = collected(one_path_a_session(parse_lines(files(spark, f=rows))))
     assert len(out["tool_calls"]) == 1 and "unmatched_request" in [e["kind"] for e in out["errata"]]
 
@@ -65,8 +73,30 @@ def test_calls_without_their_request_are_errata(spark):
 def test_claude(spark):
     lines = [
         event(1, "user", {"content": "List files."}),
-        event(2, "assistant", {"model": "m1", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "I'll list."}, {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "ls"}}], "usage": {"input_tokens": 3, "output_tokens": 10}}),
-        event(3, "user", {"content": [{"type": "tool_result", "tool_use_id": "c1", "content": [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}], "is_error": False}, {"type": "text", "text": "and?"}]}, gitBranch="main"),
+        event(
+            2, "assistant",
+            {
+                "model": "m1",
+                "content": [
+                    {"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "I'll list."},
+                    {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "ls"}}
+                ],
+                "usage": {"input_tokens": 3, "output_tokens": 10}
+            }
+        ),
+        event(
+            3, "user",
+            {
+                "content": [
+                    {
+                        "type": "tool_result", "tool_use_id": "c1", "content": [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}],
+                        "is_error": False
+                    },
+                    {"type": "text", "text": "and?"}
+                ]
+            },
+            gitBranch="main"
+        ),
         event(4, "system", {"content": "x"}),
         event(5, "custom-title", {"content": "A title"}),
         event(6, "weird"),
@@ -77,10 +107,14 @@ def test_claude(spark):
     out = collected(parse_lines(files(spark, f=lines)))
     (s,) = out["sessions"]
     assert (s["source"], s["native_id"], s["title"], s["model"], s["git_branch"], s["project_slug"]) == ("claude", "s1", "A title", "m1", "main", "app")
-    assert (s["input_tokens"], s["output_tokens"], s["cache_read_tokens"], s["total_tokens"], s["message_count"], s["tool_call_count"], s["error_count"]) == (3, 12, 7, 22, 4, 1, 3)
+    assert (
+        s["input_tokens"], s["output_tokens"], s["cache_read_tokens"], s["total_tokens"], s["message_count"], s["tool_call_count"], s["error_count"]
+    ) == (3, 12, 7, 22, 4, 1, 3)
     assert (s["started_at"], s["ended_at"]) == ("2026-06-20T11:00:01Z", "2026-06-20T11:00:09Z")
     messages = sorted(out["messages"], key=lambda m: m["source_seq"])
-    assert [(m["role"], m["content"], m["thinking"], m["turn_number"]) for m in messages] == [("user", "List files.", None, 1), ("assistant", "I'll list.", "hm", 2), ("user", "one\ntwo\nand?", None, 3), ("assistant", "Bye.", None, 4)]
+    assert [(m["role"], m["content"], m["thinking"], m["turn_number"]) for m in messages] == [
+        ("user", "List files.", None, 1), ("assistant", "I'll list.", "hm", 2), ("user", "one\ntwo\nand?", None, 3), ("assistant", "Bye.", None, 4)
+    ]
     (c,) = out["tool_calls"]
     assert (c["call_id"], c["tool_name"], c["tool_input"], c["tool_output"], c["is_error"]) == ("c1", "Bash", '{"command":"ls"}', "one\ntwo", False)
     assert c["request_message"] == messages[1]["uuid"] and c["response_message"] == messages[2]["uuid"]
@@ -90,7 +124,9 @@ def test_claude(spark):
 def test_a_used_id_overwrites_and_takes_the_later_result(spark):
     use = lambda n, name: event(n, "assistant", {"content": [{"type": "tool_use", "id": "c", "name": name, "input": {}}]})
     answer = lambda n, text: event(n, "user", {"content": [{"type": "tool_result", "tool_use_id": "c", "content": text}]})
-    out = collected(parse_lines(files(spark, f=[answer(1, "stray"), use(2, "A"), answer(3, "first"), use(4, "B")], g=[use(2, "A"), answer(3, "x"), answer(5, "y")])))
+    out = collected(
+        parse_lines(files(spark, f=[answer(1, "stray"), use(2, "A"), answer(3, "first"), use(4, "B")], g=[use(2, "A"), answer(3, "x"), answer(5, "y")]))
+    )
     calls = {c["tool_name"]: c["tool_output"] for c in out["tool_calls"]}
     assert calls == {"B": None, "A": "y"}
 
@@ -104,18 +140,31 @@ def test_codex(spark):
         item(1, "session_meta", {"id": "x1", "cwd": "/w/proj", "git": {"branch": "dev"}, "forked_from_id": "x0", "originator": "cli"}),
         item(2, "turn_context", {"model": "gpt", "summary": ""}),
         item(3, "event_msg", {"type": "user_message", "message": "Do it " * 30}),
-        item(4, "response_item", {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "ok"}, {"type": "image"}, {"type": "text", "text": ""}]}),
+        item(
+            4, "response_item",
+            {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "ok"}, {"type": "image"}, {"type": "text", "text": ""}]}
+        ),
         item(5, "response_item", {"type": "function_call", "call_id": "c1", "name": "exec", "arguments": "{\"a\":1}"}),
         item(6, "response_item", {"type": "function_call_output", "call_id": "c1", "output": "done"}),
         item(7, "event_msg", {"type": "exec_command_end", "call_id": "c1", "exit_code": 1, "aggregated_output": "late"}),
         item(8, "event_msg", {"type": "mcp_tool_call_begin", "call_id": "c2", "arguments": {"q": 2}}),
         item(9, "event_msg", {"type": "mcp_tool_call_end", "call_id": "c2", "tool": "mcp", "result": "r"}),
-        item(10, "event_msg", {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 150, "output_tokens": 60, "cached_input_tokens": 70, "reasoning_output_tokens": 20}}}),
+        item(
+            10, "event_msg",
+            {
+                "type": "token_count",
+                "info": {"total_token_usage": {"input_tokens": 150, "output_tokens": 60, "cached_input_tokens": 70, "reasoning_output_tokens": 20}}
+            }
+        ),
         item(11, "event_msg", {"type": "token_count", "input": 10, "output": 5}),
         item(12, "response_item", {"type": "reasoning", "text": "why"}),
         item(13, "response_item", {"type": "function_call_output", "call_id": "nobody", "output": "x"}),
-        item(14, "world_state", {}), item(15, "world_state", {}), item(16, "event_msg", {"type": "turn_started"}), item(17, "event_msg", {"type": "odd"}), item(18, "other", {}),
-        item(19, "event_msg", {"type": "warning", "message": "careful"}), item(20, "compacted", {"summary": "s"}), item(21, "response_item", {"type": "strange"}),
+        item(14, "world_state", {}), item(15, "world_state", {}), item(
+            16, "event_msg", {"type": "turn_started"}
+        ), item(17, "event_msg", {"type": "odd"}), item(18, "other", {}),
+        item(
+            19, "event_msg", {"type": "warning", "message": "careful"}
+        ), item(20, "compacted", {"summary": "s"}), item(21, "response_item", {"type": "strange"}),
     ]
     out = collected(parse_lines(files(spark, f=lines)))
     (s,) = out["sessions"]
@@ -127,7 +176,12 @@ def test_codex(spark):
     assert calls["c1"]["tool_output"] == "done" and calls["c1"]["is_error"] is True and calls["c1"]["tool_input"] == '"{\\"a\\":1}"' and calls["c1"]["response_message"] == messages[1]["uuid"]
     assert (calls["c2"]["tool_name"], calls["c2"]["tool_output"], calls["c2"]["tool_input"], calls["c2"]["is_error"]) == ("mcp", "r", '{"q":2}', None)
     kinds = sorted(e["kind"] for e in out["errata"])
-    assert kinds == sorted(["dropped_metadata", "tool_call_from_event_msg", "unpaired_tool_output", "skipped_event", "skipped_event", "unknown_event_type", "warning", "history_compacted", "unknown_response_subtype"])
+    assert kinds == sorted(
+        [
+            "dropped_metadata", "tool_call_from_event_msg", "unpaired_tool_output", "skipped_event", "skipped_event", "unknown_event_type", "warning",
+            "history_compacted", "unknown_response_subtype"
+        ]
+    )
 
 
 def test_codex_orphans_and_lost_files(spark):
@@ -139,7 +193,18 @@ def test_codex_orphans_and_lost_files(spark):
 
 def test_copilot_chat(spark):
     lines = [
-        {"kind": 0, "v": {"sessionId": "q", "creationDate": 1750000000123, "customTitle": "Old", "requests": [{"message": {"text": "hi"}, "model": "m", "responseItems": [{"kind": "text", "text": "a"}, {"kind": "code", "text": "b"}, {"kind": "x", "text": "no"}]}]}},
+        {
+            "kind": 0,
+            "v": {
+                "sessionId": "q", "creationDate": 1750000000123, "customTitle": "Old",
+                "requests": [
+                    {
+                        "message": {"text": "hi"}, "model": "m",
+                        "responseItems": [{"kind": "text", "text": "a"}, {"kind": "code", "text": "b"}, {"kind": "x", "text": "no"}]
+                    }
+                ]
+            }
+        },
         {"kind": 1, "k": ["customTitle"], "v": "New"},
         {"kind": 2, "k": ["requests"], "v": [{"message": {"parts": [{"type": "text", "text": "p"}]}, "response": [{"value": "r1"}, {"value": "r2"}]}]},
         {"kind": 1, "k": ["other"], "v": 1}, {"kind": 2, "k": ["x", "y"], "v": []}, {"kind": 9, "v": 0}, "{",
@@ -181,7 +246,9 @@ def opencode(tmp_path):
     say("m1", "user", 1), say("m2", "assistant", 2, parentID="m1", tokens={"input": 5, "output": 6}), say("m3", "tool", 3)
     db.execute("INSERT INTO message VALUES('m4','s',4,'{bad')")
     part = lambda k, m, n, **data: db.execute("INSERT INTO part VALUES(?,?,?,?)", (k, m, n, json.dumps(data)))
-    part("p1", "m1", 1, type="text", text="hello"), part("p2", "m2", 2, type="reasoning", text="think"), part("p3", "m2", 3, type="text", text="b"), part("p4", "m2", 1, type="text", text="a")
+    part("p1", "m1", 1, type="text", text="hello"), part(
+        "p2", "m2", 2, type="reasoning", text="think"
+    ), part("p3", "m2", 3, type="text", text="b"), part("p4", "m2", 1, type="text", text="a")
     state = {"status": "completed", "input": {"x": 1}, "output": "o", "time": {"start": 1500, "end": 1600}}
     part("p5", "m2", 4, type="tool", tool="t", callID="c", state=state), part("p6", "m2", 5, type="tool", tool="t", callID="c", state=state), part("p7", "m2", 6, type="step-start"), part("p8", "m2", 7, type="new"), part("p9", "m2", 8, type="tool", tool="u", callID="d", state={"status": "running"})
     db.commit()
@@ -207,7 +274,11 @@ def test_hermes(spark, tmp_path):
     for row in (("s0", "telegram", "m", None, 1.0, 2.0, None, "/w/q", 1, 1, 1, 1, 1), ("s1", "telegram", "m", "s0", 10.9996, None, "T", "", 1, 2, 3, 4, 0)):
         db.execute("INSERT INTO sessions VALUES(?,?,?,?,?,?,?,?,?,?,?,?,?)", row)
     call = lambda k: json.dumps([{"call_id": k, "function": {"name": f"f{k}", "arguments": "{}"}}])
-    rows = [("session_meta", "x", None, None), ("tool", "orphan", "a", None), ("user", "hi", None, None), ("assistant", "", None, call("a")), ("assistant", "two", None, call("a")), ("tool", '{"exit_code": 3}', "a", None), ("tool", "", "a", None), ("assistant", None, None, call("z")), ("assistant", None, None, "{}"), ("ghost", "", None, None)]
+    rows = [
+        ("session_meta", "x", None, None), ("tool", "orphan", "a", None), ("user", "hi", None, None), ("assistant", "", None, call("a")),
+        ("assistant", "two", None, call("a")), ("tool", '{"exit_code": 3}', "a", None), ("tool", "", "a", None), ("assistant", None, None, call("z")),
+        ("assistant", None, None, "{}"), ("ghost", "", None, None)
+    ]
     for n, (role, content, call_id, calls) in enumerate(rows, 1):
         db.execute("INSERT INTO messages VALUES(?,?,?,?,?,?,?,?,1)", (n, "s1", role, content, call_id, calls, "r" if role == "assistant" else None, float(n)))
     db.execute("INSERT INTO messages VALUES(99,'s1','user','gone',NULL,NULL,NULL,9,0)")
@@ -216,6 +287,8 @@ def test_hermes(spark, tmp_path):
     (s,) = out["sessions"]
     assert s["native_id"] == "telegram:s1" and s["started_at"] == "1970-01-01T00:00:11.000Z" and s["parent_session_id"] and s["message_count"] == 5
     calls = sorted(out["tool_calls"], key=lambda c: c["source_seq"])
-    assert [(c["call_id"], c["tool_output"], c["is_error"], c["ended_at"]) for c in calls] == [("a", '{"exit_code": 3}', True, "1970-01-01T00:00:06.000Z"), ("a", None, None, "1970-01-01T00:00:07.000Z"), ("z", None, None, None)]
+    assert [(c["call_id"], c["tool_output"], c["is_error"], c["ended_at"]) for c in calls] == [
+        ("a", '{"exit_code": 3}', True, "1970-01-01T00:00:06.000Z"), ("a", None, None, "1970-01-01T00:00:07.000Z"), ("z", None, None, None)
+    ]
     assert sorted(e["kind"] for e in out["errata"]) == ["duplicate_call_id", "orphaned_tool_response", "parse_error", "unknown_role", "unresolved_tool_call"]
     assert [m["content"] for m in sorted(out["messages"], key=lambda m: m["source_seq"])][:3] == ["hi", None, "two"]

@@ -22,7 +22,12 @@ def claude_file(path, native, day, texts, model="m", cwd="/w/app"):
     lines = []
     for n, text in enumerate(texts):
         kind = "user" if n % 2 == 0 else "assistant"
-        lines.append({"uuid": f"{native}-{n}", "type": kind, "timestamp": f"2026-06-{day:02d}T10:00:{n:02d}Z", "sessionId": native, "version": "1", "cwd": cwd, "message": {"content": text, "model": model, "usage": {"input_tokens": 10, "output_tokens": 1}}})
+        lines.append(
+            {
+                "uuid": f"{native}-{n}", "type": kind, "timestamp": f"2026-06-{day:02d}T10:00:{n:02d}Z", "sessionId": native, "version": "1", "cwd": cwd,
+                "message": {"content": text, "model": model, "usage": {"input_tokens": 10, "output_tokens": 1}}
+            }
+        )
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(map(json.dumps, lines)) + "\n")
 
@@ -179,14 +184,20 @@ def test_programs_may_answer_late_or_wrongly(tmp_path):
         path.chmod(0o755)
         return str(path)
 
-    late = program("rows = [json.loads(x) for x in sys.stdin]\nprint(json.dumps({'type': 'model', 'model': 'm', 'dimensions': 1}))\nfor r in rows[::-1]: print(json.dumps({'id': r['id'], 'embedding': [len(r['text'])]}))")
+    late = program(
+        "rows = [json.loads(x) for x in sys.stdin]\nprint(json.dumps({'type': 'model', 'model': 'm', 'dimensions': 1}))\nfor r in rows[::-1]: print(json.dumps({'id': r['id'], 'embedding': [len(r['text'])]}))"
+    )
     with Embedder(late) as running:
         for k in range(50):
             running.give([(f"{k}-{j}", "x" * 2000, "s") for j in range(20)])
         found = running.taken() + running.finish()
     assert len(found) == 1000 and all(v == [2000.0] and s == "s" for _, s, v in found)
     head = "print(json.dumps({'type': 'model', 'model': 'm', 'dimensions': 2}))\n"
-    for body in ("sys.exit(3)", "", head, head + "print('{}')", head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1]})) for x in sys.stdin]", head + "[print(json.dumps({'id': 'other', 'embedding': [1, 2]})) for x in sys.stdin]", head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1, 2]})) for x in sys.stdin for _ in 'ab']"):
+    for body in (
+        "sys.exit(3)", "", head, head + "print('{}')", head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1]})) for x in sys.stdin]",
+        head + "[print(json.dumps({'id': 'other', 'embedding': [1, 2]})) for x in sys.stdin]",
+        head + "[print(json.dumps({'id': json.loads(x)['id'], 'embedding': [1, 2]})) for x in sys.stdin for _ in 'ab']"
+    ):
         with pytest.raises(EmbedderError), Embedder(program(body)) as running:
             running.give([("a", "b", None)])
             running.finish()
@@ -285,7 +296,10 @@ def test_periods_and_windows():
     when = lambda *a: (str(periods.period(*a).start), str(periods.period(*a).end))
     assert when("daily", NOW) == ("2026-06-30",) * 2 and when("weekly", NOW)[0] == "2026-06-24" and when("monthly", NOW)[0] == "2026-06-01" and when("last-30-days", NOW)[0] == "2026-06-01"
     assert when(None, NOW, "2026-01-01", "2026-01-02") == ("2026-01-01", "2026-01-02")
-    for bad in ((None,), (None, "2026-01-01"), (None, "2026-02-02", "2026-01-01"), (None, "2026-02-30", "2026-03-01"), ("yearly",), ("daily", "2026-01-01", "2026-01-02")):
+    for bad in (
+        (None,), (None, "2026-01-01"), (None, "2026-02-02", "2026-01-01"), (None, "2026-02-30", "2026-03-01"), ("yearly",),
+        ("daily", "2026-01-01", "2026-01-02")
+    ):
         with pytest.raises(UsageError):
             periods.period(bad[0], NOW, *bad[1:])
     assert periods.recency(2, None, NOW).cutoff == datetime(2026, 6, 28, tzinfo=timezone.utc)
