@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 12_000
 #: Longer texts are not collected to learn from, so a sample's bytes are bounded as its rows are. They are scored like others.
 MAX_LEARNED_CHARS = 20_000
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2_000
 _local: dict[str, str] = {}
 
 
@@ -39,9 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
+    return _written(df, new_path(df.sparkSession, name), options)
+
+
+def _written(df: DataFrame, path: str, options: dict) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with rows_a_batch(spark, BATCH_ROWS):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,8 +66,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.options(**options).parquet(path)
-        made = self.spark.read.schema(df.schema).parquet(path)
+        made = _written(df, path, options)
         self.paths[id(made)] = made, path
         return made
 
@@ -78,10 +83,10 @@ class Scratch:
 
 @contextmanager
 def rows_a_batch(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what runs within the block, where single rows are megabytes."""
+    """Arrow batches of so many rows at most for what runs within the block, so that a task holds few long texts at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
     try:
         yield
     finally:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_chunks, process_cache
+from .common import BATCH_ROWS, in_chunks, process_cache, rows_a_batch
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -247,7 +247,8 @@ def write_tokens(
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
         "parquet.dictionary.page.size": 1 << 20
     }
-    tokens.write.options(**dictionary, **sizes).option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
+    with rows_a_batch(docs.sparkSession, BATCH_ROWS):  # what a task holds of texts at once
+        tokens.write.options(**dictionary, **sizes).option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
