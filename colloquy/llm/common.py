@@ -1,6 +1,7 @@
 """What several operators share: the folder all executors see, cutting lineage, per-process caches, bounded label samples."""
 
 import atexit
+import ctypes
 import shutil
 import sys
 import tempfile
@@ -8,6 +9,7 @@ import types
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,21 @@ def rows_a_batch(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def tidy(work):
+    """The function over batches, which at the end of a task gives back to the system what it has freed: worker processes
+    live on between tasks, and what their allocators keep counts against the executor's memory."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def named(columns: list[str]) -> list[Column]:
     """Columns by their exact names, also those with dots."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

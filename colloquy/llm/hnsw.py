@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, rows_a_batch
+from .common import Scratch, cut, rows_a_batch, tidy
 from .graph import connected_components
 
 THRESHOLD = 0.95
@@ -403,7 +403,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
                 yield _links(ids, got)
 
         with rows_a_batch(spark, BATCH_ROWS):
-            return copies, cut(met.select(*GRAPH, "salt", "kind").mapInArrow(ask, "first long, n_links long, ends array<long>"), "found")
+            return copies, cut(met.select(*GRAPH, "salt", "kind").mapInArrow(tidy(ask), "first long, n_links long, ends array<long>"), "found")
 
 
 GRAPH = ["width", "shard", "entry", "beam", "ids", "times", "data", "counts", "roots", "layers"]

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .linear import fit_svm, sigmoid
 
 # Families of common language codes; every other language is a family of its own.
@@ -132,4 +133,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "lang_score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, lang_score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(predict), "doc_id long, lang_pred string, lang_score double")

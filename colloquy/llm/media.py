@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, cut, in_chunks
+from .common import Scratch, cut, in_chunks, tidy
 
 ROW_BYTES = 192
 HASH_COLUMNS, HASH_ROWS = 8, 8
@@ -161,7 +161,7 @@ def image_tiles(media: DataFrame, key: str, column: str, height: int = 64, width
             )
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInArrow(tiles, f"`{key}` {kind}, tile binary, dhash string, error string")
+    return media.select(key, column).mapInArrow(tidy(tiles), f"`{key}` {kind}, tile binary, dhash string, error string")
 
 
 def text_payload(text: str | None) -> bytes:
@@ -183,7 +183,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "media"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(images, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(images), "doc_id long, n_bytes long, media binary")
 
 
 def media_tiles(media: DataFrame, side: int = TILE_SIDE) -> DataFrame:
@@ -211,7 +211,7 @@ def media_tiles(media: DataFrame, side: int = TILE_SIDE) -> DataFrame:
             )
 
     return media.mapInArrow(
-        features,
+        tidy(features),
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string"
     )
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_chunks
+from .common import Scratch, in_chunks, tidy
 from .graph import connected_components
 
 WORDS = 5
@@ -146,7 +146,7 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
 
     schema = "block int, counts binary"  # a block comes from many tasks, so each is summed in some tasks and then in one
     part = F.pmod(F.spark_partition_id(), F.lit(SKETCH_FAN))
-    rows = docs.select("text").mapInArrow(count, schema).repartition("block", part).mapInArrow(add, schema).repartition("block").mapInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(tidy(count), schema).repartition("block", part).mapInArrow(tidy(add), schema).repartition("block").mapInArrow(tidy(add), schema).collect()
     counts, documents = np.zeros((2 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, "i8").reshape(-1, SKETCH_BLOCK), 0
     for row in rows:
         if row.block < 0:
@@ -229,7 +229,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype="i4") * BANDS), flat)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "print", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, print binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id long, print binary, bands array<long>")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float, cut) -> DataFrame:
@@ -261,7 +261,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float, cut) -> Da
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], ["member", "leader", "linked"])
 
-    found = rows.select("id", "leader", "salt", "kind", "text").mapInArrow(compare, "member long, leader long, linked boolean")
+    found = rows.select("id", "leader", "salt", "kind", "text").mapInArrow(tidy(compare), "member long, leader long, linked boolean")
     return cut(found.groupBy("member", "leader").agg(F.max("linked").alias("linked")), "verified")
 
 
@@ -316,7 +316,7 @@ def _compare_buckets(rows: DataFrame, idf, threshold: float) -> DataFrame:
     def _pairs(out):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return rows.select("band", "hash", "x", "y", "block", "doc", "component", "bands", "text").mapInArrow(compare, "a long, b long")
+    return rows.select("band", "hash", "x", "y", "block", "doc", "component", "bands", "text").mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD, tables: Scratch | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_chunks, process_cache
+from .common import in_chunks, process_cache, tidy
 
 SPACE = "▁".encode()
 CHUNK_CHARS = 2_000_000
@@ -164,7 +164,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *lists], ["doc_id", "token_ids", "starts", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>, starts array<int>, ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_documents(tokens: DataFrame, model: str) -> DataFrame:
@@ -176,7 +176,7 @@ def decode_documents(tokens: DataFrame, model: str) -> DataFrame:
             texts = [pieces.decode(np.array(x or [], "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "token_ids").mapInArrow(decode, "doc_id long, text string")
+    return tokens.select("doc_id", "token_ids").mapInArrow(tidy(decode), "doc_id long, text string")
 
 
 def codec_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -197,4 +197,4 @@ def codec_digests(docs: DataFrame, model: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named
+from .common import named, tidy
 from .linear import fit_lasso_logistic, sigmoid
 
 STATISTICS = (
@@ -88,7 +88,7 @@ def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
             x = np.array([statistics(t) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(np.ascontiguousarray(c)) for c in x.T)], [*keep, *STATISTICS])
 
-    return docs.select(*named(list(keep)), F.col("text").alias("_quality_text")).mapInArrow(count, schema)
+    return docs.select(*named(list(keep)), F.col("text").alias("_quality_text")).mapInArrow(tidy(count), schema)
 
 
 @dataclass

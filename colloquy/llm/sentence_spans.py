@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut
+from .common import Scratch, cut, tidy
 
 RUN_PIECES = 3
 RUN_WORDS = 25
@@ -186,7 +186,7 @@ def _runs(docs: DataFrame) -> DataFrame:
             columns = np.concatenate(keys), np.concatenate(h1).view("i8"), np.concatenate(h2).astype("u4").view("i4")
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "h1", "h2"])
 
-    return docs.select(_id().alias("id"), "text").where("id is not null").mapInArrow(find, "id long, h1 long, h2 int")
+    return docs.select(_id().alias("id"), "text").where("id is not null").mapInArrow(tidy(find), "id long, h1 long, h2 int")
 
 
 def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -211,7 +211,7 @@ def _among(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"])
 
     rows = docs.select(_id().alias("doc_id"), "text").where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
-    return rows.mapInArrow(pick, "doc_id long, text string")
+    return rows.mapInArrow(tidy(pick), "doc_id long, text string")
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _contexts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             types = pa.int64(), pa.int32(), pa.binary(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["c1", "c2", "before", "after"])
 
-    return rows.mapInArrow(find, "c1 long, c2 int, before binary, after binary")
+    return rows.mapInArrow(tidy(find), "c1 long, c2 int, before binary, after binary")
 
 
 def _copied(pieces: Pieces, others: dict) -> np.ndarray:
@@ -340,4 +340,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*names, "removed", "n_removed"])
 
-    return rows.mapInArrow(clean, schema)
+    return rows.mapInArrow(tidy(clean), schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, in_chunks, process_cache, rows_a_batch
+from .common import BATCH_ROWS, in_chunks, process_cache, rows_a_batch, tidy
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -227,7 +227,7 @@ def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> D
                 offsets, values = np.append(0, np.cumsum(counts)).astype("i4"), pa.array(ids.view("i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "token_ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, token_ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>")
 
 
 def write_tokens(
@@ -282,7 +282,7 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_tokens(spark, path).select("doc_id", "token_ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    rows = rows.mapInArrow(sums, "doc_id long, n_tokens long, ids_crc32 long, file string, at long")
+    rows = rows.mapInArrow(tidy(sums), "doc_id long, n_tokens long, ids_crc32 long, file string, at long")
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     files = read_tokens(spark, path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select(

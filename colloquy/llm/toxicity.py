@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named
+from .common import named, tidy
 from .linear import fit_logistic, sigmoid
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -226,4 +226,4 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = (
             x = np.array([lexicon.features(automaton, t) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lexicon.score(x)), pa.array(x[:, 0])], [*keep, "tox_score", "tox_density"])
 
-    return docs.select(*named(list(keep)), F.col("text").alias("_tox_text")).mapInArrow(score, schema)
+    return docs.select(*named(list(keep)), F.col("text").alias("_tox_text")).mapInArrow(tidy(score), schema)
