@@ -106,6 +106,13 @@ def daily_breakdown(sessions: DataFrame, messages: DataFrame, tool_calls: DataFr
     ).orderBy("date")
 
 
+#: What a vault keeps of the rollup; the day is the partition.
+ROLLUP = (
+    "source string, project string, session_count long, message_count long, tool_call_count long, input_tokens long, output_tokens long, "
+    "cache_read_tokens long, cache_write_tokens long, total_tokens long, estimated_cost_usd double, date date"
+)
+
+
 def usage_rollup(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
     """A row for each day, source and project (null: none)."""
     counted = with_counts(sessions, messages, tool_calls)

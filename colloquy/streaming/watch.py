@@ -81,7 +81,10 @@ def take_in(vault, report=print):
                 vault.ingest(path)
             except Exception as e:  # noqa: BLE001
                 report(f"{path}: {e}")
-                vault.note(path, str(e))
+                try:
+                    vault.note(path, str(e))
+                except Exception as more:  # noqa: BLE001
+                    report(f"{path} can't be noted: {more}")
 
     def together(paths: list[str]) -> None:
         try:

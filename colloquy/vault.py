@@ -1,13 +1,14 @@
 """A vault: sessions and what belongs to them under one path, replaced session by session, and everything asked of them.
 
 A change appends a segment: the arriving rows of all tables, the keys they replace, and the full-text index of its
-messages. A manifest names the segments in order; it is published last, under a number that no other writer can take, so
-readers see all of a change or none of it. Rows count unless a later segment replaces their session. Segments are merged
-when some have gathered behind an older one and grown to half its size, so there are few of them, a row is rewritten a
-logarithmic number of times, and what a change costs depends on what arrives, not on what is there.
+messages. Its manifest is published last (see `store`), so readers see all of a change or none of it, and of two writers both
+changes count, one after the other. Rows count unless a later segment replaces their session. Segments are merged when some
+have gathered behind an older one and grown to half its size, so there are few of them, a row is rewritten a logarithmic
+number of times, and what a change costs depends on what arrives, not on what is there.
 """
 
-import json
+import hashlib
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
@@ -25,12 +26,17 @@ from .parsers import shaped
 from .schemas import POSTINGS, REPLACED, TABLES
 from .sources.ingest import read_sessions, summary
 from .sources.ingest import tables as parsed_tables
+from .store import Conflict, Store
 
 ALL = TABLES | {"postings": POSTINGS}
-FORMAT = 2
+FORMAT = 3
 #: A segment is merged with those after it when they hold more than this share of its sessions, and so many are to merge.
 MERGE_SHARE = 0.5
 LEAST_MERGED = 4
+#: What was never published is left alone for so many seconds, as its writer may be at work.
+ABANDONED = 24 * 3600.0
+#: How often an embedding run is made again when its sessions were replaced meanwhile.
+EMBED_TRIES = 3
 
 
 def _no_session(path: str):
@@ -44,59 +50,51 @@ def _key(table: str):
 
 class Vault:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.store = spark, Store(spark, path)
+        self.path = self.store.path
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # Storage ---------------------------------------------------------------------------------------------------------
 
     def init(self) -> "Vault":
         """Make an empty vault; one that is there stays as it is, brought to the present format."""
-        if self._latest() is None:
-            self._publish({"version": 1, "format": FORMAT, "segments": [], "config": {}})
-        else:
-            self.migrate()
+        if not self.exists():
+            self.store.publish({"version": 1, "format": FORMAT, "segments": [], "config": {}})
+        self.migrate()
         return self
 
     def exists(self) -> bool:
-        return self._latest() is not None
-
-    def _latest(self) -> int | None:
-        if not self._fs.exists(self._path("manifests")):
-            return None
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifests"))]
-        return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=None)
+        return self.store.latest() is not None
 
     def manifest(self) -> dict:
-        number = self._latest()
-        if number is None:
-            raise NotFound(f"no vault at {self.path}")
-        stream = self._fs.open(self._path(f"manifests/{number:08d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        stream = self._fs.create(self._path(f"manifests/{manifest['version']:08d}.json"), False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
+        return self.store.manifest()
 
     def migrate(self) -> bool:
-        """Bring a vault of format 1, whose tables lie in buckets of several versions, to the present one. Columns that came
-        later are null in older rows, so tables need no rewriting beyond that. Returns whether anything was done."""
+        """Bring a vault of an earlier format to the present one. In format 1 tables lie in buckets of several versions, in 2
+        segments have numbers for names, and reports and remotes stand in the manifest. Columns that came later are null in older
+        rows, so tables need no rewriting beyond that. Returns whether anything was done."""
         manifest = self.manifest()
-        if manifest.get("format", 1) >= FORMAT:
+        form, config = manifest.get("format", 1), dict(manifest["config"])
+        if form >= FORMAT:
             return False
-        rows = {}
-        for name, schema in TABLES.items():
-            paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in manifest["tables"][name].items() if v]
-            rows[name] = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        version = manifest["version"] + 1
-        n = self._write(version, rows, self._keys(rows))
-        self._publish({"version": version, "format": FORMAT, "segments": [[version, n]] if n else [], "config": manifest["config"]})
+        if form == 1:
+            rows = {}
+            for name, schema in TABLES.items():
+                paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in manifest["tables"][name].items() if v]
+                rows[name] = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+            segment = self._write(rows, self._keys(rows))
+            segments = [segment] if segment[1] else []
+        else:
+            segments = [[f"v={v}", n] for v, n in manifest["segments"]]
+            for name, doc in config.pop("reports", {}).items():
+                self._save_report(name, doc)
+            if "rollup" in config:
+                self._roll_up(self.spark.read.parquet(f"{self.path}/usage_summary/v={config.pop('rollup')}"))
+            if "remotes" in config:
+                config["remotes"] = self._write_remotes(config["remotes"])
+        made = {"version": manifest["version"] + 1, "format": FORMAT, "segments": segments, "config": config}
+        if not self.store.publish(made):  # another process has migrated it
+            return self.migrate()
         return True
 
     def table(self, name: str, manifest: dict | None = None, segments: list | None = None) -> DataFrame:
@@ -104,14 +102,14 @@ class Vault:
         if segments is None:
             segments = (manifest or self.manifest())["segments"]
         schema = ALL[name]
-        read = lambda kind, v, form: self.spark.read.schema(form).parquet(f"{self.path}/{kind}/v={v}")
+        read = lambda kind, segment, form: self.spark.read.schema(form).parquet(f"{self.path}/{kind}/{segment}")
         if not segments:
             return self.spark.createDataFrame([], schema)
         newest = read(name, segments[-1][0], schema)
         if len(segments) == 1:
             return newest
-        older = [read(name, v, schema).withColumn("_segment", F.lit(v)) for v, _ in segments[:-1]]
-        gone = [read("replaced", v, REPLACED).withColumn("_by", F.lit(v)) for v, _ in segments[1:]]
+        older = [read(name, segment, schema).withColumn("_segment", F.lit(k)) for k, (segment, _) in enumerate(segments[:-1])]
+        gone = [read("replaced", segment, REPLACED).withColumn("_by", F.lit(k)) for k, (segment, _) in enumerate(segments) if k]
         last = reduce(DataFrame.unionByName, gone).groupBy("key").agg(F.max("_by").alias("_by"))
         rows = reduce(DataFrame.unionByName, older).join(last, _key(name) == F.col("key"), "left").where("_by is null or _by <= _segment")
         return rows.select(*schema.names).unionByName(newest)
@@ -125,9 +123,10 @@ class Vault:
         )
         return keys.distinct()
 
-    def _write(self, version: int, rows: dict[str, DataFrame], keys: DataFrame) -> int:
-        """Write a segment; returns its number of keys."""
-        place = lambda name: f"{self.path}/{name}/v={version}"
+    def _write(self, rows: dict[str, DataFrame], keys: DataFrame) -> list:
+        """Write a segment; returns its name and its number of keys. Nobody knows of it until it is published."""
+        segment = self.store.new_segment()
+        place = lambda name: f"{self.path}/{name}/{segment}"
 
         def write(name: str) -> None:
             if name == "replaced":
@@ -146,51 +145,77 @@ class Vault:
         index = fulltext.index(fulltext.token_table(messages.select("session_id", "uuid", "source_seq", "content")), ("session_id", "uuid", "source_seq"))
         # dealt by word, and a frequent word by its texts too
         index.select(*POSTINGS.names).repartitionByRange("term", "uuid").sortWithinPartitions("term", "uuid").write.parquet(place("postings"))
-        return self.spark.read.schema(REPLACED).parquet(place("replaced")).count()
+        return [segment, self.spark.read.schema(REPLACED).parquet(place("replaced")).count()]
+
+    def _append(self, rows: dict[str, DataFrame], keys: DataFrame | None = None, config: dict | None = None, made_from: dict | None = None) -> list:
+        """Write a segment and publish it after all others. If its rows were made from those that a manifest names, no session
+        among them may have been replaced since; else it is a Conflict and nothing is published."""
+        segment = self._write(rows, self._keys(rows) if keys is None else keys)
 
-    def _append(self, manifest: dict, rows: dict[str, DataFrame], keys: DataFrame | None = None, config: dict | None = None) -> list:
-        version = manifest["version"] + 1
-        n = self._write(version, rows, self._keys(rows) if keys is None else keys)
-        segments = [*manifest["segments"], [version, n]] if n else manifest["segments"]
-        self._publish(manifest | {"version": version, "segments": segments, "config": manifest["config"] | (config or {})})
+        def make(latest: dict) -> dict:
+            if made_from is not None and self._replaced_since(made_from, latest, segment):
+                raise Conflict(f"sessions were replaced meanwhile at {self.path}")
+            segments = [*latest["segments"], segment] if segment[1] else latest["segments"]
+            return latest | {"segments": segments, "config": latest["config"] | (config or {})}
+
+        self.store.change(make)
         self.merge()
-        return [version, n]
+        return segment
+
+    def _replaced_since(self, before: dict, after: dict, segment: list) -> bool:
+        known = {name for name, _ in before["segments"]}
+        keys = lambda name: self.spark.read.schema(REPLACED).parquet(f"{self.path}/replaced/{name}")
+        others = [keys(name) for name, _ in after["segments"] if name not in known]
+        return bool(others) and not reduce(DataFrame.unionByName, others).join(keys(segment[0]), "key", "left_semi").limit(1).isEmpty()
 
     def merge(self, all_of_them: bool = False) -> None:
-        """Merge the newest segments as far back as MERGE_SHARE asks, or all. Their rows are read once and written once."""
-        manifest = self.manifest()
-        segments = manifest["segments"]
+        """Merge the newest segments as far back as MERGE_SHARE asks, or all. Their rows are read once and written once. If another
+        writer has merged some of them meanwhile, that counts and this doesn't."""
+        segments = self.manifest()["segments"]
         at = max(0, len(segments) - 1)
         while at and (all_of_them or sum(n for _, n in segments[at:]) > MERGE_SHARE * segments[at - 1][1]):
             at -= 1
         if len(segments) - at < (2 if all_of_them else LEAST_MERGED):
             return
-        version, part = manifest["version"] + 1, segments[at:]
+        part = segments[at:]
         rows = {name: self.table(name, segments=part) for name in TABLES}
-        keys = [self.spark.read.schema(REPLACED).parquet(f"{self.path}/replaced/v={v}") for v, _ in part]
-        n = self._write(version, rows, reduce(DataFrame.unionByName, keys).distinct())
-        self._publish(manifest | {"version": version, "segments": [*segments[:at], [version, n]]})
+        keys = [self.spark.read.schema(REPLACED).parquet(f"{self.path}/replaced/{name}") for name, _ in part]
+        merged = self._write(rows, reduce(DataFrame.unionByName, keys).distinct())
+
+        def make(latest: dict) -> dict | None:
+            now = latest["segments"]
+            if now[at : at + len(part)] != part:
+                return None
+            return latest | {"segments": [*now[:at], merged, *now[at + len(part) :]]}
+
+        self.store.change(make)
 
-    def vacuum(self) -> int:
-        """Remove the files of segments and manifests that the last manifest doesn't need; nothing must be reading them.
-        Returns how many folders and files went."""
+    def vacuum(self, abandoned: float = ABANDONED) -> int:
+        """Remove manifests but the last, the segments that only those name, and segments that no manifest names and that are
+        older than `abandoned` seconds (their writers have died). Nothing must be reading them. Returns how many went."""
         manifest, gone = self.manifest(), 0
-        needed = {f"v={v}" for v, _ in manifest["segments"]}
-        for name in (*ALL, "replaced", "usage_summary"):
-            kept = {f"v={manifest['config'].get('rollup')}"} if name == "usage_summary" else needed
-            if self._fs.exists(self._path(name)):
-                for f in self._fs.listStatus(self._path(name)):
-                    if f.getPath().getName() not in kept:
-                        gone += bool(self._fs.delete(f.getPath(), True))
-        for f in self._fs.listStatus(self._path("manifests")):
-            if f.getPath().getName() != f"{manifest['version']:08d}.json":
-                gone += bool(self._fs.delete(f.getPath(), False))
+        needed, named = {name for name, _ in manifest["segments"]}, set()
+        keep = f"{manifest['version']:08d}.json"
+        for name in self.store.names("manifests"):
+            if name.endswith(".json") and not name.startswith(".") and name < keep:
+                former = self.store.read(f"manifests/{name}") or {}
+                named |= {str(segment) if "=" in str(segment) else f"v={segment}" for segment, _ in former.get("segments", [])}
+        remotes = manifest["config"].get("remotes")
+        for folder in (*ALL, "replaced", "remotes"):
+            for name, changed in self.store.listing(folder):
+                used = name == remotes if folder == "remotes" else name in needed
+                if not used and (name in named or time.time() - changed >= abandoned):
+                    gone += self.store.remove(f"{folder}/{name}")
+        gone += self.store.remove("usage_summary")  # of format 2
+        for name, changed in self.store.listing("manifests"):
+            if name < keep and not name.startswith(".") or name.startswith(".") and time.time() - changed >= abandoned:
+                gone += self.store.remove(f"manifests/{name}")
         return gone
 
     def replace(self, incoming: dict[str, DataFrame]) -> list:
         """Everything the vault holds of the incoming sessions goes, and the incoming rows come, in one change. Returns the
-        segment: its version and number of keys."""
-        return self._append(self.manifest(), incoming)
+        segment: its name and number of keys."""
+        return self._append(incoming)
 
     # Taking in and giving out ----------------------------------------------------------------------------------------
 
@@ -210,7 +235,7 @@ class Vault:
         """Record that a file could not be taken in."""
         errata = self.spark.createDataFrame([(None, None, "ingest_error", message[:500], path)], TABLES["errata"])
         rows = {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()} | {"errata": errata}
-        self._append(self.manifest(), rows)
+        self._append(rows)
 
     def grep(self, pattern: str, limit: int = 20, project: str | None = None) -> list[dict]:
         """The best messages for a pattern. The index is read for the pattern's words only; of messages, their lengths, and
@@ -241,22 +266,40 @@ class Vault:
 
     def projects(self) -> DataFrame:
         """root_path, slug, git_remote, git_owner, git_repo and session_count of each project folder; remotes as last found."""
-        found = self.manifest()["config"].get("remotes", {})
-        return projects.projects(self.table("sessions"), self.spark.createDataFrame([*found.items()], projects.REMOTES))
+        return projects.projects(self.table("sessions"), self._remotes())
+
+    def _remotes(self) -> DataFrame:
+        name = self.manifest()["config"].get("remotes")
+        return self.spark.read.schema(projects.REMOTES).parquet(f"{self.path}/remotes/{name}") if name else self.spark.createDataFrame([], projects.REMOTES)
+
+    def _write_remotes(self, found: dict[str, str]) -> str:
+        name = self.store.new_segment()
+        self.spark.createDataFrame([*found.items()], projects.REMOTES).coalesce(1).write.parquet(f"{self.path}/remotes/{name}")
+        return name
 
     def find_remotes(self) -> int:
         """Ask git on this machine for the origins of the project folders that are here. Returns how many are known."""
         roots = [r.root_path for r in projects.projects(self.table("sessions")).select("root_path").toLocalIterator()]
-        manifest = self.manifest()
-        found = manifest["config"].get("remotes", {}) | dict(projects.read_remotes(roots))
-        self._publish(manifest | {"version": manifest["version"] + 1, "config": manifest["config"] | {"remotes": found}})
+        found = {r.root_path: r.git_remote for r in self._remotes().collect()} | dict(projects.read_remotes(roots))
+        name = self._write_remotes(found)
+        self.store.change(lambda latest: latest | {"config": latest["config"] | {"remotes": name}})
         return len(found)
 
     # Vectors ---------------------------------------------------------------------------------------------------------
 
     def embed(self, provider: str, recency: Recency = Recency(), force: bool = False, limit: int | None = None, scope: str = "all") -> int:
         """Embed messages and set their sessions' mean vectors, over all their vectors or (scope "run") over this run's.
-        Nothing changes if the embedder fails or answers wrongly. Returns how many were embedded."""
+        Nothing changes if the embedder fails or answers wrongly. If some of the sessions are replaced meanwhile, it is done
+        again. Returns how many were embedded."""
+        for n in range(EMBED_TRIES):
+            try:
+                return self._embed(provider, recency, force, limit, scope)
+            except Conflict:
+                if n == EMBED_TRIES - 1:
+                    raise
+        return 0
+
+    def _embed(self, provider: str, recency: Recency, force: bool, limit: int | None, scope: str) -> int:
         manifest = self.manifest()
         messages = self.table("messages", manifest)
         asked = embedding.candidates(messages, recency.holds(F.col("ingested_at")), force, limit)
@@ -278,7 +321,7 @@ class Vault:
                 "summary_embedding", F.coalesce("mean", "summary_embedding")
             ).drop("s", "mean")
             config = {"embedding_model": model.name, "embedding_dimensions": model.dimensions, "embedding_provider": provider}
-            self._append(manifest, own, touched.select(F.col("session_id").alias("key")), config)
+            self._append(own, touched.select(F.col("session_id").alias("key")), config, made_from=manifest)
             touched.unpersist()
             return count
         except PythonException as e:
@@ -319,9 +362,10 @@ class Vault:
         when, scope = period(kind, now, start, end), report.Scope(project, source)
         name = f"{scope.label}|{when.start}|{when.end}"
         manifest = self.manifest()
-        saved = manifest["config"].get("reports", {})
-        if save and name in saved and when.end < now.date() and when.kind != "last-30-days":
-            return saved[name] | {"from_cache": True}
+        if save and when.end < now.date() and when.kind != "last-30-days":
+            saved = self.store.read(self._report_file(name))
+            if saved is not None:
+                return saved | {"from_cache": True}
         sessions = self.table("sessions", manifest)
         base = report.in_scope(sessions, when, scope)
         stamp = now.strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -335,16 +379,23 @@ class Vault:
             base.unpersist()
         self._roll_up(report.usage_rollup(report.in_scope(sessions, when), messages, calls))
         if save:
-            manifest = self.manifest()
-            self._publish(manifest | {"version": manifest["version"] + 1, "config": manifest["config"] | {"reports": saved | {name: doc}}})
+            self._save_report(name, doc)
         return doc
 
+    @staticmethod
+    def _report_file(name: str) -> str:
+        return f"reports/{hashlib.sha256(name.encode()).hexdigest()}.json"
+
+    def _save_report(self, name: str, doc: dict) -> None:
+        self.store.write(self._report_file(name), doc, replace=True)
+
     def rollup(self) -> DataFrame | None:
-        version = self.manifest()["config"].get("rollup")
-        return self.spark.read.parquet(f"{self.path}/usage_summary/v={version}") if version else None
+        """The days that reports have covered, a row for each day, source and project; None before the first report."""
+        if not any(name.startswith("date=") for name in self.store.names("usage_days")):
+            return None
+        return self.spark.read.schema(report.ROLLUP).parquet(f"{self.path}/usage_days")
 
     def _roll_up(self, new: DataFrame) -> None:
-        manifest, old = self.manifest(), self.rollup()
-        version = manifest["version"] + 1
-        (new if old is None else report.merge_rollup(old, new)).write.parquet(f"{self.path}/usage_summary/v={version}")
-        self._publish(manifest | {"version": version, "config": manifest["config"] | {"rollup": version}})
+        """The days of a report take the place of what was known of them; a day is a partition, and others aren't touched."""
+        days = new.repartition("date").write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        days.parquet(f"{self.path}/usage_days")

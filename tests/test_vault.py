@@ -128,12 +128,110 @@ def test_old_vaults_are_migrated(spark, vault, logs, tmp_path):
         rows = vault.table(name).drop("n_tokens", *([] if name in ("sessions", "errata") else ["raw_path"]))
         rows.write.parquet(f"{old.path}/{name}/v=2/bucket=0")
         tables[name] = {"0": 2, "1": 0}
-    old._publish({"version": 2, "tables": tables, "config": {"kept": 1}})
+    old.store.publish({"version": 2, "tables": tables, "config": {"kept": 1}})
     old.init()
     assert old.table("messages").count() == 5 and old.manifest()["config"] == {"kept": 1} and len(old.grep("kafka")) == 1
     assert not old.migrate()
 
 
+def test_segments_of_format_2_stay_where_they_are(spark, vault, logs, tmp_path):
+    vault.ingest(str(logs))
+    vault.report("monthly", now=NOW)
+    segment, n = vault.manifest()["segments"][0]
+    old = Vault(spark, f"file://{tmp_path}/old")
+    for name in (*store_tables(), "replaced"):
+        spark.read.parquet(f"{vault.path}/{name}/{segment}").write.parquet(f"{old.path}/{name}/v=2")
+    vault.rollup().write.parquet(f"{old.path}/usage_summary/v=3")
+    config = {"rollup": 3, "remotes": {"/w/app": "https://host.example/team/app.git"}, "reports": {"global|2026-06-01|2026-06-15": {"saved": True}}}
+    old.store.publish({"version": 4, "format": 2, "segments": [[2, n]], "config": config})
+    old.init()
+    assert old.manifest()["segments"] == [["v=2", n]] and set(old.manifest()["config"]) == {"remotes"}
+    assert old.table("messages").count() == 5 and old.rollup().count() == 2 and {r.git_repo for r in old.projects().collect()} == {"app", None}
+    assert old.report("custom", "2026-06-01", "2026-06-15", save=True, now=NOW) == {"saved": True, "from_cache": True}
+    old.vacuum(abandoned=0)
+    assert old.table("messages").count() == 5 and len(old.grep("kafka")) == 1
+
+
+def store_tables():
+    from colloquy.vault import ALL
+
+    return ALL
+
+
+def test_a_write_that_dies_half_way_harms_nothing(vault, logs, monkeypatch):
+    vault.ingest(str(logs))
+    before = vault.manifest()
+    real = Vault._keys
+
+    def dies(rows):
+        raise RuntimeError("the driver is gone")
+
+    monkeypatch.setattr(Vault, "_keys", staticmethod(dies))
+    with pytest.raises(RuntimeError):
+        vault.ingest(str(logs))
+    monkeypatch.setattr(Vault, "_keys", staticmethod(real))
+    # one that has written its segment and dies before it is published
+    change = type(vault.store).change
+    monkeypatch.setattr(type(vault.store), "change", lambda self, make: dies(None))
+    with pytest.raises(RuntimeError):
+        vault.ingest(str(logs))
+    monkeypatch.setattr(type(vault.store), "change", change)
+    assert vault.manifest() == before and vault.table("messages").count() == 5
+    (logs / "c.jsonl").write_text((logs / "b" / "two.jsonl").read_text().replace("s2", "s3"))
+    vault.note("/a/file", "it broke")
+    vault.ingest(str(logs))
+    assert vault.table("sessions").count() == 3 and vault.table("errata").count() == 1
+    assert vault.vacuum() and len(vault.store.names("messages")) == 4  # what died may still be at work
+    assert vault.vacuum(abandoned=0) and len(vault.store.names("messages")) == len(vault.manifest()["segments"]) == 3
+    assert vault.table("messages").count() == 7
+
+
+def test_manifests_are_published_by_one_writer_each(vault):
+    from concurrent.futures import ThreadPoolExecutor
+
+    number = vault.manifest()["version"] + 1
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: vault.store.publish({"version": number, "segments": [], "config": {"by": k}}), range(8)))
+    assert sum(won) == 1 and vault.manifest()["config"]["by"] == won.index(True)
+
+    def add(k):
+        return vault.store.change(lambda m: m | {"config": m["config"] | {str(k): k}})["version"]
+
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(add, range(16)))
+    assert len(set(versions)) == 16 and set(map(str, range(16))) <= set(vault.manifest()["config"])
+    assert not [n for n in vault.store.names("manifests") if n.startswith(".")]
+
+
+def test_two_writers_both_count(spark, vault, logs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    other = Vault(spark, vault.path)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda job: job[0].ingest(str(job[1])), [(vault, logs / "a"), (other, logs / "b")]))
+    assert {r.native_id for r in vault.table("sessions").collect()} == {"s1", "s2"} and vault.table("messages").count() == 5
+    assert len(other.grep("kafka")) == 1 and len(vault.grep("words")) == 1
+
+
+def test_embedding_gives_way_to_sessions_that_change_meanwhile(spark, vault, logs, embedder, monkeypatch):
+    from colloquy import vault as module
+
+    vault.ingest(str(logs))
+    real, late = module.embedding.embed, []
+
+    def embed(*args):
+        if not late:  # while the program runs, another writer takes in a session anew
+            late.append(1)
+            claude_file(logs / "a" / "one.jsonl", "s1", 10, ["written later"])
+            Vault(spark, vault.path).ingest(str(logs / "a" / "one.jsonl"))
+        return real(*args)
+
+    monkeypatch.setattr(module.embedding, "embed", embed)
+    assert vault.embed(embedder) == 3
+    rows = vault.table("messages").collect()
+    assert sorted(r.content for r in rows) == ["nothing here", "other words", "written later"] and all(r.embedding for r in rows)
+
+
 def test_projects_and_remotes(spark, vault, logs, tmp_path):
     from colloquy.operators import projects
 
@@ -227,8 +325,12 @@ def test_reports(vault, logs):
     assert [d["date"] for d in m["daily_breakdown"]] == ["2026-06-10", "2026-06-29"]
     assert vault.report("weekly", now=NOW)["metrics"]["total_sessions"] == 1 and vault.report("weekly", project="app", now=NOW)["metrics"] == report.EMPTY
     assert vault.rollup().count() == 2
-    vault.report("monthly", now=NOW)
-    assert vault.rollup().count() == 2
+    vault.report("custom", "2026-06-10", "2026-06-10", now=NOW)
+    days = lambda: dict(vault.store.listing("usage_days"))
+    before = days()
+    assert vault.rollup().count() == 2 and set(before) >= {"date=2026-06-10", "date=2026-06-29"}
+    vault.report("custom", "2026-06-29", "2026-06-29", now=NOW)
+    assert days()["date=2026-06-10"] == before["date=2026-06-10"] and vault.rollup().count() == 2
     text = report.render_markdown(doc)
     assert "- Tokens: in=50 out=5 cache_r=0 cache_w=0 total=55\n" in text and "1. app — 1 sessions, 33 tokens\n" in text and "- Avg session duration: 2s\n" in text
     assert json.loads(report.render_json(doc)) == doc
@@ -277,7 +379,7 @@ def test_files_come_when_they_are_quiet_and_stores_once_an_interval(tmp_path):
 
 def test_one_failing_file_of_a_batch_is_recorded(spark, logs):
     class Fails:
-        noted, taken = [], []
+        noted, taken, dumb = [], [], False
 
         def ingest(self, path):
             if isinstance(path, list) or "one" in path:
@@ -285,11 +387,16 @@ def test_one_failing_file_of_a_batch_is_recorded(spark, logs):
             self.taken.append(path)
 
         def note(self, path, message):
+            if self.dumb:
+                raise OSError("no space")
             self.noted.append((path, message))
 
     fails, told = Fails(), []
     watch.take_in(fails, told.append)(spark.createDataFrame([("x/one.jsonl", 1.0), ("x/two.jsonl", 1.0)], "path string, mtime double"), 0)
     assert fails.noted == [("x/one.jsonl", "broken")] and fails.taken == ["x/two.jsonl"] and len(told) == 1
+    Fails.dumb = True
+    watch.take_in(fails, told.append)(spark.createDataFrame([("x/one.jsonl", 1.0)], "path string, mtime double"), 1)
+    assert told[-1] == "x/one.jsonl can't be noted: no space"
 
 
 def test_periods_and_windows():
