@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.columns import child_uuid, session_uuid
-from . import Parsed, bad_lines, finish, first_of, in_file, last_of, whole_file
+from ..scratch import staged
+from . import Count, First, Parsed, Stage, along_file, bad_lines, finish, first_of, good_lines, judged, last_of
 
 REQUIRED = ("uuid", "type", "timestamp", "sessionId", "version", "cwd")
 TITLES = ("custom-title", "ai-title")
@@ -46,19 +47,20 @@ def _result_text(b: Column) -> Column:
     return F.coalesce(V.string(content), F.array_join(F.transform(V.array(content), lambda p: V.string(p, "$.text")), "\n"))
 
 
-def parse(lines: DataFrame) -> Parsed:
+def parse(lines: DataFrame, stage: Stage = staged) -> Parsed:
     v = F.col("v")
-    good = F.coalesce(_is_event(v), F.lit(False))
     usage = lambda name: F.coalesce(V.integer(v, f"$.message.usage.{name}"), F.lit(0))
-    events = lines.where(good).select(
-        "path", "source_seq",
+    rows = stage(judged(
+        lines, _is_event(v),
         V.string(v, "$.uuid").alias("event"), V.string(v, "$.type").alias("type"), V.string(v, "$.timestamp").alias("at"), V.string(v, "$.sessionId").alias("native"),
         V.string(v, "$.cwd").alias("cwd"), V.string(v, "$.version").alias("version"), V.string(v, "$.parentUuid").alias("parent_uuid"), F.nullif(V.string(v, "$.gitBranch"), F.lit("")).alias("branch"),
         V.string(v, "$.message.model").alias("model"), V.string(v, "$.message.content").alias("text"), V.array(v, "$.message.content").alias("blocks"), (~V.is_null(V.get(v, "$.message.usage"))).alias("has_usage"),
         usage("input_tokens").alias("u_in"), usage("output_tokens").alias("u_out"), usage("cache_read_input_tokens").alias("u_read"), usage("cache_creation_input_tokens").alias("u_write"),
-    )
+    ), "claude")
+    spoken = F.col("type").isin("user", "assistant")
+    events = along_file(good_lines(rows), {"first_native": First(F.col("native")), "turn_number": Count(spoken)})
+    events = stage(events.withColumn("session_id", session_uuid(F.lit("claude"), F.col("first_native"))).drop("first_native"), "claude-events")
     counted = ~F.col("type").isin(*TITLES, "system")
-    events = events.withColumn("session_id", session_uuid(F.lit("claude"), whole_file(F.min_by("native", "source_seq"))))
     total = lambda name: F.sum(F.when(counted, F.col(name))).alias
     sessions = events.groupBy("path", "session_id").agg(
         F.min_by("native", "source_seq").alias("native_id"), F.min_by("at", "source_seq").alias("started_at"), F.max_by("at", "source_seq").alias("ended_at"),
@@ -67,8 +69,7 @@ def parse(lines: DataFrame) -> Parsed:
         total("u_in")("input_tokens"), total("u_out")("output_tokens"), total("u_read")("cache_read_tokens"), total("u_write")("cache_write_tokens"),
     ).withColumn("source", F.lit("claude"))
 
-    turns = events.where(F.col("type").isin("user", "assistant")).withColumn("turn_number", F.row_number().over(in_file()).cast("long"))
-    turns = turns.withColumn("uuid", child_uuid(F.col("session_id"), F.col("event"))).withColumn("role", F.col("type"))
+    turns = events.where(spoken).withColumns({"uuid": child_uuid(F.col("session_id"), F.col("event")), "role": F.col("type")})
     user = F.col("role") == "user"
     said = F.transform(
         "blocks",
@@ -76,7 +77,7 @@ def parse(lines: DataFrame) -> Parsed:
     )
     thought = F.transform("blocks", lambda b: F.when(V.string(b, "$.type") == "thinking", V.string(b, "$.thinking")))
     messages = turns.select(
-        "path", "uuid", "parent_uuid", "role", "source_seq", "turn_number", F.coalesce("text", V.joined(said)).alias("content"), F.when(~user, V.joined(thought)).alias("thinking"),
+        "path", "session_id", "uuid", "parent_uuid", "role", "source_seq", "turn_number", F.coalesce("text", V.joined(said)).alias("content"), F.when(~user, V.joined(thought)).alias("thinking"),
         F.when(user & F.col("has_usage"), F.col("u_in")).alias("input_tokens"), F.when(~user & F.col("has_usage"), F.col("u_out")).alias("output_tokens"),
     )
 
@@ -98,11 +99,11 @@ def parse(lines: DataFrame) -> Parsed:
     met = uses.join(results, ["path", "call_id"], "left").where(F.col("answered").isNull() | (F.col("answered") > F.col("asked")))
     latest = met.groupBy("path", "call_id").agg(F.max_by("r", "answered").alias("r"))
     calls = uses.join(latest, ["path", "call_id"], "left").select(
-        "path", "call_id", "source_seq", "request_message", "started_at", "tool_name", "tool_input", "r.response_message", "r.tool_output", "r.is_error",
+        "path", "session_id", "call_id", "source_seq", "request_message", "started_at", "tool_name", "tool_input", "r.response_message", "r.tool_output", "r.is_error",
         child_uuid(F.col("session_id"), F.col("request_message"), F.col("call_id")).alias("uuid")
     )
 
     unknown = events.where(~F.col("type").isin("user", "assistant", "system", *TITLES)).select(
         "path", "source_seq", F.lit("unknown_event_kind").alias("kind"), F.col("type").alias("snippet")
     )
-    return finish(sessions, messages, calls, bad_lines(lines, good).unionByName(unknown))
+    return finish(sessions, messages, calls, bad_lines(rows).unionByName(unknown))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.columns import child_uuid, session_uuid
-from . import Parsed, bad_lines, finish, first_of, in_file, so_far, whole_file
+from ..scratch import staged
+from . import Count, First, LastSoFar, Parsed, Stage, along_file, bad_lines, finish, first_of, good_lines, judged
 
 # Names of the format.
 QUIET = ("turn_started", "turn_complete", "task_started", "task_complete", "model_reroute", "exec_approval_request")
@@ -27,29 +28,36 @@ def _count(p: Column, name: str, nested: str) -> Column:
     return F.coalesce(V.integer(p, f"$.{name}"), V.integer(p, f"$.info.total_token_usage.{nested}"), F.lit(0))
 
 
-def parse(lines: DataFrame) -> Parsed:
+def parse(lines: DataFrame, stage: Stage = staged) -> Parsed:
     v = F.col("v")
-    good = V.is_object(v) & V.string(v, "$.type").isNotNull()
-    p, kind, sub = F.col("p"), F.col("type"), F.col("sub")
-    events = lines.where(good).select(
-        "path", "source_seq", V.string(v, "$.type").alias("type"), V.string(v, "$.timestamp").alias("at"), V.get(v, "$.payload").alias("p")
-    )
-    events = events.withColumn("sub", F.when(kind.isin("response_item", "event_msg"), F.coalesce(V.string(p, "$.type"), F.lit(""))))
-    meta = first_of(F.when(kind == "session_meta", F.col("p")))
-    events = events.withColumn("meta", whole_file(meta)).withColumn("native", V.string(F.col("meta"), "$.id"))
-    lost = events.where("native is null").select("path").distinct()
-    events = events.where("native is not null").withColumn("session_id", session_uuid(F.lit("codex"), F.col("native")))
-
+    p, kind, sub, seq = F.col("p"), F.col("type"), F.col("sub"), F.col("source_seq")
+    type_, payload = V.string(v, "$.type"), V.get(v, "$.payload")
+    below = F.when(type_.isin("response_item", "event_msg"), F.coalesce(V.string(payload, "$.type"), F.lit("")))
+    rows = stage(judged(
+        lines, V.is_object(v) & type_.isNotNull(), type_.alias("type"), V.string(v, "$.timestamp").alias("at"), payload.alias("p"), below.alias("sub")
+    ), "codex")
     message = (kind == "response_item") & sub.isin("message", "reasoning") | (kind == "event_msg") & sub.isin(*SPOKEN)
+    message = F.coalesce(message, F.lit(False))
     role = F.when(sub == "message", F.coalesce(V.string(p, "$.role"), F.lit("assistant"))).when(sub == "user_message", "user").otherwise("assistant")
-    events = events.withColumn(
-        "uuid", F.when(message, child_uuid(F.col("session_id"), F.concat(F.lit("seq-"), F.col("source_seq"))))
-    ).withColumn("role", F.when(message, role))
-    events = events.withColumn("speaker", so_far(F.when(F.col("role") == "assistant", F.col("uuid"))))
+    events = along_file(
+        good_lines(rows),
+        {
+            "meta": First(F.when(kind == "session_meta", p)), "spoke_at": LastSoFar(F.when(message & (role == "assistant"), seq)), "turn_number": Count(message)
+        }
+    )
+    events = events.withColumn("native", V.string(F.col("meta"), "$.id"))
+    ids = session_uuid(F.lit("codex"), F.col("native"))
+    at_line = lambda n: child_uuid(F.col("session_id"), F.concat(F.lit("seq-"), n))
+    events = events.withColumn("session_id", F.when(F.col("native").isNotNull(), ids)).withColumns({
+        "uuid": F.when(message, at_line(seq)), "role": F.when(message, role),
+        "speaker": F.when(F.col("spoke_at").isNotNull(), at_line(F.col("spoke_at")))
+    })
+    events = stage(events, "codex-events")
+    lost = events.where("native is null").select("path").distinct()
+    events = events.where("native is not null")
     said = F.when(sub == "message", _parts(V.get(p, "$.content"))).when(sub.isin(*SPOKEN), V.string(p, "$.message"))
     messages = events.where(message).select(
-        "path", "uuid", "role", "source_seq", said.alias("content"), F.when(sub == "reasoning", V.string(p, "$.text")).alias("thinking"),
-        F.row_number().over(in_file()).cast("long").alias("turn_number")
+        "path", "session_id", "uuid", "role", "source_seq", said.alias("content"), F.when(sub == "reasoning", V.string(p, "$.text")).alias("thinking"), "turn_number"
     )
 
     summary = F.nullif(V.string(p, "$.summary"), F.lit(""))
@@ -94,7 +102,7 @@ def parse(lines: DataFrame) -> Parsed:
     ).withColumn("n", first_only).where("n = 1")
     known = (*SKIPPED, "event_msg")
     errata = [
-        bad_lines(lines, F.coalesce(good, F.lit(False))),
+        bad_lines(rows),
         dropped,
         call_errata,
         note(events.where(kind == "compacted"), "history_compacted", F.lit("type:compacted")),
@@ -164,7 +172,7 @@ def _calls(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).alias("end_output"), F.max_by("failed", F.when(F.col("failed").isNotNull(), seq)).alias("failed"), F.max_by("at", seq).alias("at"),
     )
     calls = made.join(done, ["path", "call_id"], "left").select(
-        "path", "call_id", "source_seq", "request_message", "tool_name", "tool_input", "started_at", F.coalesce("at", "own_end").alias("ended_at"),
+        "path", "session_id", "call_id", "source_seq", "request_message", "tool_name", "tool_input", "started_at", F.coalesce("at", "own_end").alias("ended_at"),
         F.coalesce("answer", "own_output", "end_output").alias("tool_output"), F.coalesce("failed", "own_failed").alias("is_error"),
         F.when(F.col("answers") > 0, F.col("responder")).otherwise(F.col("own_response")).alias("response_message"), child_uuid(
             F.col("session_id"), F.col("request_message"), F.col("call_id")

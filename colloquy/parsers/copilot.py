@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.columns import child_uuid, iso_of_millis, session_uuid
-from . import Parsed, bad_lines, finish, first_of, in_file, last_of, so_far, whole_file
+from ..scratch import staged
+from . import Count, First, LastSoFar, Latest, Parsed, Stage, along_file, bad_lines, finish, first_of, good_lines, judged, last_of
 
 
 TEXT_PARTS = ("text", "output_text", "input_text")
@@ -20,22 +21,20 @@ def _text(content: Column) -> Column:
     return F.coalesce(F.nullif(V.string(content), F.lit("")), _parts(content))
 
 
-def parse_chat(lines: DataFrame) -> Parsed:
+def parse_chat(lines: DataFrame, stage: Stage = staged) -> Parsed:
     v = F.col("v")
     good = V.is_object(v) & (V.is_null(V.get(v, "$.kind")) | V.integer(v, "$.kind").isNotNull())
-    rows = lines.where(good).select(
-        "path", "source_seq", V.integer(v, "$.kind").alias("patch"), F.to_json(V.get(v, "$.k")).alias("key"), V.get(v, "$.v").alias("x")
-    )
+    all_rows = stage(judged(lines, good, V.integer(v, "$.kind").alias("patch"), F.to_json(V.get(v, "$.k")).alias("key"), V.get(v, "$.v").alias("x")), "chat")
     x, patch, key = F.col("x"), F.col("patch"), F.col("key")
     seed = patch == 0
     titled, appended = (patch == 1) & (key == '["customTitle"]'), (patch == 2) & (key == '["requests"]')
-    rows = rows.withColumn("native", whole_file(last_of(F.when(seed, V.string(x, "$.sessionId")))))
+    rows = along_file(good_lines(all_rows), {"native": Latest(F.when(seed, V.string(x, "$.sessionId")))})
     lost = rows.where("native is null").select("path").distinct()
     rows = rows.where("native is not null").withColumn("session_id", session_uuid(F.lit("copilot"), F.col("native")))
 
     asked = F.when(seed, V.array(x, "$.requests")).when(appended, V.array(x))
     requests = rows.select("path", "session_id", "source_seq", F.posexplode(asked).alias("place", "r"))
-    requests = requests.withColumn("n", F.row_number().over(in_file("source_seq", "place")).cast("long") - 1)
+    requests = stage(along_file(requests, {"n": Count(F.lit(True))}, "source_seq", "place").withColumn("n", F.col("n") - 1), "requests")
     r = F.col("r")
     base = F.concat(F.lit("req"), F.col("n"))
     items = F.transform(
@@ -53,7 +52,7 @@ def parse_chat(lines: DataFrame) -> Parsed:
         turn("user", question, first, F.lit(None).cast("string"), 1),
         turn("assistant", answer, child_uuid(F.col("session_id"), F.concat(base, F.lit("-resp"))), first, 2)
     )
-    messages = requests.select("path", "source_seq", F.inline(pair))
+    messages = requests.select("path", "session_id", "source_seq", F.inline(pair))
 
     title = last_of(F.coalesce(F.when(seed, V.string(x, "$.customTitle")), F.when(titled, V.string(x))))
     born = F.max_by(V.integer(x, "$.creationDate"), F.when(seed, F.col("source_seq")))
@@ -72,30 +71,32 @@ def parse_chat(lines: DataFrame) -> Parsed:
     )
     gone = lost.select("path", F.lit(None).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"), F.lit("no sessionId").alias("snippet"))
     calls = rows.where("false").select("path")
-    return finish(sessions, messages, calls, bad_lines(lines, F.coalesce(good, F.lit(False))).unionByName(errata).unionByName(none).unionByName(gone))
+    return finish(sessions, messages, calls, bad_lines(all_rows).unionByName(errata).unionByName(none).unionByName(gone))
 
 
-def parse_transcript(lines: DataFrame) -> Parsed:
+def parse_transcript(lines: DataFrame, stage: Stage = staged) -> Parsed:
     v = F.col("v")
     good = V.is_object(v) & V.string(v, "$.type").isNotNull()
     kind, seq = F.col("type"), F.col("source_seq")
-    rows = lines.where(good).select(
-        "path", "source_seq", V.string(v, "$.type").alias("type"), V.string(v, "$.sessionId").alias("sid"), V.integer(v, "$.timestamp").alias("ms"),
+    all_rows = stage(judged(
+        lines, good, V.string(v, "$.type").alias("type"), V.string(v, "$.sessionId").alias("sid"), V.integer(v, "$.timestamp").alias("ms"),
         V.get(v, "$.content").alias("said"), F.nullif(V.string(v, "$.model"), F.lit("")).alias("model"), V.string(v, "$.tool_name").alias("tool"),
         V.string(v, "$.tool_call_id").alias("call"), V.get(v, "$.result").alias("result")
-    )
-    rows = rows.withColumn("native", whole_file(F.min_by("sid", F.when(kind == "session.start", seq))))
+    ), "transcript")
+    message = kind.isin("user.message", "assistant.message")
+    # the first start counts, with or without an id
+    started = F.when(kind == "session.start", F.struct("sid"))
+    rows = stage(along_file(good_lines(all_rows), {"start": First(started), "turn_number": Count(message)}), "transcript-turns")
+    rows = rows.withColumn("native", F.col("start.sid")).drop("start")
     lost = rows.where("native is null").select("path").distinct()
     rows = rows.where("native is not null").withColumn("session_id", session_uuid(F.lit("copilot"), F.col("native")))
-    message = kind.isin("user.message", "assistant.message")
-    rows = rows.withColumn("turn_number", F.sum(message.cast("long")).over(in_file()))
     letter = F.when(kind == "user.message", "u").otherwise("a")
     rows = rows.withColumn("uuid", F.when(message, child_uuid(F.col("session_id"), F.concat(letter, F.col("turn_number")))))
-    rows = rows.withColumn(
-        "speaker", so_far(F.when(kind == "assistant.message", F.col("uuid")))
-    ).withColumn("asker", so_far(F.when(kind == "user.message", F.col("uuid"))))
+    rows = stage(along_file(rows, {
+        "speaker": LastSoFar(F.when(kind == "assistant.message", F.col("uuid"))), "asker": LastSoFar(F.when(kind == "user.message", F.col("uuid")))
+    }), "transcript-events")
     role = F.regexp_extract("type", r"^(\w+)\.", 1)
-    messages = rows.where(message).select("path", "uuid", role.alias("role"), _text(F.col("said")).alias("content"), "source_seq", "turn_number")
+    messages = rows.where(message).select("path", "session_id", "uuid", role.alias("role"), _text(F.col("said")).alias("content"), "source_seq", "turn_number")
     sessions = rows.groupBy("path", "session_id").agg(
         F.first("native").alias("native_id"), iso_of_millis(first_of(F.col("ms"))).alias("started_at"), iso_of_millis(last_of(F.col("ms"))).alias("ended_at"),
         last_of(F.when(kind == "assistant.message", F.col("model"))).alias("model"), F.count_if(message).alias("said"),
@@ -126,13 +127,13 @@ def parse_transcript(lines: DataFrame) -> Parsed:
     joined = made.join(ended, ["path", "call_id"], "left").join(sessions.select("path", "last_said"), "path", "left")
     response = F.coalesce(F.when(F.col("n") > 0, F.col("who")), F.col("own_response"))
     calls = joined.select(
-        "path", "call_id", "source_seq", "request_message", "tool_name", "started_at", F.coalesce("ended", "own_end").alias("ended_at"),
+        "path", "session_id", "call_id", "source_seq", "request_message", "tool_name", "started_at", F.coalesce("ended", "own_end").alias("ended_at"),
         F.coalesce("output", "own_output").alias("tool_output"), F.coalesce(response, F.col("last_said")).alias("response_message"),
         response.isNull().alias("dangling"), child_uuid(F.col("session_id"), F.col("request_message"), F.col("call_id")).alias("uuid")
     )
 
     note = lambda df, where, name, snippet="call_id": df.where(where).select("path", "source_seq", F.lit(name).alias("kind"), F.col(snippet).alias("snippet"))
-    errata = bad_lines(lines, F.coalesce(good, F.lit(False)))
+    errata = bad_lines(all_rows)
     for rows_ in (
         note(tools, start & F.col("speaker").isNull() & F.col("asker").isNotNull(), "tool_before_assistant"),
         note(tools, start & F.col("who").isNull(), "tool_before_any_message"),

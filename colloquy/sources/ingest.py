@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..errors import NotFound
 from ..operators.periods import Recency
-from ..parsers import Parsed, claude, codex, copilot, hermes, opencode
+from ..parsers import Parsed, Stage, claude, codex, copilot, hermes, opencode
 from ..schemas import TABLES
+from ..scratch import staged
 from .lines import by_kind, detect_kinds, session_lines
 from .sqlite import store_rows
 
@@ -16,16 +17,17 @@ LINE_PARSERS = {"claude": claude.parse, "codex": codex.parse, "copilot-chat": co
 STORE_PARSERS = {"opencode": opencode.parse, "hermes": hermes.parse}
 
 
-def parse_lines(lines: DataFrame, kinds: list[str | None] | None = None) -> Parsed:
-    """Every file by the parser of its kind; files of no kind give one erratum each. Given the kinds that there are, only
-    their parsers are in the plan."""
+def parse_lines(lines: DataFrame, stage: Stage = staged) -> Parsed:
+    """Every file by the parser of its kind; files of no kind give one erratum each. Only the parsers of kinds that there are run.
+    Parsed lines are written down by `stage`, so each is parsed once."""
+    kinds = [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()]
     rows = by_kind(lines)
     out = None
     for kind, parse in LINE_PARSERS.items():
-        if kinds is None or kind in kinds:
-            found = parse(rows.where(F.col("kind") == kind).drop("kind"))
+        if kind in kinds:
+            found = parse(rows.where(F.col("kind") == kind).drop("kind"), stage)
             out = found if out is None else out.union(found)
-    if kinds is None or None in kinds or out is None:
+    if None in kinds or out is None:
         unknown = rows.where("kind is null").groupBy("path").agg(F.min_by("line", "source_seq").alias("line"))
         lost = unknown.select(
             F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("source_seq"), F.lit("parse_error").alias("kind"),
@@ -47,26 +49,24 @@ def parse_stores(rows: DataFrame, kinds: list[str] | None = None) -> Parsed:
     return out
 
 
-def read_sessions(spark: SparkSession, path: str | list[str], recency: Recency = Recency()) -> Parsed:
+def read_sessions(spark: SparkSession, path: str | list[str], recency: Recency = Recency(), stage: Stage = staged) -> Parsed:
     """A store file, a .jsonl file, a folder of .jsonl files (stores in it are not read), or a list of .jsonl files."""
     for name in [path] if isinstance(path, str) else path:
         if "://" not in name and not os.path.exists(name):
             raise NotFound(f"no such file or folder: {name}")
     if isinstance(path, str) and path.endswith((".db", ".sqlite")):
-        rows = store_rows(spark, path, recency).persist()  # read once for all its tables
+        rows = stage(store_rows(spark, path, recency), "store")  # read once for all its tables
         kinds = [r.kind for r in rows.select("kind").distinct().collect()]
         found = parse_stores(rows, [k for k in kinds if k in STORE_PARSERS] or ["opencode"])
-        found.held = (rows,)
     else:
-        lines = session_lines(spark, path, recency)
-        found = parse_lines(lines, [r.kind for r in detect_kinds(lines).select("kind").distinct().collect()])
-    return one_path_a_session(found)
+        found = parse_lines(session_lines(spark, path, recency), stage)
+    return one_path_a_session(found, stage)
 
 
-def one_path_a_session(parsed: Parsed) -> Parsed:
+def one_path_a_session(parsed: Parsed, stage: Stage = staged) -> Parsed:
     """Of a session found at several paths the last in their order stays, whole: its row, messages, calls and errata.
     Errata without a session stay. Calls whose request is no message of their session are errata too."""
-    sessions = parsed.sessions.persist()  # all tables meet them
+    sessions = stage(parsed.sessions, "sessions")  # all tables meet them
     last = sessions.groupBy(F.col("session_id").alias("_session")).agg(F.max("raw_path").alias("_path"))
 
     def own(rows: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def one_path_a_session(parsed: Parsed) -> Parsed:
     asked = out.messages.select(F.col("uuid").alias("_request"))
     lost = out.tool_calls.join(asked, F.col("request_message") == F.col("_request"), "left_anti")
     lost = lost.select("session_id", "source_seq", F.lit("unmatched_request").alias("kind"), F.col("call_id").alias("snippet"), "raw_path")
-    return Parsed(out.sessions, out.messages, out.tool_calls, out.errata.unionByName(lost), (*parsed.held, sessions))
+    return Parsed(out.sessions, out.messages, out.tool_calls, out.errata.unionByName(lost))
 
 
 def summary(sessions: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from .operators.periods import Recency, period, utc_now
 from .operators.upsert import resolve_parents
 from .parsers import shaped
 from .schemas import POSTINGS, REPLACED, TABLES
+from .scratch import staged
 from .sources.ingest import read_sessions, summary
 from .sources.ingest import tables as parsed_tables
 from .store import Conflict, Store
@@ -201,7 +202,7 @@ class Vault:
                 former = self.store.read(f"manifests/{name}") or {}
                 named |= {str(segment) if "=" in str(segment) else f"v={segment}" for segment, _ in former.get("segments", [])}
         remotes = manifest["config"].get("remotes")
-        for folder in (*ALL, "replaced", "remotes"):
+        for folder in (*ALL, "replaced", "remotes", "staging"):
             for name, changed in self.store.listing(folder):
                 used = name == remotes if folder == "remotes" else name in needed
                 if not used and (name in named or time.time() - changed >= abandoned):
@@ -222,13 +223,12 @@ class Vault:
     def ingest(self, path: str | list[str], recency: Recency = Recency()) -> DataFrame:
         """Take in the sessions at a path (or of a list of session files); those taken in before are replaced. Returns a row
         a session, as written."""
-        parsed = read_sessions(self.spark, path, recency)
-        fixed = {name: rows.persist() for name, rows in parsed_tables(parsed).items()}
+        staging = f"staging/{self.store.new_segment()}"
+        stage = lambda rows, name: staged(rows, name, f"{self.path}/{staging}")
         try:
-            segment = self.replace(fixed)
+            segment = self.replace(parsed_tables(read_sessions(self.spark, path, recency, stage)))
         finally:
-            for rows in (*fixed.values(), *parsed.held):
-                rows.unpersist()
+            self.store.remove(staging)
         return summary(self.table("sessions", segments=[segment]))
 
     def note(self, path: str, message: str) -> None:

@@ -6,12 +6,24 @@ import sqlite3
 import pytest
 
 from colloquy.sources.ingest import parse_lines, read_sessions
-from colloquy.sources.lines import detect_kinds, number_lines
+from colloquy import parsers
+from colloquy.sources.lines import detect_kinds, session_lines
+
+
+def lines_of(spark, named):
+    """Lines as they would be read from files of these names and texts."""
+    rows = [(name, n, line) for name, text in named.items() for n, line in enumerate(text.split("\n"), 1) if line.strip(" \t")]
+    return spark.createDataFrame(rows, "path string, source_seq long, line string")
 
 
 def files(spark, **named):
-    rows = [(name, "\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines)) for name, lines in named.items()]
-    return number_lines(spark.createDataFrame(rows, "path string, value string"))
+    return lines_of(spark, {name: "\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) for name, lines in named.items()})
+
+
+@pytest.fixture(autouse=True)
+def blocks(monkeypatch):
+    """All parsers with files of many blocks; the registered queries have files of one."""
+    monkeypatch.setattr(parsers, "BLOCK_LINES", 3)
 
 
 def collected(parsed):
@@ -23,9 +35,31 @@ def event(n, kind, message=None, **more):
     return out | ({"message": message} if message is not None else {})
 
 
-def test_lines_keep_their_numbers(spark):
-    lines = number_lines(spark.createDataFrame([("f", "﻿{\"a\":1}\r\n\r\n  \nlast")], "path string, value string")).orderBy("source_seq").collect()
-    assert [(r.source_seq, r.line) for r in lines] == [(1, '{"a":1}'), (4, "last")]
+@pytest.mark.parametrize("split", [1 << 27, 64, 7])
+def test_lines_keep_their_numbers_in_splits_of_any_size(spark, tmp_path, split, rng=__import__("random").Random(3)):
+    texts = {
+        "a.jsonl": "\ufeff{\"a\":1}\r\n\r\n  \nlast", "b.jsonl": "", "c.jsonl": "\n\n\t\n", "sub/d.jsonl": "\r\n" * 30 + "é\u2028x\ry\r\r\n",
+        "e.jsonl": "\n".join("w" * rng.randrange(40) for _ in range(300)) + "\n", "f.jsonl": "x" * 500, "subagents/g.jsonl": "hidden", "h.txt": "no session",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    want = set()
+    for name in ("a.jsonl", "b.jsonl", "c.jsonl", "sub/d.jsonl", "e.jsonl", "f.jsonl"):
+        for n, line in enumerate(texts[name].removeprefix("\ufeff").split("\n"), 1):
+            line = line.removesuffix("\r")
+            if line.strip(" \t"):
+                want.add((name, n, line))
+    names = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        rows = session_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(want) and {(r.path.partition(f"{tmp_path}/")[2], r.source_seq, r.line) for r in rows} == want
 
 
 def test_kinds(spark):
@@ -39,7 +73,7 @@ def test_kinds(spark):
 
 
 def test_a_blank_first_line_hides_the_kind(spark):
-    lines = number_lines(spark.createDataFrame([("f", "\n" + json.dumps(event(1, "user")))], "path string, value string"))
+    lines = lines_of(spark, {"f": "\n" + json.dumps(event(1, "user"))})
     assert [r.kind for r in detect_kinds(lines).collect()] == [None]
     out = collected(parse_lines(lines))
     assert out["sessions"] == [] and [e["kind"] for e in out["errata"]] == ["parse_error"]
