@@ -51,17 +51,9 @@ def plain_tokens(text: str, accents: bool = False) -> list[str]:
     return ["".join(g) for g in re.findall(r"[^\W_]+", text)]
 
 
-def token_table(texts: DataFrame, content: str = "content", stemmed: bool = True) -> DataFrame:
-    """texts with `tokens` in place of the content. Stems are found once for each distinct token."""
-    rows = texts.withColumn("tokens", tokens(F.col(content), accents=not stemmed)).drop(content)
-    if not stemmed:
-        return rows
-
-    @F.pandas_udf("array<string>")
-    def stems(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda words: [stem(w) for w in words])  # remembered by word within a process
-
-    return rows.withColumn("tokens", stems("tokens"))
+def token_table(texts: DataFrame, content: str = "content", accents: bool = True) -> DataFrame:
+    """texts with `tokens` in place of the content."""
+    return texts.withColumn("tokens", tokens(F.col(content), accents)).drop(content)
 
 
 def index(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -72,6 +64,25 @@ def index(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return words.groupBy("term", *key, "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
+def stems_of(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """term and stem of each distinct term, without those that `known` (term, stem) has."""
+
+    @F.pandas_udf("string")
+    def stems(batch: pd.Series) -> pd.Series:
+        return batch.map(stem)
+
+    new = words.select("term").distinct()
+    new = new if known is None else new.join(known.select("term"), "term", "left_anti")
+    return new.withColumn("stem", stems("term"))
+
+
+def stemmed_index(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """An index of words as one of stems: words of one stem meet in one row of a text. Only distinct words are stemmed."""
+    key = [c for c in words.columns if c not in ("term", "places")]
+    found = words.join(vocabulary, "term").groupBy("stem", *key)
+    return found.agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places")).withColumnRenamed("stem", "term").select(*words.columns)
+
+
 # The grammar -----------------------------------------------------------------------------------------------------------
 
 
@@ -363,38 +374,85 @@ def search(table: DataFrame, pattern: str, limit: int, order: tuple[str, ...], s
 
     rows = table.select("*", F.size("tokens").alias("n_tokens"), *[places(*word).alias(name) for word, name in plan.words.items()])
     total = [F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")]
-    return _best(rows, plan, None, total, limit, order, where, [c for c in table.columns if c != "tokens"])
+    n, n_tokens, *holders = rows.select("*", *plan.starts).agg(*total, *[F.count_if(F.size(f"starts_{k}") > 0) for k in range(len(plan.starts))]).first()
+    return _best(rows, plan, (n, n_tokens), holders, limit, order, where, [c for c in table.columns if c != "tokens"])
+
+
+def _entries(tree, frequent: dict[tuple[str, bool], int]) -> set[tuple[str, bool]]:
+    """Words of which each matching text has one at least, chosen to be rare: of what must hold together the rarest, of
+    alternatives all."""
+    if isinstance(tree, Phrase):
+        words = [(w, tree.prefix and k == len(tree.words) - 1) for k, w in enumerate(tree.words)] if tree.column else []
+        return {min(words, key=lambda w: (frequent[w], w))} if words else set()
+    if isinstance(tree, Without):
+        return _entries(tree.left, frequent)
+    parts = [_entries(p, frequent) for p in (tree.phrases if isinstance(tree, Near) else tree.parts)]
+    if isinstance(tree, Either):
+        return set().union(*parts)
+    return min(parts, key=lambda words: sum(frequent[w] for w in words))
 
 
 def search_index(
     postings: DataFrame, n: int, n_tokens: int, pattern: str, limit: int, order: tuple[str, ...], stemmed: bool = True, where: DataFrame | None = None
 ) -> DataFrame:
     """The same from an index of n texts with n_tokens tokens in all: its key columns and rank. Only rows of the pattern's
-    words are read; what stands in one text meets in one group. A pattern without words matches nothing. where: keys (one
-    column) to which the result is narrowed."""
-    plan = _Plan(parse(pattern, stemmed))
+    words are read. They are counted first; then texts are put together from the rows of words that are rare and that every
+    match needs, and those of frequent words are met by them, so a word that stands in most texts is counted and looked up but
+    never grouped whole. A pattern without words matches nothing. where: keys (one column) to which the result is narrowed."""
+    tree = parse(pattern, stemmed)
+    plan = _Plan(tree)
     key = [c for c in postings.columns if c not in ("term", "places")]
     holds = lambda word, prefix: F.startswith(F.col("term"), F.lit(word)) if prefix else F.col("term") == word
-    wanted = F.lit(False)
-    for word in plan.words:
-        wanted = wanted | holds(*word)
-    sums = [F.sort_array(F.flatten(F.collect_list(F.when(holds(*word), F.col("places"))))).alias(name) for word, name in plan.words.items()]
-    rows = postings.where(wanted).groupBy(*key).agg(*sums, F.count("*").alias("n_words")).drop("n_words")
-    return _best(rows, plan, (n, n_tokens), [], limit, order, where, [c for c in key if c != "n_tokens"])
+    any_of = lambda words: _any([holds(*w) for w in sorted(words)])
+    rows = postings.where(any_of(plan.words))
+    counts = [F.count_if(holds(*word)).alias(name) for word, name in plan.words.items()]
+    tally = rows.agg(F.lit(0).alias("none"), *[F.coalesce(c, F.lit(0)).alias(name) for c, name in zip(counts, plan.words.values())]).first()
+    frequent = {word: tally[name] for word, name in plan.words.items()}
+
+    def texts(of: DataFrame, wanted: set) -> DataFrame:
+        """A row for each text that has a wanted word, with the places of all words."""
+        if len(plan.words) == 1 and not any(prefix for _, prefix in plan.words):  # its rows are the texts
+            return of.select(*key, F.col("places").alias("places_0"))
+        held = of
+        if wanted != set(plan.words):
+            here = of.where(any_of(wanted)).select(*[c for c in key if c != "n_tokens"]).distinct()
+            held = of.join(here, here.columns, "left_semi")
+        sums = [F.sort_array(F.flatten(F.collect_list(F.when(holds(*word), F.col("places"))))).alias(name) for word, name in plan.words.items()]
+        return held.groupBy(*key).agg(*sums, F.count("*").alias("n_words")).drop("n_words")
+
+    # in how many texts each phrase stands: of a whole word that is known, of others their rarest words' texts tell
+    holders, asked = [], []
+    for k, phrase in enumerate(plan.phrases):
+        plain = phrase.column and len(phrase.words) == 1 and not phrase.prefix and not phrase.first
+        holders.append(frequent[phrase.words[0], False] if plain else 0)
+        asked += [] if plain else [k]
+    wanted = set().union(*[_entries(plan.phrases[k], frequent) for k in asked]) if asked else set()
+    if wanted:
+        found = texts(rows, wanted).select(*[plan.starts[k] for k in asked])
+        for k, count in zip(asked, found.agg(*[F.count_if(F.size(f"starts_{k}") > 0) for k in asked]).first()):
+            holders[k] = count
+    entries = _entries(tree, frequent)
+    rows = texts(rows, entries) if entries else texts(rows, set(plan.words)).where("false")
+    return _best(rows, plan, (n, n_tokens), holders, limit, order, where, [c for c in key if c != "n_tokens"])
+
+
+def _any(parts: list[Column]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
 
 
 def _best(
-    rows: DataFrame, plan: _Plan, sizes: tuple[int, int] | None, total: list[Column], limit: int, order: tuple[str, ...], where: Column | DataFrame | None,
-    kept: list[str]
+    rows: DataFrame, plan: _Plan, sizes: tuple[int, int], holders: list[int], limit: int, order: tuple[str, ...], where: Column | DataFrame | None, kept: list[str]
 ) -> DataFrame:
+    """sizes: of the whole table, texts and tokens. holders: in how many texts each phrase stands."""
     rows = rows.select("*", *plan.starts)
-    tally = rows.agg(*total, *[F.count_if(F.size(f"starts_{k}") > 0).alias(f"rows_{k}") for k in range(len(plan.starts))]).first()
-    n, tokens_ = sizes or (tally["n"], tally["tokens"])
+    n, tokens_ = sizes
     mean = tokens_ / n if n else 0.0
     score = F.lit(0.0)
     for k, count in enumerate(plan.counts):
-        holders = tally[f"rows_{k}"]
-        idf = max(LEAST_IDF, math.log((n - holders + 0.5) / (holders + 0.5)))
+        idf = max(LEAST_IDF, math.log((n - holders[k] + 0.5) / (holders[k] + 0.5)))
         score = score + F.lit(idf) * count * F.lit(K1 + 1) / (count + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(mean or 1.0)))
     found = rows.where(plan.matches)
     if isinstance(where, DataFrame):

@@ -8,13 +8,14 @@ from ..functions import variants as V
 from ..functions.columns import child_uuid, iso_of_seconds, session_uuid
 from ..operators.pairing import first_in_first_out
 from ..sources.sqlite import table_of
-from . import Parsed, finish
+from ..scratch import staged
+from . import Parsed, Stage, finish
 
 SESSION = "id string, source string, model string, parent_session_id string, started_at double, ended_at double, title string, cwd string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"
 MESSAGE = "id long, session_id string, role string, content string, tool_call_id string, tool_calls string, reasoning_content string, timestamp double"
 
 
-def parse(rows: DataFrame) -> Parsed:
+def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
     store = lambda name, schema: table_of(rows, "hermes", name, schema)
     base = store("session", SESSION).withColumn("path", F.concat_ws("#", "file", "id")).withColumn("native_id", F.concat_ws(":", "source", "id"))
     every = store("every", "id string, source string").select(
@@ -30,7 +31,7 @@ def parse(rows: DataFrame) -> Parsed:
     kept = base.select("path", F.col("session_id").alias("sid"), F.col("file").alias("f"), F.col("id").alias("native"))
     messages = store("message", MESSAGE).join(kept, (F.col("file") == F.col("f")) & (F.col("session_id") == F.col("native"))).drop("session_id")
     order = Window.partitionBy("path").orderBy("id")
-    messages = messages.withColumn("source_seq", F.row_number().over(order).cast("long"))
+    messages = stage(messages.withColumn("source_seq", F.row_number().over(order).cast("long")), "hermes-messages")
     turns = messages.where(F.col("role").isin("user", "assistant")).withColumn("turn_number", F.row_number().over(order).cast("long")).withColumn(
         "uuid", child_uuid(F.col("sid"), F.col("id").cast("string"))
     )
@@ -57,7 +58,7 @@ def parse(rows: DataFrame) -> Parsed:
     both = requests.select("path", "call_id", "order", "source_seq", F.lit(True).alias("opens")).unionByName(
         answers.select("path", "call_id", "order", "source_seq", "content", "ended_at", F.lit(False).alias("opens")), allowMissingColumns=True
     )
-    paired = first_in_first_out(both, ["path", "call_id"], "order", "opens")
+    paired = stage(first_in_first_out(stage(both, "hermes-calls"), ["path", "call_id"], "order", "opens"), "hermes-paired")
     content = F.try_parse_json("content")
     code = V.integer(content, "$.exit_code")
     wrong = F.when(V.is_object(content) & ~V.is_null(V.get(content, "$.error")), True).when(code.isNotNull(), code != 0)

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..functions.columns import child_uuid, iso_of_millis, session_uuid
 from ..sources.sqlite import table_of
-from . import Parsed, finish
+from ..scratch import staged
+from . import Parsed, Stage, finish
 
 SESSION = "id string, directory string, title string, time_created long, time_updated long, model string, tokens_input long, tokens_output long, tokens_cache_read long, tokens_cache_write long"
 PASSED = ("file", "step-start", "step-finish", "compaction")
 
 
-def parse(rows: DataFrame) -> Parsed:
+def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
     store = lambda name, schema: table_of(rows, "opencode", name, schema)
     base = store("session", SESSION).withColumn("path", F.concat_ws("#", "file", "id")).withColumn("session_id", session_uuid(F.lit("opencode"), F.col("id")))
     model = F.try_parse_json("model")
@@ -31,6 +32,7 @@ def parse(rows: DataFrame) -> Parsed:
     messages = messages.join(kept, (F.col("file") == F.col("f")) & (F.col("of") == F.col("native"))).drop("f", "native", "of")
     order = Window.partitionBy("path").orderBy("time_created", "id")
     messages = messages.withColumn("source_seq", F.row_number().over(order).cast("long")).withColumn("v", F.try_parse_json("data"))
+    messages = stage(messages, "opencode-messages")
     errata = errata.unionByName(fault(messages.where("v is null"), "parse_error", F.col("data"), F.col("source_seq")))
     role = F.coalesce(V.string(F.col("v"), "$.role"), F.lit("unknown"))
     turns = messages.withColumn("role", role).where(F.col("v").isNotNull() & F.col("role").isin("user", "assistant"))
@@ -42,6 +44,7 @@ def parse(rows: DataFrame) -> Parsed:
     joined = turns.select("path", "file", "session_id", "id", "uuid", "source_seq").join(
         parts, (F.col("file") == F.col("part_file")) & (F.col("id") == F.col("message_id"))
     ).withColumn("p", F.try_parse_json("part_data"))
+    joined = stage(joined, "opencode-parts")
     errata = errata.unionByName(fault(joined.where("p is null"), "parse_error", F.col("part_data"), F.col("source_seq")))
     p = F.col("p")
     joined = joined.where("p is not null").withColumn("type", F.coalesce(V.string(p, "$.type"), F.lit("unknown")))

@@ -9,8 +9,10 @@ from ..functions.columns import child_uuid, embed_text, iso_of_millis, iso_of_se
 from ..functions.porter import stem
 from ..operators import embedding, export, fulltext, projects, report, vectors
 from ..operators.periods import Period, Recency, period, recency
+from ..scratch import staged
 from . import derived
 from .round_trips import ROUND_TRIPS
+from .stores import STORES
 
 NOW = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
 WHOLE = Period("custom", date(2024, 1, 1), date(2024, 1, 30))
@@ -138,19 +140,39 @@ def preagg_left_join(spark, sf_dir):
 # Search ----------------------------------------------------------------------------------------------------------------
 
 
-def _grep(pattern: str, project: str | None = None, stemmed: bool = False):
+def _texts(spark, sf_dir) -> DataFrame:
+    return derived.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("text").alias("content"))
+
+
+def _grep(pattern: str, project: str | None = None):
     def run(spark, sf_dir):
-        docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("text").alias("content"))
-        rows = fulltext.token_table(docs.withColumn("snippet", snippet(F.col("content"))), stemmed=stemmed)
-        found = fulltext.search(rows, pattern, 20, ("doc_id",), stemmed=stemmed, where=None if project is None else F.col("project") == project)
+        rows = fulltext.token_table(_texts(spark, sf_dir).withColumn("snippet", snippet(F.col("content"))))
+        found = fulltext.search(rows, pattern, 20, ("doc_id",), stemmed=False, where=None if project is None else F.col("project") == project)
         return found.select("doc_id", "snippet", F.round("rank", 6).alias("rank"))
 
     return run
 
 
+def _grep_index(pattern: str, project: str | None = None, stemmed: bool = False):
+    """The same through an index that is written sorted by word, of words or of stems."""
+
+    def run(spark, sf_dir):
+        docs = _texts(spark, sf_dir)
+        table = fulltext.token_table(docs.select("doc_id", "content"), accents=not stemmed)
+        sizes = table.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+        words = staged(fulltext.index(table, ("doc_id",)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "words")
+        if stemmed:
+            words = staged(fulltext.stemmed_index(words, fulltext.stems_of(words)), "stems")
+        own = None if project is None else docs.where(F.col("project") == project).select("doc_id")
+        found = fulltext.search_index(words, *sizes, pattern, 20, ("doc_id",), stemmed, own)
+        return found.join(docs.select("doc_id", snippet(F.col("content")).alias("snippet")), "doc_id").select("doc_id", "snippet", F.round("rank", 6).alias("rank"))
+
+    return run
+
+
 def grep_turns(spark, sf_dir):
     turns = derived.turns(spark, sf_dir)
-    rows = fulltext.token_table(turns.withColumn("snippet", snippet(F.col("content"))), stemmed=False)
+    rows = fulltext.token_table(turns.withColumn("snippet", snippet(F.col("content"))))
     found = fulltext.search(rows, "the", 20, ("session_id", "source_seq"), stemmed=False, where=F.col("project") == 3)
     return found.select("session_id", "source_seq", "role", "snippet", F.round("rank", 6).alias("rank"))
 
@@ -485,7 +507,7 @@ QUERIES = {
     "preagg_left_join": (preagg_left_join, f"{_S} SELECT session_id, message_count, tool_call_count FROM c WHERE {_days()}"),
     **{name: (_grep(pattern, project), GREP_SQL[name]) for name, (pattern, project) in GREPS.items()},
     "grep_turns": (grep_turns, GREP_SQL["grep_turns"]),
-    "grep_stemmed": (_grep("worthlessness OR disgusted", stemmed=True), _stemmed_sql("worthless", "disgust")),
+    "grep_stemmed": (_grep_index("worthlessness OR disgusted", stemmed=True), _stemmed_sql("worthless", "disgust")),
     "knn_cosine": (
         knn_cosine,
         f"WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), r AS (SELECT vec_id, 1 - {_UNIT.format(a='embedding', b='q')} / (sqrt({_UNIT.format(a='embedding', b='embedding')}) * sqrt({_UNIT.format(a='q', b='q')})) AS x FROM embeddings, q) SELECT vec_id, round(x, 6) AS distance FROM r ORDER BY x, vec_id LIMIT 20"
@@ -555,6 +577,10 @@ QUERIES = {
 }
 
 
+QUERIES |= {f"grep_index_{name.removeprefix('grep_')}": (_grep_index(*asked), GREP_SQL[name]) for name, asked in GREPS.items()}
+QUERIES |= STORES
+
+
 def queries() -> dict:
     return {name: query for name, (query, _) in QUERIES.items()}
 

@@ -26,6 +26,8 @@ TOOL_CALLS = _struct(
 ERRATA = _struct(session_id=S, source_seq=L, kind=S, snippet=S, raw_path=S)
 #: The full-text index of messages; made from them, so it is no part of what is taken in.
 POSTINGS = _struct(term=S, session_id=S, uuid=S, source_seq=L, n_tokens=T.IntegerType(), places=T.ArrayType(T.IntegerType()))
+#: Stems of all words that messages have had.
+VOCABULARY = _struct(term=S, stem=S)
 #: What each segment of a vault replaces in those before it.
 REPLACED = _struct(key=S)
 TABLES = {"sessions": SESSIONS, "messages": MESSAGES, "tool_calls": TOOL_CALLS, "errata": ERRATA}

@@ -40,11 +40,14 @@ def parse_lines(lines: DataFrame, stage: Stage = staged) -> Parsed:
     return out
 
 
-def parse_stores(rows: DataFrame, kinds: list[str] | None = None) -> Parsed:
+def parse_stores(rows: DataFrame, stage: Stage = staged) -> Parsed:
+    """The stores by the parsers of their kinds."""
+    kinds = [r.kind for r in rows.select("kind").distinct().collect()]
+    kinds = [k for k in kinds if k in STORE_PARSERS] or ["opencode"]
     out = None
     for kind, parse in STORE_PARSERS.items():
-        if kinds is None or kind in kinds:
-            found = parse(rows)
+        if kind in kinds:
+            found = parse(rows, stage)
             out = found if out is None else out.union(found)
     return out
 
@@ -56,8 +59,7 @@ def read_sessions(spark: SparkSession, path: str | list[str], recency: Recency =
             raise NotFound(f"no such file or folder: {name}")
     if isinstance(path, str) and path.endswith((".db", ".sqlite")):
         rows = stage(store_rows(spark, path, recency), "store")  # read once for all its tables
-        kinds = [r.kind for r in rows.select("kind").distinct().collect()]
-        found = parse_stores(rows, [k for k in kinds if k in STORE_PARSERS] or ["opencode"])
+        found = parse_stores(rows, stage)
     else:
         found = parse_lines(session_lines(spark, path, recency), stage)
     return one_path_a_session(found, stage)

@@ -23,7 +23,7 @@ from .operators import embedding, export, fulltext, projects, report, vectors
 from .operators.periods import Recency, period, utc_now
 from .operators.upsert import resolve_parents
 from .parsers import shaped
-from .schemas import POSTINGS, REPLACED, TABLES
+from .schemas import POSTINGS, REPLACED, TABLES, VOCABULARY
 from .scratch import staged
 from .sources.ingest import read_sessions, summary
 from .sources.ingest import tables as parsed_tables
@@ -143,11 +143,22 @@ class Vault:
         with ThreadPoolExecutor(len(TABLES) + 1) as pool:  # the jobs don't need each other
             list(pool.map(write, [*TABLES, "replaced"]))
         messages = self.spark.read.schema(TABLES["messages"]).parquet(place("messages"))
-        index = fulltext.index(fulltext.token_table(messages.select("session_id", "uuid", "source_seq", "content")), ("session_id", "uuid", "source_seq"))
+        table = fulltext.token_table(messages.select("session_id", "uuid", "source_seq", "content"), accents=False)
+        words = staged(fulltext.index(table, ("session_id", "uuid", "source_seq")), "words", f"{self.path}/staging/{segment}")
+        index = fulltext.stemmed_index(words, self._vocabulary(words))
         # dealt by word, and a frequent word by its texts too
         index.select(*POSTINGS.names).repartitionByRange("term", "uuid").sortWithinPartitions("term", "uuid").write.parquet(place("postings"))
+        self.store.remove(f"staging/{segment}")
         return [segment, self.spark.read.schema(REPLACED).parquet(place("replaced")).count()]
 
+    def _vocabulary(self, words: DataFrame) -> DataFrame:
+        """term and stem of the words, after stemming those that no segment had before. A stem depends on its word alone, so what
+        several writers add at once, or one that dies, is right all the same."""
+        read = lambda: self.spark.read.schema(VOCABULARY).parquet(f"{self.path}/vocabulary/*")
+        known = read() if self.store.names("vocabulary") else None
+        fulltext.stems_of(words, known).write.parquet(f"{self.path}/vocabulary/{self.store.new_segment()}")
+        return read().distinct()
+
     def _append(self, rows: dict[str, DataFrame], keys: DataFrame | None = None, config: dict | None = None, made_from: dict | None = None) -> list:
         """Write a segment and publish it after all others. If its rows were made from those that a manifest names, no session
         among them may have been replaced since; else it is a Conflict and nothing is published."""
