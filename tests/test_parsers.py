@@ -326,3 +326,40 @@ def test_hermes(spark, tmp_path):
     ]
     assert sorted(e["kind"] for e in out["errata"]) == ["duplicate_call_id", "orphaned_tool_response", "parse_error", "unknown_role", "unresolved_tool_call"]
     assert [m["content"] for m in sorted(out["messages"], key=lambda m: m["source_seq"])][:3] == ["hi", None, "two"]
+
+
+def _store(path, n):
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE session (id TEXT, parent_id TEXT, directory TEXT, title TEXT, time_created INT, time_updated INT, model TEXT, tokens_input INT, tokens_output INT, tokens_cache_read INT, tokens_cache_write INT)")
+    db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INT, data TEXT)")
+    db.execute("CREATE TABLE part (id TEXT, message_id TEXT, time_created INT, data TEXT)")
+    for k in range(n):
+        db.execute("INSERT INTO session VALUES (?, NULL, '/w', 't', ?, 1, NULL, 1, 1, 0, 0)", (f"s{k}", 1_000_000 * k))
+        db.execute("INSERT INTO message VALUES (?, ?, 1, ?)", (f"m{k}", f"s{k}", json.dumps({"role": "user"})))
+        db.execute("INSERT INTO part VALUES (?, ?, 1, ?)", (f"p{k}", f"m{k}", json.dumps({"type": "text", "text": f"said {k}"})))
+    db.execute("DELETE FROM message WHERE id = 'm3'")
+    db.commit()
+    db.close()
+
+
+def test_a_store_is_read_by_ranges_of_rows_and_only_what_is_asked(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from colloquy.operators.periods import Recency
+    from colloquy.sources import sqlite as stores
+
+    (tmp_path / "odd name%20#").mkdir()
+    _store(tmp_path / "odd name%20#" / "a.db", 25)
+    (tmp_path / "b.sqlite").write_text("no database")
+    rows = stores.store_rows(spark, str(tmp_path), rows=4)
+    assert rows.rdd.getNumPartitions() == 7 * 3 + 1  # ranges of three tables, and what is broken
+    whole = sorted((r.kind, r["table"], r.row) for r in rows.collect())
+    assert [k for k, _, _ in whole].count("broken") == 1 and len(whole) == 25 + 24 + 24 + 1
+    sessions = rows.where("kind = 'opencode' and table = 'session'")
+    assert sessions.rdd.getNumPartitions() == 7 and sessions.count() == 25
+    plan = sessions._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan session_stores" in plan and "Filter " not in plan  # all conditions went to the source
+    bytes_ = sorted((r.kind, r["table"], r.row) for r in stores._bytes_rows(spark, f"file://{tmp_path}", 0.0).collect())
+    assert [x for x in bytes_ if x[0] != "broken"] == [x for x in whole if x[0] != "broken"] and len(bytes_) == len(whole)
+    late = stores.store_rows(spark, str(tmp_path / "odd name%20#" / "a.db"), Recency(datetime.fromtimestamp(20_000, timezone.utc)), rows=3)
+    assert late.groupBy("table").count().collect() and {(r["table"], r["count"]) for r in late.groupBy("table").count().collect()} == {("session", 5), ("message", 5), ("part", 5)}
