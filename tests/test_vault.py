@@ -364,7 +364,7 @@ def test_files_come_when_they_are_quiet_and_stores_once_an_interval(tmp_path):
     file, store = tmp_path / "a.jsonl", tmp_path / "b.db"
     file.write_text("x")
     store.write_text("x")
-    reader = watch._Changes({"paths": json.dumps([str(tmp_path)]), "debounce": "60", "interval": "1000"})
+    reader = watch._Changes({"paths": json.dumps([str(tmp_path)]), "log": str(tmp_path / "log"), "debounce": "60", "interval": "1000"})
     names = lambda rows: [os.path.basename(p) for p, _ in rows]
     rows, offset = reader.read(reader.initialOffset())
     assert names(rows) == ["b.db"]  # the file was written just now
@@ -377,6 +377,40 @@ def test_files_come_when_they_are_quiet_and_stores_once_an_interval(tmp_path):
     assert names(rows) == ["b.db"] and names(reader.read(last)[0]) == []
 
 
+def test_offsets_stay_small_and_the_log_is_compacted(tmp_path, monkeypatch):
+    import os
+
+    files = {f"/logs/project-{k % 100}/session-{k}.jsonl": 1.0 for k in range(100_000)}
+    monkeypatch.setattr(watch._Changes, "_list", lambda self: dict(files))
+    monkeypatch.setattr(watch, "COMPACTED", 3)
+    options = {"paths": "[]", "log": str(tmp_path / "log")}
+    reader = watch._Changes(options)
+    rows, offset = reader.read(reader.initialOffset())
+    assert len(list(rows)) == 100_000 and len(json.dumps(offset)) < 20
+    assert reader.read(offset)[1] == offset  # nothing new, no batch
+    gone = files.popitem()[0]
+    files["/logs/new.jsonl"] = 2.0
+    first = offset
+    for k in range(5):
+        files["/logs/project-0/session-0.jsonl"] = 3.0 + k
+        rows, offset = reader.read(offset)
+        rows = list(rows)
+        assert rows == ([("/logs/new.jsonl", 2.0)] if not k else []) + [("/logs/project-0/session-0.jsonl", 3.0 + k)]
+        reader.commit(offset)
+        if not k:
+            assert list(reader.readBetweenOffsets(first, offset)) == rows
+    names = os.listdir(tmp_path / "log")
+    assert sorted(names) == ["000000000006.all"] and offset == {"n": 6}
+    again = watch._Changes(options)  # a new process
+    assert again.read(offset)[1] == offset and again.known == files and gone not in again.known
+    files[gone] = 1.0
+    rows, last = again.read(offset)
+    assert list(rows) == [(gone, 1.0)] and last == {"n": 7}
+    # what was read but never came to be an offset is read again
+    files["/logs/late.jsonl"] = 9.0
+    assert [n for n, _ in watch._Changes(options).read(offset)[0]] == ["/logs/late.jsonl", gone]
+
+
 def test_one_failing_file_of_a_batch_is_recorded(spark, logs):
     class Fails:
         noted, taken, dumb = [], [], False
