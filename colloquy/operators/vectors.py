@@ -1,13 +1,12 @@
 """Exact nearest neighbours by cosine distance, mean vectors of sessions, and vectors as blobs."""
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_distance
+from ..scratch import staged
 
 
 def vector_literal(vector) -> Column:
@@ -20,38 +19,45 @@ def nearest(rows: DataFrame, query: Column, limit: int, order: tuple[str, ...],
     return found.drop(column).orderBy(distance, *order).limit(limit)
 
 
-#: Queries that are compared with all rows at once, and so are sent to all executors at most.
-QUERIES_A_BLOCK = 4096
+#: Bytes of the queries (as doubles) that a task holds at about the same time; rows pass by them. Bytes of the rows that pass by.
+QUERY_BYTES, ROW_BYTES = 16 << 20, 256 << 20
 
 
-def nearest_to_each(rows: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest_to_each(
+    rows: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", column: str = "embedding", query_bytes: int = QUERY_BYTES, row_bytes: int = ROW_BYTES
+) -> DataFrame:
     """query, the key and distance of the `limit` rows nearest to each query (columns key and column, as in rows), itself left
-    out; ties by key. Queries are taken in blocks of QUERIES_A_BLOCK; a task keeps the best of its rows for each query, so what is
-    shuffled are queries times tasks times limit rows. Vectors that `nearest` leaves out are left out."""
-    parts = [_block_nearest(rows, block, limit, key, column) for block in _blocks(queries, key, column)]
-    if not parts:
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.sparkSession.createDataFrame([], f"query {kind}, `{key}` {kind}, distance double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _blocks(queries: DataFrame, key: str, column: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and unit vectors of usable queries of one length, QUERIES_A_BLOCK at a time."""
-    held: dict[int, tuple[list, list]] = {}
-    for row in queries.select(key, column).where(F.col(column).isNotNull()).toLocalIterator():
-        vector = _unit(row[column])
-        if vector is not None:
-            ids, vectors = held.setdefault(len(vector), ([], []))
-            ids.append(row[key])
-            vectors.append(vector)
-            if len(ids) == QUERIES_A_BLOCK:
-                yield ids, np.array(vectors)
-                del held[len(vector)]
-    for ids, vectors in held.values():
-        yield ids, np.array(vectors)
+    out; ties by key. Vectors that `nearest` leaves out are left out, and those of different lengths don't meet.
+
+    Queries and rows are both dealt to blocks, and every two blocks meet in one task: it holds the queries and lets the rows pass,
+    keeping the best for each query. So a row is sent once for each block of queries, and what comes back are queries times
+    blocks of rows times limit, of which Spark keeps the best."""
+    asked, there = (staged(_units(df, key, column), name) for df, name in ((queries, "queries"), (rows, "rows")))
+    size = lambda df, most: 1 + (df.agg(F.sum(F.octet_length("unit"))).first()[0] or 0) // most
+    n_queries, n_rows = size(asked, query_bytes), size(there, row_bytes)
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n))  # noqa: E731  which block doesn't matter, and equal keys are dealt too
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    asked = asked.withColumn("q", dealt(n_queries)).withColumn("r", every(n_rows)).withColumn("kind", F.lit(0))
+    there = there.withColumn("r", dealt(n_rows)).withColumn("q", every(n_queries)).withColumn("kind", F.lit(1))
+    block = ("n", "q", "r")
+    both = asked.unionByName(there).select(*block, "kind", "key", "unit").repartition(*block).sortWithinPartitions(*block, "kind")
+    kind = rows.schema[key].dataType.simpleString()
+    found = both.mapInArrow(_best_of_blocks(limit), f"query {kind}, key {kind}, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= limit).select("query", F.col("key").alias(key), "distance")
+
+
+def _units(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, n (the vector's length) and unit (its direction, as doubles) of usable vectors."""
+
+    def units(batches):
+        for batch in batches:
+            found = [(k, x) for k, x in zip(batch.column(0), map(_unit, batch.column(1).to_pylist())) if x is not None]
+            columns = [pa.array([k.as_py() for k, _ in found], batch.schema.field(0).type), pa.array([len(x) for _, x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for _, x in found], pa.binary())], ["key", "n", "unit"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, column).where(F.col(column).isNotNull()).mapInArrow(units, f"key {kind}, n int, unit binary")
 
 
 def _unit(vector) -> np.ndarray | None:
@@ -63,35 +69,53 @@ def _unit(vector) -> np.ndarray | None:
     return x / norm if norm > 0 and np.isfinite(norm) else None
 
 
-def _block_nearest(rows: DataFrame, block: tuple[list, np.ndarray], limit: int, key: str, column: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(block)
-    kind = rows.schema[key].dataType
+def _best_of_blocks(limit: int):
+    """Blocks, each with its queries (kind 0) before its rows, to the best rows of each query."""
+
+    def run(batches):
+        block, asked, matrix, near, kind = None, [], None, [], None
+
+        def closed():
+            out = [(k, other, d) for (k, _), best in zip(asked, near) for d, other in best]
+            columns = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()))], ["query", "key", "distance"])
 
-    def best(batches):
-        ids, queries = sent.value
-        near = [[] for _ in ids]  # of each query: (distance, key), the best so far
         for batch in batches:
-            found = [
-                (k, x) for k, x in zip(batch.column(0).to_pylist(), map(_unit, batch.column(1).to_pylist())) if x is not None and len(x) == queries.shape[1]
-            ]
-            for at in range(0, len(found), 1024):
-                part = found[at : at + 1024]
-                distances = 1 - np.array([x for _, x in part]) @ queries.T
-                least = np.argpartition(distances, min(limit, len(part) - 1), axis=0)[: limit + 1]
-                for q in range(len(ids)):
-                    edge = distances[least[:, q], q].max()  # with all that tie with the last
-                    new = [(float(distances[r, q]), part[r][0]) for r in np.flatnonzero(distances[:, q] <= edge) if part[r][0] != ids[q]]
-                    near[q] = sorted([*near[q], *new])[:limit]
-        out = [(ids[q], k, d) for q in range(len(ids)) for d, k in near[q]]
-        columns = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch_kind, batch_kind, pa.float64()))], ["query", key, "distance"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_kind, name = to_arrow_type(kind), kind.simpleString()
-    found = rows.select(key, column).mapInArrow(best, f"query {name}, `{key}` {name}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return found.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+            kind = batch.schema.field("key").type
+            ids = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            kinds, keys, units = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            at = 0
+            while at < len(ids):
+                if ids[at] != block:
+                    if block is not None:
+                        yield closed()
+                    block, asked, matrix, near = ids[at], [], None, []
+                end = at
+                while end < len(ids) and ids[end] == block and kinds[end] == kinds[at]:
+                    end += 1
+                vectors = [np.frombuffer(u) for u in units[at:end]]
+                if kinds[at] == 0:
+                    asked += list(zip(keys[at:end], vectors))
+                elif asked:
+                    if matrix is None:
+                        matrix, near = np.array([v for _, v in asked]), [[] for _ in asked]
+                    _meet(matrix, asked, near, np.array(vectors), keys[at:end], limit)
+                at = end
+        if block is not None:
+            yield closed()
+
+    return run
+
+
+def _meet(queries: np.ndarray, asked: list, near: list, rows: np.ndarray, keys: list, limit: int) -> None:
+    """Let some rows pass the queries: near has the best (distance, key) of each so far."""
+    distances = 1 - rows @ queries.T
+    edges = np.array([best[-1][0] if len(best) == limit else np.inf for best in near])
+    for q in np.flatnonzero((distances <= edges).any(0)):
+        own = distances[:, q]
+        edge = edges[q] if limit + 1 >= len(own) else min(edges[q], np.partition(own, limit)[limit])  # one of them may be the query itself
+        new = [(float(own[r]), keys[r]) for r in np.flatnonzero(own <= edge) if keys[r] != asked[q][0]]
+        near[q] = sorted([*near[q], *new])[:limit]
 
 
 def to_blob(vector: Column) -> Column:

@@ -259,6 +259,13 @@ def knn_each(spark, sf_dir):
     return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+def knn_all(spark, sf_dir):
+    """The 3 vectors nearest to every one, in small blocks."""
+    rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vectors.nearest_to_each(rows, rows, 3, query_bytes=1 << 20, row_bytes=1 << 20)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def vector_blobs(spark, sf_dir):
     """Vectors written as blobs and read again."""
     rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_blob(F.col("embedding")).alias("blob"))
@@ -516,6 +523,10 @@ QUERIES = {
         knn_each,
         f"WITH r AS (SELECT q.vec_id AS query, e.vec_id, 1 - {_UNIT.format(a='e.embedding', b='q.embedding')} / (sqrt({_UNIT.format(a='e.embedding', b='e.embedding')}) * sqrt({_UNIT.format(a='q.embedding', b='q.embedding')})) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT query, vec_id, round(x, 6) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, vec_id) <= 5"
     ),
+    "knn_all": (
+        knn_all,
+        f"WITH r AS (SELECT q.vec_id AS query, e.vec_id, 1 - {_UNIT.format(a='e.embedding', b='q.embedding')} / (sqrt({_UNIT.format(a='e.embedding', b='e.embedding')}) * sqrt({_UNIT.format(a='q.embedding', b='q.embedding')})) AS x FROM embeddings q, embeddings e WHERE e.vec_id <> q.vec_id) SELECT query, vec_id, round(x, 6) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, vec_id) <= 3"
+    ),
     "vector_blobs": (
         vector_blobs,
         "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings"
