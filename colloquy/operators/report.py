@@ -141,17 +141,56 @@ EMPTY = {
 }
 
 
+#: What grouping_id says of the sections over (project, source, day): bits of the keys that are left out.
+WHOLE, BY_PROJECT, BY_SOURCE, BY_DAY = 7, 3, 5, 6
+
+
+def sections(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, limit: int = TOP) -> DataFrame:
+    """All that is counted by session, in one pass: a row for the whole, for each source, for each day, and for each of the `limit`
+    projects with most sessions. section is WHOLE, BY_PROJECT, BY_SOURCE or BY_DAY; keys of other sections are null."""
+    seconds = (F.unix_micros("ended_ts") - F.unix_micros("started_ts")) / 1e6
+    rows = with_counts(sessions, messages, tool_calls).select(
+        F.col("project_slug").alias("project"), "source", F.to_date("started_ts").alias("date"), *TOKENS, total_tokens().alias("tokens"), "estimated_cost_usd",
+        "error_count", "model", seconds.alias("seconds"), "message_count", "tool_call_count"
+    )
+    keys = [F.col("project"), F.col("source"), F.col("date")]
+    found = rows.groupingSets([[], [keys[0]], [keys[1]], [keys[2]]], *keys).agg(
+        F.grouping_id().cast("int").alias("section"), F.count("*").alias("session_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in TOKENS],
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.sum("estimated_cost_usd").alias("estimated_cost_usd"),
+        F.coalesce(F.sum("error_count"), F.lit(0)).alias("error_count"), F.count_distinct("model").alias("unique_models"),
+        F.avg("seconds").alias("avg_session_duration_seconds"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("message_count"),
+        F.coalesce(F.sum("tool_call_count"), F.lit(0)).alias("tool_call_count")
+    )
+    top = found.where(F.col("section") == BY_PROJECT).orderBy(F.desc("session_count"), F.coalesce("project", F.lit(""))).limit(limit)
+    return found.where(F.col("section") != BY_PROJECT).unionByName(top)
+
+
+def names(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, limit: int = TOP) -> DataFrame:
+    """kind, name and count of all roles of messages and of the `limit` tools that are called most."""
+    rows = messages.select("session_id", F.lit("role").alias("kind"), F.col("role").alias("name")).unionByName(
+        tool_calls.select("session_id", F.lit("tool").alias("kind"), F.col("tool_name").alias("name"))
+    )
+    found = of_sessions(rows, sessions).groupBy("kind", "name").agg(F.count("*").alias("count"))
+    top = found.where("kind = 'tool'").orderBy(F.desc("count"), "name").limit(limit)
+    return found.where("kind = 'role'").unionByName(top)
+
+
 def metrics(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> dict:
-    """All figures of a report. What is collected are a few rows: roles, sources, days and two lists of ten."""
-    rows = lambda df: [r.asDict() for r in df.collect()]
-    out = dict(EMPTY) | rows(totals(sessions))[0]
-    out["messages_by_role"] = rows(messages_by_role(sessions, messages))
-    out["message_count"] = sum(r["count"] for r in out["messages_by_role"])
-    out["tool_call_count"] = rows(tool_call_count(sessions, tool_calls))[0]["tool_call_count"]
-    out["top_tools"] = rows(top_tools(sessions, tool_calls))
-    out["top_projects"] = rows(top_projects(sessions))
-    out["sources"] = rows(source_breakdown(sessions))
-    out["daily_breakdown"] = [r | {"date": r["date"].isoformat()} for r in rows(daily_breakdown(sessions, messages, tool_calls))]
+    """All figures of a report, from two plans. What is collected are a few rows: roles, sources, days and two lists of ten."""
+    found = [r.asDict() for r in sections(sessions, messages, tool_calls).collect()]
+    named = sorted((r.asDict() for r in names(sessions, messages, tool_calls).collect()), key=lambda r: (-r["count"], r["name"] is not None, r["name"]))
+    of = lambda section: [r for r in found if r["section"] == section]
+    use = lambda rows, key, name: [
+        {name: r[key], "session_count": r["session_count"], "total_tokens": r["total_tokens"]} for r in sorted(rows, key=lambda r: (-r["session_count"], r[key] or ""))
+    ]
+    out = dict(EMPTY)
+    for whole in of(WHOLE):
+        out |= {k: v for k, v in whole.items() if k in EMPTY} | {"total_sessions": whole["session_count"]}
+    out["messages_by_role"] = [{"role": r["name"], "count": r["count"]} for r in named if r["kind"] == "role"]
+    out["top_tools"] = [{"tool_name": r["name"], "count": r["count"]} for r in named if r["kind"] == "tool"]
+    out["top_projects"], out["sources"] = use(of(BY_PROJECT), "project", "slug"), use(of(BY_SOURCE), "source", "source")
+    days = ("session_count", "message_count", "tool_call_count", "total_tokens")
+    out["daily_breakdown"] = [{"date": r["date"].isoformat()} | {k: r[k] for k in days} for r in sorted(of(BY_DAY), key=lambda r: r["date"])]
     return {k: out[k] for k in EMPTY}
 
 

@@ -92,6 +92,17 @@ def daily_breakdown(spark, sf_dir):
     return report.daily_breakdown(base.sessions, base.messages, base.tool_calls)
 
 
+def report_sections(spark, sf_dir):
+    base = _Base(spark, sf_dir)
+    kept = ("section", "project", "source", "date", "session_count", "total_tokens", "message_count", "tool_call_count", "error_count", "unique_models")
+    return report.sections(base.sessions, base.messages, base.tool_calls).select(*kept)
+
+
+def report_names(spark, sf_dir):
+    base = _Base(spark, sf_dir)
+    return report.names(base.sessions, base.messages, base.tool_calls)
+
+
 def usage_rollup(spark, sf_dir):
     base = _Base(spark, sf_dir)
     return report.usage_rollup(base.sessions, base.messages, base.tool_calls)
@@ -477,6 +488,20 @@ QUERIES = {
     "report_totals_filtered": (report_totals_filtered, _totals_sql(_days(more=" AND project_slug = 'project3' AND source = 'source3'"))),
     "avg_session_duration": (avg_session_duration, f"SELECT avg_session_duration_seconds FROM ({_totals_sql(_days())})"),
     "unique_models": (unique_models, f"SELECT unique_models FROM ({_totals_sql(_days())})"),
+    "report_sections": (
+        report_sections,
+        f"""WITH {SESSIONS}, g AS (SELECT CAST(grouping_id(project_slug, source, dd) AS INTEGER) AS section, project_slug AS project, source, dd AS date, count(*) AS session_count,
+              CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(message_count) AS BIGINT) AS message_count, CAST(sum(tool_call_count) AS BIGINT) AS tool_call_count,
+              CAST(sum(error_count) AS BIGINT) AS error_count, count(DISTINCT model) AS unique_models
+            FROM c WHERE {_days()} GROUP BY GROUPING SETS ((), (project_slug), (source), (dd)))
+            SELECT * FROM g QUALIFY section <> 3 OR row_number() OVER (PARTITION BY section ORDER BY session_count DESC, coalesce(project, '')) <= 10"""
+    ),
+    "report_names": (
+        report_names,
+        f"""{_S}, n AS (SELECT session_id, 'role' AS kind, role AS name FROM m UNION ALL SELECT session_id, 'tool', tool_name FROM k)
+            SELECT kind, name, count(*) AS "count" FROM n WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY kind, name
+            QUALIFY kind = 'role' OR row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) <= 10"""
+    ),
     "messages_by_role": (
         messages_by_role, f'{_S} SELECT role, count(*) AS "count" FROM m WHERE session_id IN (SELECT session_id FROM t WHERE {_days()}) GROUP BY role'
     ),
