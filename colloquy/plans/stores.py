@@ -105,7 +105,7 @@ STORES = {
     "vault_reingest": (vault_reingest, f"WITH {_AGAIN} SELECT 'c' || conv_id AS session_id, turn AS source_seq, role, text AS content FROM a"),
     "vault_search": (
         vault_search,
-        f"""WITH {_AGAIN}, w AS (SELECT conv_id, len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{Co}}]+'), lambda x: x = 'again')) AS n FROM a)
+        f"""WITH {_AGAIN}, w AS (SELECT conv_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x = 'again')) AS n FROM a)
            SELECT 'c' || conv_id AS session_id, count(*) AS messages, CAST(sum(n) AS BIGINT) AS places FROM w WHERE n > 0 GROUP BY conv_id"""
     ),
     "vault_rollup": (

@@ -23,6 +23,8 @@ def spark(tmp_path_factory):
         .config("spark.ui.retainedJobs", "20")
         .config("spark.ui.retainedStages", "20")
         .config("spark.ui.retainedTasks", "200")
+        .config("spark.sql.broadcastExchange.maxThreadThreshold", "16")  # threads that wait in pools take memory too
+        .config("spark.sql.shuffleExchange.maxThreadThreshold", "32")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
