@@ -17,7 +17,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import EmbedderError, NotFound, UsageError
+from .errors import EmbedderError, UsageError
 from .functions.columns import snippet
 from .operators import embedding, export, fulltext, projects, report, vectors
 from .operators.periods import Recency, period, utc_now
