@@ -138,13 +138,33 @@ def from_blob(blob: Column) -> Column:
     return decode(blob)
 
 
-def mean_vectors(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """key and the mean of its vectors, place by place in double precision, given as floats. Partial sums are combined
-    before the shuffle, so a session of any length needs no more than its vector's width."""
+def vector_sums(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """key and sums: for each place how many vectors reach it (n) and the sum of their numbers there (x), in double precision.
+    Partial sums are combined before the shuffle, so a session of any length needs no more than its vector's width."""
     places = rows.where(F.col(column).isNotNull()).select(key, F.posexplode(column).alias("place", "x"))
-    means = places.groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "x")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda p: p["x"].cast("float")).alias(column))
+    found = places.groupBy(key, "place").agg(F.count("x").alias("n"), F.sum(F.col("x").cast("double")).alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "n", "x")))
+    return found.groupBy(key).agg(F.transform(ordered, lambda p: F.struct(p["n"].alias("n"), p["x"].alias("x"))).alias("sums"))
+
+
+def added_sums(a: Column, b: Column) -> Column:
+    """The sums of what two disjoint sets of vectors have; a null is an empty set."""
+
+    def add(x: Column, y: Column, name: str) -> Column:
+        return F.coalesce(x[name], F.lit(0)) + F.coalesce(y[name], F.lit(0))
+
+    both = F.zip_with(a, b, lambda x, y: F.struct(add(x, y, "n").alias("n"), add(x, y, "x").alias("x")))
+    return F.coalesce(both, a, b)
+
+
+def mean_of_sums(sums: Column) -> Column:
+    """The mean as floats; places that no vector reaches are null."""
+    return F.transform(sums, lambda p: F.when(p["n"] > 0, p["x"] / p["n"]).cast("float"))
+
+
+def mean_vectors(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """key and the mean of its vectors, place by place in double precision, given as floats."""
+    return vector_sums(rows, key, column).select(key, mean_of_sums(F.col("sums")).alias(column))
 
 
 def similar(summaries: DataFrame, key: str, target, limit: int, column: str = "summary_embedding") -> DataFrame:

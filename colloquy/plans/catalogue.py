@@ -311,6 +311,15 @@ def session_mean_embedding(spark, sf_dir):
     )
 
 
+def session_mean_increments(spark, sf_dir):
+    """Means after two increments: the kept sums of the first and those of the second."""
+    rows = derived.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    first, second = (vectors.vector_sums(rows.where(F.col("vec_id") % 3 == 0 if k else F.col("vec_id") % 3 != 0), "label") for k in (0, 1))
+    both = first.join(second.withColumnRenamed("sums", "more"), "label", "full_outer")
+    mean = vectors.mean_of_sums(vectors.added_sums(F.col("sums"), F.col("more")))
+    return both.select("label", F.posexplode(mean).alias("place", "x")).select("label", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 def similar_sessions(spark, sf_dir):
     rows = _means(spark, sf_dir).withColumnRenamed("embedding", "summary_embedding")
     return vectors.similar(rows, "label", 0, 10).select("label", F.round("distance", 4).alias("distance"))
@@ -562,6 +571,9 @@ QUERIES = {
     "session_mean_embedding": (
         session_mean_embedding, f"WITH {_MEANS} SELECT label, CAST(place - 1 AS INTEGER) AS place, round(CAST(x AS DOUBLE), 5) AS x FROM mean"
     ),
+    "session_mean_increments": (
+        session_mean_increments, f"WITH {_MEANS} SELECT label, CAST(place - 1 AS INTEGER) AS place, round(CAST(x AS DOUBLE), 5) AS x FROM mean"
+    ),
     "similar_sessions": (
         similar_sessions,
         f"WITH {_MEANS}, v AS (SELECT label, list(x ORDER BY place) AS a FROM mean GROUP BY label), q AS (SELECT a AS b FROM v WHERE label = 0), r AS (SELECT label, 1 - {_UNIT.format(a='a', b='b')} / (sqrt({_UNIT.format(a='a', b='a')}) * sqrt({_UNIT.format(a='b', b='b')})) AS x FROM v, q WHERE label <> 0) SELECT label, round(x, 4) AS distance FROM r ORDER BY x, label LIMIT 10"

@@ -14,6 +14,7 @@ SESSIONS = _struct(
     started_at=S, ended_at=S, started_ts=T.TimestampType(), ended_ts=T.TimestampType(),
     input_tokens=L, output_tokens=L, cache_read_tokens=L, cache_write_tokens=L, total_tokens=L, estimated_cost_usd=T.DoubleType(),
     message_count=L, tool_call_count=L, turn_count=L, error_count=L, raw_path=S, summary_embedding=T.ArrayType(T.FloatType()),
+    embedding_sums=T.ArrayType(_struct(n=L, x=T.DoubleType())),
 )
 MESSAGES = _struct(
     session_id=S, uuid=S, parent_uuid=S, role=S, content=S, thinking=S, source_seq=L, turn_number=L, input_tokens=L, output_tokens=L,

@@ -324,13 +324,8 @@ class Vault:
             own = {name: self.table(name, manifest).join(touched, "session_id", "left_semi") for name in TABLES}
             new = done.select(F.col("uuid").alias("u"), F.col("embedding").alias("fresh"))
             rows = own["messages"].join(new, F.col("uuid") == F.col("u"), "left").withColumn("embedding", F.coalesce("fresh", "embedding")).drop("u", "fresh")
-            means = vectors.mean_vectors(done if scope == "run" else rows, "session_id").select(
-                F.col("session_id").alias("s"), F.col("embedding").alias("mean")
-            )
+            own["sessions"] = self._summarized(own["sessions"], rows, done, force, scope)
             own["messages"] = rows
-            own["sessions"] = own["sessions"].join(means, F.col("session_id") == F.col("s"), "left").withColumn(
-                "summary_embedding", F.coalesce("mean", "summary_embedding")
-            ).drop("s", "mean")
             config = {"embedding_model": model.name, "embedding_dimensions": model.dimensions, "embedding_provider": provider}
             self._append(own, touched.select(F.col("session_id").alias("key")), config, made_from=manifest)
             touched.unpersist()
@@ -342,6 +337,21 @@ class Vault:
         finally:
             done.unpersist()
 
+    @staticmethod
+    def _summarized(sessions: DataFrame, messages: DataFrame, done: DataFrame, force: bool, scope: str) -> DataFrame:
+        """Sessions with their vectors' sums and mean after a run. Sums are kept, so a run adds those of its own vectors. Summed
+        anew are only the vectors of sessions whose vectors it replaces (force), or that were embedded before sums were kept."""
+        keyed = lambda rows, name: vectors.vector_sums(rows, "session_id").select(F.col("session_id").alias(f"_of_{name}"), F.col("sums").alias(name))
+        run = keyed(done, "_run")
+        unknown = sessions if force else sessions.where("embedding_sums is null and summary_embedding is not null")
+        fresh = F.col("uuid") == F.col("_fresh")
+        before = messages.join(unknown.select("session_id"), "session_id", "left_semi").join(done.select(F.col("uuid").alias("_fresh")), fresh, "left_anti")
+        out = sessions.join(run, F.col("session_id") == F.col("_of__run"), "left").join(keyed(before, "_before"), F.col("session_id") == F.col("_of__before"), "left")
+        former = F.col("_before") if force else F.coalesce("_before", "embedding_sums")
+        sums = vectors.added_sums(former, F.col("_run"))
+        mean = vectors.mean_of_sums(F.col("_run") if scope == "run" else sums)
+        return out.withColumn("summary_embedding", F.coalesce(mean, "summary_embedding")).withColumn("embedding_sums", sums).select(*sessions.columns)
+
     def search(self, query: str, limit: int = 20) -> list[dict]:
         """The messages nearest to a text, none if nothing is embedded."""
         manifest = self.manifest()

@@ -258,6 +258,31 @@ def test_grep_and_export(vault, logs):
         vault.export("nobody")
 
 
+def test_increments_add_to_the_sums_that_sessions_keep(vault, logs, embedder, monkeypatch):
+    from colloquy.operators import vectors
+
+    whole, summed = vectors.vector_sums, []
+
+    def counted(rows, key, column="embedding"):
+        summed.append(rows.where(f"{column} is not null").count())
+        return whole(rows, key, column)
+
+    monkeypatch.setattr(vectors, "vector_sums", counted)
+    vault.ingest(str(logs))
+    assert vault.embed(embedder, limit=4) == 4 and vault.embed(embedder) == 1
+    assert summed == [4, 0, 1, 0]  # the second run reads its own vector only
+    vector = lambda text: [x / 0xFFFFFFFF for x in struct.unpack("<4I", hashlib.sha256(text.encode()).digest()[:16])]
+    for native, texts in {
+        "s1": ["user\nkafka migration plan", "assistant\nmigrating now", "user\nthanks"], "s2": ["user\nother words", "assistant\nnothing here"]
+    }.items():
+        row = vault.table("sessions").where(f"session_id = '{sid(native)}'").first()
+        assert row.summary_embedding == pytest.approx([sum(x) / len(texts) for x in zip(*map(vector, texts))], rel=1e-5)
+        assert [p.n for p in row.embedding_sums] == [len(texts)] * 4
+    before = {r.session_id: r.summary_embedding for r in vault.table("sessions").collect()}
+    assert vault.embed(embedder, force=True, limit=2) == 2  # replaced vectors don't count twice
+    assert {r.session_id: r.summary_embedding for r in vault.table("sessions").collect()} == {k: pytest.approx(v, rel=1e-6) for k, v in before.items()}
+
+
 def test_embedding_search_and_similar(vault, logs, embedder):
     vault.ingest(str(logs))
     assert vault.search("anything") == [] and vault.similar(sid("s1")) == []

@@ -44,3 +44,17 @@ def test_ties_go_by_key_and_nothing_has_no_neighbours(spark):
     got = {(r["query"], r.vec_id) for r in vectors.nearest_to_each(df, df.where("vec_id in ('k00', 'k30')"), 2, query_bytes=16, row_bytes=100).collect()}
     assert got == {("k00", "k01"), ("k00", "k02"), ("k30", "k00"), ("k30", "k01")}
     assert vectors.nearest_to_each(df, df.where("false"), 2).count() == 0 and vectors.nearest_to_each(df.where("false"), df, 2).count() == 0
+
+
+def test_sums_of_increments_are_the_sums_of_all(spark):
+    rng = random.Random(9)
+    rows = [(f"s{rng.randrange(5)}", [rng.gauss(0, 1) for _ in range(3)], k % 3) for k in range(60)] + [("odd", None, 0), ("hole", [1.0, None, 3.0], 1)]
+    df = spark.createDataFrame(rows, "key string, embedding array<float>, run int")
+    kept = spark.createDataFrame([], "key string, sums array<struct<n: bigint, x: double>>")
+    for run in range(3):
+        more = vectors.vector_sums(df.where(f"run = {run}"), "key").withColumnRenamed("sums", "more")
+        kept = kept.join(more, "key", "full_outer").select("key", vectors.added_sums(kept["sums"], more["more"]).alias("sums"))
+    got = {r.key: r.mean for r in kept.select("key", vectors.mean_of_sums(kept["sums"]).alias("mean")).collect()}
+    assert got.pop("hole") == [1.0, None, 3.0] and "odd" not in got
+    assert got == {k: pytest.approx(np.mean([np.array(v, "f4") for key, v, _ in rows if key == k], axis=0, dtype="f8").tolist(), rel=1e-6) for k in got}
+    assert {r.key: r.embedding for r in vectors.mean_vectors(df, "key").collect() if r.key != "hole"} == {k: pytest.approx(v, rel=1e-6) for k, v in got.items()}
