@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, in_chunks, tidy
 from .graph import connected_components
+from .words import find_words
+from .words import mix as _mix
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,7 +41,6 @@ CHUNK_CHARS = 2_000_000
 STEP = 256
 
 _U = np.uint64
-_POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15 | 1, "u8"))
 _PLACES = np.array([0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 _random = np.random.default_rng(20240501)
 _MULTIPLIERS = _random.integers(1, 1 << 32, (4, 1, SAMPLES), "u4") | np.uint32(1)
@@ -48,32 +49,17 @@ _draws = np.sort(_random.gamma(2.0, 1.0, 1 << 20))[(1 << 11) :: 1 << 12].astype(
 _BAND_MIX = _random.integers(1, 1 << 63, BAND_ROWS, "u8") | _U(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-    return (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-
-
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-
-
 def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The distinct shingle hashes of each text in ascending order, and how often each occurs.
 
-    Words are runs of letters and digits of the text in lower case (bytes beyond ASCII count as letters). A text of one to
-    four words is one shingle; a text without words has none.
+    Words are those of `words`: runs of letters and digits in lower case, and each Chinese or Japanese character. A text of
+    one to four words is one shingle; a text without words has none.
     """
-    data = np.frombuffer("\n".join(t.lower() for t in texts).encode() + b"\n", "u1")
-    ends = np.cumsum([len(t.lower().encode()) + 1 for t in texts])
-    word = _IS_WORD[data]
-    first = np.flatnonzero(word & ~np.append(False, word[:-1]))
+    lowered = [t.lower() for t in texts]
+    first, words = find_words(np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), "<u4"))
     if not len(first):
         return [(np.zeros(0, "u8"), np.zeros(0, "i8"))] * len(texts)
-    inside = np.flatnonzero(word)
-    index = np.cumsum(np.bincount(first, minlength=len(data))[inside]) - 1
-    values = (data[inside].astype("u8") + _U(1)) * _POWERS[np.minimum(inside - first[index], len(_POWERS) - 1)]
-    starts = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    words = _mix(np.add.reduceat(values, starts))
+    ends = np.cumsum([len(t) + 1 for t in lowered])
     bounds = np.searchsorted(first, np.append(0, ends))
     rolled = reduce(np.add, (words[k : len(words) - WORDS + 1 + k] * _PLACES[k] for k in range(WORDS))) if len(words) >= WORDS else np.zeros(0, "u8")
     rolled = _mix(rolled)
@@ -229,7 +215,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype="i4") * BANDS), flat)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "print", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id long, print binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sign), "doc_id long, print binary, bands array<long>")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float, cut) -> DataFrame:

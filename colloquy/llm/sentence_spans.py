@@ -19,30 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, cut, tidy
+from .words import find_words
+from .words import mix as _mix
 
 RUN_PIECES = 3
 RUN_WORDS = 25
 PIECE_WORDS = 16
 FILTER_BITS = 1 << 24
 _U = np.uint64
-_POWERS = np.multiply.accumulate(np.full(4096, 0xD1342543DE82EF95, "u8"))
 _ROLL = _U(0x9E3779B97F4A7C15)
 _ANCHOR = _U(0xA0761D6478BD642F)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-    return (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-
-
-_WIDE_MARKS = ((0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
-_IDEOGRAPHS = ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
-
-
-def _within(code: np.ndarray, ranges: tuple) -> np.ndarray:
-    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
-
-
 class Pieces:
     """The pieces of one text: places of their first words, hashes of the runs that start and end at them, and the anchors.
 
@@ -54,29 +42,16 @@ class Pieces:
             text = "".join(c if len(c.lower()) == 1 else c.lower()[0] for c in text)
             code = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
         space = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0xA0) | (code == 0x3000)
-        word = ((code >= 97) & (code <= 122)) | ((code >= 48) & (code <= 57)) | ((code >= 65) & (code <= 90)) | (code >= 0xC0)
-        word &= ~space & ~((code >= 0x2000) & (code < 0x2070)) & ~((code >= 0x3000) & (code < 0x3040))
-        goes_on = np.append(False, word[:-1])
-        wide = len(code) and code.max() >= 0x3000
-        if wide:  # full-width marks part words, and a Chinese or Japanese character is a word
-            word &= ~_within(code, _WIDE_MARKS)
-            alone = _within(code, _IDEOGRAPHS)
-            goes_on = np.append(False, (word & ~alone)[:-1]) & ~alone
-        first = np.flatnonzero(word & ~goes_on)
+        first, hashed = find_words(code)
         self.words, self.bounds, self.tags = first, np.zeros(1, "i8"), np.zeros(0, "<u4")
         self.opens = np.zeros(0, "i8")  # first words of sentences
         self.runs, self.anchors = np.zeros((0, 2), "i8"), np.zeros(0, "i8")
         self.h1, self.h2, self.a1, self.a2 = (np.zeros(0, "u8") for _ in range(4))
         if not len(first):
             return
-        inside = np.flatnonzero(word)
-        index = np.cumsum(np.bincount(first, minlength=len(code))[inside]) - 1
-        values = (code[inside].astype("u8") + _U(1)) * _POWERS[np.minimum(inside - first[index], len(_POWERS) - 1)]
-        hashed = _mix(np.add.reduceat(values, np.flatnonzero(np.append(True, index[1:] != index[:-1]))))
-
         stop = (code == 46) | (code == 33) | (code == 63) | (code == 0x3002) | (code == 0x2026)
         stop &= np.append(space[1:], True)
-        if wide:
+        if code.max() >= 0x3000:
             stop |= (code == 0x3002) | (code == 0xFF01) | (code == 0xFF1F)
         ends = np.flatnonzero(stop | (code == 10))
         sentence = np.searchsorted(ends, first)  # of each word
@@ -302,6 +277,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         firsts = tables.cut(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "repeated")
         contexts = _contexts(docs, firsts)
         firsts = firsts.join(contexts, (F.col("g1") == F.col("c1")) & (F.col("g2") == F.col("c2")), "left").drop("c1", "c2")
+        firsts = tables.cut(firsts, "around")  # both sides are tables, so a run of very many documents is split among tasks
         others = shared.join(
             firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
         ).where("id > first").select("id", "h1", "h2", "before", "after")

@@ -102,6 +102,18 @@ def test_shingles_count_and_stay_within_texts():
     assert len(f) == 2 and times.sum() == 96
 
 
+def test_words_between_marks_and_without_spaces(spark, documents, rng):
+    some = words(rng, 60).split()
+    dashes, other = "—".join(some), "—".join([*some[:30], "another", *some[31:]])
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    long = "".join(rng.choice("ab") for _ in range(9000))
+    swapped = long[:5000] + long[5000:][::-1]
+    rows = [(1, dashes), (2, other), (3, " ".join(some)), (4, han), (5, han + "天"), (6, han[::-1]), (7, f"a b c d {long}"), (8, f"a b c d {swapped}")]
+    rows += [(9, " ".join(words(rng, 60).split())), (10, "\u00a0".join(some)), (11, "，".join(some))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(documents(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
+
+
 def test_classes_of_odd_rows(spark, documents, empty, rng):
     text = words(rng, 50)
     docs = documents([(1, None), (2, ""), (None, text), (3, text), (4, text), (4, text), (5, "one two"), (6, "One, two."), (7, "!"), (8, text * 400)])
