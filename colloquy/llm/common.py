@@ -10,13 +10,13 @@ import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most labelled rows that a classifier is fitted on. The rows with the smallest hash of their id are taken.
+#: Most labelled rows that a classifier is fitted on, and most characters they have together where their texts are collected.
+#: Those with the smallest hash of their id are taken.
 MAX_LABELLED = 12_000
-#: Longer texts are not collected to learn from, so a sample's bytes are bounded as its rows are. They are scored like others.
-MAX_LEARNED_CHARS = 20_000
+MAX_LABELLED_CHARS = 64_000_000
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 2_000
 _local: dict[str, str] = {}
@@ -141,16 +141,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short(text: str = "text") -> Column:
-    return F.coalesce(F.length(text), F.lit(0)) <= MAX_LEARNED_CHARS
+def bounded_rows(rows: DataFrame, limit: int, chars: int | None = None) -> DataFrame:
+    """Distinct rows (doc_id, text and more columns without nulls): at most `limit` of them, and at most `chars` characters.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = MAX_LABELLED) -> DataFrame:
-    """Texts and labels (doc_id, text, y) of at most `limit` labelled documents for which `usable` (a condition on doc_id) holds.
-
-    The ids with the smallest hash are taken, so the sample is the same in every run. The id side is bounded by
-    `limit` and therefore broadcast. Null ids or labels are never used; a document labelled twice counts once, with the
-    higher label. Rows that repeat an id and its text count once. Empty labels or documents give an empty sample.
+    They are taken in the order of hashes of the id and then the text, up to the first that would be too much; texts longer
+    than `chars` are no candidates. So what comes to a driver is bounded also where one id has very many texts, and it is the
+    same in every run. Only ids, hashes and lengths are ordered; the rows taken are broadcast as such and then found.
+    """
+    more = [c for c in rows.columns if c != "text"]
+    keyed = rows.withColumn("_print", F.xxhash64("text"))
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars")
+    few = keyed.select(*more, "_print", size)
+    few = (few if chars is None else few.where(F.col("_chars") <= chars)).distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_print"), *more]
+    few = few.orderBy(*order).limit(limit)
+    if chars is not None:  # over `limit` rows at most
+        so_far = F.sum("_chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        few = few.withColumn("_so_far", so_far).where(F.col("_so_far") <= chars)
+    return keyed.join(F.broadcast(few.select(*more, "_print")), [*more, "_print"], "left_semi").drop("_print").dropDuplicates()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limit: int = MAX_LABELLED, chars: int | None = None) -> DataFrame:
+    """Texts and labels (doc_id, text, y) of at most `limit` labelled rows for which `usable` (a condition on doc_id) holds, and
+    of at most `chars` characters together where given; which ones, `bounded_rows` states.
+
+    The side of ids is bounded by `limit` too and therefore broadcast. Null ids or labels are never used; a document labelled
+    twice counts once, with the higher label. Rows that repeat an id and its text count once. Empty labels or documents give
+    an empty sample.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -160,4 +177,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
+    return bounded_rows(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), limit, chars)

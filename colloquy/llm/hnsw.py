@@ -314,7 +314,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
     spark = vectors.sparkSession
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
     good = vectors.select(
-        "vec_id", F.col("embedding").cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding")
+        F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding")
     ).where(F.col("vec_id").isNotNull() & usable())
     keyed = good.withColumn("key", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     with Scratch(spark) as tables:

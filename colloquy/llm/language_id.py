@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import tidy
 from .linear import fit_svm, sigmoid
@@ -24,8 +25,9 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIMENSIONS = 4096
 UNKNOWN = "und"
-#: Documents that are learned from, and characters turned into trigrams at once.
+#: Most rows that are learned from, most characters they have together, and characters turned into trigrams at once.
 MAX_LEARNED = 6_000
+MAX_LEARNED_CHARS = 32_000_000
 CHUNK_CHARS = 1_000_000
 
 
@@ -133,4 +135,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "lang_score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(predict), "doc_id long, lang_pred string, lang_score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(predict), "doc_id long, lang_pred string, lang_score double")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Scratch, cut, in_chunks, tidy
 
@@ -183,7 +184,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "media"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(images), "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(images), "doc_id long, n_bytes long, media binary")
 
 
 def media_tiles(media: DataFrame, side: int = TILE_SIDE) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_chunks, process_cache, tidy
 
@@ -164,7 +165,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *lists], ["doc_id", "token_ids", "starts", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>, starts array<int>, ends array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_documents(tokens: DataFrame, model: str) -> DataFrame:
@@ -197,4 +198,4 @@ def codec_digests(docs: DataFrame, model: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from . import (
     chat, conversation_trie, hnsw, language_id, media, minhash, mixing, piece_codec, quality, sentence_spans, spelling, sql, token_columns, toxicity
 )
-from .common import id_crc, labelled_sample, new_path, short, table
+from .common import MAX_LABELLED_CHARS, bounded_rows, id_crc, labelled_sample, new_path, table
 
 
 def _tokenizer(name: str) -> str:
@@ -21,10 +21,10 @@ def _held_out(parts: int, rest: int):
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, usable) -> toxicity.Lexicon:
-    """The lexicon of the labelled documents that are usable (a condition on doc_id): at most MAX_LABELLED of them, of at most
-    MAX_LEARNED_CHARS characters each, come to the driver. Null texts are empty ones, repeated rows count once; without
-    labels of both kinds the lexicon is empty."""
-    rows = labelled_sample(docs, labels, "toxic", usable).where(short()).select("text", "y").collect()
+    """The lexicon of the labelled documents that are usable (a condition on doc_id): at most MAX_LABELLED rows of
+    at most MAX_LABELLED_CHARS characters together come to the driver. Null texts are empty ones, repeated rows count once;
+    without labels of both kinds the lexicon is empty."""
+    rows = labelled_sample(docs, labels, "toxic", usable, chars=MAX_LABELLED_CHARS).select("text", "y").collect()
     return toxicity.learn_lexicon([(r.text, r.y) for r in rows])
 
 
@@ -40,9 +40,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_crc("doc_id") % 4 != 2)
-    picked = docs.select("doc_id", "lang").where(usable).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(language_id.MAX_LEARNED)
-    picked = F.broadcast(picked.groupBy("doc_id").agg(F.min("lang").alias("known")))
-    rows = docs.select("doc_id", "text").where(short()).join(picked, "doc_id").select("text", "known").distinct().collect()
+    learned = bounded_rows(docs.select("doc_id", "text", "lang").where(usable), language_id.MAX_LEARNED, language_id.MAX_LEARNED_CHARS)
+    rows = learned.select("text", F.col("lang").alias("known")).distinct().collect()
     model = language_id.learn_languages(sorted((r.text or "", r.known) for r in rows))
     found = language_id.predict_languages(docs, model)
     return found.select("doc_id", _held_out(4, 2), "lang_pred", F.col("lang_score").alias("score"))

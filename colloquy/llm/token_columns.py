@@ -18,8 +18,12 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Most words whose ids a process remembers before it starts anew, and most characters in one call of the encoder.
+#: Characters of a text that count when rows of one id are dealt to tasks.
+DEALT_CHARS = 256
+#: Most words, and most bytes of words and their ids, that a process remembers before it starts anew; most characters in one
+#: call of the encoder.
 MAX_WORDS = 1_100_000
+MAX_TABLE_BYTES = 128 << 20
 MAX_WORD_BYTES = 4096
 CHUNK_CHARS = 1_200_000
 BYTE_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
@@ -154,7 +158,7 @@ class WordEncoder:
         ids of all words are gathered at once. A text's first word, which has no space before it, is a word of its own.
         Words of one hash are compared byte by byte; where they differ, their texts are encoded whole.
         """
-        if len(self.words.keys) > MAX_WORDS:
+        if len(self.words.keys) > MAX_WORDS or self.words.written + 4 * self.words.used > MAX_TABLE_BYTES:
             self.words = WordTable()
         table = self.words
         alone = [k in whole or text[:1] == " " or _NO_SPACE in text or _BETWEEN in text or _SPACE_AFTER_SPACE(text) is not None for k, text in enumerate(texts)]
@@ -227,7 +231,7 @@ def encode_column(docs: DataFrame, model: str, end_id: int | None = END_ID) -> D
                 offsets, values = np.append(0, np.cumsum(counts)).astype("i4"), pa.array(ids.view("i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "token_ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, token_ids array<int>")
 
 
 def write_tokens(
@@ -236,11 +240,12 @@ def write_tokens(
 ) -> None:
     """Write doc_id, n_tokens and token_ids in ascending order of doc_id (null first), file after file.
 
-    list_encoding: "dictionary" or "delta" (binary packed). Rows that share a doc_id stand in the order of their texts.
+    list_encoding: "dictionary" or "delta" (binary packed). Rows that share a doc_id stand in the order of their texts, and are
+    dealt by how their texts begin too, so an id (or none) with very many texts is several files' work.
     """
     if list_encoding not in ("dictionary", "delta"):
         raise ValueError(f"no such encoding: {list_encoding}")
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, DEALT_CHARS)).sortWithinPartitions("doc_id", "text")
     tokens = encode_column(dealt, model, end_id).select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids")
     dictionary = {"parquet.enable.dictionary": "false", "parquet.enable.dictionary#token_ids.list.element": str(list_encoding == "dictionary").lower()}
     sizes = {

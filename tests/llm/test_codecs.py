@@ -256,3 +256,24 @@ def test_text_payloads_are_lossless(spark, documents, empty):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload)) and r.payload_bytes % 192 == 0
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and len(r.feature) == 16
     assert media.store_text_media(empty).count() == 0
+
+
+def test_ids_of_32_bits_and_one_id_of_many_rows(spark, rng, tmp_path, request):
+    from colloquy.llm import hnsw, language_id, minhash
+
+    rows = [(7, f"{rng.random()} text number {k}") for k in range(400)] + [(k, f"other {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(6)
+    assert language_id.predict_languages(docs, language_id.LanguageModel()).count() == 420
+    assert piece_codec.codec_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == 420 and media.store_text_media(docs).count() == 420
+    assert minhash.near_duplicate_classes(docs).count() == 420
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    assert sorted((r.vec_id, r.component_id) for r in hnsw.near_embeddings(vectors).collect()) == [(1, 1), (2, 1), (3, 3)]
+    path, few = str(tmp_path / "tokens"), "spark.sql.adaptive.coalescePartitions.enabled"
+    request.addfinalizer(lambda: spark.conf.unset(few))
+    spark.conf.set(few, "false")  # so few rows would be joined to one task again
+    token_columns.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    files = spark.read.parquet(path).groupBy("_metadata.file_name").count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 300  # the rows of one id are several tasks' work
+    got = token_columns.token_offsets(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]

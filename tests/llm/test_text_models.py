@@ -68,6 +68,22 @@ def test_labelled_sample_keeps_to_usable_rows(spark, documents):
     assert len(rows) == 30 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows) and all(r.y == r.doc_id % 2 for r in rows)
 
 
+def test_samples_are_bounded_by_rows_and_characters(spark, documents):
+    from colloquy.llm.common import bounded_rows
+
+    docs = documents([(1, f"text {k:05}") for k in range(500)] + [(k, "x" * 5000) for k in range(2, 40)] + [(1, "text 00000")] * 50)
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, toxic int")
+    anything = id_crc("doc_id") >= 0
+    assert labelled_sample(docs, labels, "toxic", anything, limit=1).count() == 1
+    assert labelled_sample(docs, labels, "toxic", anything, limit=45).count() == 45
+    rows = labelled_sample(docs, labels, "toxic", anything, limit=1000, chars=12_000).collect()
+    assert 0 < sum(len(r.text) for r in rows) <= 12_000
+    assert {tuple(r) for r in rows} == {tuple(r) for r in labelled_sample(docs.repartition(7), labels, "toxic", anything, limit=1000, chars=12_000).collect()}
+    assert {r.doc_id for r in labelled_sample(docs, labels, "toxic", anything, limit=1000, chars=4999).collect()} <= {1}
+    languages = spark.createDataFrame([(1, "a b", "en"), (1, "c d", "fr"), (1, "c d", "fr"), (2, None, "en")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.text or "", r.lang) for r in bounded_rows(languages, 10, 100).collect()) == [(1, "a b", "en"), (1, "c d", "fr"), (2, "", "en")]
+
+
 ALPHABETS = {"en": "theandingof", "de": "dieschungü", "fr": "lesêtreéaux", "es": "ciónlosñado", "xx": "qqzzkkvvjj"}
 
 
