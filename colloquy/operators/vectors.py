@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ def nearest(rows: DataFrame, query: Column, limit: int, order: tuple[str, ...],
     return found.drop(column).orderBy(distance, *order).limit(limit)
 
 
-#: Bytes of the queries (as doubles) that a task holds at about the same time; rows pass by them. Bytes of the rows that pass by.
-QUERY_BYTES, ROW_BYTES = 16 << 20, 256 << 20
+#: Bytes (as doubles) of a block of queries, which a task holds, and of a block of rows, which passes by it.
+QUERY_BYTES, ROW_BYTES = 16 << 20, 4 << 20
+#: Distances that are worked out at a time, and more than two ways of adding up the same distance differ by.
+MET_AT_ONCE, ROUNDING = 1 << 21, 1e-12
 
 
 def nearest_to_each(
@@ -29,35 +32,54 @@ def nearest_to_each(
     """query, the key and distance of the `limit` rows nearest to each query (columns key and column, as in rows), itself left
     out; ties by key. Vectors that `nearest` leaves out are left out, and those of different lengths don't meet.
 
-    Queries and rows are both dealt to blocks, and every two blocks meet in one task: it holds the queries and lets the rows pass,
-    keeping the best for each query. So a row is sent once for each block of queries, and what comes back are queries times
-    blocks of rows times limit, of which Spark keeps the best."""
-    asked, there = (staged(_units(df, key, column), name) for df, name in ((queries, "queries"), (rows, "rows")))
-    size = lambda df, most: 1 + (df.agg(F.sum(F.octet_length("unit"))).first()[0] or 0) // most
-    n_queries, n_rows = size(asked, query_bytes), size(there, row_bytes)
-    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n))  # noqa: E731  which block doesn't matter, and equal keys are dealt too
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    asked = asked.withColumn("q", dealt(n_queries)).withColumn("r", every(n_rows)).withColumn("kind", F.lit(0))
-    there = there.withColumn("r", dealt(n_rows)).withColumn("q", every(n_queries)).withColumn("kind", F.lit(1))
-    block = ("n", "q", "r")
-    both = asked.unionByName(there).select(*block, "kind", "key", "unit").repartition(*block).sortWithinPartitions(*block, "kind")
+    Queries and rows are both written down as blocks, and every two splits of what was written meet in one task, which reads them
+    there: no vector is shuffled, however many blocks it meets. The task takes one block of queries after another and lets all
+    rows of its split pass, keeping the best for each query. So what is shuffled are queries times splits of rows times limit."""
+    there = staged(_blocks(rows, key, column, row_bytes), "rows", compression="none")  # so a split is no larger when it is read
+    alike = queries is rows and query_bytes == row_bytes
+    asked = there if alike else staged(_blocks(queries, key, column, query_bytes), "queries", compression="none")
+    asked = asked.withColumnsRenamed({"keys": "asked_keys", "units": "asked_units"})
+    met = asked.join(there.drop("block").hint("shuffle_replicate_nl"), "n")
     kind = rows.schema[key].dataType.simpleString()
-    found = both.mapInArrow(_best_of_blocks(limit), f"query {kind}, key {kind}, distance double")
+    found = met.select("n", "block", "asked_keys", "asked_units", "keys", "units").mapInArrow(
+        _best_of_blocks(limit), f"query {kind}, key {kind}, distance double"
+    )
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
     return found.withColumn("_rank", rank).where(F.col("_rank") <= limit).select("query", F.col("key").alias(key), "distance")
 
 
-def _units(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, n (the vector's length) and unit (its direction, as doubles) of usable vectors."""
+def _blocks(rows: DataFrame, key: str, column: str, most: int) -> DataFrame:
+    """The usable vectors by blocks of about `most` bytes: n (their length), block (its number), keys in order, and units
+    (their directions, as doubles)."""
+
+    def blocks(batches):
+        held, kind, number = {}, None, TaskContext.get().partitionId() << 32
+
+        def closed(n):
+            nonlocal number
+            found, number = sorted(held.pop(n), key=lambda x: _placed(x[0])), number + 1
+            values = [n], [number], [[k for k, _ in found]], [b"".join(u for _, u in found)]
+            kinds = pa.int32(), pa.int64(), pa.list_(kind), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["n", "block", "keys", "units"])
 
-    def units(batches):
         for batch in batches:
-            found = [(k, x) for k, x in zip(batch.column(0), map(_unit, batch.column(1).to_pylist())) if x is not None]
-            columns = [pa.array([k.as_py() for k, _ in found], batch.schema.field(0).type), pa.array([len(x) for _, x in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for _, x in found], pa.binary())], ["key", "n", "unit"])
+            kind = batch.schema.field(0).type
+            for k, x in zip(batch.column(0).to_pylist(), map(_unit, batch.column(1).to_pylist())):
+                if x is not None:
+                    own = held.setdefault(len(x), [])
+                    own.append((k, x.tobytes()))
+                    if len(own) * len(x) * 8 >= most:
+                        yield closed(len(x))
+        for n in list(held):
+            yield closed(n)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, column).where(F.col(column).isNotNull()).mapInArrow(units, f"key {kind}, n int, unit binary")
+    return rows.select(key, column).where(F.col(column).isNotNull()).mapInArrow(blocks, f"n int, block long, keys array<{kind}>, units binary")
+
+
+def _placed(key) -> tuple:
+    """Orders keys with null first, as Spark does."""
+    return key is not None, key
 
 
 def _unit(vector) -> np.ndarray | None:
@@ -70,37 +92,29 @@ def _unit(vector) -> np.ndarray | None:
 
 
 def _best_of_blocks(limit: int):
-    """Blocks, each with its queries (kind 0) before its rows, to the best rows of each query."""
+    """Pairs of blocks, those of one block of queries one after another, to the best rows of each query."""
 
     def run(batches):
         block, asked, matrix, near, kind = None, [], None, [], None
 
         def closed():
-            out = [(k, other, d) for (k, _), best in zip(asked, near) for d, other in best]
+            out = [(k, other, d) for k, best in zip(asked, near) for d, other in best]
             columns = list(zip(*out)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()))], ["query", "key", "distance"])
 
         for batch in batches:
-            kind = batch.schema.field("key").type
-            ids = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            kinds, keys, units = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            at = 0
-            while at < len(ids):
-                if ids[at] != block:
+            kind = batch.schema.field("keys").type.value_type
+            for at, (n, own) in enumerate(zip(batch.column("n").to_pylist(), batch.column("block").to_pylist())):
+                vectors = lambda name: np.frombuffer(batch.column(name)[at].as_buffer()).reshape(-1, n)  # noqa: E731, B023
+                if own != block:
                     if block is not None:
                         yield closed()
-                    block, asked, matrix, near = ids[at], [], None, []
-                end = at
-                while end < len(ids) and ids[end] == block and kinds[end] == kinds[at]:
-                    end += 1
-                vectors = [np.frombuffer(u) for u in units[at:end]]
-                if kinds[at] == 0:
-                    asked += list(zip(keys[at:end], vectors))
-                elif asked:
-                    if matrix is None:
-                        matrix, near = np.array([v for _, v in asked]), [[] for _ in asked]
-                    _meet(matrix, asked, near, np.array(vectors), keys[at:end], limit)
-                at = end
+                    block, asked, matrix = own, batch.column("asked_keys")[at].as_py(), vectors("asked_units").copy()
+                    near = [[] for _ in asked]
+                keys, rows = batch.column("keys")[at].as_py(), vectors("units")
+                step = max(1, MET_AT_ONCE // len(asked))
+                for k in range(0, len(keys), step):
+                    _meet(matrix, asked, near, rows[k : k + step], keys[k : k + step], limit)
         if block is not None:
             yield closed()
 
@@ -108,14 +122,28 @@ def _best_of_blocks(limit: int):
 
 
 def _meet(queries: np.ndarray, asked: list, near: list, rows: np.ndarray, keys: list, limit: int) -> None:
-    """Let some rows pass the queries: near has the best (distance, key) of each so far."""
-    distances = 1 - rows @ queries.T
-    edges = np.array([best[-1][0] if len(best) == limit else np.inf for best in near])
-    for q in np.flatnonzero((distances <= edges).any(0)):
-        own = distances[:, q]
-        edge = edges[q] if limit + 1 >= len(own) else min(edges[q], np.partition(own, limit)[limit])  # one of them may be the query itself
-        new = [(float(own[r]), keys[r]) for r in np.flatnonzero(own <= edge) if keys[r] != asked[q][0]]
-        near[q] = sorted([*near[q], *new])[:limit]
+    """Let some rows, in the order of their keys, pass the queries: near has the best (distance, key) of each so far. A product of
+    matrices proposes; a distance is then added up in one way wherever the two stand, so equal vectors are equally far."""
+    distances = 1 - queries @ rows.T
+    own = {}
+    for r, key in enumerate(keys):
+        own.setdefault(key, []).append(r)
+    for q, key in enumerate(asked):
+        if key in own:
+            distances[q, own[key]] = np.inf
+    edges = np.array([best[-1][0] if len(best) == limit else np.finfo("f8").max for best in near]) + ROUNDING
+    many = np.flatnonzero((distances <= edges[:, None]).sum(1) > limit)
+    if len(many):
+        edges[many] = np.minimum(edges[many], np.partition(distances[many], limit - 1, axis=1)[:, limit - 1] + ROUNDING)
+    q, r = np.nonzero(distances <= edges[:, None])
+    step = max(1, MET_AT_ONCE // queries.shape[1])
+    slices = [slice(k, k + step) for k in range(0, len(q), step)]
+    exact = np.concatenate([np.zeros(0), *[1 - (rows[r[x]] * queries[q[x]]).sum(1) for x in slices]])
+    order = np.lexsort((r, exact, q))
+    found, starts, counts = np.unique(q, return_index=True, return_counts=True)
+    for k, start, count in zip(found.tolist(), starts.tolist(), counts.tolist()):
+        new = [(float(exact[x]), keys[r[x]]) for x in order[start : start + min(limit, count)]]
+        near[k] = sorted([*near[k], *new], key=lambda x: (x[0], *_placed(x[1])))[:limit]
 
 
 def to_blob(vector: Column) -> Column:

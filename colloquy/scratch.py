@@ -25,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _local["folder"]
 
 
-def staged(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """The rows, written down and read again: what follows neither makes nor plans them again."""
+def staged(rows: DataFrame, name: str, folder: str | None = None, **options) -> DataFrame:
+    """The rows, written down and read again: what follows neither makes nor plans them again. options: of the writer."""
     spark = rows.sparkSession
     place = f"{folder or f'{shared_folder(spark)}/staged-{uuid.uuid4().hex}'}/{name}"
-    rows.write.parquet(place)
+    rows.write.options(**options).parquet(place)
     return spark.read.schema(rows.schema).parquet(place)

@@ -46,6 +46,27 @@ def test_ties_go_by_key_and_nothing_has_no_neighbours(spark):
     assert vectors.nearest_to_each(df, df.where("false"), 2).count() == 0 and vectors.nearest_to_each(df.where("false"), df, 2).count() == 0
 
 
+def test_no_vector_is_shuffled(spark):
+    """However many blocks there are: every two meet where they were written."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(f"k{k}", [rng.gauss(0, 1) for _ in range(4)], "") for k in range(60)], ROW).repartition(3)
+    got = vectors.nearest_to_each(df, df, 2, query_bytes=64, row_bytes=64)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "CartesianProduct" in plan and len(shuffles) == 1 and "hashpartitioning(query" in shuffles[0]
+    assert got.count() == 120
+
+
+def test_copies_are_equally_far_wherever_they_stand(spark):
+    """Ties go by key, also where a product of matrices would round copies differently at its edges."""
+    rng = random.Random(7)
+    same, query = ([rng.gauss(0, 1) for _ in range(37)] for _ in range(2))
+    df = spark.createDataFrame([(f"k{k:03}", same, "") for k in range(203)] + [("q", query, "")], ROW).repartition(3)
+    for size in (300, 7000, 1 << 20):
+        got = vectors.nearest_to_each(df, df.where("vec_id = 'q'"), 5, query_bytes=size, row_bytes=size).collect()
+        assert sorted(r.vec_id for r in got) == [f"k{k:03}" for k in range(5)] and len({r.distance for r in got}) == 1
+
+
 def test_sums_of_increments_are_the_sums_of_all(spark):
     rng = random.Random(9)
     rows = [(f"s{rng.randrange(5)}", [rng.gauss(0, 1) for _ in range(3)], k % 3) for k in range(60)] + [("odd", None, 0), ("hole", [1.0, None, 3.0], 1)]
