@@ -12,7 +12,9 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,49 @@ def token_table(texts: DataFrame, content: str = "content", accents: bool = True
     return texts.withColumn("tokens", tokens(F.col(content), accents)).drop(content)
 
 
-def index(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """From a token table: term, the key columns, n_tokens, and the term's places in the row. To be written sorted by
-    term, so that a search reads only the files and pages of its words."""
-    size = F.size("tokens").alias("n_tokens")
-    words = table.select(*key, size, F.posexplode("tokens").alias("place", "term"))
-    return words.groupBy("term", *key, "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
+#: Tokens of whole texts that are put in order of their words at a time.
+TOKENS_AT_ONCE = 1 << 21
+
+
+def index(table: DataFrame, key: tuple[str, ...], stemmed: bool = False) -> DataFrame:
+    """From a token table: term, the key columns, n_tokens, and the term's places in the row. A text's words lie together already,
+    so nothing is shuffled to group them: rows come in runs of about TOKENS_AT_ONCE tokens, each sorted by term. Written as they
+    come, a search reads of each run the pages of its words; sorted as a whole, only the files of its words. stemmed: terms are
+    stems, made of the distinct words of a run."""
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    schema = ", ".join(["term string", *[f"`{k}` {kinds[k]}" for k in key], "n_tokens int", "places array<int>"])
+
+    def postings(batches):
+        for batch in batches:
+            ends = batch.column("tokens").offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS_AT_ONCE, "right")) - 1)
+                if ends[end] > ends[at]:
+                    yield _by_word(batch.slice(at, end - at), key, stemmed)
+                at = end
+
+    return table.select(*key, "tokens").mapInArrow(postings, schema)
+
+
+def _by_word(texts: pa.RecordBatch, key: tuple[str, ...], stemmed: bool) -> pa.RecordBatch:
+    """Some texts with their tokens to a row for each word of a text, in order of words."""
+    lists = texts.column("tokens")
+    ends = lists.offsets.to_numpy().astype("i8")
+    coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    terms, of_word = np.unique(np.array([stem(w) for w in words] if stemmed else words, object), return_inverse=True)
+    sizes = np.diff(ends)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], sizes)
+    group = of_word[coded.indices.to_numpy()] * len(sizes) + row
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    term, row = np.divmod(group[starts], len(sizes))
+    places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(group)), pa.int32()), pa.array(place[order], pa.int32()))
+    columns = [pa.array(terms, pa.string()).take(pa.array(term)), *[texts.column(k).take(pa.array(row)) for k in key]]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row], pa.int32()), places], ["term", *key, "n_tokens", "places"])
 
 
 def stems_of(words: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -165,15 +165,13 @@ def _grep(pattern: str, project: str | None = None):
 
 
 def _grep_index(pattern: str, project: str | None = None, stemmed: bool = False):
-    """The same through an index that is written sorted by word, of words or of stems."""
+    """The same through an index that is written in runs sorted by word, of words or of stems."""
 
     def run(spark, sf_dir):
         docs = _texts(spark, sf_dir)
         table = fulltext.token_table(docs.select("doc_id", "content"), accents=not stemmed)
         sizes = table.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
-        words = staged(fulltext.index(table, ("doc_id",)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "words")
-        if stemmed:
-            words = staged(fulltext.stemmed_index(words, fulltext.stems_of(words)), "stems")
+        words = staged(fulltext.index(table, ("doc_id",), stemmed), "words")
         own = None if project is None else docs.where(F.col("project") == project).select("doc_id")
         found = fulltext.search_index(words, *sizes, pattern, 20, ("doc_id",), stemmed, own)
         return found.join(docs.select("doc_id", snippet(F.col("content")).alias("snippet")), "doc_id").select("doc_id", "snippet", F.round("rank", 6).alias("rank"))

@@ -72,6 +72,22 @@ def test_ranks_match(table, postings, texts, sqlite, pattern):
         assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_an_index_is_made_without_a_shuffle(spark, rows, table, postings, monkeypatch, at_once):
+    """A row for each word of a text with its places in order, of words or stems, however many texts are taken at once."""
+    monkeypatch.setattr(fulltext, "TOKENS_AT_ONCE", at_once)
+    plain = {(w, r.id, len(r.tokens), tuple(k for k, t in enumerate(r.tokens) if t == w)) for r in table.collect() for w in r.tokens}
+    found = fulltext.index(table, ("id",))
+    stems = fulltext.index(fulltext.token_table(rows, accents=False), ("id",), stemmed=True)
+    read = lambda df: [(r.term, r.id, r.n_tokens, tuple(r.places)) for r in df.collect()]
+    assert len(read(found)) == len(plain) and set(read(found)) == plain
+    assert sorted(read(stems)) == sorted(read(postings[True]))
+    uncached = fulltext.token_table(rows.coalesce(1))
+    run = [r[0] for r in read(fulltext.index(uncached, ("id",)))]
+    assert at_once < 1 << 20 or run == sorted(run)
+    assert "Exchange" not in fulltext.index(uncached, ("id",), stemmed=True)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_are_entered_by_rare_words():
     often = {("the", False): 900, ("of", False): 800, ("kafka", False): 3, ("schema", False): 5, ("w", True): 2}
     entries = lambda pattern: {w for w, _ in fulltext._entries(fulltext.parse(pattern, stemmed=False), often)}
