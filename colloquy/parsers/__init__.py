@@ -119,13 +119,14 @@ def along_file(rows: DataFrame, state: dict[str, First | Latest | LastSoFar | Co
 
 def finish(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, errata: DataFrame) -> Parsed:
     """Counts, times and sums that all formats share. sessions: path, session_id, source, ... ; errata: path, kind, ...
+    Sessions are as many as files or more, so no join sends them, or what is counted of them, through the driver.
 
     Errata of a file that gives no session keep their path and have no session."""
     counts = messages.groupBy("path").agg(F.count("*").alias("message_count"), F.max("turn_number").alias("turn_count"))
     calls = tool_calls.groupBy("path").agg(F.count("*").alias("tool_call_count"))
     faults = errata.groupBy("path").agg(F.count("*").alias("error_count"))
     for rows in (counts, calls, faults):
-        sessions = sessions.join(rows, "path", "left")
+        sessions = sessions.join(rows.hint("merge"), "path", "left")
     tokens = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
     numbers = (*tokens, "message_count", "turn_count", "tool_call_count", "error_count")
     known = {name: F.coalesce(F.col(name), F.lit(0)) if name in sessions.columns else F.lit(0) for name in numbers}
@@ -140,7 +141,7 @@ def finish(sessions: DataFrame, messages: DataFrame, tool_calls: DataFrame, erra
 
     def own(rows: DataFrame) -> DataFrame:
         if "session_id" not in rows.columns:
-            rows = rows.join(ids, "path", "left").withColumnRenamed("sid", "session_id")
+            rows = rows.join(ids.hint("merge"), "path", "left").withColumnRenamed("sid", "session_id")
         return rows.withColumn("raw_path", F.col("path"))
 
     return Parsed(shaped(sessions, SESSIONS), shaped(own(messages), MESSAGES), shaped(own(tool_calls), TOOL_CALLS), shaped(own(errata), ERRATA))

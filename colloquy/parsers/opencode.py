@@ -14,6 +14,7 @@ PASSED = ("file", "step-start", "step-finish", "compaction")
 
 
 def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
+    """Both sides of a join grow with the store, and Spark takes texts for short: so all are merged, none goes through the driver."""
     store = lambda name, schema: table_of(rows, "opencode", name, schema)
     base = store("session", SESSION).withColumn("path", F.concat_ws("#", "file", "id")).withColumn("session_id", session_uuid(F.lit("opencode"), F.col("id")))
     model = F.try_parse_json("model")
@@ -29,7 +30,7 @@ def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
 
     kept = base.select("path", "session_id", F.col("file").alias("f"), F.col("id").alias("native"))
     messages = store("message", "id string, session_id string, time_created long, data string").withColumnRenamed("session_id", "of")
-    messages = messages.join(kept, (F.col("file") == F.col("f")) & (F.col("of") == F.col("native"))).drop("f", "native", "of")
+    messages = messages.join(kept.hint("merge"), (F.col("file") == F.col("f")) & (F.col("of") == F.col("native"))).drop("f", "native", "of")
     order = Window.partitionBy("path").orderBy("time_created", "id")
     messages = messages.withColumn("source_seq", F.row_number().over(order).cast("long")).withColumn("v", F.try_parse_json("data"))
     messages = stage(messages, "opencode-messages")
@@ -42,7 +43,7 @@ def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
         "part", "id string, message_id string, time_created long, data string"
     ).withColumnRenamed("id", "part").withColumnRenamed("time_created", "part_time").withColumnRenamed("file", "part_file").withColumnRenamed("data", "part_data")
     joined = turns.select("path", "file", "session_id", "id", "uuid", "source_seq").join(
-        parts, (F.col("file") == F.col("part_file")) & (F.col("id") == F.col("message_id"))
+        parts.hint("merge"), (F.col("file") == F.col("part_file")) & (F.col("id") == F.col("message_id"))
     ).withColumn("p", F.try_parse_json("part_data"))
     joined = stage(joined, "opencode-parts")
     errata = errata.unionByName(fault(joined.where("p is null"), "parse_error", F.col("part_data"), F.col("source_seq")))
@@ -57,7 +58,7 @@ def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
     said = joined.groupBy(F.col("uuid").alias("u")).agg(text("text").alias("content"), text("reasoning").alias("thinking"))
     assistant = F.col("role") == "assistant"
     v = F.col("v")
-    out = turns.join(said, F.col("uuid") == F.col("u"), "left").select(
+    out = turns.join(said.hint("merge"), F.col("uuid") == F.col("u"), "left").select(
         "path", "uuid", "role", "content", "thinking", "source_seq", "turn_number", F.when(
             assistant, child_uuid(F.col("session_id"), V.string(v, "$.parentID"))
         ).alias("parent_uuid"),
@@ -79,7 +80,7 @@ def parse(rows: DataFrame, stage: Stage = staged) -> Parsed:
         fault(tools.where("n > 1"), "duplicate_tool_call", F.col("call_id"), F.col("source_seq")),
         fault(first.where(status == "running"), "incomplete_tool_call", F.col("call_id"), F.col("source_seq")),
         fault(joined.where(~F.col("type").isin("text", "reasoning", "tool", *PASSED)), "unknown_part_type", F.col("type"), F.col("source_seq")),
-        fault(sessions.join(out.select("path").distinct(), "path", "left_anti"), "empty_session", F.col("native_id")),
+        fault(sessions.join(out.select("path").distinct().hint("merge"), "path", "left_anti"), "empty_session", F.col("native_id")),
     ):
         errata = errata.unionByName(extra)
     return finish(sessions, out, calls, errata)

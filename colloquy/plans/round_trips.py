@@ -172,7 +172,7 @@ def _messages(make):
     def run(spark, sf_dir):
         parsed = _parsed(make)(spark, sf_dir)
         named = parsed.sessions.select("session_id", "native_id")
-        return parsed.messages.join(named, "session_id").select("native_id", "turn_number", "role", F.coalesce("content", F.lit("")).alias("content"))
+        return parsed.messages.join(named.hint("merge"), "session_id").select("native_id", "turn_number", "role", F.coalesce("content", F.lit("")).alias("content"))
 
     return run
 
@@ -184,7 +184,7 @@ def _calls(make):
         parsed = _parsed(make)(spark, sf_dir)
         named = parsed.sessions.select("session_id", "native_id")
         asked = parsed.messages.select(F.col("uuid").alias("request_message"), F.col("source_seq").alias("asked_at"))
-        calls = parsed.tool_calls.join(named, "session_id").join(asked, "request_message", "left")
+        calls = parsed.tool_calls.join(named.hint("merge"), "session_id").join(asked.hint("merge"), "request_message", "left")
         return calls.select(
             "native_id", "asked_at", "call_id", "tool_name", F.regexp_replace("tool_input", " ", "").alias("tool_input"), "tool_output", "is_error"
         )

@@ -363,3 +363,14 @@ def test_a_store_is_read_by_ranges_of_rows_and_only_what_is_asked(spark, tmp_pat
     assert [x for x in bytes_ if x[0] != "broken"] == [x for x in whole if x[0] != "broken"] and len(bytes_) == len(whole)
     late = stores.store_rows(spark, str(tmp_path / "odd name%20#" / "a.db"), Recency(datetime.fromtimestamp(20_000, timezone.utc)), rows=3)
     assert late.groupBy("table").count().collect() and {(r["table"], r["count"]) for r in late.groupBy("table").count().collect()} == {("session", 5), ("message", 5), ("part", 5)}
+
+
+def test_joins_of_a_store_send_nothing_through_the_driver(spark):
+    """Spark takes aggregated texts for short and would broadcast them."""
+    from colloquy.plans.round_trips import opencode_rows
+    from colloquy.sources.ingest import parse_stores
+
+    turns = spark.createDataFrame([(f"s{k // 4}", k % 4 + 1, ("user", "assistant")[k % 2], f"text {k}") for k in range(40)], "path string, n long, role string, content string")
+    parsed = parse_stores(opencode_rows(turns))
+    for table, n in ((parsed.sessions, 10), (parsed.messages, 40), (parsed.tool_calls, 20), (parsed.errata, 0)):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString() and table.count() == n
